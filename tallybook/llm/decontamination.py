@@ -33,7 +33,7 @@ def item_shingles(items: DataFrame, item_id: str, text: str, width: int, thresho
     """item, q, need, h: one row per distinct shingle of an item."""
     sets = items.select(F.col(item_id).alias("item"), F.array_distinct(shingle_hashes(words(F.col(text)), width)).alias("hs"))
     q = F.size("hs")
-    return sets.where(q > 0).select("item", q.alias("q"), F.ceil(F.lit(threshold) * q - F.lit(1e-9)).cast("int").alias("need"), F.explode("hs").alias("h"))
+    return sets.select("item", q.alias("q"), F.ceil(F.lit(threshold) * q - F.lit(1e-9)).cast("int").alias("need"), F.explode("hs").alias("h"))
 
 
 def signatures(shingles: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def contained_items(
     shingles = written(item_shingles(items, item_id, text, width, threshold))
     low = written(signatures(shingles))
     hashed = docs.select(F.col(doc_id).alias("doc"), shingle_hashes(words(F.col(text)), width).alias("hs"))
-    probes = hashed.where(F.size("hs") > 0).select("doc", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    probes = hashed.select("doc", F.size("hs").alias("n"), F.explode("hs").alias("h"))
     candidates = written(probes.join(small_side(low), "h").where(F.col("n") >= F.col("need")).select("doc", "item").distinct())
     ids = candidates.select("doc").distinct()
     held = (

@@ -16,6 +16,11 @@ def words(text: Column) -> Column:
 
 def shingle_hashes(word_array: Column, width: int = 5) -> Column:
     """64-bit hashes of every run of `width` words, in text order; of the whole sequence if it is shorter."""
-    n = F.size(word_array)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(word_array, i, width), " ")))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(ws: Column) -> Column:
+        last = F.greatest(F.size(ws) - (width - 1), F.lit(1))
+        hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(ws, i, width)))
+        return F.when(F.size(ws) > 0, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    # The words are bound to a lambda's variable: named in place, they would be cut anew for every shingle.
+    return F.get(F.transform(F.array(word_array), runs), F.lit(0))
