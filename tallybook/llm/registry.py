@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallybook.llm import op1, op6, op7, op8, op9
+from tallybook.llm import op1, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_media_columns": op1.op1_media_columns,
+    "op5_html_extraction": op5.op5_html_extraction,
     "op6_license_scan": op6.op6_license_scan,
     "op7_decontamination": op7.op7_decontamination,
     "op8_sharding": op8.op8_sharding,
     "op9_url_filters": op9.op9_url_filters,
+    "op10_language_id": op10.op10_language_id,
 }
 ORACLES = {
     "op7_decontamination": op7.ORACLE,
