@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallybook.llm import op1, op3, op4, op5, op6, op7, op8, op9, op10
+from tallybook.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_media_columns": op1.op1_media_columns,
+    "op2_ngram_jaccard": op2.op2_ngram_jaccard,
     "op3_line_dedup": op3.op3_line_dedup,
     "op4_best_fit_packing": op4.op4_best_fit_packing,
     "op5_html_extraction": op5.op5_html_extraction,
