@@ -124,3 +124,22 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
         yield key, languages[members[top]], float(min(1.0, share[top])), [(languages[m], float(s)) for m, s in zip(members, share)]
 
     return map_rows(docs.select(doc_id, text), judge, "doc_id bigint, lang_pred string, score double, shares map<string,double>")
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language that holds at least the share `least` of it."""
+    languages, table = model
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    column = docs.columns.index(text)
+
+    def accepted(words: str | None) -> bool:
+        ids, starts = trigram_buckets(words or "")
+        if not len(starts) or not languages or not any(c.isalpha() for c in words):
+            return False
+        return bool(language_set(np.add.reduceat(shared.value[ids], starts, axis=0).astype(np.float64))[1].max() >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([accepted(t) for t in batch.column(column).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
