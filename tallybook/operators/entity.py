@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.functions.text import entity_key, name_distance, name_tokens
+
 
 def work_facts(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
     """Work orders: one row per line item with its vendor, ward, year, sanctioned amount and deduction."""
@@ -55,3 +57,48 @@ def vendor_profiles(facts: DataFrame, government_patterns: Iterable[str]) -> Dat
         .select(F.concat(F.lit("v_"), F.col("vendor_key")).alias("entity_id"), "*", F.size("wards").cast("bigint").alias("ward_count"))
         .drop("vendor_key")
     )
+
+
+def _rarest(keyed: DataFrame, key: str, item: str, counts: DataFrame, share: float | None = None) -> DataFrame:
+    """(key, item): the rarest item of each key, or its prefix under rarity for sets that must overlap by `share`."""
+    ordered = keyed.join(counts, item).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("held", item))).alias("items"))
+    taken = F.lit(1) if share is None else F.size("items") - F.ceil(F.lit(share) * F.size("items") - 1e-9).cast("int") + 1
+    return ordered.select(key, F.explode(F.slice("items", F.lit(1), taken)).alias("x")).select(key, F.col(f"x.{item}").alias(item))
+
+
+def fuzzy_matches(names: DataFrame, listed: DataFrame, threshold: float = 0.4, min_length: int = 1) -> DataFrame:
+    """Debarment matches: names (entity_id, name) against a list (listed_name, source), with their distance.
+
+    Distance 0 for equal keys, 0.1 if one key contains the other, else 1 less the Jaccard similarity of the tokens.
+    Candidates are blocked without losing any: a contained key's rarest three-letter run is in the other key, and
+    token sets within the threshold share a token of their prefixes under rarity. Keys shorter than three letters
+    can be in anything; they meet the whole other side, and there are few of them.
+    """
+    left = names.select("entity_id", "name", entity_key(F.col("name")).alias("key")).where((F.length("key") >= min_length) & (F.col("key") != ""))
+    right = listed.select("listed_name", "source", entity_key(F.col("listed_name")).alias("listed_key")).where((F.length("listed_key") >= min_length) & (F.col("listed_key") != ""))
+    keys, listed_keys = left.select("key").distinct(), right.select("listed_key").distinct()
+
+    def exploded(df: DataFrame, c: str, item: str, items: Column) -> DataFrame:
+        return df.select(c, F.explode(items).alias(item))
+
+    def grams(c: str) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3)))
+        return F.array_distinct(F.filter(runs, lambda g: F.length(g) == 3))
+
+    a, b = exploded(keys, "key", "gram", grams("key")), exploded(listed_keys, "listed_key", "gram", grams("listed_key"))
+    held = a.select("gram").unionAll(b.select("gram")).groupBy("gram").agg(F.count("*").alias("held"))
+    s, t = exploded(keys, "key", "token", name_tokens(F.col("key"))), exploded(listed_keys, "listed_key", "token", name_tokens(F.col("listed_key")))
+    used = s.select("token").unionAll(t.select("token")).groupBy("token").agg(F.count("*").alias("held"))
+    met = _rarest(b, "listed_key", "gram", held).join(a, "gram").select("key", "listed_key")
+    met = met.unionAll(_rarest(a, "key", "gram", held).join(b, "gram").select("key", "listed_key"))
+    share = 1 - threshold
+    met = met.unionAll(_rarest(s, "key", "token", used, share).join(_rarest(t, "listed_key", "token", used, share), "token").select("key", "listed_key"))
+    short = F.least(F.length("key"), F.length("listed_key")) < 3
+    brief = listed_keys.join(keys, short & (F.contains(F.col("key"), F.col("listed_key")) | F.contains(F.col("listed_key"), F.col("key")))).select("key", "listed_key")
+    scored = met.unionAll(brief).distinct().withColumn("distance", name_distance(F.col("key"), F.col("listed_key"))).where(F.col("distance") <= threshold)
+    return left.join(scored, "key").join(right, "listed_key").select("entity_id", "name", "listed_name", "source", "distance")
+
+
+def flags(matches: DataFrame) -> DataFrame:
+    """entity_id with the sorted set of sources that list it."""
+    return matches.groupBy("entity_id").agg(F.sort_array(F.collect_set("source")).alias("blacklist_flags"))
