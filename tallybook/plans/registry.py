@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallybook.plans import vendors
+from tallybook.plans import vendors, wards
 
 QUERIES = {}
 ORACLES = {}
-for module in (vendors,):
+for module in (vendors, wards):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
