@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallybook.plans import vendors, wards
+from tallybook.plans import activity, texts, vendors, wards
 
 QUERIES = {}
 ORACLES = {}
-for module in (vendors, wards):
+for module in (vendors, wards, activity, texts):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
