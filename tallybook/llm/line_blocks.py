@@ -125,6 +125,8 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if name == "a":
             links += 1
+        elif name == "br":
+            out.parts.append(" ")
         elif name in MAIN:
             out.close()
             if not open_main:
