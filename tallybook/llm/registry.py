@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": op10.op10_language_id,
 }
 ORACLES = {
+    "op2_ngram_jaccard": op2.ORACLE,
     "op7_decontamination": op7.ORACLE,
     "op9_url_filters": op9.ORACLE,
 }
