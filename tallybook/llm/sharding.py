@@ -6,7 +6,8 @@ only: groups of at least 1/UNITS of all bytes are listed one by one (so at most
 summed up in classes of nearly equal size (eight to an octave), cut by a hash of the group into `parts`. Equal
 items go to a shard in runs, so the plan is a list of rank ranges for each class; Spark ranks the groups within
 the classes and joins the ranges. A group larger than a whole shard cannot be placed by any packing; it is split
-into as few near-equal pieces as shards can take.
+into as few near-equal pieces as shards can take (where only the number of shards is given, a group may exceed
+an even share by a quarter before that).
 
 Edge cases: null texts form a group of their own and empty texts another; repeated rows are rows of one group.
 An empty table gives an empty result. Other columns are not read.
@@ -25,6 +26,8 @@ from tallybook.llm.storage import written
 
 #: Groups of at least total / UNITS bytes are placed one by one.
 UNITS = 24_000
+#: With a given number of shards, a group stays whole up to so many even shares.
+WHOLE = 1.25
 #: Size classes to an octave for the smaller groups.
 STEPS = 8
 #: Each shard is numbered in so many runs of rows at least, each by one task.
@@ -75,7 +78,7 @@ def shards_of_groups(groups: DataFrame, shards: int | None = None, capacity: int
     room = capacity or max(1, math.ceil(total / shards))
     least = max(1, math.ceil(total / UNITS))
     parts = min(1024, max(16, count // 200_000))
-    big = groups.where(F.col("bytes") >= least).withColumn("pieces", F.ceil(F.col("bytes") / room).cast("int"))
+    big = groups.where(F.col("bytes") >= least).withColumn("pieces", F.ceil(F.col("bytes") / (room if capacity else room * WHOLE)).cast("int"))
     small = groups.where(F.col("bytes") < least).select(
         "key", "bytes", F.floor(F.log2("bytes") * STEPS).cast("int").alias("size_class"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")
     )
@@ -83,6 +86,9 @@ def shards_of_groups(groups: DataFrame, shards: int | None = None, capacity: int
     units = [(("big", bytes(r["key"])), r["bytes"] / r["pieces"], r["pieces"]) for r in big.collect()]
     summed = small.groupBy("size_class", "part").agg(F.count("*").alias("n"), F.avg("bytes").alias("mean")).collect()
     units += [(("small", r["size_class"], r["part"]), r["mean"], r["n"]) for r in summed]
+    if not capacity:  # what is larger than an even share takes a shard of its own; the others share the rest evenly
+        over = [size for _, size, count in units for _ in range(count) if size > room]
+        room = (total - sum(over)) / max(1, shards - len(over)) if over else room
     plan = list(best_fit_decreasing(units, room, shards))
     whole: dict[bytes, list[int]] = {}
     for unit, shard, first, last in plan:
