@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_ngram_jaccard": op2.ORACLE,
+    "op6_license_scan": op6.ORACLE,
     "op7_decontamination": op7.ORACLE,
     "op9_url_filters": op9.ORACLE,
 }
