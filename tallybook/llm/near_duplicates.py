@@ -1,17 +1,18 @@
 """Near-duplicates by n-gram Jaccard similarity: prefix filters under several global orders, then exact sets.
 
-Two documents link when 100 * |A & B| >= THRESHOLD * |A | B| for their sets of five-word shingles. Then each set has
-a prefix, its n - ceil(0.8 n) + 1 first shingles under some global order, and the two prefixes share a shingle,
-under every order there is. Candidates come from the first order (rare shingles first, by a table of counts); they
-must also share prefix shingles under ORDERS further random orders before the sets are verified. A 2048-bit map of
-each set, whose differing bits bound the sets' difference from below, sorts out candidates before any set is moved.
+Two documents link when 100 * |A & B| >= THRESHOLD * |A | B| for their sets of five-word shingles. Of two such sets
+the prefixes of n - ceil(0.8 n) + l first shingles under some global order share at least l shingles, under every
+order there is. Candidates come from the first order (rare shingles first, by a table of counts), with l growing with
+the set (`required`); they must also share prefix shingles under ORDERS further random orders before the sets are
+verified. A map of BITMAP_LONGS * 64 bits of each set, whose differing bits bound the sets' difference from below,
+sorts out candidates before any set is moved.
 
 Only components are asked for, so the pairs of a group of copies are never listed:
 1. equal sets are one node from the start (grouped by a 128-bit fingerprint; tasks emit each set once);
-2. in every bucket of a prefix shingle, neighbours by set size are tested, and links joined to components;
-3. in buckets that still hold several components, neighbours in PERMUTATIONS random orders are tested;
-4. in buckets that hold several components even then, all pairs between different components are tested, apart from
-   those tested before. This last step makes the result exact: any link between two components would be in it.
+2. in every bucket of a prefix shingle, neighbours by set size are tested, in large buckets neighbours in
+   PERMUTATIONS random orders too, and links are joined to components;
+3. in buckets that still hold several components, all pairs between different components are tested, apart from
+   those tested before. This step makes the result exact: any link between two components would be in it.
 Hot buckets are cut into salted chains whose heads form a chain of their own.
 
 Edge cases: null and blank texts have empty sets and link with nothing; fewer than five words are one shingle of
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,13 @@ ORDERS = 2
 PERMUTATIONS = 8
 #: Counters of the table that orders shingles by frequency; a fixed size, sent in BLOCKS blocks.
 COUNTERS, BLOCKS = 1 << 22, 256
-BITMAP_LONGS = 32
+BITMAP_LONGS = 8
+#: Rounds of joining links to components before the last step; too few only leave it more to test.
+LABEL_ROUNDS = 3
+#: Buckets of more postings are also chained in random orders.
+LARGE = 64
+#: Rows of a text batch worked on at once.
+ROWS = 512
 #: Postings of one shingle expected in one chain; hotter buckets are salted.
 CHAIN = 1 << 14
 _SHIFT = np.uint64(64 - 22)
@@ -56,15 +62,28 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-THRESHOLD * n // 100) + 1
+def prefix_length(n: int, shared: int = 1) -> int:
+    """So long are the prefixes of two linked sets that they share so many shingles."""
+    return n - -(-THRESHOLD * n // 100) + shared
+
+
+def required(n: int) -> int:
+    """Shared prefix shingles asked of a set of size n, one in twenty; of a pair, what the smaller set asks."""
+    return 1 + n // 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small slices, so buffers stay small beside long texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint32)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     names = ["doc_id", "n", "f1", "f2", "bits", "block", "counts"]
-    for batch in batches:
+    for batch in _parts(batches):
         ids, n, f1, f2, maps = batch.column(0), [], [], [], []
         for hashes in shingle_sets(batch.column(1)):
             np.add.at(counts, hashes >> _SHIFT, 1)
@@ -89,17 +108,21 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def frequency_classes(table: DataFrame) -> tuple[np.ndarray, float]:
     """Half-octave class of each counter above the mean, and the mean: the first global order, COUNTERS bytes."""
-
-    def add(block: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.uint16).astype(np.int64) for c in block["counts"])
-        return pd.DataFrame({"block": block["block"].iloc[:1], "total": [total.astype(np.int64).tobytes()]})
-
-    blocks = table.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, total binary")
-    counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
+    total = table.where("block IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mean = max(1.0, total / COUNTERS)
+
+    def classify(block: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(COUNTERS // BLOCKS)
+        for packed in block["counts"]:
+            counts += np.frombuffer(zlib.decompress(packed), np.uint16)
+        classes = np.clip(np.floor(2 * np.log2(np.maximum(counts, mean) / mean)), 0, 120).astype(np.uint8)
+        return pd.DataFrame({"block": block["block"].iloc[:1], "classes": [classes.tobytes()]})
+
+    blocks = table.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(classify, "block int, classes binary")
+    found = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint8)
     for row in blocks.toLocalIterator():  # BLOCKS rows
-        counts[row["block"]] = np.frombuffer(row["total"], np.int64)
-    mean = max(1.0, float(counts.mean()))
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts, mean) / mean)), 0, 120).astype(np.uint8).ravel(), mean
+        found[row["block"]] = np.frombuffer(row["classes"], np.uint8)
+    return found.ravel(), mean
 
 
 def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean: float) -> DataFrame:
@@ -109,14 +132,14 @@ def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent = shared.value, set()
-        for batch in batches:
+        for batch in _parts(batches):
             tokens, owners, sizes = [], [], []
             for doc, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 n = len(hashes)
                 if not n or (mark := _fingerprint(hashes)) in sent:
                     continue
                 sent.add(mark)
-                p = prefix_length(n)
+                p = min(n, prefix_length(n, required(n)))
                 keys = held[hashes >> _SHIFT].astype(np.uint64) << np.uint64(56) | hashes & np.uint64((1 << 56) - 1)
                 tokens.append(np.partition(keys, p - 1)[:p])
                 owners.append(np.full(p, doc))
@@ -135,8 +158,12 @@ def _compatible(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)
 
 
+def _required(n: Column, m: Column) -> Column:
+    return (F.least(n, m) / 20).cast("int") + 1
+
+
 def _pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
-    return rows.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b").distinct()
+    return rows.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b")
 
 
 def size_chains(rows: DataFrame) -> DataFrame:
@@ -146,11 +173,21 @@ def size_chains(rows: DataFrame) -> DataFrame:
     return chained.where("before IS NOT NULL OR after IS NOT NULL OR salts > 1").drop("after")
 
 
-def head_pairs(chained: DataFrame) -> DataFrame:
-    """Neighbours among the heads of a token's salted chains."""
-    w = Window.partitionBy("token").orderBy("n", "doc")
-    heads = chained.where("salts > 1 AND before IS NULL")
-    return _pairs(heads.withColumn("other", F.lag("doc").over(w)).where("other IS NOT NULL"), "doc", "other")
+def chain_pairs(chained: DataFrame) -> DataFrame:
+    """Neighbours by size that are so in at least half as many buckets as linked sets have to share."""
+    near = chained.where(F.col("before").isNotNull() & _compatible(F.col("n"), F.col("before_n")))
+    counted = near.withColumn("asked", _required(F.col("n"), F.col("before_n"))).groupBy("doc", "before").agg(F.count("*").alias("met"), F.max("asked").alias("asked"))
+    heads = chained.where("salts > 1 AND before IS NULL").withColumn("other", F.lag("doc").over(Window.partitionBy("token").orderBy("n", "doc")))
+    return _pairs(counted.where("2 * met >= asked"), "doc", "before").unionAll(_pairs(heads.where("other IS NOT NULL"), "doc", "other"))
+
+
+def shuffled_pairs(live: DataFrame) -> DataFrame:
+    """Neighbours in one of PERMUTATIONS random orders of each large bucket."""
+    large = live.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > LARGE)
+    order, salt = F.xxhash64("doc", F.pmod("token", F.lit(PERMUTATIONS))), F.pmod(F.xxhash64("doc"), F.ceil(F.col("held") / CHAIN))
+    w = Window.partitionBy("token", salt).orderBy(order, "doc")
+    neighbours = live.join(large, "token").withColumns({"other": F.lag("doc").over(w), "other_n": F.lag("n").over(w)})
+    return _pairs(neighbours.where(F.col("other").isNotNull() & _compatible(F.col("n"), F.col("other_n"))), "doc", "other")
 
 
 def _shares(a: np.ndarray, b: np.ndarray) -> bool:
@@ -181,11 +218,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            packed = pa.array([h.tobytes() for h in shingle_sets(part.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), packed], names=["doc", "hashes"])
+    for part in _parts(batches):
+        packed = pa.array([h.tobytes() for h in shingle_sets(part.column(1))], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), packed], names=["doc", "hashes"])
 
 
 def links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -210,15 +245,6 @@ def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
     return written(labelled.join(mixed, "token"))
 
 
-def shuffled_pairs(mixed: DataFrame) -> DataFrame:
-    """Neighbours of different components in one of PERMUTATIONS random orders of each bucket."""
-    order = F.xxhash64("doc", F.pmod("token", F.lit(PERMUTATIONS)))
-    salt = F.pmod(F.xxhash64("doc"), F.lit(16))
-    w = Window.partitionBy("token", salt).orderBy(order, "doc")
-    neighbours = mixed.withColumns({"other": F.lag("doc").over(w), "other_n": F.lag("n").over(w), "other_label": F.lag("label").over(w)})
-    return _pairs(neighbours.where((F.col("label") != F.col("other_label")) & _compatible(F.col("n"), F.col("other_n"))), "doc", "other")
-
-
 def crossing_pairs(mixed: DataFrame) -> DataFrame:
     """All pairs between different components of a bucket: those outside its largest component against everything."""
     sizes = mixed.groupBy("token", "label").agg(F.count("*").alias("held"))
@@ -226,7 +252,9 @@ def crossing_pairs(mixed: DataFrame) -> DataFrame:
     told = mixed.join(main, "token")
     small = told.where("label <> main").select("token", F.col("doc").alias("doc_s"), F.col("n").alias("n_s"), F.col("label").alias("label_s"))
     apart = (F.col("label") != F.col("label_s")) & ((F.col("label") == F.col("main")) | (F.col("doc_s") < F.col("doc")))
-    return _pairs(small.join(told, "token").where(apart & _compatible(F.col("n"), F.col("n_s"))), "doc_s", "doc")
+    crossing = small.join(told, "token").where(apart & _compatible(F.col("n"), F.col("n_s")))
+    either = crossing.select(F.least("doc_s", "doc").alias("a"), F.greatest("doc_s", "doc").alias("b"), _required(F.col("n"), F.col("n_s")).alias("asked"))
+    return either.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("asked").alias("asked")).where("met >= asked").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,20 +265,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     chained = written(size_chains(postings(docs, doc_id, text, classes, mean)))
     live = chained.select("token", "doc", "n")
 
-    chain = _pairs(chained.where(F.col("before").isNotNull() & _compatible(F.col("n"), F.col("before_n"))), "doc", "before")
-    tested = [written(chain.unionAll(head_pairs(chained)).distinct())]
-    linked = [links(tested[0], docs, nodes, doc_id, text)]
-    mixed = _labelled(live, components(linked[0]))
-    tested.append(written(shuffled_pairs(mixed).join(tested[0], ["a", "b"], "left_anti")))
-    linked.append(links(tested[1], docs, nodes, doc_id, text))
-    mixed = _labelled(live, components(linked[0].unionAll(linked[1])))
-    before = tested[0].unionAll(tested[1])
-    linked.append(links(written(crossing_pairs(mixed).join(before, ["a", "b"], "left_anti")), docs, nodes, doc_id, text))
+    tested = written(chain_pairs(chained).unionAll(shuffled_pairs(live)).distinct())
+    first = links(tested, docs, nodes, doc_id, text)
+    mixed = _labelled(live, components(first, rounds=LABEL_ROUNDS))
+    crossing = written(crossing_pairs(mixed).join(tested, ["a", "b"], "left_anti"))
+    edges = first.unionAll(links(crossing, docs, nodes, doc_id, text))
 
     sets = nodes.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     sets = written(sets)
     of_doc = nodes.select("doc_id", "f1", "f2")
-    edges = reduce(DataFrame.unionAll, linked)
     ends = written(edges.select("a").unionAll(edges.select("b")).distinct().withColumnRenamed("a", "doc_id").join(of_doc, "doc_id").join(sets, ["f1", "f2"]).select("doc_id", "first"))
     between = edges.join(ends.select(F.col("doc_id").alias("a"), F.col("first").alias("first_a")), "a").join(ends.select(F.col("doc_id").alias("b"), F.col("first").alias("first_b")), "b")
     found = components(between, "first_a", "first_b")
