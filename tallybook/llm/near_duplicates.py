@@ -3,14 +3,15 @@
 Two documents link when 100 * |A & B| >= THRESHOLD * |A | B| for their sets of five-word shingles. Of two such sets
 the prefixes of n - ceil(0.8 n) + l first shingles under some global order share at least l shingles, under every
 order there is. Candidates come from the first order (rare shingles first, by a table of counts), with l growing with
-the set (`required`); they must also share prefix shingles under ORDERS further random orders before the sets are
+the set (`required`) and the places in the order bounding what can still be shared (`_early`); they must also share prefix shingles under ORDERS further random orders before the sets are
 verified. A map of BITMAP_LONGS * 64 bits of each set, whose differing bits bound the sets' difference from below,
 sorts out candidates before any set is moved.
 
 Only components are asked for, so the pairs of a group of copies are never listed:
 1. equal sets are one node from the start (grouped by a 128-bit fingerprint; tasks emit each set once);
-2. in every bucket of a prefix shingle, neighbours by set size are tested, in large buckets neighbours in
-   PERMUTATIONS random orders too, and links are joined to components;
+2. in every bucket of a prefix shingle, neighbours by set size are tested, and every member against the bucket's
+   leader (see `leader_pairs`), in large buckets neighbours in PERMUTATIONS random orders too, and links are joined
+   to components;
 3. in buckets that still hold several components, all pairs between different components are tested, apart from
    those tested before. This step makes the result exact: any link between two components would be in it.
 Hot buckets are cut into salted chains whose heads form a chain of their own.
@@ -41,6 +42,8 @@ PERMUTATIONS = 8
 #: Counters of the table that orders shingles by frequency; a fixed size, sent in BLOCKS blocks.
 COUNTERS, BLOCKS = 1 << 22, 256
 BITMAP_LONGS = 8
+#: Classes of shingles by count that lie around the mean of the counters, each a quarter of the counters' spread.
+LINEAR = 64
 #: Rounds of joining links to components before the last step; too few only leave it more to test.
 LABEL_ROUNDS = 3
 #: Buckets of more postings are also chained in random orders.
@@ -106,34 +109,51 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return written(docs.select(doc_id, text).mapInArrow(_described, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bits array<bigint>, block int, counts binary"))
 
 
+def _spread(mean: float) -> float:
+    """How much a counter of single shingles strays from the mean."""
+    return max(1.0, mean**0.5)
+
+
+def count_class(counts: np.ndarray, mean: float) -> np.ndarray:
+    """Quarters of the spread up to LINEAR classes, half octaves above: a shingle's class in the first global order."""
+    spread = _spread(mean)
+    fine = np.clip(np.floor((counts - mean) / spread * 4) + LINEAR // 2, 0, LINEAR)
+    return np.where(fine < LINEAR, fine, np.clip(LINEAR + np.floor(2 * np.log2(np.maximum(counts, 1) / (mean + LINEAR / 8 * spread))), LINEAR, 120)).astype(np.uint8)
+
+
+def class_count(mean: float) -> np.ndarray:
+    """The largest count of each class."""
+    classes, spread = np.arange(121), _spread(mean)
+    return np.where(classes < LINEAR, mean + (classes + 1 - LINEAR // 2) * spread / 4, (mean + LINEAR / 8 * spread) * 2 ** ((classes + 1 - LINEAR) / 2))
+
+
 def frequency_classes(table: DataFrame) -> tuple[np.ndarray, float]:
-    """Half-octave class of each counter above the mean, and the mean: the first global order, COUNTERS bytes."""
+    """The class of each counter, COUNTERS bytes, and the mean count."""
     total = table.where("block IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    mean = max(1.0, total / COUNTERS)
+    mean = total / COUNTERS
 
     def classify(block: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros(COUNTERS // BLOCKS)
         for packed in block["counts"]:
             counts += np.frombuffer(zlib.decompress(packed), np.uint16)
-        classes = np.clip(np.floor(2 * np.log2(np.maximum(counts, mean) / mean)), 0, 120).astype(np.uint8)
-        return pd.DataFrame({"block": block["block"].iloc[:1], "classes": [classes.tobytes()]})
+        return pd.DataFrame({"block": block["block"].iloc[:1], "classes": [count_class(counts, mean).tobytes()]})
 
     blocks = table.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(classify, "block int, classes binary")
     found = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint8)
-    for row in blocks.toLocalIterator():  # BLOCKS rows
+    for row in blocks.collect():  # BLOCKS rows, COUNTERS bytes
         found[row["block"]] = np.frombuffer(row["classes"], np.uint8)
     return found.ravel(), mean
 
 
 def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean: float) -> DataFrame:
-    """token, salt, salts, doc, n: the prefix of every different set under the first order; a task sends equal sets once."""
+    """token, salt, salts, doc, n, pos: the prefix of every different set under the first order; a task sends equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
-    salts_of = np.maximum(1, mean * 2 ** ((np.arange(121) + 1) / 2) / CHAIN).astype(np.int64)
+    salts_of = np.maximum(1, (class_count(mean) - mean) / CHAIN).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent = shared.value, set()
         for batch in _parts(batches):
-            tokens, owners, sizes = [], [], []
+            tokens, owners, sizes, places = [], [], [], []
             for doc, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 n = len(hashes)
                 if not n or (mark := _fingerprint(hashes)) in sent:
@@ -141,17 +161,18 @@ def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean:
                 sent.add(mark)
                 p = min(n, prefix_length(n, required(n)))
                 keys = held[hashes >> _SHIFT].astype(np.uint64) << np.uint64(56) | hashes & np.uint64((1 << 56) - 1)
-                tokens.append(np.partition(keys, p - 1)[:p])
+                tokens.append(np.sort(np.partition(keys, p - 1)[:p]))
+                places.append(np.arange(p, dtype=np.int32))
                 owners.append(np.full(p, doc))
                 sizes.append(np.full(p, n))
             if tokens:
                 token, owner = np.concatenate(tokens), np.concatenate(owners)
                 salts = salts_of[(token >> np.uint64(56)).astype(np.int64)]
                 salt = (mix(owner.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
-                columns = [token.view(np.int64), salt, salts.astype(np.int32), owner, np.concatenate(sizes).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "salts", "doc", "n"])
+                columns = [token.view(np.int64), salt, salts.astype(np.int32), owner, np.concatenate(sizes).astype(np.int32), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "salts", "doc", "n", "pos"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "token bigint, salt int, salts int, doc bigint, n int")
+    return docs.select(doc_id, text).mapInArrow(run, "token bigint, salt int, salts int, doc bigint, n int, pos int")
 
 
 def _compatible(n: Column, m: Column) -> Column:
@@ -162,6 +183,16 @@ def _required(n: Column, m: Column) -> Column:
     return (F.least(n, m) / 20).cast("int") + 1
 
 
+def _early(n: Column, pos: Column, m: Column, place: Column) -> Column:
+    """Whether a shared shingle can be among the first that two linked sets share, by its places in the order.
+
+    Linked sets of sizes n and m share o shingles at least, so the first l of them stand at n - o + l - 1 or before.
+    """
+    shared = ((THRESHOLD * (n + m) + 99 + THRESHOLD) / (100 + THRESHOLD)).cast("int")
+    slack = _required(n, m) - 1 - shared
+    return _compatible(n, m) & (pos <= n + slack) & (place <= m + slack)
+
+
 def _pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
     return rows.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b")
 
@@ -169,25 +200,39 @@ def _pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
 def size_chains(rows: DataFrame) -> DataFrame:
     """Postings of shared tokens, each with its predecessor by set size in its (salted) bucket."""
     w = Window.partitionBy("token", "salt").orderBy("n", "doc")
-    chained = rows.withColumns({"before": F.lag("doc").over(w), "before_n": F.lag("n").over(w), "after": F.lead("doc").over(w)})
+    chained = rows.withColumns({"before": F.lag("doc").over(w), "before_n": F.lag("n").over(w), "before_pos": F.lag("pos").over(w), "after": F.lead("doc").over(w)})
     return chained.where("before IS NOT NULL OR after IS NOT NULL OR salts > 1").drop("after")
 
 
 def chain_pairs(chained: DataFrame) -> DataFrame:
     """Neighbours by size that are so in at least half as many buckets as linked sets have to share."""
-    near = chained.where(F.col("before").isNotNull() & _compatible(F.col("n"), F.col("before_n")))
+    near = chained.where(F.col("before").isNotNull() & _early(F.col("n"), F.col("pos"), F.col("before_n"), F.col("before_pos")))
     counted = near.withColumn("asked", _required(F.col("n"), F.col("before_n"))).groupBy("doc", "before").agg(F.count("*").alias("met"), F.max("asked").alias("asked"))
     heads = chained.where("salts > 1 AND before IS NULL").withColumn("other", F.lag("doc").over(Window.partitionBy("token").orderBy("n", "doc")))
     return _pairs(counted.where("2 * met >= asked"), "doc", "before").unionAll(_pairs(heads.where("other IS NOT NULL"), "doc", "other"))
 
 
+def leader_pairs(live: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's leader, the document with the largest share of its prefix in shared buckets.
+
+    Copies that differ from their original in different places may link with it alone; it has no shingles of its own.
+    """
+    share = live.groupBy("doc").agg((F.count("*") / F.first("n")).alias("share"))
+    owned = live.join(share, "doc")
+    leaders = owned.groupBy("token").agg(F.max_by(F.struct("doc", "n", "pos"), F.struct("share", -F.col("doc"))).alias("leader"), F.count("*").alias("held"))
+    led = live.join(leaders.where("held > 2").select("token", F.col("leader.doc").alias("other"), F.col("leader.n").alias("other_n"), F.col("leader.pos").alias("other_pos")), "token")
+    near = led.where((F.col("doc") != F.col("other")) & _early(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))).withColumn("asked", _required(F.col("n"), F.col("other_n")))
+    counted = near.groupBy("doc", "other").agg(F.count("*").alias("met"), F.max("asked").alias("asked"))
+    return _pairs(counted.where("2 * met >= asked"), "doc", "other")
+
+
 def shuffled_pairs(live: DataFrame) -> DataFrame:
     """Neighbours in one of PERMUTATIONS random orders of each large bucket."""
     large = live.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > LARGE)
     order, salt = F.xxhash64("doc", F.pmod("token", F.lit(PERMUTATIONS))), F.pmod(F.xxhash64("doc"), F.ceil(F.col("held") / CHAIN))
     w = Window.partitionBy("token", salt).orderBy(order, "doc")
-    neighbours = live.join(large, "token").withColumns({"other": F.lag("doc").over(w), "other_n": F.lag("n").over(w)})
-    return _pairs(neighbours.where(F.col("other").isNotNull() & _compatible(F.col("n"), F.col("other_n"))), "doc", "other")
+    neighbours = live.join(large, "token").withColumns({"other": F.lag("doc").over(w), "other_n": F.lag("n").over(w), "other_pos": F.lag("pos").over(w)})
+    return _pairs(neighbours.where(F.col("other").isNotNull() & _early(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))), "doc", "other")
 
 
 def _shares(a: np.ndarray, b: np.ndarray) -> bool:
@@ -240,7 +285,7 @@ def links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text
 
 def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
     """Postings of buckets that hold several components, with the component of each."""
-    labelled = live.join(found, live["doc"] == found["node"], "left").select("token", "doc", "n", F.coalesce("root", "doc").alias("label"))
+    labelled = live.join(found, live["doc"] == found["node"], "left").select("token", "doc", "n", "pos", F.coalesce("root", "doc").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     return written(labelled.join(mixed, "token"))
 
@@ -250,9 +295,9 @@ def crossing_pairs(mixed: DataFrame) -> DataFrame:
     sizes = mixed.groupBy("token", "label").agg(F.count("*").alias("held"))
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
     told = mixed.join(main, "token")
-    small = told.where("label <> main").select("token", F.col("doc").alias("doc_s"), F.col("n").alias("n_s"), F.col("label").alias("label_s"))
+    small = told.where("label <> main").select("token", F.col("doc").alias("doc_s"), F.col("n").alias("n_s"), F.col("pos").alias("pos_s"), F.col("label").alias("label_s"))
     apart = (F.col("label") != F.col("label_s")) & ((F.col("label") == F.col("main")) | (F.col("doc_s") < F.col("doc")))
-    crossing = small.join(told, "token").where(apart & _compatible(F.col("n"), F.col("n_s")))
+    crossing = small.join(told, "token").where(apart & _early(F.col("n"), F.col("pos"), F.col("n_s"), F.col("pos_s")))
     either = crossing.select(F.least("doc_s", "doc").alias("a"), F.greatest("doc_s", "doc").alias("b"), _required(F.col("n"), F.col("n_s")).alias("asked"))
     return either.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("asked").alias("asked")).where("met >= asked").select("a", "b")
 
@@ -263,9 +308,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = table.where("block IS NULL").select("doc_id", "n", "f1", "f2", "bits")
     classes, mean = frequency_classes(table)
     chained = written(size_chains(postings(docs, doc_id, text, classes, mean)))
-    live = chained.select("token", "doc", "n")
+    live = chained.select("token", "doc", "n", "pos")
 
-    tested = written(chain_pairs(chained).unionAll(shuffled_pairs(live)).distinct())
+    tested = written(chain_pairs(chained).unionAll(leader_pairs(live)).unionAll(shuffled_pairs(live)).distinct())
     first = links(tested, docs, nodes, doc_id, text)
     mixed = _labelled(live, components(first, rounds=LABEL_ROUNDS))
     crossing = written(crossing_pairs(mixed).join(tested, ["a", "b"], "left_anti"))
