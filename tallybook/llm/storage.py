@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: A side of a join is broadcast only while it has at most so many rows (of a few long columns each).
 BROADCAST_ROWS = 1_000_000
 
+_own: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`; a temporary one where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="spark-")
+        folder = _own[application]
     return folder.rstrip("/")
 
 
