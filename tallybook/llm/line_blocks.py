@@ -38,11 +38,12 @@ ENDED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
 MARKED = re.compile(
     r"(?<![a-z])(ads?|adverts?|advertisements?|adsense|banners?|sponsor(ed|s)?|promo(tion)?s?|side-?bars?|comments?|replies|disqus|respond|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|"
-    r"nav(bar|igation)?|menus?|bread-?crumbs?|footers?|masthead|site-?header|page-?header|social|share|sharing|related|recommend(ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|skip-?link)(?![a-z])"
+    r"nav(bar|igation)?|menus?|bread-?crumbs?|footers?|masthead|site-?header|page-?header|social|share|sharing|related|recommend(ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|skip-?link|complementary|contentinfo)(?![a-z])"
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|$)", re.DOTALL)
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
 
@@ -114,7 +115,7 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             continue
         names = " ".join(_NAMES.findall(token[3])).lower()
         marked = bool(names) and name not in ("html", "body", *MAIN) and MARKED.search(names) or name in MAIN and re.search(r"comment|reply|related|promo|(?<![a-z])ads?(?![a-z])", names)
-        if marked or name in APART and not (name == "header" and open_main):
+        if marked or _HIDDEN.search(token[3]) or name in APART and not (name == "header" and open_main):
             if name in VOID or token[3].rstrip().endswith("/"):
                 continue
             if not open_main:

@@ -117,6 +117,7 @@ def test_main_text_without_article():
     assert line_blocks.main_text(page) == "\n".join(f"Paragraph {k} of the story, long enough to count as text of an article." for k in range(4))
     assert [line_blocks.main_text(p) for p in (None, "", "<nav>a</nav>", "<p>", "<article>", "<!-- x")] == [""] * 6
     assert line_blocks.main_text("<p>short</p>") == "short"
+    assert line_blocks.main_text('<main><p>a</p><div hidden>b</div><p style="display: none">c<p>d</p><div role=contentinfo>e</div></main>') == "a\nd"
     assert line_blocks.main_text("<article><p>cut off in mid <b") == "cut off in mid"
 
 
