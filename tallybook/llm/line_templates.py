@@ -10,6 +10,13 @@ and the line after) and in at least one for every two different texts that hold
 whole documents are copies keep their surroundings, so copied documents stay whole for near-duplicate removal.
 All lines of a recurring template are dropped, in every document.
 
+Passages of several lines have the same neighbours everywhere, so surroundings are also taken of whole runs: lines
+that stand in MIN_TEXTS different texts, blank lines between them skipped, and what is before and after the run. A text
+tells of a run only if it is a document of its own: at least OWN_TEXT of its words are in other lines than those, and
+so are OWN_LINES of its lines outside the run, or OWN_WORDS of its words there if it has but one more run. Near copies
+share what is outside too and tell nothing, so they neither make lines recur nor outvote the documents that do;
+MIN_CONTEXTS such surroundings are enough.
+
 Leaves are narrowed down by a table of LEAF_COUNTERS counters (a fixed size); a collision there only lets more lines
 through to the exact counts. Exact counts are grouped sums with partial aggregation, so a hot line costs a few rows per
 task.
@@ -27,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.batches import map_rows
@@ -37,6 +44,9 @@ LEADING = 3
 MIN_TEXTS = 5
 MIN_CONTEXTS = 5
 CONSTANT = 0.8
+OWN_TEXT = 0.2
+OWN_LINES = 0.8
+OWN_WORDS = 0.5
 LEAF_COUNTERS = 1 << 22
 #: Lines whose fields a task remembers having sent; others are sent again, and once is enough.
 REMEMBERED = 100_000
@@ -77,9 +87,12 @@ def frequent_leaves(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, line_no, line, context, whole, keys: lines of frequent leaves; keys (fields) the first time a task meets a line."""
+    """Lines of frequent leaves; keys (fields) the first time a task meets a line.
+
+    `place`, `before` and `after` leave blank lines out; `words` are the line's, `total` and `places` the text's.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(frequent_leaves(docs, text))
-    arrow = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("context", pa.int64()), ("whole", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("context", pa.int64()), ("whole", pa.int64()), ("place", pa.int32()), ("before", pa.int64()), ("after", pa.int64()), ("words", pa.int32()), ("total", pa.int32()), ("places", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent = bits.value, set()
@@ -89,29 +102,49 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if not whole:
                     continue
                 lines = whole.split("\n")
-                hashes, of_text = None, None
+                hashes, of_text, place = None, None, -1
                 for k, line in enumerate(lines):
                     if not (tokens := line.split()):
                         continue
+                    place += 1
                     leaf = leaf_of(tokens)
                     at = leaf % LEAF_COUNTERS
                     if not held[at >> 3] >> (7 - (at & 7)) & 1:
                         continue
                     if hashes is None:
-                        hashes, of_text = [0, *map(_hash, lines), 0], _signed(_hash(whole))
+                        hashes, of_text, total = [0, *map(_hash, lines), 0], _signed(_hash(whole)), len(whole.split())
+                        filled = [0, *(_signed(h) for h, x in zip(hashes[1:], lines) if x.strip()), 0]
                     own = _signed(hashes[k + 1])
                     context = _signed(_hash(f"{hashes[k]} {hashes[k + 2]}"))
                     if fresh := own not in sent:
                         if len(sent) < REMEMBERED:
                             sent.add(own)
-                    rows.append((key, k, own, context, of_text, field_keys(leaf, tokens) if fresh else None))
+                    rows.append((key, k, own, context, of_text, place, filled[place], filled[place + 2], len(tokens), total, len(filled) - 2, field_keys(leaf, tokens) if fresh else None))
                     if len(rows) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
                         rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id bigint, line_no int, line bigint, context bigint, whole bigint, keys array<bigint>")
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id bigint, line_no int, line bigint, context bigint, whole bigint, place int, before bigint, after bigint, words int, total int, places int, keys array<bigint>")
+
+
+def run_surroundings(seen: DataFrame) -> DataFrame:
+    """line, surroundings: how many different ones the runs that hold a line have in documents of their own."""
+    shared = seen.groupBy("line", "whole").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS).select("line")
+    lines = seen.join(shared, "line").groupBy("whole", "place").agg(*(F.any_value(c).alias(c) for c in ("line", "before", "after", "words", "total", "places")))
+    of_text = Window.partitionBy("whole")
+    runs = (
+        lines.withColumns({"run": F.col("place") - F.row_number().over(of_text.orderBy("place")), "shared": F.sum("words").over(of_text), "held": F.count("*").over(of_text)})
+        .groupBy("whole", "run", "total", "places", "shared", "held")
+        .agg(F.min_by("before", "place").alias("before"), F.max_by("after", "place").alias("after"), F.sum("words").alias("words"), F.count("*").alias("length"), F.collect_set("line").alias("lines"))
+        .withColumn("runs", F.count("*").over(of_text))
+    )
+    own, own_lines = F.col("total") - F.col("shared"), F.col("places") - F.col("held")
+    few = (F.col("runs") <= 2) & (own >= (F.col("total") - F.col("words")) * OWN_WORDS)
+    told = runs.where((own >= F.col("total") * OWN_TEXT) & ((own_lines >= (F.col("places") - F.col("length")) * OWN_LINES) | few))
+    once = told.select("whole", F.xxhash64("before", "after").alias("around"), F.explode("lines").alias("line")).groupBy("line", "whole").agg(F.min("around").alias("around"))
+    return once.groupBy("line", "around").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("surroundings"))
 
 
 def recurring_lines(seen: DataFrame) -> DataFrame:
@@ -122,17 +155,18 @@ def recurring_lines(seen: DataFrame) -> DataFrame:
         .groupBy("line").agg(F.sum("texts").alias("texts"), F.count("*").alias("contexts"))
     )
     fields = seen.where("keys IS NOT NULL").groupBy("line").agg(F.any_value("keys").alias("keys"))
-    lines = written(fields.join(counts, "line"))
+    lines = written(fields.join(counts, "line").join(run_surroundings(seen), "line", "left").fillna(0, ["surroundings"]))
     keys = lines.select("line", "texts", F.explode("keys").alias("key")).where("key <> 0")
     constant = keys.groupBy("key").agg(F.sum("texts").alias("held")).where(F.col("held") >= MIN_TEXTS).select("key")
     parsed = keys.join(constant, "key").groupBy("line").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("key")).alias("fields"))
     templates = written(
-        lines.select("line", "texts", "contexts", F.size("keys").alias("tokens"))
+        lines.select("line", "texts", "contexts", "surroundings", F.size("keys").alias("tokens"))
         .join(parsed, "line")
         .where(F.col("constants") >= F.col("tokens") * CONSTANT)
-        .select("line", "texts", "contexts", F.xxhash64("tokens", "fields").alias("template"))
+        .select("line", "texts", "contexts", "surroundings", F.xxhash64("tokens", "fields").alias("template"))
     )
-    recurring = templates.groupBy("template").agg(F.sum("texts").alias("texts"), F.sum("contexts").alias("contexts")).where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") * 2 >= F.col("texts")))
+    sums = templates.groupBy("template").agg(*(F.sum(c).alias(c) for c in ("texts", "contexts", "surroundings")))
+    recurring = sums.where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") * 2 >= F.col("texts")) | (F.col("surroundings") >= MIN_CONTEXTS))
     return templates.join(recurring.select("template"), "template").select("line")
 
 

@@ -101,6 +101,33 @@ def test_line_templates(spark):
     assert line_templates.drop_recurring_lines(docs_of(spark, ["x"]).where("false")).count() == 0
 
 
+def test_line_templates_passages(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = lambda: " ".join(word() for _ in range(12))
+    notice, passage = own(), [own() for _ in range(5)]
+    texts = ["\n\n".join([own(), notice, own(), own()]) for _ in range(12)] + ["\n".join([own(), *passage, own(), own()]) for _ in range(12)]
+    copied = [own() for _ in range(12)]
+    for k in range(12):  # near copies: nothing of them goes
+        texts.append("\n".join([*copied[:k], own(), *copied[k + 1 :]]))
+    got = {r["doc_id"]: r["dropped"] for r in line_templates.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(36)] == [[2]] * 12 + [[1, 2, 3, 4, 5]] * 12 + [[]] * 12
+
+
+def test_line_templates_copy_group(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = lambda: " ".join(word() for _ in range(12))
+    notice = own()
+    texts = [f"{own()}\n{notice}\n{own()}" for _ in range(10)]
+    copied = [own(), own(), own(), notice, *(own() for _ in range(8))]
+    for k in range(60):
+        at = (0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11)[k % 11]
+        texts.append("\n".join([*copied[:at], own(), *copied[at + 1 :]]))
+    got = {r["doc_id"]: r["dropped"] for r in line_templates.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(70)] == [[1]] * 10 + [[3]] * 60
+
+
 def test_packing(spark, texts):
     docs = docs_of(spark, [*texts, "long " * 500, "long " * 500])
     rows = best_fit_packing.pack_documents(docs, 1000).collect()
