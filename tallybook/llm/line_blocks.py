@@ -3,9 +3,10 @@
 A page is cut into lines at block-level tags. Markup that never holds an article (scripts, menus, footers, forms,
 and elements whose class or id says advert, sidebar, comments and the like) leaves an empty line, so it shows as a
 gap. Each line has its text length without link text; lengths are summed over a window of WINDOW lines. The text
-starts where the sum surges past a threshold and ends where it dives to zero; all lines between are kept. Within an
-`article` or `main` element the window runs over its lines alone and any text surges; elsewhere the threshold is
-SURGE characters, lower for short pages, and the span with the most text wins.
+starts where the sum surges past a threshold and ends where it dives to zero; all lines between are kept. An
+`article` or `main` element is kept whole, lines of links included; elsewhere the threshold is SURGE characters, lower
+for short pages, and the span with the most text wins. Spans that only skipped markup parts are one, if it stands in
+the same container and is no part of the page's frame (FRAME).
 
 Edge cases: null and empty pages, and pages without text, give an empty text. Broken markup (unclosed elements, a
 page cut off in mid-tag) is read as far as it goes. Rows are read one by one, whole pages.
@@ -28,6 +29,8 @@ SURGE = 86
 # Elements by their part in a page.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "object", "canvas", "title"}
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "header"}
+FRAME = {"nav", "footer", "header", "menu", "head"}
+CONTAINERS = {"div", "section"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav",
@@ -48,25 +51,38 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines:
-    """Lines of a page: (text, characters outside links, region); region numbers the article a line is in, 0: none."""
+    """Lines of a page: (text, characters outside links, region, joined).
+
+    `region` numbers the article a line is in, 0: none; a `joined` line goes on after markup skipped in its container.
+    """
 
     def __init__(self):
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.linked, self.region = 0, 0
+        self.level, self.low, self.last, self.parted, self.framed = 0, 0, 0, False, True
 
     def close(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, max(0, len(text) - self.linked), self.region))
+            joined = self.parted and not self.framed and (self.low > 0 or self.low >= self.last)
+            self.lines.append((text, max(0, len(text) - self.linked), self.region, joined))
+            self.low = self.last = self.level
+            self.parted = self.framed = False
         self.parts, self.linked = [], 0
 
-    def gap(self) -> None:
+    def nest(self, step: int) -> None:
+        self.level = max(0, self.level + step)
+        self.low = min(self.low, self.level)
+
+    def gap(self, name: str) -> None:
         self.close()
-        self.lines.extend([("", 0, self.region)] * WINDOW)
+        self.parted = True
+        self.framed |= name in FRAME
+        self.lines.extend([("", 0, self.region, False)] * WINDOW)
 
 
-def page_lines(page: str) -> list[tuple[str, int, int]]:
+def page_lines(page: str) -> list[tuple[str, int, int, bool]]:
     """The lines of a page; empty ones stand for markup that holds no article text."""
     out, at, skipping, depth, links, open_main, regions, raw = _Lines(), 0, None, 0, 0, [], 0, None
 
@@ -108,6 +124,8 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 out.region = out.region if open_main else 0
             elif name in BLOCKS:
                 out.close()
+                if name in CONTAINERS:
+                    out.nest(-1)
             continue
         if name in RAW:
             if not token[3].rstrip().endswith("/"):
@@ -119,7 +137,7 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             if name in VOID or token[3].rstrip().endswith("/"):
                 continue
             if not open_main:
-                out.gap()
+                out.gap(name)
             elif name in BLOCKS:
                 out.close()
             skipping, depth = name, 1
@@ -137,6 +155,8 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
         elif name in BLOCKS:
             out.close()
             links = 0
+            if name in CONTAINERS:
+                out.nest(1)
     if not raw:
         text(page[at:])
     out.close()
@@ -147,28 +167,35 @@ def main_text(page: str | None) -> str:
     """The main text of a page: its lines between surge and dive, joined by newlines."""
     lines = page_lines(page or "")
     totals: dict[int, int] = {}
-    for _, length, region in lines:
+    for _, length, region, _ in lines:
         totals[region] = totals.get(region, 0) + length
     chosen = max((r for r in totals if r), key=lambda r: (totals[r], -r), default=0)
     if chosen and totals[chosen]:
-        lines, surge = [x for x in lines if x[2] == chosen], 1
-    else:
-        surge = SURGE
-    lengths = [length for _, length, _ in lines] + [0] * WINDOW
+        return "\n".join(x[0] for x in lines if x[2] == chosen and x[0])
+    lengths = [x[1] for x in lines] + [0] * WINDOW
     sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lines))]
-    surge = min(surge, max(sums, default=0))
+    surge = min(SURGE, max(sums, default=0))
     spans, begin = [], None
     for k, total in enumerate(sums):
-        if begin is None and total >= max(1, surge) and lengths[k]:
+        if begin is None and lengths[k] and (total >= max(1, surge) or spans and lines[k][3] and not any(x[0] for x in lines[spans[-1][1] : k])):
             begin = k
         elif begin is not None and total == 0:
             spans.append((begin, k))
             begin = None
     if begin is not None:
         spans.append((begin, len(lines)))
-    if surge > 1 and spans:  # no article element: the span with the most text
-        spans = [max(spans, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))]
-    return "\n".join(lines[k][0] for a, b in spans for k in range(a, b) if lines[k][0])
+    merged: list[tuple[int, int]] = []
+    for begin, end in spans:
+        if merged and lines[begin][3] and not any(x[0] for x in lines[merged[-1][1] : begin]):
+            begin = merged.pop()[0]
+        merged.append((begin, end))
+    begin, end = max(merged, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]), default=(0, 0))
+    while begin < end and lines[begin][3]:  # short lines before skipped markup of the same container
+        last = next((k for k in range(begin - 1, -1, -1) if lines[k][0]), -1)
+        if last < 0 or not lengths[last]:
+            break
+        begin = next((k + 1 for k in range(last, -1, -1) if not lengths[k]), 0)
+    return "\n".join(x[0] for x in lines[begin:end] if x[0])
 
 
 def _row(page_id: int, url: str | None, page: str | None) -> Iterator[tuple]:

@@ -121,6 +121,20 @@ def test_main_text_without_article():
     assert line_blocks.main_text("<article><p>cut off in mid <b") == "cut off in mid"
 
 
+def test_main_text_between_skipped_markup():
+    a, b, c = (f"Paragraph {x} of the story, long enough to count as text of an article by itself, whatever stands beside it." for x in "ABC")
+    page = f"<body><nav><p>{a}</p></nav><div id=content><p>{a}</p><div class=ad>Buy</div><p>{b}</p><aside>Side</aside><div><p>{c}</p></div></div><footer>x</footer><p>{a[:90]}</p></body>"
+    assert line_blocks.main_text(page) == f"{a}\n{b}\n{c}"
+    ad = "<div class=ad>Buy</div>"
+    assert line_blocks.main_text(f"<div id=content><p>Lead.</p>{ad}<p>{a}</p>{ad}<p>{b}</p>{ad}<p>End.</p></div>") == f"Lead.\n{a}\n{b}\nEnd."
+
+
+def test_main_text_of_links_in_article():
+    links = "".join(f"<p><a href=/{k}>Link {k}</a></p>" for k in range(4))
+    page = f"<article><h1><a href=/>Linked title</a></h1><p>Text.</p>{links}<p>More.</p><p><a href=/z>Last</a></p></article>"
+    assert line_blocks.main_text(page) == "Linked title\nText.\nLink 0\nLink 1\nLink 2\nLink 3\nMore.\nLast"
+
+
 def test_main_text_of_pages(spark, sf_dir):
     import html
 
