@@ -1,13 +1,15 @@
 """HTML extraction: main text by line-block distribution.
 
 A page is cut into lines at block-level tags. Markup that never holds an article (scripts, menus, footers, forms,
-and elements whose class or id says advert, sidebar, comments and the like) leaves an empty line, so it shows as a
+and elements whose class or id is advert, sidebar, comments and the like) leaves an empty line, so it shows as a
 gap. Each line has its text length without link text; lengths are summed over a window of WINDOW lines. The text
 starts where the sum surges past a threshold and ends where it dives to zero; all lines between are kept. An
 `article` or `main` element is kept whole, lines of links included; elsewhere the threshold is SURGE characters, lower
 for short pages, and the span with the most text wins. Spans that only skipped markup parts are one, if it stands in
 the same container and is no part of the page's frame (FRAME).
 
+Classes, ids and roles are told by whole names, and an element that holds all articles of its page is never skipped.
+
 Edge cases: null and empty pages, and pages without text, give an empty text. Broken markup (unclosed elements, a
 page cut off in mid-tag) is read as far as it goes. Rows are read one by one, whole pages.
 """
@@ -39,14 +41,20 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ENDED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
-MARKED = re.compile(
-    r"(?<![a-z])(ads?|adverts?|advertisements?|adsense|banners?|sponsor(ed|s)?|promo(tion)?s?|side-?bars?|comments?|replies|disqus|respond|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|"
-    r"nav(bar|igation)?|menus?|bread-?crumbs?|footers?|masthead|site-?header|page-?header|social|share|sharing|related|recommend(ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|skip-?link|complementary|contentinfo)(?![a-z])"
+#: Words that may stand beside a marked one in the same class; others (has-sidebar, nav-fixed) tell of a page's layout.
+BESIDE = r"(?:site|page|post|article|main|primary|secondary|top|bottom|inline|box|block|bar|list|section|buttons?|links?|form|item|inner|slot|unit|text|image|[0-9]+)"
+_WORD = (
+    r"(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|side-?bars?|comments?|replies|disqus|respond|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|"
+    r"nav(?:bar|igation)?|menus?|bread-?crumbs?|footers?|masthead|site-?header|page-?header|social|share|sharing|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|skip-?link|complementary|contentinfo)"
 )
+MARKED = re.compile(rf"(?<!\S)(?:{BESIDE}[-_]+)*{_WORD}(?:[-_]+(?:{_WORD}|{BESIDE}))*[0-9]*(?!\S)")
+_REMARKS = re.compile(r"comment|reply|related|promo|(?<![a-z])ads?(?![a-z])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|$)", re.DOTALL)
-_NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
-_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)display\s*:\s*none", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
 
@@ -82,6 +90,43 @@ class _Lines:
         self.lines.extend([("", 0, self.region, False)] * WINDOW)
 
 
+def _names(attributes: str) -> str:
+    return " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower()
+
+
+def _is_hidden(attributes: str) -> bool:
+    return bool(_HIDDEN.search(_QUOTED.sub('""', attributes)) or _UNSEEN.search(attributes))
+
+
+def _is_article(token: re.Match) -> bool:
+    return not token[1] and (token[2] or "").lower() in MAIN and not _REMARKS.search(_names(token[3]))
+
+
+def _articles(tokens: list[re.Match]) -> list[int]:
+    """Places of the tags that open an article, outside scripts and the like."""
+    found, raw = [], None
+    for k, token in enumerate(tokens):
+        closing, name = bool(token[1]), (token[2] or "").lower()
+        if raw:
+            raw = None if closing and name == raw else raw
+        elif name in RAW and not closing and not token[3].rstrip().endswith("/"):
+            raw = name
+        elif _is_article(token):
+            found.append(k)
+    return found
+
+
+def _end(tokens: list[re.Match], at: int) -> int:
+    """The place after the end tag of the element that opens at a token."""
+    name, depth = tokens[at][2].lower(), 0
+    for k in range(at, len(tokens)):
+        if (tokens[k][2] or "").lower() == name:
+            depth += -1 if tokens[k][1] else 1
+            if depth <= 0:
+                return k + 1
+    return len(tokens)
+
+
 def page_lines(page: str) -> list[tuple[str, int, int, bool]]:
     """The lines of a page; empty ones stand for markup that holds no article text."""
     out, at, skipping, depth, links, open_main, regions, raw = _Lines(), 0, None, 0, 0, [], 0, None
@@ -93,7 +138,9 @@ def page_lines(page: str) -> list[tuple[str, int, int, bool]]:
             if links:
                 out.linked += len(plain.strip())
 
-    for token in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    articles = _articles(tokens)
+    for nth, token in enumerate(tokens):
         closing, name = bool(token[1]), (token[2] or "").lower()
         if raw:  # text of a script or the like, up to its end tag
             if closing and name == raw:
@@ -131,9 +178,11 @@ def page_lines(page: str) -> list[tuple[str, int, int, bool]]:
             if not token[3].rstrip().endswith("/"):
                 raw = name
             continue
-        names = " ".join(_NAMES.findall(token[3])).lower()
-        marked = bool(names) and name not in ("html", "body", *MAIN) and MARKED.search(names) or name in MAIN and re.search(r"comment|reply|related|promo|(?<![a-z])ads?(?![a-z])", names)
-        if marked or _HIDDEN.search(token[3]) or name in APART and not (name == "header" and open_main):
+        names = _names(token[3])
+        marked = bool(names) and name not in ("html", "body", *MAIN) and MARKED.search(names) or name in MAIN and _REMARKS.search(names)
+        if marked and name not in MAIN | VOID | ENDED_BY_BLOCK and articles and nth < articles[0] and articles[-1] < _end(tokens, nth):
+            marked = None  # all articles of the page are in it
+        if marked or _is_hidden(token[3]) or name in APART and not (name == "header" and open_main):
             if name in VOID or token[3].rstrip().endswith("/"):
                 continue
             if not open_main:

@@ -135,6 +135,18 @@ def test_main_text_of_links_in_article():
     assert line_blocks.main_text(page) == "Linked title\nText.\nLink 0\nLink 1\nLink 2\nLink 3\nMore.\nLast"
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "nav-fixed", "content widget-area"])
+def test_main_text_of_wrappers(name):
+    assert line_blocks.main_text(f"<body><div class='{name}'><article><p>Text.</p></article></div></body>") == "Text."
+    assert line_blocks.main_text(f"<body><div class='{name}'><p>Text.</p></div></body>") == "Text."
+
+
+def test_main_text_of_marks():
+    assert line_blocks.main_text("<body><div class=sidebar><main><p>Text.</p><p title='the hidden cost'>Cost.</p></main></div></body>") == "Text.\nCost."
+    for name in ("ad", "ad-banner", "cookie-notice", "site-footer", "x sidebar", "share_buttons", "comments", "ad-728"):
+        assert line_blocks.main_text(f"<main><p>Text.</p><div class='{name}'>No</div><p hidden>No</p><p style='color: red; display:none'>No</p></main>") == "Text.", name
+
+
 def test_main_text_of_pages(spark, sf_dir):
     import html
 
