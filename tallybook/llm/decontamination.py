@@ -1,10 +1,10 @@
-"""Benchmark decontamination: test items found inside documents by size-partitioned MinHash containment.
+"""Benchmark decontamination: test items found inside documents by bottom-s MinHash containment.
 
 An item of q distinct word shingles is contained in a document when at least ceil(t * q) of them occur there.
-The items are partitioned by q. Within a partition every item is represented by its s smallest shingle hashes
+Every item is represented by its s smallest shingle hashes
 under one random permutation (its bottom-s MinHash values), s = q - ceil(t * q) + 1: by the pigeonhole principle a
-document that contains the item has at least one of them, whatever the document's own length. Documents meet
-only the partitions whose required overlap they are long enough to reach. A candidate (document, item) has met
+document that contains the item has at least one of them, whatever the document's own length. Documents too short for
+an item's required overlap are no candidates; the partition of items by q (`part`) is not used. A candidate (document, item) has met
 one MinHash value; exact counts of distinct shingles then decide. All of it is built-in DataFrame functions.
 
 Banded MinHash over whole documents is not used: for an item of 30 shingles inside a document of 20,000 the
