@@ -2,18 +2,22 @@
 
 Two documents link when 100 * |A & B| >= THRESHOLD * |A | B| for their sets of five-word shingles. Of two such sets
 the prefixes of n - ceil(0.8 n) + l first shingles under some global order share at least l shingles, under every
-order there is. Candidates come from the first order (rare shingles first, by a table of counts), with l growing with
-the set (`required`) and the places in the order bounding what can still be shared (`_early`); they must also share prefix shingles under ORDERS further random orders before the sets are
-verified. A map of BITMAP_LONGS * 64 bits of each set, whose differing bits bound the sets' difference from below,
-sorts out candidates before any set is moved.
+order there is. Candidates come from the first order (rare shingles first, by a table of counts), where the places of
+a shared shingle bound what two sets can share. They are intersected with the candidates of ORDERS further random
+orders: the prefixes of a pair must meet under each of them before any set is moved. A map of BITMAP_LONGS * 64 bits
+of each set, whose differing bits bound the sets' difference from below, goes before that.
 
 Only components are asked for, so the pairs of a group of copies are never listed:
-1. equal sets are one node from the start (grouped by a 128-bit fingerprint; tasks emit each set once);
+1. equal sets are one node from the start (grouped by a 128-bit fingerprint; a task sends equal sets once, as far as
+   it remembers them);
 2. in every bucket of a prefix shingle, neighbours by set size are tested, and every member against the bucket's
    leader (see `leader_pairs`), in large buckets neighbours in PERMUTATIONS random orders too, and links are joined
    to components;
-3. in buckets that still hold several components, all pairs between different components are tested, apart from
-   those tested before. This step makes the result exact: any link between two components would be in it.
+3. in buckets that still hold several components, pairs between different components are tested, apart from those
+   tested before. This step makes the result exact: any link between two components would be in it. A set that has
+   more shingles outside such buckets before its first ones inside than linked sets may differ in has no link left to
+   find, and a posting that stands too late in the order for every size in its bucket can't be the first shared one: both are
+   dropped before buckets are joined (see `open_postings`).
 Hot buckets are cut into salted chains whose heads form a chain of their own.
 
 Edge cases: null and blank texts have empty sets and link with nothing; fewer than five words are one shingle of
@@ -31,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.llm.batches import small_batches
 from tallybook.llm.components import components
 from tallybook.llm.shingles import mix, shingle_sets
 from tallybook.llm.storage import small_side, written
@@ -48,8 +53,8 @@ LINEAR = 64
 LABEL_ROUNDS = 3
 #: Buckets of more postings are also chained in random orders.
 LARGE = 64
-#: Rows of a text batch worked on at once.
-ROWS = 512
+#: Fingerprints a task remembers having sent; an equal set met later is sent again and linked like any other.
+REMEMBERED = 50_000
 #: Postings of one shingle expected in one chain; hotter buckets are salted.
 CHAIN = 1 << 14
 _SHIFT = np.uint64(64 - 22)
@@ -75,18 +80,11 @@ def required(n: int) -> int:
     return 1 + n // 20
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in small slices, so buffers stay small beside long texts."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint32)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     names = ["doc_id", "n", "f1", "f2", "bits", "block", "counts"]
-    for batch in _parts(batches):
+    for batch in batches:
         ids, n, f1, f2, maps = batch.column(0), [], [], [], []
         for hashes in shingle_sets(batch.column(1)):
             np.add.at(counts, hashes >> _SHIFT, 1)
@@ -106,7 +104,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A written table of documents (doc_id, n, f1, f2, bits) and, in rows of their own, the tasks' shingle counts."""
-    return written(docs.select(doc_id, text).mapInArrow(_described, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bits array<bigint>, block int, counts binary"))
+    return written(small_batches(docs.select(doc_id, text)).mapInArrow(_described, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bits array<bigint>, block int, counts binary"))
 
 
 def _spread(mean: float) -> float:
@@ -152,13 +150,14 @@ def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent = shared.value, set()
-        for batch in _parts(batches):
+        for batch in batches:
             tokens, owners, sizes, places = [], [], [], []
             for doc, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 n = len(hashes)
                 if not n or (mark := _fingerprint(hashes)) in sent:
                     continue
-                sent.add(mark)
+                if len(sent) < REMEMBERED:
+                    sent.add(mark)
                 p = min(n, prefix_length(n, required(n)))
                 keys = held[hashes >> _SHIFT].astype(np.uint64) << np.uint64(56) | hashes & np.uint64((1 << 56) - 1)
                 tokens.append(np.sort(np.partition(keys, p - 1)[:p]))
@@ -172,7 +171,7 @@ def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean:
                 columns = [token.view(np.int64), salt, salts.astype(np.int32), owner, np.concatenate(sizes).astype(np.int32), np.concatenate(places)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "salts", "doc", "n", "pos"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "token bigint, salt int, salts int, doc bigint, n int, pos int")
+    return small_batches(docs.select(doc_id, text)).mapInArrow(run, "token bigint, salt int, salts int, doc bigint, n int, pos int")
 
 
 def _compatible(n: Column, m: Column) -> Column:
@@ -183,13 +182,17 @@ def _required(n: Column, m: Column) -> Column:
     return (F.least(n, m) / 20).cast("int") + 1
 
 
+def _overlap(n: Column, m: Column) -> Column:
+    """The least number of shingles that linked sets of sizes n and m share."""
+    return F.floor((THRESHOLD * (n + m) + 99 + THRESHOLD) / (100 + THRESHOLD)).cast("int")
+
+
 def _early(n: Column, pos: Column, m: Column, place: Column) -> Column:
     """Whether a shared shingle can be among the first that two linked sets share, by its places in the order.
 
     Linked sets of sizes n and m share o shingles at least, so the first l of them stand at n - o + l - 1 or before.
     """
-    shared = ((THRESHOLD * (n + m) + 99 + THRESHOLD) / (100 + THRESHOLD)).cast("int")
-    slack = _required(n, m) - 1 - shared
+    slack = _required(n, m) - 1 - _overlap(n, m)
     return _compatible(n, m) & (pos <= n + slack) & (place <= m + slack)
 
 
@@ -235,26 +238,26 @@ def shuffled_pairs(live: DataFrame) -> DataFrame:
     return _pairs(neighbours.where(F.col("other").isNotNull() & _early(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))), "doc", "other")
 
 
-def _shares(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of distinct hashes have one in common."""
-    both = np.concatenate([a, b])
-    both.sort()
-    return bool((both[1:] == both[:-1]).any())
-
-
 def _linked(left: np.ndarray, right: np.ndarray) -> bool:
-    """Intersected prefix filters under the further orders, then the exact sets."""
-    p, q = prefix_length(len(left)), prefix_length(len(right))
-    for order in range(ORDERS):
-        a, b = mix(left, 11 + order), mix(right, 11 + order)
-        if not _shares(np.partition(a, p - 1)[:p], np.partition(b, q - 1)[:q]):
-            return False
     both = np.concatenate([left, right])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
     return 100 * shared >= THRESHOLD * (len(both) - shared)
 
 
+def further_prefix(hashes: np.ndarray, order: int) -> np.ndarray:
+    """The prefix of a set under one of the further orders, as short hashes; two that are equal by chance only let a pair through."""
+    p = prefix_length(len(hashes))
+    return (np.partition(mix(hashes, 11 + order), p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [h for h in shingle_sets(batch.column(1))]
+        columns = [pa.array([further_prefix(h, k) if len(h) else None for h in sets], pa.list_(pa.int32())) for k in range(ORDERS)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc", *(f"order_{k}" for k in range(ORDERS))])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, left, right = batch.columns
@@ -263,9 +266,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _parts(batches):
-        packed = pa.array([h.tobytes() for h in shingle_sets(part.column(1))], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), packed], names=["doc", "hashes"])
+    for batch in batches:
+        packed = pa.array([h.tobytes() for h in shingle_sets(batch.column(1))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), packed], names=["doc", "hashes"])
 
 
 def links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -275,31 +278,58 @@ def links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text
     differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("n_a") + F.col("n_b")
     mapped = pairs.join(one, "a").join(two, "b").where(_compatible(F.col("n_a"), F.col("n_b")))
-    survivors = written(mapped.where((100 + THRESHOLD) * differing <= (100 - THRESHOLD) * total).select("a", "b"))
-    ids = written(survivors.select("a").unionAll(survivors.select("b")).distinct().withColumnRenamed("a", doc_id))
-    sets = docs.select(doc_id, text).join(small_side(ids), doc_id, "left_semi").mapInArrow(_sets, "doc bigint, hashes binary")
-    left, right = (sets.select(F.col("doc").alias(k), F.col("hashes").alias(f"hashes_{k}")) for k in "ab")
-    ready = survivors.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
-    return written(ready.mapInArrow(_verified, "a bigint, b bigint"))
-
-
-def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
-    """Postings of buckets that hold several components, with the component of each."""
-    labelled = live.join(found, live["doc"] == found["node"], "left").select("token", "doc", "n", "pos", F.coalesce("root", "doc").alias("label"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    return written(labelled.join(mixed, "token"))
-
-
-def crossing_pairs(mixed: DataFrame) -> DataFrame:
-    """All pairs between different components of a bucket: those outside its largest component against everything."""
-    sizes = mixed.groupBy("token", "label").agg(F.count("*").alias("held"))
+    mapped = written(mapped.where((100 + THRESHOLD) * differing <= (100 - THRESHOLD) * total).select("a", "b"))
+    kinds = ", ".join(f"order_{k} array<int>" for k in range(ORDERS))
+    met = _of_ends(mapped, small_batches(_texts_of(mapped, docs, doc_id, text)).mapInArrow(_prefixes, f"doc bigint, {kinds}"))
+    for k in range(ORDERS):
+        met = met.where(F.arrays_overlap(f"order_{k}_a", f"order_{k}_b"))
+    survivors = written(met.select("a", "b"))
+    ready = _of_ends(survivors, small_batches(_texts_of(survivors, docs, doc_id, text)).mapInArrow(_sets, "doc bigint, hashes binary"))
+    return written(ready.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verified, "a bigint, b bigint"))
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Key and text of the documents that are in a pair."""
+    ids = written(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", doc_id))
+    return docs.select(doc_id, text).join(small_side(ids), doc_id, "left_semi")
+
+
+def _of_ends(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs with the rows (doc, ...) of both of their documents, columns marked _a and _b."""
+    for end in "ab":
+        pairs = pairs.join(rows.select(*(F.col(c).alias(end if c == "doc" else f"{c}_{end}") for c in rows.columns)), end)
+    return pairs
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Postings of buckets that hold several components, with the smallest set size there."""
+    held = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n"))
+    return rows.join(held.where("low <> high").select("token", "least_n"), "token")
+
+
+def open_postings(live: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings that may still be the first shingle shared by two sets of different components, with the component of each."""
+    mixed = written(_mixed(live.join(found, live["doc"] == found["node"], "left").select("token", "doc", "n", "pos", F.coalesce("root", "doc").alias("label"))))
+    n, eighty = F.col("n"), F.floor((THRESHOLD * F.col("n") + 99) / 100).cast("int")
+    # Linked sets share `first` shingles in both prefixes at least; the one of that rank among the postings left tells
+    # how many shingles stand before it that no set of another component shares.
+    first = _required(eighty, eighty)
+    own = mixed.groupBy("doc", "n").agg(F.sort_array(F.collect_list("pos")).alias("places")).select("doc", (F.get("places", first - 1) - first + 1).alias("own"))
+    room = n - _overlap(n, F.greatest("least_n", eighty))
+    held = mixed.join(own, "doc").where((F.col("pos") <= room) & (F.col("own") <= room)).drop("least_n")
+    return written(_mixed(held).drop("least_n"))
+
+
+def crossing_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs between different components of a bucket that may link: those outside its largest component against everything."""
+    sizes = rows.groupBy("token", "label").agg(F.count("*").alias("held"))
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
-    told = mixed.join(main, "token")
-    small = told.where("label <> main").select("token", F.col("doc").alias("doc_s"), F.col("n").alias("n_s"), F.col("pos").alias("pos_s"), F.col("label").alias("label_s"))
+    told = rows.join(main, "token")
+    small = told.where("label <> main").select("token", *(F.col(c).alias(f"{c}_s") for c in ("doc", "n", "pos", "own", "label")))
     apart = (F.col("label") != F.col("label_s")) & ((F.col("label") == F.col("main")) | (F.col("doc_s") < F.col("doc")))
-    crossing = small.join(told, "token").where(apart & _early(F.col("n"), F.col("pos"), F.col("n_s"), F.col("pos_s")))
-    either = crossing.select(F.least("doc_s", "doc").alias("a"), F.greatest("doc_s", "doc").alias("b"), _required(F.col("n"), F.col("n_s")).alias("asked"))
-    return either.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("asked").alias("asked")).where("met >= asked").select("a", "b")
+    asked = _overlap(F.col("n"), F.col("n_s"))
+    can = (F.greatest("pos", "own") <= F.col("n") - asked) & (F.greatest("pos_s", "own_s") <= F.col("n_s") - asked)
+    return _pairs(small.join(told, "token").where(apart & _compatible(F.col("n"), F.col("n_s")) & can), "doc_s", "doc").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,8 +342,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     tested = written(chain_pairs(chained).unionAll(leader_pairs(live)).unionAll(shuffled_pairs(live)).distinct())
     first = links(tested, docs, nodes, doc_id, text)
-    mixed = _labelled(live, components(first, rounds=LABEL_ROUNDS))
-    crossing = written(crossing_pairs(mixed).join(tested, ["a", "b"], "left_anti"))
+    crossing = written(crossing_pairs(open_postings(live, components(first, rounds=LABEL_ROUNDS))).join(tested, ["a", "b"], "left_anti"))
     edges = first.unionAll(links(crossing, docs, nodes, doc_id, text))
 
     sets = nodes.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
