@@ -1,17 +1,26 @@
 """HTML extraction: main text by line-block distribution.
 
 A page is cut into lines at block-level tags. Markup that never holds an article (scripts, menus, footers, forms,
-and elements whose class or id is advert, sidebar, comments and the like) leaves an empty line, so it shows as a
-gap. Each line has its text length without link text; lengths are summed over a window of WINDOW lines. The text
-starts where the sum surges past a threshold and ends where it dives to zero; all lines between are kept. An
-`article` or `main` element is kept whole, lines of links included; elsewhere the threshold is SURGE characters, lower
-for short pages, and the span with the most text wins. Spans that only skipped markup parts are one, if it stands in
-the same container and is no part of the page's frame (FRAME).
-
-Classes, ids and roles are told by whole names, and an element that holds all articles of its page is never skipped.
-
-Edge cases: null and empty pages, and pages without text, give an empty text. Broken markup (unclosed elements, a
-page cut off in mid-tag) is read as far as it goes. Rows are read one by one, whole pages.
+and elements whose class or id is advert, sidebar, comments and the like) leaves empty lines, so it shows as a gap.
+Each line has its text length without link text (headings count whole). The lengths are summed over a window of
+WINDOW lines; text begins where the sum surges to the threshold (SURGE characters, or the page's highest sum if that
+is lower) and ends where it dives to zero.
+
+What surges decides what is kept, on every page:
+- where lines of `article` or `main` elements have text, the distribution is taken over these lines alone, and each
+  element in which a window surges is kept whole, from its first line to its last.
+- elsewhere the span with the most text is the core. Spans of the core's container (the innermost element around it,
+  wider as long as that holds no menu, header or footer) are kept too if they surge, or if nothing but skipped markup
+  parts them from kept text.
+
+Markup is read by a tokenizer that only moves forward, so its time grows with the page's length. Elements end where
+HTML ends them: end tags of paragraphs, list items, table cells and so on may be left out. An unclosed element that
+would be skipped ends where an article begins. Classes, ids and roles are told by whole names; an element that holds all
+articles of its page is never skipped, nor is a form around most of the text.
+
+Edge cases: null and empty pages, and pages without text, give an empty text. Broken markup (unclosed elements or
+quotes, elements nested too deeply, a page cut off in mid-tag) is read as far as it goes. Repeated rows give equal rows, an empty table none; rows
+are read one by one, whole pages. Only key, url and page are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -25,226 +34,365 @@ from pyspark.sql import DataFrame
 from tallybook.llm.batches import map_rows
 
 WINDOW = 3
-#: Characters in a window from which text is taken to begin, where no article element tells.
+#: Characters in a window from which text is taken to begin.
 SURGE = 86
+#: Elements nested deeper are read as if they held nothing of their own, as browsers do.
+DEPTH = 500
+#: A form around at least this share of a page's text is its frame, not a form to fill in.
+MOST = 0.5
 
 # Elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "object", "canvas", "title"}
-APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "header"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "header", "noscript", "template", "svg", "object", "canvas"}
 FRAME = {"nav", "footer", "header", "menu", "head"}
-CONTAINERS = {"div", "section"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav",
     "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-ENDED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
+#: What a start tag ends: elements of the first set, up to the nearest of the second.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"tbody", "thead", "tfoot", "table"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
+}
 #: Words that may stand beside a marked one in the same class; others (has-sidebar, nav-fixed) tell of a page's layout.
 BESIDE = r"(?:site|page|post|article|main|primary|secondary|top|bottom|inline|box|block|bar|list|section|buttons?|links?|form|item|inner|slot|unit|text|image|[0-9]+)"
 _WORD = (
     r"(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|side-?bars?|comments?|replies|disqus|respond|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|"
     r"nav(?:bar|igation)?|menus?|bread-?crumbs?|footers?|masthead|site-?header|page-?header|social|share|sharing|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|skip-?link|complementary|contentinfo)"
 )
-MARKED = re.compile(rf"(?<!\S)(?:{BESIDE}[-_]+)*{_WORD}(?:[-_]+(?:{_WORD}|{BESIDE}))*[0-9]*(?!\S)")
+MARKED = re.compile(rf"(?:{BESIDE}[-_]+)*{_WORD}(?:[-_]+(?:{_WORD}|{BESIDE}))*[0-9]*")
 _REMARKS = re.compile(r"comment|reply|related|promo|(?<![a-z])ads?(?![a-z])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|$)", re.DOTALL)
-_NAMES = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
-_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
-_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)", re.IGNORECASE)
-_UNSEEN = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)display\s*:\s*none", re.IGNORECASE)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_BETWEEN = re.compile(r"[\s/]*+")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_PLAIN = re.compile(r"[^\s>]*+")
 _SPACE = re.compile(r"\s+")
-
-
-class _Lines:
-    """Lines of a page: (text, characters outside links, region, joined).
-
-    `region` numbers the article a line is in, 0: none; a `joined` line goes on after markup skipped in its container.
-    """
-
-    def __init__(self):
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.parts: list[str] = []
-        self.linked, self.region = 0, 0
-        self.level, self.low, self.last, self.parted, self.framed = 0, 0, 0, False, True
-
-    def close(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
+_UNSEEN = re.compile(r"display\s*:\s*none")
+
+
+class _Reader:
+    """Tags and texts of a page in order; every step moves forward."""
+
+    def __init__(self, page: str):
+        self.page, self.spent = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Like str.find, but what wasn't found once isn't looked for again."""
+        if what in self.spent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.spent.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+        """Name, attributes, whether it closes itself, and the end of the tag whose name begins at a place; None if cut off."""
+        page, begin = self.page, at
+        name = _NAME.match(page, at)
+        at, attributes, alone = name.end(), {}, False
+        while True:
+            to = _BETWEEN.match(page, at).end()
+            alone, at = page[at:to].rstrip().endswith("/"), to
+            if at >= len(page):
+                return None
+            if page[at] == ">":
+                return name[0].lower(), attributes, alone, at + 1
+            key = _ATTRIBUTE.match(page, at)
+            at, value = key.end(), ""
+            if equals := _EQUALS.match(page, at):
+                at = equals.end()
+                quote = page[at : at + 1]
+                if quote in ("'", '"'):
+                    end = self.find(quote, at + 1)
+                    if end < 0:  # a quote that is never closed: the tag ends at its first >
+                        end = self.find(">", begin)
+                        return None if end < 0 else (name[0].lower(), attributes, False, end + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    plain = _PLAIN.match(page, at)
+                    value, at = plain[0], plain.end()
+            attributes.setdefault(key[0].lower(), value)
+
+    def events(self) -> Iterator[tuple]:
+        """("text", text), ("open", name, attributes, alone) and ("close", name)."""
+        page, at = self.page, 0
+        while at < len(page):
+            to = page.find("<", at)
+            if to < 0:
+                to = len(page)
+            if to > at:
+                yield "text", page[at:to]
+            following = page[to + 1 : to + 2]
+            if to >= len(page):
+                return
+            if page.startswith("<!--", to):
+                end = self.find("-->", to + 4)
+                at = end + 3 if end >= 0 else len(page)
+            elif page.startswith("<![CDATA[", to):
+                end = self.find("]]>", to + 9)
+                at = end + 3 if end >= 0 else len(page)
+            elif following and following in "!?":
+                end = self.find(">", to)
+                at = end + 1 if end >= 0 else len(page)
+            elif following.isascii() and following.isalpha() or following == "/" and page[to + 2 : to + 3].isascii() and page[to + 2 : to + 3].isalpha():
+                closing = following == "/"
+                found = self.tag(to + 1 + closing)
+                if found is None:
+                    return
+                name, attributes, alone, at = found
+                if closing:
+                    yield "close", name
+                    continue
+                yield "open", name, attributes, alone
+                if name in RAW and not alone:
+                    end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                    at = end.start() if end else len(page)
+            else:
+                yield "text", "<"
+                at = to + 1
+
+
+class _Element:
+    """An element of a page: its place in the tree, and how many characters of text it holds."""
+
+    __slots__ = ("article", "attributes", "before", "explicit", "framed", "held", "name", "names", "parent", "within")
+
+    def __init__(self, name: str, attributes: dict[str, str], parent: _Element | None, before: int):
+        self.name, self.attributes, self.parent, self.before = name, attributes, parent, before
+        self.names = [x for key in ("class", "id", "role", "aria-label") for x in entities.unescape(attributes.get(key, "")).lower().split()]
+        self.article = name in MAIN and not any(_REMARKS.search(x) for x in self.names)
+        self.explicit, self.framed, self.held, self.within = False, False, 0, 0
+
+    def ancestors(self) -> Iterator[_Element]:
+        at = self
+        while at is not None:
+            yield at
+            at = at.parent
+
+
+def parsed(page: str) -> list[tuple]:
+    """The page as ("text", text), ("open", element) and ("close", element); elements left open are closed where HTML says."""
+    out, stack, chars = [], [_Element("", {}, None, 0)], 0
+
+    def close(to: int, explicit: bool = False) -> None:
+        while len(stack) > to:
+            element = stack.pop()
+            element.held = chars - element.before
+            element.explicit = explicit and len(stack) == to
+            out.append(("close", element))
+
+    def place(names: set[str], barriers: set[str]) -> int:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
+                return k
+            if stack[k].name in barriers:
+                break
+        return 0
+
+    for event in _Reader(page).events():
+        if event[0] == "text":
+            chars += len(event[1].strip())
+            out.append(event)
+        elif event[0] == "open":
+            _, name, attributes, alone = event
+            if name in BLOCKS and (at := place({"p"}, {"td", "th", "table", "button"})):
+                close(at)
+            if name in HEADINGS and stack[-1].name in HEADINGS:
+                close(len(stack) - 1)
+            if name in ENDS and (at := place(*ENDS[name])):
+                close(at)
+            if name == "a" and (at := place({"a"}, BLOCKS)):
+                close(at)
+            element = _Element(name, attributes, stack[-1], chars)
+            out.append(("open", element))
+            if name in VOID or alone and (name not in BLOCKS or name in RAW) or len(stack) > DEPTH:
+                out.append(("close", element))
+                continue
+            stack.append(element)
+            if element.article:
+                for holder in element.ancestors():
+                    holder.within += 1
+        else:
+            name = event[1]
+            at = place({name}, set() if name in BLOCKS else {"td", "th", "table", "article", "main", "body"})
+            if at:
+                close(at, True)
+    close(0)
+    return out
+
+
+def _skipped(element: _Element, articles: int, chars: int, inside: bool) -> bool:
+    """Whether an element holds no article text."""
+    name, attributes = element.name, element.attributes
+    if name in RAW or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "").lower()):
+        return True
+    wraps = articles > 0 and element.within == articles
+    if name in MAIN:
+        return not element.article
+    if name in ("html", "body", ""):
+        return False
+    if any(MARKED.fullmatch(x) for x in element.names) and not wraps:
+        return True
+    if name == "form":
+        return not wraps and (articles > 0 or element.held < MOST * chars)
+    return name in APART and not (name == "header" and inside)
+
+
+class _Line:
+    """A line: text, characters that count, the article it is in (None: none), its container, whether only skipped markup is before it."""
+
+    __slots__ = ("article", "container", "joined", "length", "text")
+
+    def __init__(self, text: str, length: int, article: _Element | None, container: _Element | None, joined: bool):
+        self.text, self.length, self.article, self.container, self.joined = text, length, article, container, joined
+
+
+def page_lines(page: str) -> list[_Line]:
+    """The lines of a page; empty ones stand for markup that holds no article text."""
+    events = parsed(page)
+    articles = sum(1 for kind, x in events if kind == "open" and x.article)
+    chars = sum(len(x.strip()) for kind, x in events if kind == "text")
+    lines: list[_Line] = []
+    parts: list[str] = []
+    state = {"plain": 0, "joined": False}
+    path, article, skipping, links, heading = [], None, None, 0, 0
+
+    def finish() -> None:
+        text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            joined = self.parted and not self.framed and (self.low > 0 or self.low >= self.last)
-            self.lines.append((text, max(0, len(text) - self.linked), self.region, joined))
-            self.low = self.last = self.level
-            self.parted = self.framed = False
-        self.parts, self.linked = [], 0
-
-    def nest(self, step: int) -> None:
-        self.level = max(0, self.level + step)
-        self.low = min(self.low, self.level)
-
-    def gap(self, name: str) -> None:
-        self.close()
-        self.parted = True
-        self.framed |= name in FRAME
-        self.lines.extend([("", 0, self.region, False)] * WINDOW)
-
-
-def _names(attributes: str) -> str:
-    return " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower()
-
-
-def _is_hidden(attributes: str) -> bool:
-    return bool(_HIDDEN.search(_QUOTED.sub('""', attributes)) or _UNSEEN.search(attributes))
-
-
-def _is_article(token: re.Match) -> bool:
-    return not token[1] and (token[2] or "").lower() in MAIN and not _REMARKS.search(_names(token[3]))
-
-
-def _articles(tokens: list[re.Match]) -> list[int]:
-    """Places of the tags that open an article, outside scripts and the like."""
-    found, raw = [], None
-    for k, token in enumerate(tokens):
-        closing, name = bool(token[1]), (token[2] or "").lower()
-        if raw:
-            raw = None if closing and name == raw else raw
-        elif name in RAW and not closing and not token[3].rstrip().endswith("/"):
-            raw = name
-        elif _is_article(token):
-            found.append(k)
-    return found
+            block = next((x for x in reversed(path) if x.name in BLOCKS and x.name not in HEADINGS | {"p", "li", "ul", "ol"}), None)
+            lines.append(_Line(text, state["plain"], article, block, state["joined"]))
+            state["joined"] = False
+        parts.clear()
+        state["plain"] = 0
+
+    for kind, what in events:
+        if skipping is not None:
+            if kind == "close" and what is skipping:
+                skipping = None
+                continue
+            if not (kind == "open" and what.article and not skipping.explicit and skipping.name not in RAW):
+                continue
+            skipping = None  # an unclosed element ends where an article begins
+        if kind == "text":
+            plain = entities.unescape(what)
+            parts.append(plain)
+            if not links or heading:
+                state["plain"] += len(_SPACE.sub(" ", plain).strip())
+        elif kind == "open":
+            if _skipped(what, articles, chars, article is not None):
+                block = what.name in BLOCKS
+                if block or what.name in APART and not article:
+                    finish()
+                    state["joined"] = what.name not in FRAME and (state["joined"] or bool(lines) and lines[-1].text != "")
+                    lines.extend(_Line("", 0, article, None, False) for _ in range(WINDOW))
+                    if what.name in FRAME:
+                        for holder in what.ancestors():
+                            holder.framed = True
+                if what.name not in VOID:
+                    skipping = what
+                continue
+            if what.name == "br":
+                parts.append(" ")
+            elif what.name in BLOCKS:
+                finish()
+                links = 0
+                if what.article and article is None:
+                    article = what
+                heading += what.name in HEADINGS
+            elif what.name == "a":
+                links += 1
+            if what.name not in VOID:
+                path.append(what)
+        else:
+            if what in path[-1:]:
+                path.pop()
+            if what.name in BLOCKS:
+                finish()
+                if what is article:
+                    article = None
+                heading = max(0, heading - (what.name in HEADINGS))
+            elif what.name == "a":
+                links = max(0, links - 1)
+    finish()
+    return lines
 
 
-def _end(tokens: list[re.Match], at: int) -> int:
-    """The place after the end tag of the element that opens at a token."""
-    name, depth = tokens[at][2].lower(), 0
-    for k in range(at, len(tokens)):
-        if (tokens[k][2] or "").lower() == name:
-            depth += -1 if tokens[k][1] else 1
-            if depth <= 0:
-                return k + 1
-    return len(tokens)
+def window_sums(lengths: list[int]) -> list[int]:
+    """The sum of each line's and the following WINDOW - 1 lines' lengths."""
+    padded = lengths + [0] * WINDOW
+    return [sum(padded[k : k + WINDOW]) for k in range(len(lengths))]
 
 
-def page_lines(page: str) -> list[tuple[str, int, int, bool]]:
-    """The lines of a page; empty ones stand for markup that holds no article text."""
-    out, at, skipping, depth, links, open_main, regions, raw = _Lines(), 0, None, 0, 0, [], 0, None
-
-    def text(piece: str) -> None:
-        if piece and not skipping:
-            plain = entities.unescape(piece)
-            out.parts.append(plain)
-            if links:
-                out.linked += len(plain.strip())
-
-    tokens = list(_TOKEN.finditer(page))
-    articles = _articles(tokens)
-    for nth, token in enumerate(tokens):
-        closing, name = bool(token[1]), (token[2] or "").lower()
-        if raw:  # text of a script or the like, up to its end tag
-            if closing and name == raw:
-                raw, at = None, token.end()
-            continue
-        text(page[at : token.start()])
-        at = token.end()
-        if not name:
-            continue
-        if skipping:
-            if name in RAW and not closing:
-                raw = name
-            elif name == skipping:
-                depth += -1 if closing else 1
-            ended = depth <= 0 or skipping in ENDED_BY_BLOCK and name in BLOCKS
-            if not ended:
-                continue
-            reopened = depth > 0 and not closing
-            skipping = None
-            if not reopened:
-                continue
-        if closing:
-            if name == "a":
-                links = max(0, links - 1)
-            elif name in MAIN and name in open_main:
-                out.close()
-                open_main.pop()
-                out.region = out.region if open_main else 0
-            elif name in BLOCKS:
-                out.close()
-                if name in CONTAINERS:
-                    out.nest(-1)
-            continue
-        if name in RAW:
-            if not token[3].rstrip().endswith("/"):
-                raw = name
-            continue
-        names = _names(token[3])
-        marked = bool(names) and name not in ("html", "body", *MAIN) and MARKED.search(names) or name in MAIN and _REMARKS.search(names)
-        if marked and name not in MAIN | VOID | ENDED_BY_BLOCK and articles and nth < articles[0] and articles[-1] < _end(tokens, nth):
-            marked = None  # all articles of the page are in it
-        if marked or _is_hidden(token[3]) or name in APART and not (name == "header" and open_main):
-            if name in VOID or token[3].rstrip().endswith("/"):
-                continue
-            if not open_main:
-                out.gap(name)
-            elif name in BLOCKS:
-                out.close()
-            skipping, depth = name, 1
-            continue
-        if name == "a":
-            links += 1
-        elif name == "br":
-            out.parts.append(" ")
-        elif name in MAIN:
-            out.close()
-            if not open_main:
-                regions += 1
-                out.region = regions
-            open_main.append(name)
-        elif name in BLOCKS:
-            out.close()
-            links = 0
-            if name in CONTAINERS:
-                out.nest(1)
-    if not raw:
-        text(page[at:])
-    out.close()
-    return out.lines
+def spans_of(lengths: list[int], surge: int) -> list[tuple[int, int, bool]]:
+    """(begin, end, surges) of the runs between dives to zero; a run surges if a window of it reaches the threshold."""
+    sums, spans, begin, high = window_sums(lengths), [], None, 0
+    for k, total in enumerate([*sums, 0]):
+        if total == 0:
+            if begin is not None:
+                spans.append((begin, k, high >= surge))
+            begin, high = None, 0
+        elif begin is not None or lengths[k]:
+            begin = k if begin is None else begin
+            high = max(high, total)
+    return spans
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: its lines between surge and dive, joined by newlines."""
     lines = page_lines(page or "")
-    totals: dict[int, int] = {}
-    for _, length, region, _ in lines:
-        totals[region] = totals.get(region, 0) + length
-    chosen = max((r for r in totals if r), key=lambda r: (totals[r], -r), default=0)
-    if chosen and totals[chosen]:
-        return "\n".join(x[0] for x in lines if x[2] == chosen and x[0])
-    lengths = [x[1] for x in lines] + [0] * WINDOW
-    sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lines))]
-    surge = min(SURGE, max(sums, default=0))
-    spans, begin = [], None
-    for k, total in enumerate(sums):
-        if begin is None and lengths[k] and (total >= max(1, surge) or spans and lines[k][3] and not any(x[0] for x in lines[spans[-1][1] : k])):
-            begin = k
-        elif begin is not None and total == 0:
-            spans.append((begin, k))
-            begin = None
-    if begin is not None:
-        spans.append((begin, len(lines)))
-    merged: list[tuple[int, int]] = []
-    for begin, end in spans:
-        if merged and lines[begin][3] and not any(x[0] for x in lines[merged[-1][1] : begin]):
-            begin = merged.pop()[0]
-        merged.append((begin, end))
-    begin, end = max(merged, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]), default=(0, 0))
-    while begin < end and lines[begin][3]:  # short lines before skipped markup of the same container
-        last = next((k for k in range(begin - 1, -1, -1) if lines[k][0]), -1)
-        if last < 0 or not lengths[last]:
-            break
-        begin = next((k + 1 for k in range(last, -1, -1) if not lengths[k]), 0)
-    return "\n".join(x[0] for x in lines[begin:end] if x[0])
+    of_article: dict[_Element, list[int]] = {}
+    for line in lines:
+        if line.article is not None:
+            of_article.setdefault(line.article, []).append(line.length)
+    highest = {article: max(window_sums(lengths)) for article, lengths in of_article.items()}
+    if any(highest.values()):
+        surge = min(SURGE, max(highest.values()))
+        return "\n".join(x.text for x in lines if x.text and x.article is not None and highest[x.article] >= surge)
+    lengths = [x.length for x in lines]
+    surge = max(1, min(SURGE, max(window_sums(lengths), default=0)))
+    spans = spans_of(lengths, surge)
+    surging = [s for s in spans if s[2]]
+    if not surging:
+        return ""
+    begin, end, _ = core = max(surging, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))
+    around = _container(lines[begin:end])
+    within = [around in (x.container.ancestors() if x.container else ()) or around is None for x in lines]
+    kept = {k for s in surging if s == core or all(within[k] for k in range(s[0], s[1]) if lengths[k]) for k in range(s[0], s[1])}
+    changed = True
+    while changed:  # short spans that only skipped markup parts from kept ones
+        changed = False
+        for (a, b, _), (c, d, _) in zip(spans, spans[1:]):
+            if any(lines[k].text for k in range(b, c)) or not (lines[c].joined and within[a] and within[c]) or (a in kept) == (c in kept):
+                continue
+            kept.update(range(a, b), range(c, d))
+            changed = True
+    return "\n".join(lines[k].text for k in sorted(kept) if lines[k].text)
+
+
+def _container(lines: list[_Line]) -> _Element | None:
+    """The innermost element around all lines, wider as long as that holds no part of the page's frame."""
+    common = None
+    for line in lines:
+        if line.text and line.container:
+            above = list(line.container.ancestors())
+            common = above if common is None else [x for x in common if x in above]
+    if not common:
+        return None
+    at = common[0]
+    while at.parent is not None and at.parent.name not in ("body", "html", "") and not at.parent.framed:
+        at = at.parent
+    return at
 
 
 def _row(page_id: int, url: str | None, page: str | None) -> Iterator[tuple]:

@@ -2,28 +2,28 @@
 
 Lines are parsed to a fixed depth: by their token count, then by their first LEADING tokens, where a token with a
 digit counts as a variable. Below that, each leaf tells constant fields from variable ones: a token is constant at
-its position if at least MIN_TEXTS lines of the leaf have it there. A line's template is its leaf with its constant
-tokens; a template holds only if at least CONSTANT of its positions are constant.
+its position if it stands there in MIN_TEXTS lines of the leaf. A line's template is its leaf with its constant
+tokens; it holds only if at least CONSTANT of the tokens without digits are constant, otherwise (and in leaves of
+fewer lines) a line is a template of its own.
 
-A template recurs across documents if its lines are found in MIN_CONTEXTS different surroundings (the line before
-and the line after) and in at least one for every two different texts that hold it. Lines that recur only because
-whole documents are copies keep their surroundings, so copied documents stay whole for near-duplicate removal.
-All lines of a recurring template are dropped, in every document.
+A template recurs if it is found in MIN_DOCUMENTS independent documents, long ones (LONG_WORDS words) in LONG_DOCUMENTS.
+Lines of recurring templates are dropped, in every document. How often a line stands in one document doesn't matter.
 
-Passages of several lines have the same neighbours everywhere, so surroundings are also taken of whole runs: lines
-that stand in MIN_TEXTS different texts, blank lines between them skipped, and what is before and after the run. A text
-tells of a run only if it is a document of its own: at least OWN_TEXT of its words are in other lines than those, and
-so are OWN_LINES of its lines outside the run, or OWN_WORDS of its words there if it has but one more run. Near copies
-share what is outside too and tell nothing, so they neither make lines recur nor outvote the documents that do;
-MIN_CONTEXTS such surroundings are enough.
+Independence: copied and edited documents share their lines without these being boilerplate. So adjoining lines that
+other texts have too (blank lines between them skipped) form a run, and what a text has outside the run is sketched
+by the least hash of WIDTH-word shingles in each of SKETCH classes. Texts that agree in two adjoining classes are taken
+for copies of each other, joined over ROUNDS rounds, and count as one document. A text with less than OWN of its words outside a run
+tells nothing about the run. A large group of copies can neither make its lines recur nor outvote other documents.
 
-Leaves are narrowed down by a table of LEAF_COUNTERS counters (a fixed size); a collision there only lets more lines
-through to the exact counts. Exact counts are grouped sums with partial aggregation, so a hot line costs a few rows per
-task.
+Rows that can't be of a template of several lines are left out early by tables of COUNTERS counters (a fixed size); a
+collision there only lets more through to the exact counts. All counts are grouped sums with partial aggregation, so
+a hot line costs a few rows per task. Texts aren't shuffled: the recurring lines are sent to the documents if they are
+counted to be few (`BROADCAST_ROWS`), else positions are joined to the documents by the hash of their text.
 
 Edge cases: null texts stay null; empty and blank lines have no tokens and always stay, so does everything in an
-empty table. A repeated row has the surroundings of its copy and adds none. Columns named like the operator's own are
-kept as they are: only the key and the text are read and joined back.
+empty table. Repeated rows and documents with equal texts are one text. Rows are told apart by their text, not by a
+key, so rows of one id with different texts each keep their own lines. Columns of the input that have the name of an
+added column are replaced by it; the names are parameters. Others are kept as they are.
 """
 
 from __future__ import annotations
@@ -36,22 +36,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallybook.llm.batches import map_rows
-from tallybook.llm.storage import small_side, written
+from tallybook.llm.batches import map_rows, small_batches
+from tallybook.llm.shingles import shingle_sets
+from tallybook.llm.storage import BROADCAST_ROWS, written
 
 LEADING = 3
 MIN_TEXTS = 5
-MIN_CONTEXTS = 5
-CONSTANT = 0.8
-OWN_TEXT = 0.2
-OWN_LINES = 0.8
-OWN_WORDS = 0.5
-LEAF_COUNTERS = 1 << 22
+CONSTANT = 0.7
+MIN_DOCUMENTS = 5
+LONG_WORDS, LONG_DOCUMENTS = 50, 2
+OWN = 0.2
+SKETCH, WIDTH = 16, 3
+ROUNDS = 2
+COUNTERS = 1 << 22
 #: Lines whose fields a task remembers having sent; others are sent again, and once is enough.
 REMEMBERED = 100_000
 
 _DIGIT = re.compile(r"\d")
+_NONE = (1 << 63) - 1
+_PARTS = [f"s{k}" for k in range(SKETCH)]
 
 
 def _hash(text: str, seed: int = 0) -> int:
@@ -72,114 +77,189 @@ def field_keys(leaf: int, tokens: list[str]) -> list[int]:
     return [0 if _DIGIT.search(t) else _signed(_hash(f"{k}\x00{t}", leaf & 0xFFFFFFFFFFFF)) for k, t in enumerate(tokens)]
 
 
-def _leaves(text: str | None) -> Iterator[tuple]:
+def _counters(text: str | None) -> Iterator[tuple]:
     for line in (text or "").split("\n"):
         if tokens := line.split():
-            yield (leaf_of(tokens) % LEAF_COUNTERS,)
+            yield 0, leaf_of(tokens) % COUNTERS
+            if len(tokens) >= LONG_WORDS:
+                yield 1, _hash(line) % COUNTERS
 
 
-def frequent_leaves(docs: DataFrame, text: str) -> np.ndarray:
-    """A bit for every counter that at least MIN_TEXTS lines fall on."""
-    counted = map_rows(docs.select(text), _leaves, "counter bigint").groupBy("counter").count().where(F.col("count") >= MIN_TEXTS)
-    bits = np.zeros(LEAF_COUNTERS, bool)
-    bits[counted.select("counter").toArrow()["counter"].to_numpy()] = True
-    return np.packbits(bits)
+def frequent(docs: DataFrame, text: str) -> list[np.ndarray]:
+    """A bit for every counter on which MIN_TEXTS lines fall by their leaf, and one for those of two long lines."""
+    counted = map_rows(docs.select(text), _counters, "kind int, counter int").groupBy("kind", "counter").count()
+    found = counted.where((F.col("count") >= MIN_TEXTS) | (F.col("kind") == 1) & (F.col("count") > 1)).select("kind", "counter").toArrow()  # as many rows as counters, at most
+    bits = np.zeros((2, COUNTERS), bool)
+    bits[found["kind"].to_numpy(), found["counter"].to_numpy()] = True
+    return [np.packbits(b) for b in bits]
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lines of frequent leaves; keys (fields) the first time a task meets a line.
+def _sketches(lines: list[str]) -> Iterator[np.ndarray]:
+    """The least shingle hash in each class, for every line."""
+    for hashes in shingle_sets(pa.array(lines, pa.large_string()), WIDTH):
+        least = np.full(SKETCH, _NONE, np.int64)
+        falling = hashes[::-1]
+        least[falling & np.uint64(SKETCH - 1)] = (falling >> np.uint64(1)).view(np.int64)
+        yield least
 
-    `place`, `before` and `after` leave blank lines out; `words` are the line's, `total` and `places` the text's.
+
+def occurrences(docs: DataFrame, text: str) -> DataFrame:
+    """One row for every line that may be of a shared template, and one (line null) for all other lines of its text.
+
+    whole: hash of the text; place: the line's number without blank ones (-1 for the others); line_no: with them;
+    line: its hash; words, total: of the line, of the text; s0...: the sketch; keys: fields, the first time a task
+    meets a line of a frequent leaf.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_leaves(docs, text))
-    arrow = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("context", pa.int64()), ("whole", pa.int64()), ("place", pa.int32()), ("before", pa.int64()), ("after", pa.int64()), ("words", pa.int32()), ("total", pa.int32()), ("places", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    bits = docs.sparkSession.sparkContext.broadcast(frequent(docs, text))
+    names = ["whole", "place", "line_no", "line", "words", "total", *_PARTS, "keys"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * SKETCH, pa.list_(pa.int64())]
+
+    def marked(kind: int, value: int) -> bool:
+        at = value % COUNTERS
+        return bool(bits.value[kind][at >> 3] >> (7 - (at & 7)) & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sent = bits.value, set()
+        sent = set()
         for batch in batches:
-            rows = []
-            for key, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, lines = [], []
+            for of_text, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 if not whole:
                     continue
-                lines = whole.split("\n")
-                hashes, of_text, place = None, None, -1
-                for k, line in enumerate(lines):
-                    if not (tokens := line.split()):
-                        continue
-                    place += 1
+                cut, held = [(k, line, line.split()) for k, line in enumerate(whole.split("\n"))], []
+                cut = [c for c in cut if c[2]]
+                for place, (k, line, tokens) in enumerate(cut):
                     leaf = leaf_of(tokens)
-                    at = leaf % LEAF_COUNTERS
-                    if not held[at >> 3] >> (7 - (at & 7)) & 1:
-                        continue
-                    if hashes is None:
-                        hashes, of_text, total = [0, *map(_hash, lines), 0], _signed(_hash(whole)), len(whole.split())
-                        filled = [0, *(_signed(h) for h, x in zip(hashes[1:], lines) if x.strip()), 0]
-                    own = _signed(hashes[k + 1])
-                    context = _signed(_hash(f"{hashes[k]} {hashes[k + 2]}"))
-                    if fresh := own not in sent:
+                    often = marked(0, leaf)
+                    if often or len(tokens) >= LONG_WORDS and marked(1, _hash(line)):
+                        held.append((place, k, line, leaf if often else None, tokens))
+                if not held:
+                    continue
+                total, passed = sum(len(tokens) for _, _, tokens in cut), {h[0] for h in held}
+                for place, k, line, leaf, tokens in held:
+                    own, keys = _signed(_hash(line)), None
+                    if leaf is not None and own not in sent:
                         if len(sent) < REMEMBERED:
                             sent.add(own)
-                    rows.append((key, k, own, context, of_text, place, filled[place], filled[place + 2], len(tokens), total, len(filled) - 2, field_keys(leaf, tokens) if fresh else None))
-                    if len(rows) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                        keys = field_keys(leaf, tokens)
+                    rows.append((of_text, place, k, own, len(tokens), total, keys))
+                    lines.append(line)
+                rest = [line for place, (_, line, _) in enumerate(cut) if place not in passed]
+                rows.append((of_text, -1, None, None, 0, total, len(rest)))
+                lines.extend(rest)
+            if not rows:
+                continue
+            made, sketches, keys = _sketches(lines), [], []
+            for row in rows:
+                if row[3] is None:
+                    sketches.append(np.min([next(made) for _ in range(row[6])], axis=0) if row[6] else np.full(SKETCH, _NONE, np.int64))
+                    keys.append(None)
+                else:
+                    sketches.append(next(made))
+                    keys.append(row[6])
+            columns = [*list(zip(*rows))[:6], *np.array(sketches).T, keys]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+    schema = f"whole bigint, place int, line_no int, line bigint, words int, total int, {', '.join(f'{s} bigint' for s in _PARTS)}, keys array<bigint>"
+    return small_batches(docs.select(F.xxhash64(text).alias("whole"), text)).mapInArrow(run, schema)
+
+
+def templates_of(seen: DataFrame) -> DataFrame:
+    """line, template, asked: the template of every line, and in how many documents it has to be found."""
+    lines = seen.where("line IS NOT NULL").groupBy("line", "whole").agg(F.first("words").alias("words"), F.first("keys", ignorenulls=True).alias("keys"))
+    lines = written(lines.groupBy("line").agg(F.count("*").alias("texts"), F.first("words").alias("words"), F.first("keys", ignorenulls=True).alias("keys")))
+    keys = lines.select("line", "texts", F.explode("keys").alias("key")).where("key <> 0")
+    constant = keys.groupBy("key").agg(F.sum("texts").alias("held")).where(F.col("held") >= MIN_TEXTS).select("key")
+    parsed = keys.join(constant, "key").groupBy("line").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("key")).alias("fields"))
+    plain = F.size(F.filter("keys", lambda key: key != 0))
+    holds = F.col("constants") >= F.greatest(plain * CONSTANT, F.lit(1))
+    asked = F.when(F.col("words") >= LONG_WORDS, LONG_DOCUMENTS).otherwise(MIN_DOCUMENTS)
+    return lines.join(parsed, "line", "left").select("line", F.when(holds, F.xxhash64("words", "fields")).otherwise(F.col("line")).alias("template"), asked.alias("asked"))
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id bigint, line_no int, line bigint, context bigint, whole bigint, place int, before bigint, after bigint, words int, total int, places int, keys array<bigint>")
 
+def run_labels(shared: DataFrame) -> DataFrame:
+    """template, label for the runs of shared lines in texts that tell of them; copies have one label.
 
-def run_surroundings(seen: DataFrame) -> DataFrame:
-    """line, surroundings: how many different ones the runs that hold a line have in documents of their own."""
-    shared = seen.groupBy("line", "whole").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS).select("line")
-    lines = seen.join(shared, "line").groupBy("whole", "place").agg(*(F.any_value(c).alias(c) for c in ("line", "before", "after", "words", "total", "places")))
-    of_text = Window.partitionBy("whole")
+    `shared` has the texts' rows, once for each text, with the template where a line is shared and null elsewhere.
+    """
+    by_place = Window.partitionBy("whole").orderBy("place")
+    before, after = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(1, Window.unboundedFollowing)
+    around = {f"{s}_{side}": F.min(s).over(w) for s in _PARTS for side, w in (("before", before), ("after", after))}
+    run = F.col("place") - F.row_number().over(Window.partitionBy("whole", F.col("template").isNull()).orderBy("place"))
+    ends = [F.least(F.min_by(f"{s}_before", "place"), F.max_by(f"{s}_after", "place")).alias(s) for s in _PARTS]
     runs = (
-        lines.withColumns({"run": F.col("place") - F.row_number().over(of_text.orderBy("place")), "shared": F.sum("words").over(of_text), "held": F.count("*").over(of_text)})
-        .groupBy("whole", "run", "total", "places", "shared", "held")
-        .agg(F.min_by("before", "place").alias("before"), F.max_by("after", "place").alias("after"), F.sum("words").alias("words"), F.count("*").alias("length"), F.collect_set("line").alias("lines"))
-        .withColumn("runs", F.count("*").over(of_text))
-    )
-    own, own_lines = F.col("total") - F.col("shared"), F.col("places") - F.col("held")
-    few = (F.col("runs") <= 2) & (own >= (F.col("total") - F.col("words")) * OWN_WORDS)
-    told = runs.where((own >= F.col("total") * OWN_TEXT) & ((own_lines >= (F.col("places") - F.col("length")) * OWN_LINES) | few))
-    once = told.select("whole", F.xxhash64("before", "after").alias("around"), F.explode("lines").alias("line")).groupBy("line", "whole").agg(F.min("around").alias("around"))
-    return once.groupBy("line", "around").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("surroundings"))
+        shared.withColumns(around).withColumn("run", run).where("template IS NOT NULL")
+        .groupBy("whole", "run", "total").agg(*ends, F.sum("words").alias("inside"), F.collect_set("template").alias("templates"))
+        .where((F.col("total") - F.col("inside")) >= F.greatest(F.col("total") * OWN, F.lit(1)))
+    )
+    runs = written(runs.select(F.xxhash64("whole", "run").alias("item"), "templates", F.array(*_PARTS).alias("sketch")))
+    pairs = [F.when((F.get("sketch", F.lit(k)) < _NONE) & (F.get("sketch", F.lit((k + 1) % SKETCH)) < _NONE), F.xxhash64(F.lit(k), F.get("sketch", F.lit(k)), F.get("sketch", F.lit((k + 1) % SKETCH)))) for k in range(SKETCH)]
+    values = written(runs.select("item", F.explode(F.array_compact(F.array(*pairs))).alias("value")))
+    labels = values.select("item", F.col("item").alias("label")).distinct()
+    for _ in range(ROUNDS):
+        least = values.join(labels, "item").groupBy("value").agg(F.min("label").alias("label"))
+        labels = written(values.join(least, "value").groupBy("item").agg(F.min("label").alias("label")))
+    return runs.join(labels, "item", "left").select(F.explode("templates").alias("template"), F.coalesce("label", "item").alias("label"))
 
 
 def recurring_lines(seen: DataFrame) -> DataFrame:
     """The line hashes whose template recurs across documents, from a written table of occurrences."""
-    counts = (
-        seen.groupBy("line", "context", "whole").agg(F.lit(1).alias("one"))
-        .groupBy("line", "context").agg(F.count("*").alias("texts"))
-        .groupBy("line").agg(F.sum("texts").alias("texts"), F.count("*").alias("contexts"))
+    templates = written(templates_of(seen))
+    texts = seen.groupBy("whole", "place").agg(*(F.first(c).alias(c) for c in ("line", "words", "total", *_PARTS)))
+    held = written(texts.join(templates, "line", "left"))
+    common = (
+        held.where("template IS NOT NULL").groupBy("template", "whole").agg(F.min("asked").alias("asked"))
+        .groupBy("template").agg(F.count("*").alias("texts"), F.min("asked").alias("asked"))
+        .where("texts >= asked").select("template", F.col("asked").alias("least"))
     )
-    fields = seen.where("keys IS NOT NULL").groupBy("line").agg(F.any_value("keys").alias("keys"))
-    lines = written(fields.join(counts, "line").join(run_surroundings(seen), "line", "left").fillna(0, ["surroundings"]))
-    keys = lines.select("line", "texts", F.explode("keys").alias("key")).where("key <> 0")
-    constant = keys.groupBy("key").agg(F.sum("texts").alias("held")).where(F.col("held") >= MIN_TEXTS).select("key")
-    parsed = keys.join(constant, "key").groupBy("line").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("key")).alias("fields"))
-    templates = written(
-        lines.select("line", "texts", "contexts", "surroundings", F.size("keys").alias("tokens"))
-        .join(parsed, "line")
-        .where(F.col("constants") >= F.col("tokens") * CONSTANT)
-        .select("line", "texts", "contexts", "surroundings", F.xxhash64("tokens", "fields").alias("template"))
-    )
-    sums = templates.groupBy("template").agg(*(F.sum(c).alias(c) for c in ("texts", "contexts", "surroundings")))
-    recurring = sums.where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") * 2 >= F.col("texts")) | (F.col("surroundings") >= MIN_CONTEXTS))
-    return templates.join(recurring.select("template"), "template").select("line")
-
-
-def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    common = written(common)
+    shared = held.drop("asked").join(common.withColumnRenamed("least", "asked"), "template", "left").withColumn("template", F.when(F.col("asked").isNotNull(), F.col("template")))
+    told = run_labels(shared).groupBy("template", "label").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"))
+    recurring = told.join(common, "template").where("documents >= least").select("template")
+    return templates.join(recurring, "template").select("line")
+
+
+def drop_recurring_lines(docs: DataFrame, text: str = "text", lines: str = "lines", dropped: str = "dropped") -> DataFrame:
     """The documents with all lines of recurring templates taken out of their text.
 
     Added columns: `lines` (how many there were) and `dropped` (positions from 0 of those taken out).
     """
-    seen = written(occurrences(docs, doc_id, text))
-    recurring = small_side(written(recurring_lines(seen)))
-    dropped = seen.join(recurring, "line").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
-    found = dropped.withColumnRenamed("doc_id", "_doc_of_dropped")
-    joined = docs.join(found, docs[doc_id] == found["_doc_of_dropped"], "left").drop("_doc_of_dropped")
+    seen = written(occurrences(docs, text))
+    recurring = written(recurring_lines(seen))
+    plain = docs.drop(lines, dropped)
+    if recurring.count() <= BROADCAST_ROWS:
+        return _cut_by_lines(plain, text, lines, dropped, recurring)
+    of_text = F.xxhash64(text)
+    found = seen.join(recurring, "line").groupBy("whole").agg(F.sort_array(F.collect_set("line_no")).alias(dropped))
+    found = found.withColumnRenamed("whole", "_whole_of_dropped")
+    joined = plain.join(found, of_text == F.col("_whole_of_dropped"), "left").drop("_whole_of_dropped")
     cut = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(cut, lambda line, k: ~F.array_contains("dropped", k)), "\n")
-    return joined.withColumns({"lines": F.coalesce(F.size(cut), F.lit(0)), text: F.when(F.col("dropped").isNull(), F.col(text)).otherwise(kept), "dropped": F.coalesce("dropped", F.array().cast("array<int>"))})
+    kept = F.array_join(F.filter(cut, lambda line, k: ~F.array_contains(dropped, k)), "\n")
+    shorter = F.when(F.col(dropped).isNull(), F.col(text)).otherwise(kept)
+    return joined.withColumns({lines: F.coalesce(F.size(cut), F.lit(0)), text: shorter, dropped: F.coalesce(dropped, F.array().cast("array<int>"))})
+
+
+def _cut_by_lines(docs: DataFrame, text: str, lines: str, dropped: str, recurring: DataFrame) -> DataFrame:
+    """Documents without the lines of a list of hashes whose length is checked, in one pass."""
+    gone = docs.sparkSession.sparkContext.broadcast(np.sort(recurring.toArrow()["line"].to_numpy()))
+    schema = docs.withColumns({lines: F.lit(0), dropped: F.array().cast("array<int>")}).schema
+    arrow, at = to_arrow_schema(schema), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [None if t is None else t.split("\n") for t in batch.column(at).to_pylist()]
+            hashes = np.array([_signed(_hash(line)) for t in cut if t for line in t], np.int64)
+            places = np.searchsorted(gone.value, hashes)
+            hit = (gone.value[np.minimum(places, len(gone.value) - 1)] == hashes) if len(gone.value) else np.zeros(len(hashes), bool)
+            texts, positions, counts, k = [], [], [], 0
+            for t in cut:
+                flags = hit[k : k + len(t or ())]
+                k += len(flags)
+                positions.append([n for n, (f, line) in enumerate(zip(flags, t or ())) if f and line.strip()])
+                of_line = set(positions[-1])
+                texts.append(None if t is None else "\n".join(line for n, line in enumerate(t) if n not in of_line))
+                counts.append(len(t or ()))
+            columns = [pa.array(texts, arrow.field(c).type) if c == at else batch.column(c) for c in range(batch.num_columns)]
+            columns += [pa.array(counts, pa.int32()), pa.array(positions, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return small_batches(docs).mapInArrow(run, schema)

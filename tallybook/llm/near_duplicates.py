@@ -76,8 +76,8 @@ def prefix_length(n: int, shared: int = 1) -> int:
 
 
 def required(n: int) -> int:
-    """Shared prefix shingles asked of a set of size n, one in twenty; of a pair, what the smaller set asks."""
-    return 1 + n // 20
+    """Shared prefix shingles asked of a set of size n, one in forty; of a pair, what the smaller set asks."""
+    return 1 + n // 40
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def _compatible(n: Column, m: Column) -> Column:
 
 
 def _required(n: Column, m: Column) -> Column:
-    return (F.least(n, m) / 20).cast("int") + 1
+    return (F.least(n, m) / 40).cast("int") + 1
 
 
 def _overlap(n: Column, m: Column) -> Column:

@@ -5,10 +5,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallybook.llm import best_fit_packing, components, decontamination, line_templates, near_duplicates, sharding, url_rules
+from tallybook.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string"
 
@@ -128,6 +131,139 @@ def test_line_templates_copy_group(spark):
     assert [got[k] for k in range(70)] == [[1]] * 10 + [[3]] * 60
 
 
+def _own(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    return lambda n=12: " ".join(word() for _ in range(n))
+
+
+def dropped_of(spark, texts):
+    return {r["doc_id"]: r["dropped"] for r in line_templates.drop_recurring_lines(docs_of(spark, texts)).collect()}
+
+
+def test_line_templates_footer_chorus_and_fields(spark):
+    own = _own(16)
+    footer = [own(6), own(8), own(5)]
+    texts = ["\n".join([own(), own(), *footer]) for _ in range(20)]
+    chorus = own()
+    texts.append("\n".join(x for _ in range(6) for x in (own(), chorus)))
+    texts += [f"{own()}\nPage {k} of 10\n{own()}\nPosted here by {own(1)} on 2024-01-0{k}" for k in range(1, 8)]
+    got = dropped_of(spark, texts)
+    assert [got[k] for k in range(28)] == [[2, 3, 4]] * 20 + [[]] + [[1, 3]] * 7
+
+
+def test_line_templates_copies_of_two_lines(spark):
+    """Copies edited in one of two lines keep the other; a long passage of two unrelated documents goes, of two copies it stays."""
+    own = _own(17)
+    first, second = own(40), own(40)
+    texts = []
+    for k in range(30):
+        words = first.split()
+        words[k % 40], words[(k * 7 + 3) % 40] = own(2).split()
+        texts.append(" ".join(words) + "\n" + second)
+    passage = own(60)
+    texts += [f"{own(30)}\n{passage}", f"{passage}\n{own(30)}"]
+    other, kept = own(60), own(30).split()
+    texts += [f"{' '.join(kept)}\n{other}", f"{' '.join(kept[:-1])} x\n{other}"]
+    got = dropped_of(spark, texts)
+    assert [got[k] for k in range(34)] == [[]] * 30 + [[1], [0]] + [[], []]
+
+
+def brute_recurring(texts):
+    """Recurring templates by plain Python: dicts, sets and full closure of what copies agree in."""
+    texts = sorted({t for t in texts if t})
+    cut = {t: [(k, line) for k, line in enumerate(t.split("\n")) if line.split()] for t in texts}
+    digit = re.compile(r"\d")
+    leaf_lines, holders = defaultdict(int), defaultdict(set)
+    leaf = lambda line: (len(line.split()), *("*" if digit.search(x) else x for x in line.split()[:3]))
+    for t in texts:
+        for _, line in cut[t]:
+            leaf_lines[leaf(line)] += 1
+            holders[line].add(t)
+    field = Counter()
+    for line, held in holders.items():
+        for at in enumerate(line.split()):
+            field[leaf(line), at] += len(held)
+    template = {}
+    for line in holders:
+        plain = [x for x in enumerate(line.split()) if not digit.search(x[1])]
+        fixed = [x for x in plain if field[leaf(line), x] >= 5]
+        template[line] = (len(line.split()), leaf(line), *fixed) if leaf_lines[leaf(line)] >= 5 and fixed and len(fixed) >= 0.7 * len(plain) else line
+    texts_of = defaultdict(set)
+    for line, held in holders.items():
+        texts_of[template[line]] |= held
+    asked = {template[line]: 2 if len(line.split()) >= 50 else 5 for line in holders}
+    shared = {t for t, held in texts_of.items() if len(held) >= asked[t]}
+    runs = []
+    for t in texts:
+        marks = [template[line] in shared for _, line in cut[t]]
+        for begin in range(len(marks)):
+            if marks[begin] and not (begin and marks[begin - 1]):
+                end = begin
+                while end < len(marks) and marks[end]:
+                    end += 1
+                outside = [line for k, (_, line) in enumerate(cut[t]) if not begin <= k < end]
+                words = sum(len(line.split()) for line in outside)
+                if words >= max(1, 0.2 * sum(len(line.split()) for _, line in cut[t])):
+                    hashes = np.unique(np.concatenate(list(shingle_sets(pa.array(outside), 3)))).tolist()
+                    least = {k: min(h for h in hashes if h % 16 == k) for k in {h % 16 for h in hashes}}
+                    sketch = {(least[k], least[(k + 1) % 16]) for k in least if (k + 1) % 16 in least}
+                    runs.append(({template[line] for _, line in cut[t][begin:end]}, sketch))
+    root = list(range(len(runs)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(runs)):
+            for b in range(a):
+                if root[a] != root[b] and runs[a][1] & runs[b][1]:
+                    root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+                    changed = True
+    labels = defaultdict(set)
+    for (held, _), r in zip(runs, root):
+        for t in held:
+            labels[t].add(r)
+    return lambda line: bool(line.split()) and template[line] in shared and len(labels[template[line]]) >= asked[template[line]]
+
+
+def test_line_templates_brute(spark):
+    own = _own(18)
+    notes = [own(5), own(9), own(55)]
+    rng = random.Random(2)
+    texts = [None, "", " \n", "one"]
+    for k in range(60):
+        lines = [own(rng.randint(3, 14)) for _ in range(rng.randint(1, 5))]
+        for note in notes:
+            if rng.random() < 0.2:
+                lines.insert(rng.randint(0, len(lines)), note)
+        if rng.random() < 0.3:
+            lines.append(f"issue {rng.randint(1, 99)} of the year {rng.randint(1900, 2000)} in print")
+        texts.append("\n".join(lines))
+        for _ in range(rng.choice((0, 0, 0, 1, 8))):
+            at = rng.randrange(len(lines))
+            texts.append("\n".join([*lines[:at], lines[at] + " " + own(1), *lines[at + 1 :]]))
+    recurs, got = brute_recurring(texts), dropped_of(spark, texts)
+    for k, t in enumerate(texts):
+        assert got[k] == [n for n, line in enumerate((t or "").split("\n")) if line.strip() and recurs(line)], k
+    assert any(got.values())
+
+
+def test_line_templates_names_and_ids(spark):
+    """Columns named like the added ones are replaced, rows of one id with different texts keep their own lines, both ways of cutting agree."""
+    own = _own(19)
+    footer = own(6)
+    rows = [(k // 2, f"{own()}\n{own()}\n{footer}" if k % 2 else f"{footer}\n{own()}", "old", "old", k) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines string, dropped string, whole int")
+    got = line_templates.drop_recurring_lines(docs)
+    assert {(r["whole"], r["lines"], tuple(r["dropped"])) for r in got.collect()} == {(k, 3, (2,)) if k % 2 else (k, 2, (0,)) for k in range(20)}
+    limit = line_templates.BROADCAST_ROWS
+    try:
+        line_templates.BROADCAST_ROWS = 0
+        other = line_templates.drop_recurring_lines(docs)
+        assert sorted(map(str, other.select(sorted(other.columns)).collect())) == sorted(map(str, got.select(sorted(got.columns)).collect()))
+    finally:
+        line_templates.BROADCAST_ROWS = limit
+
+
 def test_packing(spark, texts):
     docs = docs_of(spark, [*texts, "long " * 500, "long " * 500])
     rows = best_fit_packing.pack_documents(docs, 1000).collect()

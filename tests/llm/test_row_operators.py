@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +148,46 @@ def test_main_text_of_marks():
         assert line_blocks.main_text(f"<main><p>Text.</p><div class='{name}'>No</div><p hidden>No</p><p style='color: red; display:none'>No</p></main>") == "Text.", name
 
 
+A, B, C = (f"{x} " + "is a paragraph of the story, long enough to be told from a menu or a notice by its length alone." for x in ("One", "Two", "Three"))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1><a href=/>Headline</a></h1><p>Body</p><p><a href=/>Last</a></p></article>", "Headline\nBody\nLast"),
+        ('<article><p>One.</p><section id="related-work"><p>Work.</p></section><table class="share-price"><tr><td>5</table><p data-id="search-1">Two.</p></article>', "One.\nWork.\n5\nTwo."),
+        ("<article><p>One.</p><ul><li class=share>Share<li>Item</ul><p>Two.</p></article>", "One.\nItem\nTwo."),
+        ("<body><nav><ul><li>Menu<article><p>Text.</p></article></body>", "Text."),
+        (f"<body><article><p>{A}</p></article><p>x</p><article><p>{B}</p></article><article><p>No</p></article></body>", f"{A}\n{B}"),
+        (f"<div id=content><p>{A}</p><ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul><p>{B}</p></div>", f"{A}\n{B}"),
+        ('<p>One <a href="x>y</a> two.', "One y two."),
+        ("<p>1 < 2 and 3 > 2 &amp; a<b", "1 < 2 and 3 > 2 & a"),
+        (f"<form id=all><div><p>{A}</p><p>{B}</p></div></form>", f"{A}\n{B}"),
+        (f"<div><p>{A}<p>{B}</div><form><p>Name <input></p></form><div class='comment-list'><p>{C}</p><p>{C}</p></div>", f"{A}\n{B}"),
+        ("<article><dl><dt>T<dd>D<dt>U</dl><table><tr><td>1<td>2<tr><td>3</table></article>", "T\nD\nU\n1\n2\n3"),
+        ("<article><script>if (a < b) '</p>'</script><p>x<style>y</style>z</article><textarea>", "xz"),
+        ("<article><p>a</p><article class=comment><p>b</p></article><p>c</p></article>", "a\nc"),
+    ],
+)
+def test_main_text_of_fixtures(page, text):
+    assert line_blocks.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<x ", '<x "', "<a href='", "<", "<!--", "<p><b>", "<div class=a", "</p x=", "<script>", "&amp", "<nav>", "<li>x", "<a b= ", "<table><td>"])
+def test_broken_markup_in_linear_time(piece):
+    page = '"' + piece * (300_000 // len(piece)) if piece != '<x "' else piece + "<x " * 100_000
+    began = time.process_time()
+    line_blocks.main_text(page)
+    assert time.process_time() - began < 6
+
+
+def test_pages_of_any_kind(spark):
+    rows = [(1, "u", None, "n"), (2, None, "", "n"), (3, "u", f"<p>{A}</p>" * 20_000, "n"), (3, "u", f"<p>{A}</p>" * 20_000, "n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")
+    assert sorted((r["page_id"], r["n_chars"]) for r in line_blocks.extract_main_text(pages).collect()) == [(1, 0), (2, 0)] + [(3, 20_000 * (len(A) + 1) - 1)] * 2
+    assert line_blocks.extract_main_text(pages.where("false")).count() == 0
+
+
 def test_main_text_of_pages(spark, sf_dir):
     import html
 
