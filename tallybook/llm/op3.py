@@ -12,28 +12,3 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (what stays), lines, dropped (positions, comma-joined) of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return drop_recurring_lines(docs).select("doc_id", "text", "lines", F.array_join("dropped", ",").alias("dropped"))
-
-
-ORACLE = r"""
-WITH l AS (SELECT doc_id, md5(text) AS whole, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
-n AS (SELECT doc_id, whole, ls, unnest(range(1, len(ls) + 1)) AS k FROM l),
-o AS (SELECT doc_id, whole, k - 1 AS k, ls[k] AS line, CASE WHEN k > 1 THEN ls[k - 1] ELSE chr(1) END AS prev, CASE WHEN k < len(ls) THEN ls[k + 1] ELSE chr(1) END AS next FROM n),
-counts AS (
-  SELECT line, CAST(sum(texts) AS BIGINT) AS texts, count(*) AS contexts
-  FROM (SELECT line, prev, next, count(DISTINCT whole) AS texts FROM o GROUP BY line, prev, next) GROUP BY line),
-cut AS (SELECT line, texts, contexts, list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '') AS ws FROM counts),
-leaves AS (
-  SELECT line, texts, contexts, ws, len(ws) || chr(1) || array_to_string(list_transform(ws[1:3], lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), chr(1)) AS leaf
-  FROM cut WHERE len(ws) > 0),
-fields AS (SELECT line, texts, leaf, i, ws[i] AS w FROM (SELECT line, texts, leaf, ws, unnest(range(1, len(ws) + 1)) AS i FROM leaves) WHERE NOT regexp_matches(ws[i], '[0-9]')),
-constant AS (SELECT leaf, i, w FROM fields GROUP BY leaf, i, w HAVING sum(texts) >= 5),
-parsed AS (SELECT line, count(*) AS constants, string_agg(i || ':' || w, chr(1) ORDER BY i) AS fixed FROM fields JOIN constant USING (leaf, i, w) GROUP BY line),
-templates AS (SELECT line, texts, contexts, leaf || chr(2) || fixed AS template FROM leaves JOIN parsed USING (line) WHERE constants >= len(ws) * 0.8),
-recurring AS (SELECT template FROM templates GROUP BY template HAVING sum(contexts) >= 5 AND sum(contexts) * 2 >= sum(texts)),
-gone AS (SELECT DISTINCT line FROM templates JOIN recurring USING (template)),
-kept AS (
-  SELECT doc_id, string_agg(o.line, chr(10) ORDER BY k) FILTER (WHERE g.line IS NULL) AS text, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (WHERE g.line IS NOT NULL) AS dropped
-  FROM o LEFT JOIN gone g ON o.line = g.line GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN dropped IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 0) AS lines, coalesce(dropped, '') AS dropped
-FROM documents d LEFT JOIN kept USING (doc_id)
-"""

@@ -18,7 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_ngram_jaccard": op2.ORACLE,
-    "op3_line_dedup": op3.ORACLE,
     "op6_license_scan": op6.ORACLE,
     "op7_decontamination": op7.ORACLE,
     "op9_url_filters": op9.ORACLE,
