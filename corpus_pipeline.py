@@ -3,6 +3,10 @@
 Language ID drops texts without a language; line dedup takes recurring boilerplate out of texts (a text of nothing
 else goes); of each near-duplicate class the smallest doc_id stays; documents that hold a benchmark item go; what
 is left is packed into bins.
+
+Edge cases: null and blank texts go in the first stage; repeated rows and copies are one class in the third, whose
+smallest doc_id stays with all its rows; an empty table gives an empty one after every stage. Columns beyond those of
+documents are kept up to the last stage, whatever their names; ties are broken by doc_id.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out recurring lines; n_chars follows the text."""
-    cleaned = drop_recurring_lines(docs).where("size(dropped) = 0 OR trim(text) <> ''")
-    n_chars = F.when(F.size("dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
+    cleaned = drop_recurring_lines(docs, lines="_lines", dropped="_dropped").where("size(_dropped) = 0 OR trim(text) <> ''")
+    n_chars = F.when(F.size("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
     return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
 
 
