@@ -1,7 +1,7 @@
 """Media columns: texts stored as TIFF images, and TIFF columns walked into one row per page.
 
 `store_texts` packs a text's UTF-8 bytes, zero-padded to a positive multiple of 64, as an image of 64 samples a row.
-Codec and layout follow from the payload alone (its CRC-32 and size), so equal texts give equal files: PackBits
+Codec and layout follow from the payload's CRC-32 alone, at every size, so equal texts give equal files: PackBits
 strips, LZW strips, deflate tiles, or deflate strips with the horizontal predictor. `tiff_pages` decodes any
 column of TIFF files. Both run row by row inside tasks; nothing is shuffled.
 
@@ -21,8 +21,6 @@ from tallybook.llm import tiff
 from tallybook.llm.batches import map_rows
 
 SAMPLES_A_ROW = 64
-#: LZW is coded symbol by symbol in Python; larger payloads that would take it get deflate.
-LZW_BYTES = 8192
 CODECS = {tiff.NONE: "none", tiff.LZW: "lzw", tiff.DEFLATE: "deflate", tiff.OLD_DEFLATE: "deflate", tiff.PACKBITS: "packbits"}
 
 
@@ -38,7 +36,7 @@ def to_tiff(data: bytes) -> bytes:
     choice = zlib.crc32(data) % 4
     if choice == 0:
         page |= {"compression": tiff.PACKBITS}
-    elif choice == 1 and len(data) <= LZW_BYTES:
+    elif choice == 1:
         page |= {"compression": tiff.LZW}
     elif choice == 2:
         page |= {"compression": tiff.DEFLATE, "tile": SAMPLES_A_ROW}
