@@ -334,6 +334,25 @@ def test_contained_items(spark, texts):
     assert decontamination.contained_items(docs_of(spark, docs), nothing).count() == 0
 
 
+def test_contained_items_partitions(spark):
+    """Items of every size partition, at the threshold and just below; rows of one id, repeated rows, clashing names, no documents."""
+    own, rows, items, expected = _own(21), [], [], set()
+    for k, q in enumerate((1, 7, 8, 9, 16, 17, 33, 64, 65, 129, 257, 400)):
+        words = own(q + 4).split()
+        items.append((k, " ".join(words), "x"))
+        most = q - -(-8 * q // 10)  # so many shingles may be missing
+        for miss in {0, most, min(q, most + 1)}:
+            text = f"{own(40)} {' '.join(words[: len(words) - miss])} {own(40)}"
+            rows.append((len(rows), text, "x"))
+            if q - miss >= 0.8 * q and q > miss:
+                expected.add((len(rows) - 1, k, q - miss))
+    rows += [rows[0], (0, own(9), "y"), (0, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string").withColumns({"item": F.lit(1), "h": F.lit(1)})
+    got = decontamination.contained_items(docs, spark.createDataFrame(items, "item_id long, text string, q string"))
+    assert sorted((r["doc_id"], r["item_id"], r["shared"]) for r in got.collect()) == sorted(expected)
+    assert decontamination.contained_items(docs.where("false"), spark.createDataFrame(items, "item_id long, text string, q string")).count() == 0
+
+
 def test_sharding(spark, texts):
     rows = sharding.shard_documents(docs_of(spark, texts * 3).withColumn("doc_id", F.monotonically_increasing_id()), shards=5).collect()
     assert len(rows) == 3 * len(texts)
