@@ -14,9 +14,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a temporary one where that is unset, as in tests."""
+    """The folder in `spark.checkpoint.dir`; where that is unset, a temporary one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = tempfile.mkdtemp(prefix="spark-")

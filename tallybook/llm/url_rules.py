@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.storage import small_side
+from tallybook.llm.storage import small_side, written
 
 #: Hex digits of the digest used as the join key: 32 bits, as short prefixes of URL blocklists are.
 PREFIX_DIGITS = 8
+#: A url that is on very many pages is judged in so many parts, so no task has all its pages.
+SALTS = 64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,23 +56,24 @@ def match_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
         .select("prefix", "digest", "rule", "rule_verdict")
     )
-    lengths = rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))  # as many as a path can be long, at most
+    lengths = F.array(*(F.lit(r["n"]) for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()))  # at most as many as a path can be long
     parts = pages.select(F.col(key), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    judged = parts.select("host", "path").where("host <> '' OR path <> ''").distinct()
-    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    fits_none = (F.col("host") == "") & (F.col("path") == "")
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))  # a url of very many pages is judged once a salt
+    judged = parts.where(~fits_none).select("host", "path", "salt").distinct()
+    prefixes = F.transform(F.filter(lengths.cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (
-        judged.join(F.broadcast(lengths))  # one row
-        .select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", "suffix", F.explode("prefixes").alias("start"))
-        .select("host", "path", F.sha2(F.concat_ws("\n", "suffix", "start"), 256).alias("full"))
+        judged.select("host", "path", "salt", F.explode(host_suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes"))
+        .select("host", "path", "salt", "suffix", F.explode("prefixes").alias("start"))
+        .select("host", "path", "salt", F.sha2(F.concat_ws("\n", "suffix", "start"), 256).alias("full"))
         .withColumn("prefix", F.substring("full", 1, PREFIX_DIGITS))
     )
     found = (
-        expressions.join(small_side(listed), "prefix")
+        expressions.join(small_side(written(listed)), "prefix")
         .where(F.col("full") == F.col("digest"))
-        .groupBy("host", "path")
+        .groupBy("host", "path", "salt")
         .agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.col("rule"))).alias("hit"))
     )
-    return parts.join(found, ["host", "path"], "left").select(
-        key, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.rule_verdict", F.lit(default)).alias("verdict")
-    )
+    columns = [key, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.rule_verdict", F.lit(default)).alias("verdict")]
+    empty = parts.where(fits_none).select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return parts.where(~fits_none).join(found, ["host", "path", "salt"], "left").select(*columns).unionAll(empty)
