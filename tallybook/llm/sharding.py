@@ -4,7 +4,7 @@ Groups of equal texts are packed whole, largest first, each into the shard with
 that still takes it, found in a balanced tree of remaining capacities. The packing itself sees a bounded summary
 only: groups of at least 1/UNITS of all bytes are listed one by one (so at most UNITS of them), smaller ones are
 summed up in classes of nearly equal size (eight to an octave), cut by a hash of the group into `parts`. Equal
-items go to a shard in runs, so the plan is a list of rank ranges for each class; Spark ranks the groups within
+items (placed by the mean size of their class, which is within a twelfth of each item's) go to a shard in runs, so the plan is a list of rank ranges for each class; Spark ranks the groups within
 the classes and joins the ranges. A group larger than a whole shard cannot be placed by any packing; it is split
 into as few near-equal pieces as shards can take (where only the number of shards is given, a group may exceed
 an even share by a quarter before that).
@@ -68,8 +68,8 @@ def best_fit_decreasing(units: Iterable[tuple], capacity: float, shards: int | N
             first += taken
 
 
-def shards_of_groups(groups: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
-    """key -> array of shards (one, but for groups larger than a shard) for written groups (key, bytes).
+def shards_of_groups(groups: DataFrame, shards: int | None = None, capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """key -> array of shards (one, but for groups larger than a shard) for written groups (key, bytes): at most UNITS large ones, and the others.
 
     Either the number of shards is given (capacity: an even share) or their capacity (as few shards as the packing needs).
     """
@@ -102,7 +102,7 @@ def shards_of_groups(groups: DataFrame, shards: int | None = None, capacity: int
         .where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
         .select("key", F.array("shard").alias("shards"))
     )
-    return placed.unionByName(runs)
+    return placed, runs
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
@@ -118,7 +118,9 @@ def shard_documents(docs: DataFrame, shards: int | None = None, capacity: int |
     """doc_id, size, text_crc32, shard, slot: every document in its group's shard."""
     rows = written(docs.select(F.col(doc_id).alias("doc_id"), text_bytes(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), group_key(F.col(text)).alias("key")))
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
-    placed = shards_of_groups(groups, shards, capacity)
+    large, small = shards_of_groups(groups, shards, capacity)
+    large = F.broadcast(large)  # at most UNITS rows; so rows of a hot text stay where they are
+    placed = rows.join(large, "key").unionByName(rows.join(large, "key", "left_anti").join(small, "key"))
     piece = F.pmod(F.xxhash64("doc_id"), F.size("shards")).cast("int")
-    sharded = written(rows.join(placed, "key").select("doc_id", "size", "text_crc32", F.get("shards", piece).alias("shard")))
+    sharded = written(placed.select("doc_id", "size", "text_crc32", F.get("shards", piece).alias("shard")))
     return numbered(sharded, "doc_id")
