@@ -1,10 +1,12 @@
 """Language identification: each document as a mixture of languages, fitted by expectation-maximisation.
 
 Training counts byte trigrams of every labelled training row, per language, hashed into BUCKETS counters; Spark
-sums them, so the model is bounded by languages x BUCKETS and covers all rows. A document's words are its units:
+sums them, so the model covers all rows. It has MODEL counters at most: with more languages than these allow for
+(64), the counters of neighbouring buckets are joined, so a label column full of noise makes it coarser, not larger. A document's words are its units:
 a word's likelihood under a language is the product of its trigrams' probabilities. Expectation-maximisation
 finds the proportions of the languages; the language set is the one with the highest likelihood less PENALTY
-times half the logarithm of the number of words per language in it. The prediction is the largest proportion.
+times half the logarithm of the number of words per language in it. The prediction is the largest proportion; its score
+is the mean probability of that language over the words, each judged by itself with all languages alike beforehand.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; so is everything when no labelled row
 could be learned from. Ties go to the first language in sorted order. Rows are judged one by one, whole texts,
@@ -20,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.batches import map_rows
+from tallybook.llm.batches import map_rows, small_batches
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 ITERATIONS = 12
 #: Times half the logarithm of the number of words, for each language in the set; guards against chance words.
 PENALTY = 8.0
-#: Languages learned at most; the model has so many rows of BUCKETS counters.
-MAX_LANGUAGES = 256
+#: Counters of the model.
+MODEL = BUCKETS * 64
 UNDETERMINED = "und"
 
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -51,30 +53,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets of trigrams in a model of fewer than BUCKETS."""
+    return ids >> (BUCKETS // buckets).bit_length() - 1
+
+
+def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            held = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            ids = trigram_buckets(text)[0]
-            if len(ids) < BUCKETS // 4:
+            held = counts.setdefault(lang, np.zeros(buckets, np.int64))
+            ids = _joined(trigram_buckets(text)[0], buckets)
+            if len(ids) < buckets // 4:
                 np.add.at(held, ids, 1)
             else:
-                held += np.bincount(ids, minlength=BUCKETS)
+                held += np.bincount(ids, minlength=buckets)
     for lang, held in counts.items():
         used = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(held[used], pa.int64())], ["lang", "bucket", "n"])
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Sorted languages and their log probabilities (BUCKETS x languages) from all rows that aren't held out."""
+    """Sorted languages and their log probabilities (buckets x languages) from all rows that aren't held out."""
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-    sums = rows.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = sums.toArrow()  # at most languages x BUCKETS rows
-    languages = sorted(set(table["lang"].to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} can be learned")
-    counts = np.full((BUCKETS, len(languages)), SMOOTHING)
+    languages = sorted(r[0] for r in rows.select(lang).distinct().collect())
+    buckets = BUCKETS
+    while buckets > 1 and buckets * len(languages) > MODEL:
+        buckets //= 2
+    counted = small_batches(rows).mapInArrow(lambda batches: _count(batches, buckets), "lang string, bucket bigint, n bigint")
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MODEL rows
+    counts = np.full((buckets, len(languages)), SMOOTHING)
     place = {x: k for k, x in enumerate(languages)}
     counts[table["bucket"].to_numpy(), [place[x] for x in table["lang"].to_pylist()]] += table["n"].to_numpy()
     return languages, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32)
@@ -109,8 +117,19 @@ def language_set(loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best[1], best[2]
 
 
+def word_likelihoods(table: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Log likelihood of each word under each language."""
+    return np.add.reduceat(table[_joined(ids, len(table))], starts, axis=0).astype(np.float64)
+
+
+def certainty(loglik: np.ndarray, language: int) -> float:
+    """The mean over words of a language's probability, all languages being as likely beforehand."""
+    likelihood = np.exp(loglik - loglik.max(axis=1, keepdims=True))
+    return float((likelihood[:, language] / likelihood.sum(axis=1)).mean())
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (the predicted language's share) and shares (language -> proportion) of every row."""
+    """doc_id, lang_pred, score and shares (language -> proportion) of every row."""
     languages, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -119,9 +138,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
         if not len(starts) or not languages or not any(c.isalpha() for c in words):
             yield key, UNDETERMINED, 0.0, []
             return
-        members, share = language_set(np.add.reduceat(shared.value[ids], starts, axis=0).astype(np.float64))
+        loglik = word_likelihoods(shared.value, ids, starts)
+        members, share = language_set(loglik)
         top = max(range(len(members)), key=lambda k: (share[k], -members[k]))
-        yield key, languages[members[top]], float(min(1.0, share[top])), [(languages[m], float(s)) for m, s in zip(members, share)]
+        yield key, languages[members[top]], min(1.0, certainty(loglik, members[top])), [(languages[m], float(s)) for m, s in zip(members, share)]
 
     return map_rows(docs.select(doc_id, text), judge, "doc_id bigint, lang_pred string, score double, shares map<string,double>")
 
@@ -136,10 +156,10 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least:
         ids, starts = trigram_buckets(words or "")
         if not len(starts) or not languages or not any(c.isalpha() for c in words):
             return False
-        return bool(language_set(np.add.reduceat(shared.value[ids], starts, axis=0).astype(np.float64))[1].max() >= least)
+        return bool(language_set(word_likelihoods(shared.value, ids, starts))[1].max() >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([accepted(t) for t in batch.column(column).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

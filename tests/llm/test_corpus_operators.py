@@ -371,6 +371,33 @@ def test_sharding(spark, texts):
     assert len({r["shard"] for r in hot if r["text_crc32"] == zlib.crc32(b"same text")}) >= 1 and len(hot) == 50 + len(texts)
 
 
+def test_op8_brute(spark, sf_dir):
+    """The registered query against best-fit-decreasing over a plain list of shards; only groups below 1/UNITS of all bytes are placed by a class mean."""
+    from tallybook.llm.op8 import SHARDS, op8_sharding
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = op8_sharding(spark, sf_dir).collect()
+    size = {k: len((t or "").encode()) + 8 for k, t in texts.items()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {k: (size[k], zlib.crc32((t or "").encode())) for k, t in texts.items()}
+    groups = defaultdict(list)
+    for k, t in texts.items():
+        groups[t].append(k)
+    sizes = sorted((sum(size[k] for k in ks) for ks in groups.values()), reverse=True)
+    even = -(-sum(sizes) // SHARDS)
+    assert sizes[0] < even
+    loads = [0] * SHARDS
+    for n in sizes:
+        fits = [s for s in range(SHARDS) if loads[s] + n <= sum(sizes) / SHARDS]
+        loads[max(fits, key=lambda s: (loads[s], -s)) if fits else min(range(SHARDS), key=lambda s: (loads[s], -s))] += n
+    found, shard_of, slots = [0] * SHARDS, {}, defaultdict(list)
+    for r in got:
+        found[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        assert shard_of.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+    assert max(abs(a - b) for a, b in zip(sorted(found), sorted(loads))) <= 3 * sum(sizes) // 24_000
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_best_fit_decreasing():
     units = [("a", 7, 3), ("b", 4, 4), ("c", 2, 5), ("d", 1, 3)]
     plan = list(sharding.best_fit_decreasing(units, 10))

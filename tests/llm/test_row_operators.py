@@ -228,6 +228,50 @@ def test_language_mixture(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 6] and kept.columns == frame(spark, asked).columns
 
 
+def plain_mixture(loglik, members, rounds=400):
+    """EM over words with plain loops."""
+    share = {m: 1 / len(members) for m in members}
+    for _ in range(rounds):
+        posteriors = []
+        for row in loglik:
+            top = max(row[m] for m in members)
+            weights = {m: share[m] * np.exp(row[m] - top) for m in members}
+            posteriors.append({m: w / sum(weights.values()) for m, w in weights.items()})
+        share = {m: sum(p[m] for p in posteriors) / len(posteriors) for m in members}
+    value = sum(np.log(sum(share[m] * np.exp(row[m] - max(row)) for m in members)) + max(row) for row in loglik)
+    return share, value
+
+
+def test_language_mixture_brute():
+    """EM and the choice of the set against plain loops and all subsets."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    for true, words in (([0], 40), ([1, 2], 80), ([0, 1, 2, 3], 200), ([3], 3)):
+        loglik = rng.normal(-30, 1, (words, 4))
+        for k in range(words):
+            loglik[k, true[k % len(true)]] += 8
+        share, value = language_mixture.mixture(loglik, np.array(true))
+        plain, plain_value = plain_mixture(loglik, true)
+        assert all(abs(share[k] - plain[m]) < 0.01 for k, m in enumerate(true)) and abs(value - plain_value) < 0.1
+        cost = language_mixture.PENALTY * 0.5 * np.log(words + 1)
+        best = max((s for n in range(1, 5) for s in combinations(range(4), n)), key=lambda s: plain_mixture(loglik, s, 60)[1] - cost * len(s))
+        members, _ = language_mixture.language_set(loglik)
+        assert sorted(members.tolist()) == sorted(best)
+        assert abs(language_mixture.certainty(loglik, 0) - sum(np.exp(r[0]) / np.exp(r).sum() for r in loglik) / words) < 1e-9
+
+
+def test_language_many_labels_ties_and_long_texts(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5, f"l{k:03}") for k in range(300)]
+    model = language_mixture.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model[1].size <= language_mixture.MODEL and 200 < len(model[0]) <= 300
+    twins = [(k, "same words in both", "bb" if k % 2 else "aa") for k in (1, 3, 4, 6, 8, 9) * 2]
+    model = language_mixture.train(spark.createDataFrame(twins, "doc_id bigint, text string, lang string"))
+    model = (model[0], np.repeat(model[1][:, :1], len(model[0]), axis=1))
+    got = language_mixture.identify(frame(spark, ["same words", "same words", "words " * 100_000]), model).collect()
+    assert [r["lang_pred"] for r in got] == ["aa"] * 3
+
+
 # shingles and trees
 
 
