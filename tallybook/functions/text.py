@@ -110,8 +110,9 @@ def date_dd_mm_yyyy(c: Column) -> Column:
 
 
 def rfc822_timestamp(c: Column) -> Column:
-    """`Tue, 03 Jun 2025 10:00:00 GMT` as a timestamp; the weekday is not needed."""
-    return F.try_to_timestamp(found(c, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})"), F.lit("d MMM yyyy HH:mm:ss"))
+    """`Tue, 03 Jun 2025 10:00:00 +0530` as a timestamp; the weekday is not needed, named zones and none are Greenwich time."""
+    moment, zone = found(c, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})"), found(c, r"\d{2}:\d{2}:\d{2}\s+([+-]\d{4})")
+    return F.try_to_timestamp(F.concat(moment, F.lit(" "), F.coalesce(zone, F.lit("+0000"))), F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
 def after_marker(c: Column, marker: str) -> Column:
@@ -141,7 +142,7 @@ def coded_name(c: Column) -> Column:
 def labelled_segment(c: Column, label: str) -> Column:
     """Text of the first `<br>`-separated segment that starts with a label, so `BR` is not found in `SBR`."""
     segments = F.transform(F.split(unescaped(c), r"(?i)<br\s*/?>"), F.trim)
-    return blank_to_null(F.substring(F.get(F.filter(segments, lambda s: s.startswith(label)), F.lit(0)), len(label) + 1, 10_000))
+    return blank_to_null(F.substr(F.get(F.filter(segments, lambda s: s.startswith(label)), F.lit(0)), F.lit(len(label) + 1)))
 
 
 def lakh_of_rupees(c: Column) -> Column:
@@ -166,6 +167,16 @@ def without_code_suffix(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s*\(\d+\)\s*$", ""))
 
 
+def letter_runs(c: Column, shortest: int, longest: int) -> Column:
+    """Distinct runs of so many characters of a text."""
+
+    def of_size(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+    runs = F.concat(*(of_size(n) for n in range(shortest, longest + 1)))
+    return F.array_distinct(F.filter(runs, lambda g: F.length(g) >= shortest))
+
+
 def entity_key(name: Column) -> Column:
     """Upper case, letters and digits only, no stop words, single blanks; empty for null."""
     plain = F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"[^A-Z0-9\s]", "")
@@ -261,6 +272,21 @@ def money_label(lakh: Column) -> Column:
     return F.when(lakh >= 100, F.format_string("Rs %.2f Cr", lakh / 100)).otherwise(F.format_string("Rs %.2f L", lakh))
 
 
+def short_money(lakh: Column) -> Column:
+    """Whole crores from a hundred lakh on, else whole lakh: `Rs 3 Cr`, `Rs 45 L`."""
+    return F.when(lakh >= 100, F.format_string("Rs %.0f Cr", lakh / 100)).otherwise(F.format_string("Rs %.0f L", lakh))
+
+
+def rupees(amount: Column) -> Column:
+    """Rupees with thousands commas and no paise; a dash for null."""
+    return F.coalesce(F.format_number(amount, 0), F.lit("-"))
+
+
+def title_case(c: Column) -> Column:
+    """Each word with a capital."""
+    return F.initcap(F.trim(c))
+
+
 def relative_time(then: Column, as_of: Column) -> Column:
     """`5m ago`, `3h ago`, `2d ago`."""
     minutes = F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))) / 60)

@@ -8,22 +8,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import entity_key, name_distance, name_tokens
+from tallybook.functions.text import entity_key, letter_runs, name_tokens
+from tallybook.operators.merge import partial_upsert
+from tallybook.session import written
 
 
 def work_facts(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
-    """Work orders: one row per line item with its vendor, ward, year, sanctioned amount and deduction."""
+    """Work orders: one row per line item with its vendor's name as written and phone, ward, year and amounts.
+
+    The tables have one spelling of a name; every fourth line has it in capitals, every fourth with a suffix, and one
+    vendor in three has no phone.
+    """
+    sanctioned = F.col("l_extendedprice").cast("decimal(18,2)")
+    deduction = (sanctioned * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)")
+    name = F.when(F.col("l_linenumber") % 4 == 0, F.upper("s_name")).when(F.col("l_linenumber") % 4 == 1, F.concat("s_name", F.lit(" Pvt Ltd"))).otherwise(F.col("s_name"))
     return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.col("l_suppkey").alias("vendor_key"),
-            F.col("s_name").alias("vendor_name"),
+            name.alias("vendor_name"),
+            F.when(F.col("l_suppkey") % 3 != 0, F.lpad(F.col("l_suppkey").cast("string"), 10, "9")).alias("phone"),
             F.col("c_nationkey").alias("ward_no"),
             F.year("o_orderdate").cast("string").alias("fy"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("sanctioned"),
-            (F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)").alias("deduction"),
+            sanctioned.alias("sanctioned"),
+            (sanctioned - deduction).cast("decimal(18,4)").alias("net_paid"),
+            deduction.alias("deduction"),
         )
     )
 
@@ -39,26 +49,44 @@ def lakh(amount: Column) -> Column:
 
 
 def vendor_profiles(facts: DataFrame, government_patterns: Iterable[str]) -> DataFrame:
-    """Group work orders into vendor profiles; sums are decimal, so they don't depend on row order."""
+    """Group work orders into vendor profiles by phone, else by trimmed lower-case name; rows without a name don't count.
+
+    The most frequent spelling is the profile's name (the first by letters if several are), all are its aliases. Sums
+    are decimal, so they don't depend on row order.
+    """
     sanctioned, deduction = F.sum("sanctioned"), F.sum("deduction")
+    named = facts.where(F.col("vendor_name").isNotNull()).withColumn("key", F.coalesce("phone", F.lower(F.trim("vendor_name"))))
     return (
-        facts.groupBy("vendor_key")
+        named.groupBy(F.when(F.col("phone").isNotNull(), F.concat(F.lit("ph_"), "phone")).otherwise(F.concat(F.lit("nm_"), "key")).alias("entity_id"), "phone")
         .agg(
-            F.min("vendor_name").alias("canonical_name"),
+            F.mode("vendor_name", deterministic=True).alias("canonical_name"),
+            F.sort_array(F.collect_set("vendor_name")).alias("aliases"),
             F.count("*").alias("total_contracts"),
             lakh(sanctioned).alias("total_value_lakh"),
+            lakh(F.sum("net_paid")).alias("total_paid_lakh"),
             lakh(deduction).alias("total_deduction_lakh"),
             F.when(sanctioned > 0, F.round(F.lit(100) * deduction.cast("double") / sanctioned.cast("double"), 2)).otherwise(0.0).alias("avg_deduction_pct"),
             F.sort_array(F.collect_set("ward_no")).alias("wards"),
             F.min("fy").alias("first_seen"),
             F.max("fy").alias("last_seen"),
-            F.bool_or(any_like(F.col("vendor_name"), government_patterns)).alias("is_govt_entity"),
+            F.bool_or(any_like(F.upper("vendor_name"), government_patterns)).alias("is_govt_entity"),
         )
-        .select(F.concat(F.lit("v_"), F.col("vendor_key")).alias("entity_id"), "*", F.size("wards").cast("bigint").alias("ward_count"))
-        .drop("vendor_key")
+        .select("*", F.size("wards").cast("bigint").alias("ward_count"))
     )
 
 
+#: What a later run sets in a profile that is there already; its phone stays.
+REFRESHED = (
+    "canonical_name", "aliases", "total_contracts", "total_value_lakh", "total_paid_lakh", "total_deduction_lakh", "avg_deduction_pct",
+    "wards", "ward_count", "first_seen", "last_seen", "is_govt_entity",
+)
+
+
+def refreshed_profiles(existing: DataFrame, facts: DataFrame, government_patterns: Iterable[str]) -> DataFrame:
+    """Profiles of the facts merged into those there are: known vendors are refreshed, unknown ones added, others stay."""
+    return partial_upsert(existing, vendor_profiles(facts, government_patterns), ["entity_id"], list(REFRESHED))
+
+
 def _rarest(keyed: DataFrame, key: str, item: str, counts: DataFrame, share: float | None = None) -> DataFrame:
     """(key, item): the rarest item of each key, or its prefix under rarity for sets that must overlap by `share`."""
     ordered = keyed.join(counts, item).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("held", item))).alias("items"))
@@ -66,39 +94,56 @@ def _rarest(keyed: DataFrame, key: str, item: str, counts: DataFrame, share: flo
     return ordered.select(key, F.explode(F.slice("items", F.lit(1), taken)).alias("x")).select(key, F.col(f"x.{item}").alias(item))
 
 
+def _held_short(short: DataFrame, short_key: str, long: DataFrame, long_key: str) -> DataFrame:
+    """Pairs where a key of one or two letters is in another: an equi-join on runs of that length."""
+    runs = long.select(long_key, F.explode(letter_runs(F.col(long_key), 1, 2)).alias("run"))
+    return short.where(F.length(short_key) < 3).join(runs, F.col(short_key) == F.col("run")).select("key", "listed_key")
+
+
 def fuzzy_matches(names: DataFrame, listed: DataFrame, threshold: float = 0.4, min_length: int = 1) -> DataFrame:
     """Debarment matches: names (entity_id, name) against a list (listed_name, source), with their distance.
 
     Distance 0 for equal keys, 0.1 if one key contains the other, else 1 less the Jaccard similarity of the tokens.
-    Candidates are blocked without losing any: a contained key's rarest three-letter run is in the other key, and
-    token sets within the threshold share a token of their prefixes under rarity. Keys shorter than three letters
-    can be in anything; they meet the whole other side, and there are few of them.
+    Candidates are blocked without losing any, all by equi-joins: a contained key's rarest three-letter run is in the
+    other key, a shorter key is one of the other's runs, and token sets within the threshold share a token of their
+    prefixes under rarity.
     """
     left = names.select("entity_id", "name", entity_key(F.col("name")).alias("key")).where((F.length("key") >= min_length) & (F.col("key") != ""))
     right = listed.select("listed_name", "source", entity_key(F.col("listed_name")).alias("listed_key")).where((F.length("listed_key") >= min_length) & (F.col("listed_key") != ""))
-    keys, listed_keys = left.select("key").distinct(), right.select("listed_key").distinct()
+    keys, listed_keys = written(left.select("key").distinct()), written(right.select("listed_key").distinct())
 
     def exploded(df: DataFrame, c: str, item: str, items: Column) -> DataFrame:
         return df.select(c, F.explode(items).alias(item))
 
-    def grams(c: str) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3)))
-        return F.array_distinct(F.filter(runs, lambda g: F.length(g) == 3))
-
-    a, b = exploded(keys, "key", "gram", grams("key")), exploded(listed_keys, "listed_key", "gram", grams("listed_key"))
+    a, b = exploded(keys, "key", "gram", letter_runs(F.col("key"), 3, 3)), exploded(listed_keys, "listed_key", "gram", letter_runs(F.col("listed_key"), 3, 3))
     held = a.select("gram").unionAll(b.select("gram")).groupBy("gram").agg(F.count("*").alias("held"))
     s, t = exploded(keys, "key", "token", name_tokens(F.col("key"))), exploded(listed_keys, "listed_key", "token", name_tokens(F.col("listed_key")))
-    used = s.select("token").unionAll(t.select("token")).groupBy("token").agg(F.count("*").alias("held"))
-    met = _rarest(b, "listed_key", "gram", held).join(a, "gram").select("key", "listed_key")
-    met = met.unionAll(_rarest(a, "key", "gram", held).join(b, "gram").select("key", "listed_key"))
+    used = written(s.select("token").unionAll(t.select("token")).groupBy("token").agg(F.count("*").alias("held")))
+
+    within = _rarest(b, "listed_key", "gram", held).join(a, "gram").where(F.contains("key", "listed_key"))
+    around = _rarest(a, "key", "gram", held).join(b, "gram").where(F.contains("listed_key", "key"))
+    contained = within.select("key", "listed_key").unionAll(around.select("key", "listed_key"))
+    contained = contained.unionAll(_held_short(keys, "key", listed_keys, "listed_key")).unionAll(_held_short(listed_keys, "listed_key", keys, "key")).distinct()
+    near = contained.select("key", "listed_key", F.lit(0).alias("rule"), F.when(F.col("key") == F.col("listed_key"), 0.0).otherwise(0.1).alias("distance"))
+
     share = 1 - threshold
-    met = met.unionAll(_rarest(s, "key", "token", used, share).join(_rarest(t, "listed_key", "token", used, share), "token").select("key", "listed_key"))
-    short = F.least(F.length("key"), F.length("listed_key")) < 3
-    brief = listed_keys.join(keys, short & (F.contains(F.col("key"), F.col("listed_key")) | F.contains(F.col("listed_key"), F.col("key")))).select("key", "listed_key")
-    scored = met.unionAll(brief).distinct().withColumn("distance", name_distance(F.col("key"), F.col("listed_key"))).where(F.col("distance") <= threshold)
+    met = _rarest(s, "key", "token", used, share).join(_rarest(t, "listed_key", "token", used, share), "token").select("key", "listed_key").distinct()
+    pairs = met.withColumns({"_s": name_tokens(F.col("key")), "_t": name_tokens(F.col("listed_key"))}).where(F.least(F.size("_s"), F.size("_t")) >= share * F.greatest(F.size("_s"), F.size("_t")) - 1e-9)
+    both = F.size(F.array_intersect("_s", "_t"))
+    alike = pairs.select("key", "listed_key", F.lit(1).alias("rule"), (1.0 - both / (F.size("_s") + F.size("_t") - both)).alias("distance"))
+
+    scored = near.unionAll(alike).groupBy("key", "listed_key").agg(F.min_by("distance", "rule").alias("distance")).where(F.col("distance") <= threshold)
     return left.join(scored, "key").join(right, "listed_key").select("entity_id", "name", "listed_name", "source", "distance")
 
 
+def alias_matches(profiles: DataFrame, listed: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """One match of a profile (entity_id, canonical_name, aliases) and a listed name: that of the first spelling within the threshold."""
+    spelled = profiles.select("entity_id", F.posexplode(F.array_distinct(F.concat(F.array("canonical_name"), "aliases"))).alias("place", "name"))
+    found = fuzzy_matches(spelled.select(F.struct("entity_id", "place").alias("entity_id"), "name"), listed, threshold)
+    best = F.min_by(F.struct("name", "distance"), "entity_id.place").alias("best")
+    return found.groupBy(F.col("entity_id.entity_id").alias("entity_id"), "listed_name", "source").agg(best).select("entity_id", F.col("best.name").alias("name"), "listed_name", "source", F.col("best.distance").alias("distance"))
+
+
 def flags(matches: DataFrame) -> DataFrame:
     """entity_id with the sorted set of sources that list it."""
     return matches.groupBy("entity_id").agg(F.sort_array(F.collect_set("source")).alias("blacklist_flags"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.functions.text import letter_runs
 from tallybook.operators.dedup import keep_first, keep_last
 
 
@@ -64,14 +65,28 @@ def update_from(df: DataFrame, updates: DataFrame, keys: list[str], columns: lis
 
 
 def update_by_prefix_else_word(df: DataFrame, updates: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """Set columns from rows whose name starts with the update's name, else holds its last word; first by name."""
-    left, right = F.lower(F.col(name)), F.lower(F.col("_u_name"))
-    new = updates.select(F.col(name).alias("_u_name"), *(F.col(c).alias(f"_u_{c}") for c in columns))
-    fit = F.when(F.startswith(left, right), 0).when(F.contains(left, F.element_at(F.split(right, " "), -1)), 1)
-    joined = df.join(new, fit.isNotNull(), "left").withColumn("_fit", fit)
-    one = Window.partitionBy(*(F.col(c) for c in df.columns)).orderBy(F.asc_nulls_last("_fit"), "_u_name")
-    best = joined.withColumn("_r", F.row_number().over(one)).where("_r = 1")
-    return best.select(*(F.coalesce(f"_u_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns))
+    """Set columns from rows whose name starts with the update's name, else holds its last word; first by name.
+
+    Names meet updates in an equi-join on runs of up to three letters: an update's last word begins with one that the
+    name holds, and so does an update's name that the name starts with. Rows are found again by their name, so repeated
+    rows all stay.
+    """
+    new = updates.select(F.lower(F.trim(name)).alias("_u_name"), *(F.col(c).alias(f"_u_{c}") for c in columns)).where(F.length("_u_name") > 0)
+    word = F.element_at(F.split("_u_name", " "), -1)
+    starts = F.explode(F.array_distinct(F.array(F.substring("_u_name", 1, 3), F.substring(word, 1, 3))))
+    asked = new.select("*", word.alias("_word"), starts.alias("_run"))
+    names = df.select(F.lower(name).alias("_name")).where(F.length("_name") > 0).distinct()
+    runs = names.select("_name", F.explode(letter_runs(F.col("_name"), 1, 3)).alias("_run"))
+    fit = F.when(F.startswith("_name", "_u_name"), 0).when(F.contains("_name", "_word"), 1)
+    best = runs.join(asked, "_run").withColumn("_fit", fit).where("_fit IS NOT NULL").groupBy("_name").agg(F.min_by(F.struct(*(f"_u_{c}" for c in columns)), F.struct("_fit", "_u_name")).alias("_best"))
+    joined = df.join(best, F.lower(F.col(name)) == F.col("_name"), "left")
+    return joined.select(*(F.coalesce(f"_best._u_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def linked_if_there(df: DataFrame, key: str, pages: DataFrame, page_key: str, link: Column) -> DataFrame:
+    """Add `link` to rows whose key has a page, null to the others."""
+    known = pages.select(F.col(page_key).alias("_page")).distinct()
+    return df.join(known, F.col(key) == F.col("_page"), "left").withColumn("link", F.when(F.col("_page").isNotNull(), link)).drop("_page")
 
 
 def not_yet(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.session import written
+
 MAX_ROWS = 500
 
 
@@ -12,6 +16,30 @@ def clamped(limit: int | None, default: int = 100, most: int = MAX_ROWS) -> int:
     return max(1, min(limit or default, most))
 
 
+def optional_predicates(df: DataFrame, predicates: dict[str, Callable[[str], Column]], asked: dict[str, str | None]) -> DataFrame:
+    """Rows under the predicates whose parameter was given; a missing or empty one doesn't filter."""
+    for name, predicate in predicates.items():
+        if asked.get(name):
+            df = df.where(predicate(asked[name]))
+    return df
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """All rows numbered within their group (over the whole table, for no group).
+
+    Rows are cut into value ranges by a sort across tasks; counts of a group's rows in the ranges before give each
+    range its offset, so no task holds a group.
+    """
+    keyed = df.withColumn("_group", F.to_json(F.struct(*group)) if group else F.lit(""))
+    sorted_rows = written(keyed.sort(*group, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted_rows.groupBy("_group", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_group", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*order))
+    numbered = sorted_rows.withColumn(rank, within).join(offsets, ["_group", "_part"])
+    return numbered.select(*df.columns, (F.col(rank) + F.col("_before")).cast("int").alias(rank))
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group, numbered."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)

@@ -1,4 +1,4 @@
-"""Points and polygons: containment by a grid-keyed join with ray casting, nearest by growing grid rings.
+"""Points and polygons: containment by a grid-keyed join with ray casting, nearest by cells of growing width.
 
 Polygons are (id, ring) with ring an array of struct(lon, lat); the first ring of a multipolygon counts. Points on an
 edge follow the half-open rule of ray casting, so a point belongs to one of two neighbours at most.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.session import written
+
 
 def contains(ring: Column, lon: Column, lat: Column) -> Column:
     """Ray casting as a fold over the ring's edges."""
@@ -53,17 +55,44 @@ def squared_distance(lon: Column, lat: Column, lon2: Column, lat2: Column) -> Co
     return (lon - lon2) * (lon - lon2) + (lat - lat2) * (lat - lat2)
 
 
+def nearest(points: DataFrame, middles: DataFrame, key: str, area: str, size: float, max_distance: float | None = None) -> DataFrame:
+    """key, area: the area with the nearest middle (struct lon, lat), found in the cells around a point.
+
+    A middle within one cell's width is in the nine cells around the point's own, so what is found that near is final.
+    The other points look again in cells of twice the width, until all are found or the cells span everything.
+    """
+    flat = middles.select(area, F.col("mid.lon").alias("_lon"), F.col("mid.lat").alias("_lat"))
+    spread = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    ends = [r for r in (spread(flat, "_lon", "_lat"), spread(points, "lon", "lat")) if r[0] is not None]
+    if len(ends) < 2:
+        return points.where("false").select(key, F.lit(None).cast(flat.schema[area].dataType).alias(area))
+    extent = max(max(r[k + 1] for r in ends) - min(r[k] for r in ends) for k in (0, 2))
+    left, found, around = points.select(key, "lon", "lat"), None, F.sequence(F.lit(-1), F.lit(1))
+    apart = squared_distance(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
+    while True:
+        celled = flat.withColumns({"cell_x": F.floor(F.col("_lon") / size), "cell_y": F.floor(F.col("_lat") / size)})
+        own_x, own_y = F.floor(F.col("lon") / size), F.floor(F.col("lat") / size)
+        looking = left.select("*", F.explode(F.transform(around, lambda d: own_x + d)).alias("cell_x"), F.transform(around, lambda d: own_y + d).alias("_ys")).select("*", F.explode("_ys").alias("cell_y")).drop("_ys")
+        reach = min(size, max_distance) if max_distance else size
+        best = looking.join(celled, ["cell_x", "cell_y"]).where(apart <= reach**2).groupBy(key).agg(F.min_by(area, F.struct(apart, F.col(area))).alias(area))
+        best = written(best)
+        found = best if found is None else found.unionAll(best)
+        left = written(left.join(best, key, "left_anti"))
+        if size >= 2 * extent or (max_distance and size >= max_distance) or left.isEmpty():
+            return found
+        size *= 2
+
+
 def locate_or_nearest(points: DataFrame, polygons: DataFrame, key: str, area: str, size: float = 0.05, max_distance: float | None = None) -> DataFrame:
     """The containing area, else the one with the nearest centroid (within max_distance, if given).
 
-    Only points outside every area look for a centroid; areas are a bounded dimension there.
+    `how` tells which: contains, nearest, or none (with a null area) for points without a place or too far from all.
     """
-    inside = locate(points, polygons, size).groupBy(key).agg(F.min(area).alias(area))
-    outside = points.join(inside, key, "left_anti")
-    middles = polygons.select(F.col(area), centroid(F.col("ring")).alias("mid"))
-    apart = squared_distance(F.col("lon"), F.col("lat"), F.col("mid.lon"), F.col("mid.lat"))
-    near = outside.join(middles, apart <= (max_distance**2 if max_distance else float("inf"))).groupBy(key).agg(F.min_by(area, F.struct(apart, F.col(area))).alias(area))
-    return inside.withColumn("how", F.lit("contains")).unionByName(near.withColumn("how", F.lit("nearest")))
+    inside = written(locate(points, polygons, size).groupBy(key).agg(F.min(area).alias(area)))
+    outside = written(points.join(inside, key, "left_anti"))
+    near = nearest(outside.where("lon IS NOT NULL AND lat IS NOT NULL"), polygons.select(F.col(area), centroid(F.col("ring")).alias("mid")), key, area, size, max_distance)
+    rest = outside.join(near, key, "left_anti").select(key, F.lit(None).cast(inside.schema[area].dataType).alias(area), F.lit("none").alias("how"))
+    return inside.withColumn("how", F.lit("contains")).unionByName(near.withColumn("how", F.lit("nearest"))).unionByName(rest)
 
 
 def jurisdictions(points: DataFrame, boundaries: DataFrame, key: str, size: float = 0.05) -> DataFrame:

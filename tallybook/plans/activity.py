@@ -13,7 +13,7 @@ from tallybook.operators.joins import not_yet, update_from
 from tallybook.operators.merge import expire, insert_ignore, partial_upsert, replace_partition, upsert
 from tallybook.operators.rollup import argmax_rows, count_where
 from tallybook.operators.spatial import centroid, counts_by_area, locate_or_nearest
-from tallybook.session import table
+from tallybook.session import shared_folder, table
 from tallybook.streaming.signals import append_available, deduplicated, file_stream, insert_new_available, per_place, sessions, windowed_counts
 
 MOMENT = "2024-01-28 00:00:00"
@@ -110,10 +110,10 @@ def vote_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of users who had not voted before the 20th."""
+    """Votes from the 20th on, by users who had cast none of the kind in the first two days."""
     base, new = _halves(spark, sf_dir)
     late = new.where("ts >= TIMESTAMP_NTZ '2024-01-20 00:00:00'")
-    return not_yet(late, base, ["user_id", "event_type"]).groupBy("event_type").agg(F.count("*").alias("n"))
+    return not_yet(late, base.where("ts < TIMESTAMP_NTZ '2024-01-03 00:00:00'"), ["user_id", "event_type"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def recent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,11 +156,7 @@ def area_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """Events as a file stream (timestamps with zone, as watermarks need) and a fresh folder for its output."""
-    import tempfile
-    import uuid
-
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-    folder = f"{shared}/streams/{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     schema = _events(spark, sf_dir).schema
     # A glob, since the table may be one file or a folder of them.
     stream = file_stream(spark, f"{sf_dir}/events.parquet*", schema)
@@ -246,7 +242,7 @@ WITH v AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY 1,
 SELECT user_id, event_type, votes, CASE WHEN votes >= 5 THEN 'community_verified' ELSE 'unverified' END AS trust FROM r WHERE rn = 1""",
     "first_votes": """
 SELECT event_type, count(*) AS n FROM events e WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'
-AND NOT EXISTS (SELECT 1 FROM events b WHERE b.ts < TIMESTAMP '2024-01-20 00:00:00' AND b.user_id = e.user_id AND b.event_type = e.event_type) GROUP BY 1""",
+AND NOT EXISTS (SELECT 1 FROM events b WHERE b.ts < TIMESTAMP '2024-01-03 00:00:00' AND b.user_id = e.user_id AND b.event_type = e.event_type) GROUP BY 1""",
     "recent_feed": f"""
 WITH r AS (SELECT event_id, event_type, ts, CAST(floor((epoch(TIMESTAMP '{MOMENT}') - floor(epoch(ts))) / 60) AS BIGINT) AS m FROM events WHERE ts <= TIMESTAMP '{MOMENT}' ORDER BY ts DESC, event_id LIMIT 15)
 SELECT event_id, event_type, CASE WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS age FROM r""",

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.text import coded_name, fiscal_year_of_code, trailing_phone, vendor_name
 from tallybook.operators.dedup import keep_first, keep_last, keep_max
-from tallybook.operators.entity import flags, fuzzy_matches, vendor_profiles, work_facts
-from tallybook.operators.ranking import LEADERBOARDS, leaderboard, top_per_group
+from tallybook.operators.entity import alias_matches, flags, fuzzy_matches, refreshed_profiles, vendor_profiles, work_facts
+from tallybook.operators.ranking import LEADERBOARDS, leaderboard, optional_predicates, ranked, top_per_group
 from tallybook.operators.rollup import city_summary, stage_distribution, totals_with_all, yearly_with_top
-from tallybook.session import table
+from tallybook.session import table, written
 
-GOVERNMENT_PATTERNS = ("%00001", "%00007")
+GOVERNMENT_PATTERNS = ("%00001", "%00007", "%00002 PVT LTD")
+FEWER_PATTERNS = GOVERNMENT_PATTERNS[:2]
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,29 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vendor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vendor with totals in lakh, wards served, first and last year."""
-    return _profiles(spark, sf_dir).withColumn("wards", F.array_join("wards", ","))
+    return _profiles(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("wards", "aliases")})
+
+
+def vendor_profile_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the orders before 1996, refreshed with those of all orders but 1995's, under fewer government patterns."""
+    facts = _facts(spark, sf_dir)
+    merged = refreshed_profiles(vendor_profiles(facts.where("fy < '1996'"), GOVERNMENT_PATTERNS), facts.where("fy <> '1995'"), FEWER_PATTERNS)
+    return merged.withColumns({c: F.array_join(c, ",") for c in ("wards", "aliases")})
+
+
+def ward_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many flagged vendors each ward has, and their value."""
+    served = _flagged_profiles(spark, sf_dir).select(F.explode("wards").alias("ward_no"), (F.size("blacklist_flags") > 0).alias("flagged"), F.col("total_value_lakh").cast("decimal(18,2)").alias("value"))
+    value = F.coalesce(F.sum(F.when(F.col("flagged"), F.col("value"))), F.lit(0)).cast("double")
+    return served.groupBy("ward_no").agg(F.count_if("flagged").cast("bigint").alias("flagged"), value.alias("flagged_lakh"), F.count("*").alias("vendors"))
+
+
+def vendor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors under optional predicates: each is applied only where its parameter is given."""
+    profiles = _flagged_profiles(spark, sf_dir)
+    asks = [{"ward": "5", "flagged": "true"}, {"ward": "7", "flagged": None}, {"ward": None, "flagged": "true"}, {"ward": None, "flagged": None}]
+    found = [optional_predicates(profiles, {"ward": lambda v: F.array_contains("wards", int(v)), "flagged": lambda v: F.size("blacklist_flags") > 0 if v == "true" else F.lit(True)}, ask).agg(F.count("*").alias("n"), F.min("entity_id").alias("first")).withColumn("ask", F.lit(k)) for k, ask in enumerate(asks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +60,9 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flagged_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = _profiles(spark, sf_dir)
-    matched = flags(fuzzy_matches(profiles.select("entity_id", F.col("canonical_name").alias("name")), _listed(spark, sf_dir)))
-    return profiles.join(matched, "entity_id", "left").withColumn("blacklist_flags", F.coalesce("blacklist_flags", F.array().cast("array<string>")))
+    profiles = written(_profiles(spark, sf_dir))
+    matched = flags(alias_matches(profiles, _listed(spark, sf_dir)))
+    return written(profiles.join(matched, "entity_id", "left").withColumn("blacklist_flags", F.coalesce("blacklist_flags", F.array().cast("array<string>"))))
 
 
 def vendor_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +94,7 @@ def vendors_of_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ward_vendor_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ward's vendors, the largest first (profile wards unnested)."""
     exploded = _profiles(spark, sf_dir).select(F.explode("wards").alias("ward_no"), "entity_id", "total_value_lakh")
-    return top_per_group(exploded, ["ward_no"], [F.desc("total_value_lakh"), F.asc("entity_id")], 1_000_000, "position")
+    return ranked(exploded, ["ward_no"], [F.desc("total_value_lakh"), F.asc("entity_id")], "position")
 
 
 def _orders_of_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,32 +162,42 @@ def vendor_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FACTS_SQL = """
 facts AS (
-  SELECT l_suppkey AS vendor_key, s_name AS vendor_name,
+  SELECT CASE l_linenumber % 4 WHEN 0 THEN upper(s_name) WHEN 1 THEN s_name || ' Pvt Ltd' ELSE s_name END AS vendor_name,
+         CASE WHEN l_suppkey % 3 <> 0 THEN lpad(CAST(l_suppkey AS VARCHAR), 10, '9') END AS phone,
          c_nationkey AS ward_no, CAST(year(o_orderdate) AS VARCHAR) AS fy,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS sanctioned,
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS deduction
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)"""
 
-PROFILE_SQL = f"""
-{FACTS_SQL},
-profiles AS (
-  SELECT 'v_' || vendor_key AS entity_id, min(vendor_name) AS canonical_name,
-         count(*) AS total_contracts,
+
+def profiles_sql(name: str, facts: str, patterns: tuple[str, ...]) -> str:
+    """Profiles of a table of facts, the modal name by counting."""
+    govt = " OR ".join(f"upper(vendor_name) LIKE '{p}'" for p in patterns)
+    return f"""
+{name}_keyed AS (SELECT *, CASE WHEN phone IS NULL THEN 'nm_' || lower(trim(vendor_name)) ELSE 'ph_' || phone END AS entity_id FROM {facts}),
+{name}_names AS (SELECT entity_id, vendor_name, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, vendor_name) AS rn FROM {name}_keyed GROUP BY entity_id, vendor_name),
+{name} AS (
+  SELECT entity_id, max(phone) AS phone, max((SELECT n.vendor_name FROM {name}_names n WHERE n.entity_id = k.entity_id AND rn = 1)) AS canonical_name,
+         string_agg(DISTINCT vendor_name, ',' ORDER BY vendor_name) AS aliases, count(*) AS total_contracts,
          round(CAST(sum(sanctioned) AS DOUBLE) / 1e5, 2) AS total_value_lakh,
+         round(CAST(sum(CAST(sanctioned - deduction AS DECIMAL(18,4))) AS DOUBLE) / 1e5, 2) AS total_paid_lakh,
          round(CAST(sum(deduction) AS DOUBLE) / 1e5, 2) AS total_deduction_lakh,
          CASE WHEN sum(sanctioned) > 0 THEN round(100 * CAST(sum(deduction) AS DOUBLE) / CAST(sum(sanctioned) AS DOUBLE), 2) ELSE 0.0 END AS avg_deduction_pct,
          count(DISTINCT ward_no) AS ward_count,
          array_to_string(list_sort(list(DISTINCT ward_no)), ',') AS wards,
-         min(fy) AS first_seen, max(fy) AS last_seen,
-         bool_or(vendor_name LIKE '%00001' OR vendor_name LIKE '%00007') AS is_govt_entity
-  FROM facts GROUP BY vendor_key)"""
+         min(fy) AS first_seen, max(fy) AS last_seen, bool_or({govt}) AS is_govt_entity
+  FROM {name}_keyed k GROUP BY entity_id)"""
+
+
+PROFILE_SQL = f"{FACTS_SQL}, {profiles_sql('profiles', 'facts', GOVERNMENT_PATTERNS)}"
 
 FLAGS_SQL = f"""
 {PROFILE_SQL},
+spelled AS (SELECT entity_id, unnest(string_split(aliases, ',')) AS spelling FROM profiles),
 flagged AS (
   SELECT entity_id, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS blacklist_flags
-  FROM profiles JOIN supplier ON upper(canonical_name) = upper(s_name) AND s_acctbal < 0
+  FROM spelled JOIN supplier ON regexp_replace(upper(spelling), ' PVT LTD$', '') = upper(s_name) AND s_acctbal < 0
   JOIN nation ON s_nationkey = n_nationkey GROUP BY entity_id)"""
 
 KEPT_SQL = """
@@ -173,12 +206,24 @@ SELECT {shown} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_lin
 QUERIES = {
     f.__name__: f
     for f in (
-        vendor_profile, vendor_flagged, fuzzy_names, vendor_leaderboards, vendors_of_ward, ward_vendor_list, ward_top10_orders, year_rollup_top_type,
+        vendor_profile, vendor_profile_variant, vendor_flagged, ward_flagged, vendor_search, fuzzy_names, vendor_leaderboards, vendors_of_ward, ward_vendor_list, ward_top10_orders, year_rollup_top_type,
         rollup_with_all, bill_stages, works_summary, dedup_first, dedup_last, dedup_max, vendor_strings,
     )
 }
 ORACLES = {
     "vendor_profile": f"WITH {PROFILE_SQL} SELECT * FROM profiles",
+    "vendor_profile_variant": f"""
+WITH {FACTS_SQL}, early AS (SELECT * FROM facts WHERE fy < '1996'), late AS (SELECT * FROM facts WHERE fy <> '1995'),
+{profiles_sql('old', 'early', GOVERNMENT_PATTERNS)}, {profiles_sql('fresh', 'late', FEWER_PATTERNS)}
+SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE entity_id NOT IN (SELECT entity_id FROM fresh)""",
+    "ward_flagged": f"""
+WITH {FLAGS_SQL}, served AS (SELECT DISTINCT entity_id, ward_no FROM profiles_keyed)
+SELECT ward_no, count(*) FILTER (WHERE f.entity_id IS NOT NULL) AS flagged, coalesce(CAST(sum(CAST(total_value_lakh AS DECIMAL(18,2))) FILTER (WHERE f.entity_id IS NOT NULL) AS DOUBLE), 0) AS flagged_lakh, count(*) AS vendors
+FROM served JOIN profiles USING (entity_id) LEFT JOIN flagged f USING (entity_id) GROUP BY ward_no""",
+    "vendor_search": f"""
+WITH {FLAGS_SQL}, p AS (SELECT entity_id, string_split(wards, ',') AS ws, f.entity_id IS NOT NULL AS flagged FROM profiles LEFT JOIN flagged f USING (entity_id)),
+a(ask, ward, strict) AS (VALUES (0, '5', true), (1, '7', false), (2, NULL, true), (3, NULL, false))
+SELECT ask, count(entity_id) AS n, min(entity_id) AS first FROM a LEFT JOIN p ON (ward IS NULL OR list_contains(ws, ward)) AND (flagged OR NOT strict) GROUP BY ask""",
     "vendor_flagged": f"WITH {FLAGS_SQL} SELECT entity_id, total_value_lakh, blacklist_flags FROM profiles JOIN flagged USING (entity_id)",
     "fuzzy_names": """
 WITH named AS (SELECT p_partkey AS entity_id, p_size, p_brand AS source, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part),
@@ -208,7 +253,7 @@ SELECT board, entity_id, total_value_lakh, total_contracts, avg_deduction_pct, w
 WITH {PROFILE_SQL} SELECT entity_id, total_contracts, ward_count FROM profiles
 WHERE ward_count > 1 AND list_contains(string_split(wards, ','), '3')""",
     "ward_vendor_list": f"""
-WITH {PROFILE_SQL}, served AS (SELECT DISTINCT 'v_' || vendor_key AS entity_id, ward_no FROM facts)
+WITH {PROFILE_SQL}, served AS (SELECT DISTINCT entity_id, ward_no FROM profiles_keyed)
 SELECT ward_no, entity_id, total_value_lakh, row_number() OVER (PARTITION BY ward_no ORDER BY total_value_lakh DESC, entity_id) AS position
 FROM served JOIN profiles USING (entity_id)""",
     "ward_top10_orders": """

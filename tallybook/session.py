@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -32,3 +35,20 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register driver tables as temporary views for SQL text."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below `spark.checkpoint.dir`; where that is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back, for tables that are used several times."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
