@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybook.llm.batches import map_rows, small_batches
-from tallybook.llm.shingles import shingle_sets
+from tallybook.llm.shingles import NO_HASH, shingle_minima
 from tallybook.llm.storage import BROADCAST_ROWS, written
 
 LEADING = 3
@@ -55,7 +55,6 @@ COUNTERS = 1 << 22
 REMEMBERED = 100_000
 
 _DIGIT = re.compile(r"\d")
-_NONE = (1 << 63) - 1
 _PARTS = [f"s{k}" for k in range(SKETCH)]
 
 
@@ -94,15 +93,6 @@ def frequent(docs: DataFrame, text: str) -> list[np.ndarray]:
     return [np.packbits(b) for b in bits]
 
 
-def _sketches(lines: list[str]) -> Iterator[np.ndarray]:
-    """The least shingle hash in each class, for every line."""
-    for hashes in shingle_sets(pa.array(lines, pa.large_string()), WIDTH):
-        least = np.full(SKETCH, _NONE, np.int64)
-        falling = hashes[::-1]
-        least[falling & np.uint64(SKETCH - 1)] = (falling >> np.uint64(1)).view(np.int64)
-        yield least
-
-
 def occurrences(docs: DataFrame, text: str) -> DataFrame:
     """One row for every line that may be of a shared template, and one (line null) for all other lines of its text.
 
@@ -148,14 +138,12 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
                 lines.extend(rest)
             if not rows:
                 continue
-            made, sketches, keys = _sketches(lines), [], []
+            made, sketches, keys, k = shingle_minima(pa.array(lines, pa.large_string()), SKETCH, WIDTH), [], [], 0
             for row in rows:
-                if row[3] is None:
-                    sketches.append(np.min([next(made) for _ in range(row[6])], axis=0) if row[6] else np.full(SKETCH, _NONE, np.int64))
-                    keys.append(None)
-                else:
-                    sketches.append(next(made))
-                    keys.append(row[6])
+                count = row[6] if row[3] is None else 1
+                sketches.append(made[k : k + count].min(axis=0, initial=NO_HASH))
+                keys.append(None if row[3] is None else row[6])
+                k += count
             columns = [*list(zip(*rows))[:6], *np.array(sketches).T, keys]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
@@ -187,12 +175,12 @@ def run_labels(shared: DataFrame) -> DataFrame:
     run = F.col("place") - F.row_number().over(Window.partitionBy("whole", F.col("template").isNull()).orderBy("place"))
     ends = [F.least(F.min_by(f"{s}_before", "place"), F.max_by(f"{s}_after", "place")).alias(s) for s in _PARTS]
     runs = (
-        shared.withColumns(around).withColumn("run", run).where("template IS NOT NULL")
+        shared.withColumn("_any", F.count("template").over(Window.partitionBy("whole"))).where("_any > 0").drop("_any").withColumns(around).withColumn("run", run).where("template IS NOT NULL")
         .groupBy("whole", "run", "total").agg(*ends, F.sum("words").alias("inside"), F.collect_set("template").alias("templates"))
         .where((F.col("total") - F.col("inside")) >= F.greatest(F.col("total") * OWN, F.lit(1)))
     )
     runs = written(runs.select(F.xxhash64("whole", "run").alias("item"), "templates", F.array(*_PARTS).alias("sketch")))
-    pairs = [F.when((F.get("sketch", F.lit(k)) < _NONE) & (F.get("sketch", F.lit((k + 1) % SKETCH)) < _NONE), F.xxhash64(F.lit(k), F.get("sketch", F.lit(k)), F.get("sketch", F.lit((k + 1) % SKETCH)))) for k in range(SKETCH)]
+    pairs = [F.when((F.get("sketch", F.lit(k)) < NO_HASH) & (F.get("sketch", F.lit((k + 1) % SKETCH)) < NO_HASH), F.xxhash64(F.lit(k), F.get("sketch", F.lit(k)), F.get("sketch", F.lit((k + 1) % SKETCH)))) for k in range(SKETCH)]
     values = written(runs.select("item", F.explode(F.array_compact(F.array(*pairs))).alias("value")))
     labels = values.select("item", F.col("item").alias("label")).distinct()
     for _ in range(ROUNDS):
