@@ -46,6 +46,18 @@ def deduction_band(pct: Column) -> Column:
     return F.when(pct.isNull(), F.lit(None).cast("string")).when(pct > 15, "high").when(pct > 10, "raised").otherwise("normal")
 
 
+def in_time_band(pct: Column) -> Column:
+    return band(pct, [(90, "good"), (75, "fair")], "poor")
+
+
+def questions_band(asked: Column) -> Column:
+    return F.when(asked == 0, "poor").when(asked < 10, "fair").when(asked.isNotNull(), "good")
+
+
+def growth_band(pct: Column) -> Column:
+    return F.when(pct > 100, "steep").when(pct.isNotNull(), "normal")
+
+
 def pm25_band(c: Column) -> Column:
     return rising_band(c, [(35, "good"), (60, "moderate")], "poor")
 

@@ -141,8 +141,9 @@ def coded_name(c: Column) -> Column:
 
 def labelled_segment(c: Column, label: str) -> Column:
     """Text of the first `<br>`-separated segment that starts with a label, so `BR` is not found in `SBR`."""
-    segments = F.transform(F.split(unescaped(c), r"(?i)<br\s*/?>"), F.trim)
-    return blank_to_null(F.substr(F.get(F.filter(segments, lambda s: s.startswith(label)), F.lit(0)), F.lit(len(label) + 1)))
+    segments = F.transform(F.split(unescaped(c), r"(?i)<br\s*/?>"), lambda s: F.trim(s))
+    segment = F.get(F.filter(segments, lambda s: s.startswith(label)), F.lit(0))
+    return blank_to_null(F.substr(segment, F.lit(len(label) + 1), F.length(segment)))
 
 
 def lakh_of_rupees(c: Column) -> Column:
@@ -274,7 +275,8 @@ def money_label(lakh: Column) -> Column:
 
 def short_money(lakh: Column) -> Column:
     """Whole crores from a hundred lakh on, else whole lakh: `Rs 3 Cr`, `Rs 45 L`."""
-    return F.when(lakh >= 100, F.format_string("Rs %.0f Cr", lakh / 100)).otherwise(F.format_string("Rs %.0f L", lakh))
+    value = lakh.cast("double")
+    return F.when(value >= 100, F.format_string("Rs %.0f Cr", value / 100)).otherwise(F.format_string("Rs %.0f L", value))
 
 
 def rupees(amount: Column) -> Column:

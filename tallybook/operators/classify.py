@@ -54,6 +54,18 @@ def agency(issue: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), issue)
 
 
+# Which authority answers for a type of report.
+REPORT_AUTHORITIES = {
+    "hoarding": "BBMP", "pothole": "BBMP", "flooding": "BBMP", "construction": "BBMP", "encroachment": "BBMP", "garbage": "BBMP", "signal": "BTP", "other": "BBMP",
+}
+
+
+def authority(report_type: Column) -> Column:
+    """The authority of a report's type; null for unknown types."""
+    pairs = [x for k, v in REPORT_AUTHORITIES.items() for x in (F.lit(k), F.lit(v))]
+    return F.try_element_at(F.create_map(*pairs), report_type)
+
+
 def moderation_status(text_flagged: Column, has_photo: Column, photo_civic: Column, confidence: Column) -> Column:
     """Flagged text is rejected; a photo decides by what it shows and how sure that is; text alone is approved."""
     return (

@@ -36,3 +36,8 @@ def markdown_pages(df: DataFrame, key: str, title: str, columns: list[str]) -> D
     rows = df.select(key, title, F.struct("rank", line.alias("line")).alias("row"))
     grouped = rows.groupBy(key).agg(F.first(title).alias("title"), F.sort_array(F.collect_list("row")).alias("rows"))
     return grouped.select(key, F.concat(F.lit("# "), F.col("title"), F.lit("\n\n" + head), F.array_join(F.col("rows.line"), "\n"), F.lit("\n")).alias("page"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines, replacing what is there: lists and aggregates kept beside the tables."""
+    df.write.mode("overwrite").json(path)

@@ -65,3 +65,14 @@ def write_guarded(df: DataFrame, path: str, partition: str | None = None) -> boo
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
     writer.parquet(path)
     return True
+
+
+def changed_rows(df: DataFrame, hit: Column, **values) -> DataFrame:
+    """Set columns in the rows that a condition picks: one report rejected, one approved."""
+    told = F.coalesce(hit, F.lit(False))
+    return df.withColumns({c: F.when(told, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def without_rows(df: DataFrame, hit: Column) -> DataFrame:
+    """Delete the rows that a condition picks; where it is unknown they stay."""
+    return df.where(~F.coalesce(hit, F.lit(False)))

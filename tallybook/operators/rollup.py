@@ -87,3 +87,8 @@ def nested_years(df: DataFrame, key: str, year: str, **sums: Column) -> DataFram
 def unanswered(subjects: DataFrame, questions: DataFrame, answered: DataFrame, keys: list[str]) -> DataFrame:
     """The catalogue of questions for every subject less what is answered; both catalogues are bounded dimensions."""
     return subjects.join(questions).join(answered.select(*keys).distinct(), keys, "left_anti")
+
+
+def positive_categories(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per key and category column with a value above zero."""
+    return df.unpivot(keys, columns, "category", "amount").where("amount > 0")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallybook.plans import activity, lookups, texts, vendors, wards
+from tallybook.plans import activity, landings, lookups, texts, vendors, wards
 
 QUERIES = {}
 ORACLES = {}
-for module in (vendors, wards, activity, texts, lookups):
+for module in (vendors, wards, activity, texts, lookups, landings):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 

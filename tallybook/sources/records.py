@@ -98,3 +98,71 @@ def landed_or(spark: SparkSession, cached: str, fetch) -> DataFrame:
         return spark.read.parquet(cached)
     fetch().write.parquet(cached)
     return spark.read.parquet(cached)
+
+
+def affidavits(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """A local array of JSON objects that may begin with a byte order mark; every field may be missing."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
+    schema = "array<struct<" + ", ".join(f"`{n}`: {kind}" for n, kind in fields.items()) + ">>"
+    return whole.select(F.explode(F.from_json("value", schema)).alias("row")).select("row.*")
+
+
+def listing_children(landed: DataFrame, most: int = 5) -> DataFrame:
+    """Posts of a listing ({data: {children: [{data: post}]}}), the first few of each answer, one row each."""
+    return landed.select("*", F.explode(F.slice("data.children", 1, most)).alias("_child")).select(*(c for c in landed.columns if c != "data"), "_child.data.*")
+
+
+def topology_features(landed: DataFrame, layer: str, id_property: str, kinds: list[str] | None = None) -> DataFrame:
+    """TopoJSON as (id, ring): arcs are delta-coded integers, scaled and moved; a negative index is an arc read backwards.
+
+    The outer ring counts, of a multipolygon that of its first polygon. Features of other kinds and those without a
+    geometry are dropped. `geometries` of a layer have `arcs` as text, since their depth depends on the type.
+    """
+    scale, move = F.col("transform.scale"), F.col("transform.translate")
+
+    def placed(arc: Column) -> Column:
+        start = F.struct(F.array().cast("array<struct<lon: double, lat: double>>").alias("path"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
+
+        def step(state: Column, point: Column) -> Column:
+            x, y = state["x"] + point[0], state["y"] + point[1]
+            at = F.struct((x * scale[0] + move[0]).alias("lon"), (y * scale[1] + move[1]).alias("lat"))
+            return F.struct(F.concat(state["path"], F.array(at)).alias("path"), x.alias("x"), y.alias("y"))
+
+        return F.aggregate(arc, start, step)["path"]
+
+    arcs = landed.select("objects", F.transform("arcs", placed).alias("paths"))
+    each = arcs.select("paths", F.explode(F.col("objects")[layer]["geometries"]).alias("g")).where("g.type IS NOT NULL")
+    if kinds:
+        each = each.where(F.col("g.properties")[id_property].isin(*kinds))
+    outer = F.when(F.col("g.type") == "MultiPolygon", F.from_json("g.arcs", "array<array<array<int>>>")[0][0]).otherwise(F.from_json("g.arcs", "array<array<int>>")[0])
+    path = lambda i: F.when(i >= 0, F.get("paths", i)).otherwise(F.reverse(F.get("paths", -i - 1)))
+    # Arcs meet in a point that both have: it counts once.
+    ring = F.flatten(F.transform(outer, lambda i, k: F.when(k == 0, path(i)).otherwise(F.slice(path(i), F.lit(2), F.greatest(F.size(path(i)) - 1, F.lit(0))))))
+    return each.select(F.col("g.properties")[id_property].alias("id"), ring.alias("ring"))
+
+
+def ward_of_code(code: Column, wards: int = 200) -> Column:
+    """Ward number in the last three digits of a numeric code; null outside 1 to `wards` and for codes that aren't numbers."""
+    number = F.when(code.rlike(r"^\d+$"), F.pmod(code.try_cast("bigint"), F.lit(1000)))
+    return F.when(number.between(1, wards), number).cast("int")
+
+
+def ward_code_counts(landed: DataFrame, code: str = "code") -> DataFrame:
+    """Features per ward, told by their codes."""
+    return landed.select(ward_of_code(F.col(code)).alias("ward_no")).where("ward_no IS NOT NULL").groupBy("ward_no").agg(F.count("*").alias("n"))
+
+
+def high_water_mark(known: DataFrame, issued: str, default: str = "2020-01-01") -> Column:
+    """The latest date that is there, as a literal; the default for an empty table."""
+    return F.lit(known.agg(F.coalesce(F.max(F.col(issued).cast("date")), F.lit(default).cast("date"))).first()[0])
+
+
+def has_news(source: DataFrame, known: DataFrame, total: str) -> bool:
+    """Whether a source has more rows than the total that is known; an unknown or empty total always loads."""
+    existing = known.agg(F.coalesce(F.sum(total), F.lit(0)).cast("bigint")).first()[0]
+    return existing == 0 or source.count() > existing
+
+
+def literal_list(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """Listed names kept by hand (name, source)."""
+    return spark.createDataFrame(rows, "listed_name string, source string")
