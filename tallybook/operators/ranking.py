@@ -45,11 +45,18 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def metric_rank(tables: dict[str, tuple[DataFrame, str, list[str]]], metric: str, best: bool = True, n: int = 5) -> DataFrame:
-    """Top or bottom n rows of a metric from a registry metric -> (table, column, shown columns); nulls don't rank."""
-    df, column, shown = tables[metric]
-    order = F.desc(column) if best else F.asc(column)
-    return df.where(F.col(column).isNotNull()).select(*shown, F.col(column).alias("value"), F.lit(metric).alias("metric")).orderBy(order, *shown).limit(max(1, min(n, 10)))
+def metric_ranks(df: DataFrame, shown: list[str], metrics: list[str], n: int = 5, most: int = 10) -> DataFrame:
+    """Top and bottom n rows (at most ten) of every metric: metric, side, value and the shown columns; nulls don't rank.
+
+    Metrics become rows, so one pass over the table ranks them all; two windows per metric and side would hold a
+    metric's rows in one task, so the first n are taken within tasks before they are taken over all.
+    """
+    rows = df.select(*shown, F.spark_partition_id().alias("_part"), F.explode(F.create_map(*(x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))))).alias("metric", "value")).where("value IS NOT NULL")
+    sided = rows.select("*", F.explode(F.array(F.lit("top"), F.lit("bottom"))).alias("side"))
+    order = [F.when(F.col("side") == "top", -F.col("value")).otherwise(F.col("value")), *shown]
+    n = max(1, min(n, most))
+    local = top_per_group(sided, ["metric", "side", "_part"], order, n, "_r").drop("_r", "_part")
+    return top_per_group(local, ["metric", "side"], order, n, "_r").drop("_r")
 
 
 LEADERBOARDS = {

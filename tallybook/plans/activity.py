@@ -14,7 +14,7 @@ from tallybook.operators.merge import expire, insert_ignore, partial_upsert, rep
 from tallybook.operators.rollup import argmax_rows, count_where
 from tallybook.operators.spatial import centroid, counts_by_area, locate_or_nearest
 from tallybook.session import shared_folder, table
-from tallybook.streaming.signals import append_available, deduplicated, file_stream, insert_new_available, per_place, sessions, windowed_counts
+from tallybook.streaming.signals import append_and_close, append_available, deduplicated, file_stream, insert_new_available, per_place, sessions, windowed_counts
 
 MOMENT = "2024-01-28 00:00:00"
 AS_OF = f"TIMESTAMP_NTZ '{MOMENT}'"
@@ -35,7 +35,7 @@ def top_events_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return freshness({"events": (_events(spark, sf_dir), "ts"), "orders": (table(spark, sf_dir, "orders"), "o_orderdate"), "lineitem": (table(spark, sf_dir, "lineitem"), "l_shipdate")}, _as_of())
+    return freshness({"events": (_events(spark, sf_dir), "ts"), "orders": (table(spark, sf_dir, "orders"), "o_orderdate"), "lineitem": (table(spark, sf_dir, "lineitem"), "l_shipdate"), "missing": (lambda: table(spark, sf_dir, "no_such_table"), "ts")}, _as_of())
 
 
 def table_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,16 +181,16 @@ def stream_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts per type from a stream: windows the watermark has closed."""
+    """Hourly counts per type from a stream that is closed when all is read."""
     stream, folder = _stream(spark, sf_dir)
-    append_available(windowed_counts(stream, "ts", "event_type"), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").select(F.col("window_start").cast("string").alias("window_start"), "event_type", "n")
+    append_and_close(stream, lambda events: windowed_counts(events, "ts", "event_type"), "ts", f"{folder}/out", f"{folder}/state", f"{folder}/markers")
+    return spark.read.parquet(f"{folder}/out").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User sessions (30 minutes apart) from a stream: those the watermark has closed."""
+    """User sessions (30 minutes apart) from a stream that is closed when all is read."""
     stream, folder = _stream(spark, sf_dir)
-    append_available(sessions(stream, "ts", "user_id"), f"{folder}/out", f"{folder}/state")
+    append_and_close(stream, lambda events: sessions(events, "ts", "user_id"), "ts", f"{folder}/out", f"{folder}/state", f"{folder}/markers")
     return spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
@@ -214,13 +214,13 @@ QUERIES = {
 FRESH_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS total, count(*) FILTER (WHERE {c} > m - INTERVAL 24 HOUR AND {c} <= m) AS last_24h, count(*) FILTER (WHERE {c} > m - INTERVAL 7 DAY AND {c} <= m) AS last_7d, max({c}) AS latest, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status FROM {t}, (SELECT TIMESTAMP '{MOMENT}' AS m)"
     for t, c in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate"))
-)
+) + " UNION ALL SELECT 'missing', NULL, NULL, NULL, NULL, 'error'"
 ORACLES = {
     "top_events_window": f"SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts > TIMESTAMP '{MOMENT}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{MOMENT}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "table_freshness": f"SELECT table_name, total, last_24h, last_7d, CAST(latest AS VARCHAR) AS latest, status FROM ({FRESH_SQL})",
     "health_verdict": f"""
-WITH f AS ({FRESH_SQL}), v AS (SELECT coalesce(max(latest) FILTER (WHERE table_name = 'lineitem') <= TIMESTAMP '{MOMENT}' - INTERVAL 48 HOUR, true) AS stale, count(*) FILTER (WHERE table_name IN ('events', 'orders') AND status <> 'ok') AS core_not_ok FROM f)
-SELECT stale, core_not_ok, CASE WHEN stale OR core_not_ok > 0 THEN 'degraded' ELSE 'ok' END AS verdict FROM v""",
+WITH f AS ({FRESH_SQL}), v AS (SELECT coalesce(max(latest) FILTER (WHERE table_name = 'lineitem') <= TIMESTAMP '{MOMENT}' - INTERVAL 48 HOUR, true) AS stale, count(*) FILTER (WHERE table_name IN ('events', 'orders') AND status <> 'ok') AS core_not_ok, count(*) FILTER (WHERE status = 'error') AS errors, count(*) AS n FROM f)
+SELECT stale, core_not_ok, errors, CASE WHEN errors = n THEN 'down' WHEN stale OR core_not_ok > 0 OR errors > 0 THEN 'degraded' ELSE 'ok' END AS verdict FROM v""",
     "event_counters": f"""
 SELECT event_type, count(*) AS total, count(*) FILTER (WHERE ts > TIMESTAMP '{MOMENT}' - INTERVAL 1 DAY AND ts <= TIMESTAMP '{MOMENT}') AS last_24h, count(*) FILTER (WHERE ts > TIMESTAMP '{MOMENT}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{MOMENT}') AS last_7d,
        count(DISTINCT user_id) AS users, CAST(sum(CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY 1""",
@@ -255,5 +255,9 @@ SELECT area, 'contains' AS how, count(*) AS n FROM inside GROUP BY 1 UNION ALL S
     "stream_append": """
 SELECT event_type, CAST(NULL AS INT) AS place, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1
 UNION ALL SELECT event_type, p, count(*) FROM events CROSS JOIN (VALUES (1), (2)) v(p) WHERE event_type = 'error' GROUP BY 1, 2""",
+    "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_sessions": """
+WITH g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)
+SELECT user_id, CAST(sum(fresh) AS BIGINT) AS sessions, count(*) AS events FROM g GROUP BY 1""",
     "stream_insert_ignore": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +10,11 @@ from tallybook.functions import bands
 from tallybook.functions.text import percent, shortened, slug
 from tallybook.operators.export import csv_lines, json_envelope, markdown_pages
 from tallybook.operators.joins import compare_by_name, left_lookup, star
-from tallybook.operators.ranking import clamped, latest, metric_rank, search, top_per_group
+from tallybook.operators.ranking import clamped, latest, search, top_per_group
+from tallybook.operators.ranking import metric_ranks as ranks_of_metrics
 from tallybook.operators.rollup import against_average, category_pivot, count_where, listing, nested_years, share_of_total, status_pivot, unanswered
 from tallybook.operators.scoring import accountability_score, share_stat, share_text, ward_headline
-from tallybook.session import table
+from tallybook.session import table, written
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -81,10 +81,7 @@ def ward_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top and bottom five wards of each metric: top-k reports."""
-    cards = _cards(spark, sf_dir)
-    tables = {m: (cards, m, ["ward_no", "ward_name"]) for m in ("attendance", "fund_use", "cases", "vendors", "signals", "meetings")}
-    parts = [metric_rank(tables, m, best).withColumn("side", F.lit("top" if best else "bottom")) for m in tables for best in (True, False)]
-    return reduce(DataFrame.unionByName, [p.withColumn("value", F.col("value").cast("double")) for p in parts])
+    return ranks_of_metrics(written(_cards(spark, sf_dir)), ["ward_no", "ward_name"], ["attendance", "fund_use", "cases", "vendors", "signals", "meetings"])
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallybook.operators.dedup import keep_first
+
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 100, pattern: str | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; `pattern` picks among its names."""
@@ -39,12 +43,28 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def append_and_close(events: DataFrame, aggregate: Callable[[DataFrame], DataFrame], ts: str, path: str, checkpoint: str, markers: str) -> None:
+    """Append the windows of all there is, those still open at the end too, and close the stream for good.
+
+    A second run, from the same checkpoint, reads one more row from the folder `markers`: far in the future, with all
+    else null, it moves the watermark past every window. Its own window stays open and is never written.
+    """
+    spark, far = events.sparkSession, F.lit("2999-12-31 00:00:00")
+    empty = spark.createDataFrame([], events.schema)
+    empty.write.mode("append").parquet(markers)
+    query = aggregate(events.unionByName(spark.readStream.schema(events.schema).parquet(markers)))
+    append_available(query, path, checkpoint)
+    row = spark.range(1).select(*(far.cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+    row.write.mode("append").parquet(markers)
+    append_available(query, path, checkpoint)
+
+
 def insert_new_available(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
     """Append only rows whose key the target has not: re-reading the input changes nothing."""
 
     def insert(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        fresh = keep_first(batch, keys, [c for c in batch.columns if c not in keys])
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
             fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
