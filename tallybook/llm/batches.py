@@ -31,5 +31,6 @@ def map_rows(df: DataFrame, function: Callable[..., Iterator[tuple]], schema: st
             rows = [out for row in zip(*(c.to_pylist() for c in batch.columns)) for out in function(*row)]
             columns = list(zip(*rows)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, kind)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
+#: Tables written by the pipeline stage that runs or ran last.
+_of_stage: list[str] = []
+_in_stage = False
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +36,8 @@ def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    if _in_stage:
+        _of_stage.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,3 +45,22 @@ def written(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table for broadcast if its counted rows are within the bound, else leave the join to shuffle."""
     return df.hint("broadcast") if df.count() <= rows else df
+
+
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """One stage of a pipeline whose predecessor's result has been written: the predecessor's intermediate tables are deleted.
+
+    The stage's own tables stay until the next one begins, since its result may be computed later.
+    """
+    global _in_stage
+    while _of_stage:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_of_stage.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is no longer referenced
+    _in_stage = True
+    try:
+        yield
+    finally:
+        _in_stage = False
