@@ -19,7 +19,7 @@ from tallybook.llm.decontamination import contained_items
 from tallybook.llm.language_mixture import keep_identified, train
 from tallybook.llm.line_templates import drop_recurring_lines
 from tallybook.llm.near_duplicates import near_duplicates
-from tallybook.llm.storage import small_side, written
+from tallybook.llm.storage import small_side, stage, written
 
 #: A document whose foremost language holds less than this share of its words is rejected.
 LEAST_SHARE = 0.4
@@ -28,32 +28,37 @@ CAPACITY = 16_384
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts that are null, have no letter, or have no language of their own."""
-    return keep_identified(docs, train(docs), LEAST_SHARE)
+    with stage(spark):
+        return keep_identified(docs, train(docs), LEAST_SHARE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out recurring lines; n_chars follows the text."""
-    cleaned = drop_recurring_lines(docs, lines="_lines", dropped="_dropped").where("size(_dropped) = 0 OR trim(text) <> ''")
-    n_chars = F.when(F.size("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
-    return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
+    with stage(spark):
+        cleaned = drop_recurring_lines(docs, lines="_lines", dropped="_dropped").where("size(_dropped) = 0 OR trim(text) <> ''")
+        n_chars = F.when(F.size("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
+        return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of every class of near-duplicates."""
-    classes = near_duplicates(docs)
-    copies = written(classes.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(small_side(copies), "doc_id", "left_anti").select(docs.columns)
+    with stage(spark):
+        classes = near_duplicates(docs)
+        copies = written(classes.where("component_id <> doc_id").select("doc_id").distinct())
+        return docs.join(small_side(copies), "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
-    found = written(contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
-    return docs.join(small_side(found), "doc_id", "left_anti").select(docs.columns)
+    with stage(spark):
+        found = written(contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+        return docs.join(small_side(found), "doc_id", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left: doc_id, piece, start, length, source, bin, offset."""
-    return pack_documents(docs, CAPACITY)
+    with stage(spark):
+        return pack_documents(docs, CAPACITY)
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", benchmark), ("best-fit packing", packing)]
@@ -65,6 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages in turn to `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, function in STAGES:
+        docs = written(function(spark, docs, sf_dir))
     return docs
