@@ -19,7 +19,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 
 from tallybook.llm.batches import map_rows
-from tallybook.llm.license_templates import TEMPLATES
+from tallybook.llm.license_templates import NOTICE, TEMPLATES
 
 # The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -112,7 +112,7 @@ def scan(text: str | None) -> tuple:
 def _row(doc_id: int, text: str | None) -> Iterator[tuple]:
     n_words, base, accepted = scan(text)
     base_labels, labels = {x for _, x in base}, {x for x, _, _ in accepted}
-    score = 1.0 if accepted else 0.5 if base else 0.0
+    score = 1.0 if any(not x.endswith("-notice") for x in labels) else NOTICE if labels else 0.5 if base else 0.0
     yield (
         doc_id, n_words, len(base), base[0][0] if base else None, base[-1][0] if base else None,
         ",".join(sorted(base_labels)), ",".join(sorted(base_labels | labels)), score, [f"{x}:{a}-{b}" for x, a, b in accepted],

@@ -46,7 +46,7 @@ accepted AS (SELECT doc_id, label FROM j JOIN templates ON regexp_matches(t, r))
 b AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM accepted) GROUP BY doc_id)
 SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-       CAST(CASE WHEN doc_id IN (SELECT doc_id FROM accepted) THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+       CAST(CASE WHEN doc_id IN (SELECT doc_id FROM accepted WHERE NOT label LIKE '%-notice') THEN 1.0 WHEN doc_id IN (SELECT doc_id FROM accepted) THEN 0.75 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
 FROM j LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 

@@ -100,6 +100,17 @@ def test_license_templates():
     assert labels("neither the name of " + "w " * 13 + "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission") == []
 
 
+def test_license_wording_is_mandatory():
+    scan = license_scan.scan
+    bsd = re.sub(r"<<(?:begin|end)Optional>>", "", re.sub(r"<<var;words=[0-9-]+>>", "the authors", TEMPLATES["bsd-3-clause"]))
+    assert [x for x, _, _ in scan(bsd)[2]] == ["bsd-3-clause"]
+    without = bsd[: bsd.index("this software is provided")]
+    assert scan(without + "all advertising materials must display an acknowledgement")[2] == []
+    assert scan(bsd.replace("profits", "gains"))[2] == []
+    rows = [list(license_scan._row(1, t))[0][7] for t in (bsd, "released under the MIT License", "an Apache License", "none", None)]
+    assert rows == [1.0, 0.75, 0.5, 0.0, 0.0]
+
+
 # 5: HTML
 
 
