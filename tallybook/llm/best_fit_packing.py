@@ -6,8 +6,9 @@ are kept in order of their residual capacity, each with a bitmap of the sources
 holds, and the successor search from the piece's size on goes on until it meets a bin whose bitmaps leave the
 piece's bits clear. If there is none, a bin is opened.
 
-Rows are dealt to blocks by a hash of their id, so a hot source or cluster is spread like any other; a block's
-rows are bounded (their number is chosen from the row count) and bins do not span blocks. Against packing
+Rows are dealt to blocks by a hash of their id, length, source and cluster, so a hot source, cluster or id is spread
+like any other, unless a row is repeated as a whole; the number of blocks is chosen from the row count, for BLOCK_ROWS
+rows each on average, and bins do not span blocks. Against packing
 everything at once this costs at most the open bins of each block.
 
 Edge cases: null and empty texts are pieces of length 0 and take a place like any other; null sources are one
@@ -113,12 +114,12 @@ def pack(rows: DataFrame, capacity: int, blocks: int) -> DataFrame:
         return pd.DataFrame({"doc_id": taken["doc_id"], "piece": out["piece"], "start": out["start"], "length": out["length"], "source": taken["source"], "bin": f"{key[0]}/" + out["number"].astype(str), "offset": out["offset"]})
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, source string, bin string, offset bigint"
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInPandas(run, schema)
 
 
 def cluster_key(text: Column) -> Column:
-    """Digest of the text with A-Z lower-cased and white space evened out; null for blank texts."""
+    """Digest of the text in lower case (of all alphabets) with white space evened out; null for blank texts."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
     return F.when(plain != "", F.md5(plain))
 
