@@ -89,6 +89,11 @@ def ward_of_label(label: Column) -> Column:
     return found(label, r"^o*(\d+)\s").try_cast("int")
 
 
+def is_current_ward(label: Column, bucket: Column) -> Column:
+    """Whether a label is of a ward that counts: not the common bucket (300), and without the leading `o` of wards that are no more."""
+    return (bucket.cast("string") != "300") & ~label.rlike(r"(?i)^o+\d")
+
+
 def fiscal_year_of_code(code: Column) -> Column:
     """`NNN-26-...` is of fiscal year 2025-26."""
     end = found(code, r"^\d+-(\d{2})-").try_cast("int")

@@ -22,6 +22,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_lines(df).select(F.col("line").alias(csv_header(df))).write.mode("overwrite").option("header", True).option("quote", "\u0000").csv(path)
 
 
+def csv_document(df: DataFrame, footer: list[str]) -> DataFrame:
+    """Parts of a CSV document (part 0: the header, 1: a line per row, 2: the attribution, line by line); without rows one line that says so."""
+    spark = df.sparkSession
+    if df.isEmpty():
+        return spark.createDataFrame([(0, "No data available")], "part int, line string")
+    frame = spark.createDataFrame([(0, csv_header(df))] + [(2, csv_quoted(x)) for x in ["", "# DATA SOURCES & ATTRIBUTION", *footer]], "part int, line string")
+    return frame.unionByName(csv_lines(df).select(F.lit(1).alias("part"), "line"))
+
+
+def csv_quoted(line: str) -> str:
+    """An attribution line as one field."""
+    return '"' + line.replace('"', '""') + '"' if any(c in line for c in ',"\n') else line
+
+
 def json_envelope(df: DataFrame, source: str, license_name: str, limit: int) -> DataFrame:
     """One row `{data, count, source, license}` for an API page of at most `limit` rows."""
     page = df.limit(limit)
@@ -41,3 +55,16 @@ def markdown_pages(df: DataFrame, key: str, title: str, columns: list[str]) -> D
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, replacing what is there: lists and aggregates kept beside the tables."""
     df.write.mode("overwrite").json(path)
+
+
+def index_page(pages: DataFrame, title: str, group: str, key: str, name: str) -> DataFrame:
+    """One section per group, its keys in order with links to their pages: rows (group, section), bounded by the pages of a group."""
+    entry = F.struct(F.col(key).alias("k"), F.concat(F.lit("| "), F.col(key), F.lit(" | ["), F.col(name), F.lit("](ward-"), F.col(key), F.lit(".md) |")).alias("line"))
+    head = f"# {title}\n\n## "
+    section = F.concat(F.lit(head), F.coalesce(group, F.lit("Unassigned")), F.lit("\n"), F.array_join(F.sort_array(F.collect_list(entry))["line"], "\n"))
+    return pages.groupBy(F.coalesce(group, F.lit("Unassigned")).alias(group)).agg(section.alias("section"))
+
+
+def write_pages(pages: DataFrame, path: str, key: str, page: str) -> None:
+    """A folder per key with its page as text; pages of an earlier run are gone."""
+    pages.select(F.col(key).cast("string").alias(key), F.col(page).alias("value")).write.mode("overwrite").partitionBy(key).text(path)

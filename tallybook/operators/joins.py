@@ -83,6 +83,14 @@ def update_by_prefix_else_word(df: DataFrame, updates: DataFrame, name: str, col
     return joined.select(*(F.coalesce(f"_best._u_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
+def chained(df: DataFrame, hops: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Follow lookups one after another (table, its key, the column here that holds it); a missing hop leaves nulls behind it."""
+    for table, key, column in hops:
+        there = table.select(F.col(key).alias("_hop"), *(c for c in table.columns if c != key))
+        df = df.join(there, F.col(column) == F.col("_hop"), "left").drop("_hop")
+    return df
+
+
 def linked_if_there(df: DataFrame, key: str, pages: DataFrame, page_key: str, link: Column) -> DataFrame:
     """Add `link` to rows whose key has a page, null to the others."""
     known = pages.select(F.col(page_key).alias("_page")).distinct()

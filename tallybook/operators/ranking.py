@@ -24,6 +24,11 @@ def optional_predicates(df: DataFrame, predicates: dict[str, Callable[[str], Col
     return df
 
 
+def enabled(features: dict[str, bool], feature: str, df: DataFrame) -> DataFrame:
+    """The rows of a feature's query where the place has the feature, else none; unknown features are off."""
+    return df if features.get(feature) else df.where(F.lit(False))
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """All rows numbered within their group (over the whole table, for no group).
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import bands, text
 from tallybook.operators.classify import authority
-from tallybook.operators.export import write_json
-from tallybook.operators.joins import linked_if_there
+from tallybook.operators.export import csv_document, index_page, write_json, write_pages
+from tallybook.operators.joins import chained, linked_if_there
 from tallybook.operators.merge import changed_rows, without_rows, write_guarded
-from tallybook.operators.ranking import ranked
+from tallybook.operators.ranking import enabled, ranked
 from tallybook.operators.rollup import positive_categories
 from tallybook.session import shared_folder, table
 from tallybook.sources import markup, records
@@ -268,13 +268,52 @@ def service_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("in_time", "questions", "growth", "authority").agg(F.count("*").alias("n"))
 
 
+FOOTER = ["Spending: work orders, by ward", 'All data is from "public" records']
+
+
+def csv_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a CSV document with its attribution, and the answer where nothing is found."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit('A "'), "s_name", F.lit('", Co')).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("ward"))
+    return csv_document(rows, FOOTER).withColumn("found", F.lit(True)).unionByName(csv_document(rows.where("false"), FOOTER).withColumn("found", F.lit(False)))
+
+
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per nation and an index by region, written twice: the second run's pages replace the first's."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    pages = nations.select("n_nationkey", F.concat(F.lit("# "), "n_name").alias("page"))
+    path = shared_folder(spark)
+    write_pages(pages, path, "n_nationkey", "page")
+    write_pages(pages.where("n_nationkey < 20"), path, "n_nationkey", "page")
+    written_pages = spark.read.text(path, wholetext=True).select(F.col("n_nationkey").cast("string").alias("place"), F.trim(F.regexp_replace("value", "\n$", "")).alias("page"))
+    index = index_page(nations.where("n_nationkey < 20").withColumn("area", F.when(F.col("n_regionkey") > 0, F.col("r_name"))), "Wards", "area", "n_nationkey", "n_name")
+    return written_pages.unionByName(index.select(F.col("area").alias("place"), F.col("section").alias("page")))
+
+
+def chained_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers to their nation, its region and the region's office; some hops are missing."""
+    offices = table(spark, sf_dir, "region").where("r_regionkey <> 1").select(F.col("r_name").alias("office_of"), F.concat(F.lit("office "), "r_regionkey").alias("office"))
+    nations = table(spark, sf_dir, "nation").where("n_nationkey <> 3").select("n_nationkey", "n_regionkey")
+    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    found = chained(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), [(nations, "n_nationkey", "s_nationkey"), (regions, "r_regionkey", "n_regionkey"), (offices, "office_of", "r_name")])
+    return found.select("s_suppkey", "r_name", "office")
+
+
+def feature_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of features that a city has or hasn't, and the wards that count by label and bucket."""
+    events, features = table(spark, sf_dir, "events"), {"signals": True, "water": False}
+    gated = [enabled(features, name, events.where(F.col("event_type") == kind)).agg(F.count("*").alias("n")).withColumn("feature", F.lit(name)) for name, kind in (("signals", "error"), ("water", "click"), ("unknown", "view"))]
+    label = F.concat(F.when(F.col("n_nationkey") % 4 == 0, "oo").otherwise(""), _padded("n_nationkey", 3), F.lit(" "), F.col("n_name"))
+    wards = table(spark, sf_dir, "nation").where(text.is_current_ward(label, F.when(F.col("n_nationkey") == 5, 300).otherwise(F.col("n_nationkey")))).agg(F.count("*").alias("n")).withColumn("feature", F.lit("wards"))
+    return reduce(DataFrame.unionByName, [*gated, wards])
+
+
 SQUARES_SQL = "squares AS (SELECT n_name AS id, n_nationkey % 5 + 10.0::DOUBLE AS west, n_nationkey // 5 + 20.0::DOUBLE AS south FROM nation WHERE n_nationkey % 7 <> 6)"
 
 QUERIES = {
     f.__name__: f
     for f in (
         csv_work_orders, csv_licences, csv_grievances, csv_fund_spending, tenders_incremental, source_guard, ward_codes, json_points, json_lists, listing_posts, map_features,
-        html_lists, feeds, parsed_values, ranked_orders, spend_categories, report_changes, service_bands,
+        html_lists, feeds, parsed_values, ranked_orders, spend_categories, report_changes, service_bands, csv_download, report_pages, chained_lookup, feature_gates,
     )
 }
 ORACLES = {
@@ -323,6 +362,20 @@ SELECT o_orderkey, CAST(price AS DOUBLE) AS leading, CAST(price AS DOUBLE) AS th
     "ranked_orders": """
 SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CAST(o_totalprice AS DECIMAL(18,2)) DESC NULLS LAST, o_orderkey) AS INT) AS rank, CASE WHEN n_nationkey IS NOT NULL THEN '/ward/' || c_nationkey END AS link
 FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey""",
+    "csv_download": """
+SELECT 0 AS part, 's_suppkey,name,ward' AS line, true AS found UNION ALL SELECT 0, 'No data available', false
+UNION ALL SELECT 1, s_suppkey || ',"A ""' || s_name || '"", Co",' || CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE '' END, true FROM supplier
+UNION ALL SELECT 2, l, true FROM (VALUES (''), ('# DATA SOURCES & ATTRIBUTION'), ('"Spending: work orders, by ward"'), ('"All data is from ""public"" records"')) v(l)""",
+    "report_pages": """
+SELECT CAST(n_nationkey AS VARCHAR) AS place, '# ' || n_name AS page FROM nation WHERE n_nationkey < 20
+UNION ALL SELECT area, '# Wards' || chr(10) || chr(10) || '## ' || area || chr(10) || string_agg('| ' || n_nationkey || ' | [' || n_name || '](ward-' || n_nationkey || '.md) |', chr(10) ORDER BY n_nationkey)
+FROM (SELECT *, CASE WHEN n_regionkey > 0 THEN r_name ELSE 'Unassigned' END AS area FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20) GROUP BY area""",
+    "chained_lookup": """
+SELECT s_suppkey, r_name, CASE WHEN r_regionkey <> 1 THEN 'office ' || r_regionkey END AS office
+FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
+    "feature_gates": """
+SELECT 'signals' AS feature, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'water', 0 UNION ALL SELECT 'unknown', 0
+UNION ALL SELECT 'wards', count(*) FROM nation WHERE n_nationkey % 4 <> 0 AND n_nationkey <> 5""",
     "spend_categories": """
 SELECT c_nationkey, o_orderstatus AS category, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1, 2 HAVING sum(CAST(o_totalprice AS DECIMAL(18,2))) > 0""",
     "report_changes": """

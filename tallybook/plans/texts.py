@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.functions.dictionaries import BATCH_CATEGORIES, FEED_CATEGORIES, RED_CATEGORIES
 from tallybook.functions.bands import severity
 from tallybook.functions.text import content_key, csv_field, headline, slug, text_key, unescaped, without_tags
 from tallybook.operators.classify import ISSUE_AGENCIES, agency, gazetteer, keyword_category, moderation_status, one_row_per_place, place_hits
@@ -29,6 +30,18 @@ def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", category.alias("category")).withColumn("severity", severity(F.col("category"), RED))
 
 
+PHRASES = sorted({k for words in (*BATCH_CATEGORIES.values(), *FEED_CATEGORIES.values()) for k in words})
+
+
+def story_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories made of events, a phrase in the title and two in the body, under the dictionaries of the batch run and of the feed."""
+    phrase = lambda step: F.element_at(F.array(*(F.lit(p) for p in PHRASES)), (F.pmod(F.col("event_id") * step, F.lit(len(PHRASES))) + 1).cast("int"))
+    stories = table(spark, sf_dir, "events").select("event_id", F.initcap(phrase(1)).alias("title"), F.when(F.col("event_id") % 5 != 0, F.concat(phrase(7), F.lit(" and "), phrase(11))).alias("body"))
+    both = F.concat_ws(" ", "title", "body")
+    told = stories.select(keyword_category(both, BATCH_CATEGORIES).alias("batch"), keyword_category(both, FEED_CATEGORIES).alias("feed"))
+    return told.withColumn("severity", severity(F.col("feed"), RED_CATEGORIES)).groupBy("batch", "feed", "severity").agg(F.count("*").alias("n"))
+
+
 def gazetteer_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each of its places, one row per place; documents without any keep a row."""
     docs = _documents(spark, sf_dir)
@@ -97,9 +110,20 @@ titled AS (SELECT page_id, replace(replace(replace(replace(replace(replace(r, '&
 
 QUERIES = {
     f.__name__: f
-    for f in (keyword_classes, gazetteer_fanout, dedup_text, unseen_articles, semi_by_word, page_titles, page_lists, stripped_chars, moderated_reports, source_slugs)
+    for f in (keyword_classes, story_classes, gazetteer_fanout, dedup_text, unseen_articles, semi_by_word, page_titles, page_lists, stripped_chars, moderated_reports, source_slugs)
 }
+def _class_sql(categories: dict[str, list[str]]) -> str:
+    """The category with most keywords in t, the first of equals."""
+    scores = [" + ".join(f"contains(t, '{k}')::INT" for k in words) for words in categories.values()]
+    return f"list_extract([{', '.join(repr(c) for c in categories)}], list_position([{', '.join(scores)}], nullif(list_max([{', '.join(scores)}]), 0)))"
+
+
 ORACLES = {
+    "story_classes": f"""
+WITH p AS (SELECT [{", ".join(f"'{x}'" for x in PHRASES)}] AS ps),
+t AS (SELECT lower(ps[event_id % {len(PHRASES)} + 1] || CASE WHEN event_id % 5 <> 0 THEN ' ' || ps[event_id * 7 % {len(PHRASES)} + 1] || ' and ' || ps[event_id * 11 % {len(PHRASES)} + 1] ELSE '' END) AS t FROM events, p),
+c AS (SELECT {_class_sql(BATCH_CATEGORIES)} AS batch, {_class_sql(FEED_CATEGORIES)} AS feed FROM t)
+SELECT batch, feed, CASE WHEN feed IN ({", ".join(f"'{x}'" for x in RED_CATEGORIES)}) THEN 'red' WHEN feed IS NOT NULL THEN 'yellow' END AS severity, count(*) AS n FROM c GROUP BY ALL""",
     "keyword_classes": f"""
 WITH l AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 s AS (SELECT doc_id, {", ".join(f"{_score(w)} AS {k}" for k, w in CATEGORIES.items())} FROM l),
