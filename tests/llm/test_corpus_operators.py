@@ -63,6 +63,34 @@ def test_near_duplicates(spark, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(texts)
 
 
+def edited_group(rng, word, size, copies):
+    """Copies of one text with words replaced, inserted and deleted: many pairs just above and below the threshold, of different sizes."""
+    base = [word() for _ in range(size)]
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            at, kind = rng.randrange(len(copy)), rng.random()
+            if kind < 0.4:
+                copy[at] = word()
+            elif kind < 0.7:
+                copy.insert(at, word())
+            else:
+                del copy[at]
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_edited_groups(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    texts = [t for size in (35, 60, 66, 110) for t in edited_group(rng, word, size, 90)]
+    texts += [" ".join(passage + [word() for _ in range(rng.randint(4, 14))]) for _ in range(90)]
+    texts += ["word " * 300_000, " ".join(word() for _ in range(60_000))]  # longer than a chunk
+    got = near_duplicates.near_duplicates(docs_of(spark, texts))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(texts)
+
+
 def test_near_duplicates_empty(spark):
     assert near_duplicates.near_duplicates(docs_of(spark, ["x"]).where("false")).count() == 0
 
