@@ -77,3 +77,49 @@ def test_merges(spark, tmp_path):
     path = str(tmp_path / "t")
     assert write_guarded(base, path) and not write_guarded(base.where("false"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_landed_or(spark, tmp_path):
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert records.landed_or(spark, str(tmp_path / "cache"), fetch).count() == 3
+    assert calls == [1]
+
+
+def test_ranked_without_a_bound(spark):
+    from tallybook.operators.ranking import ranked
+
+    df = spark.range(1000, numPartitions=7).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS g", "(id * 37) % 101 AS v", "id")
+    for group in ([], ["g"]):
+        got = {}
+        for r in ranked(df, group, [F.desc("v"), F.asc("id")]).collect():
+            got.setdefault(r["g"] if group else 0, []).append((r["rank"], -r["v"], r["id"]))
+        for rows in got.values():
+            assert [x[0] for x in sorted(rows)] == list(range(1, len(rows) + 1))
+            assert [x[1:] for x in sorted(rows)] == sorted(x[1:] for x in rows)
+
+
+def test_repeated_rows_are_updated_each(spark):
+    from tallybook.operators.joins import update_by_prefix_else_word
+
+    df = spark.createDataFrame([("Alpha Road", None), ("Alpha Road", None), ("West End", "1"), (None, "2"), ("X", None)], "name string, phone string")
+    updates = spark.createDataFrame([("alpha", "9"), ("The End", "8"), ("x", "7"), (None, "6")], "name string, phone string")
+    got = sorted(map(tuple, update_by_prefix_else_word(df, updates, "name", ["phone"]).collect()), key=str)
+    assert got == sorted([("Alpha Road", "9"), ("Alpha Road", "9"), ("West End", "8"), (None, "2"), ("X", "7")], key=str)
+
+
+def test_nearest_far_and_missing_points(spark):
+    from tallybook.operators.spatial import locate_or_nearest
+
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    areas = spark.createDataFrame([(k, [(x + 10.0 * k, y) for x, y in ring]) for k in range(4)], "area int, ring array<struct<lon: double, lat: double>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 300.0, 80.0), (3, None, 1.0), (4, 11.2, 0.5), (5, 15.6, -40.0)], "id int, lon double, lat double")
+    got = {r["id"]: (r["area"], r["how"]) for r in locate_or_nearest(points, areas, "id", "area").collect()}
+    assert got == {1: (0, "contains"), 2: (3, "nearest"), 3: (None, "none"), 4: (1, "nearest"), 5: (2, "nearest")}
+    near = {r["id"]: (r["area"], r["how"]) for r in locate_or_nearest(points, areas, "id", "area", max_distance=5.0).collect()}
+    assert near == {1: (0, "contains"), 2: (None, "none"), 3: (None, "none"), 4: (1, "nearest"), 5: (None, "none")}
