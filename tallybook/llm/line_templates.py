@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybook.llm.batches import map_rows, small_batches
 from tallybook.llm.shingles import NO_HASH, shingle_minima
-from tallybook.llm.storage import BROADCAST_ROWS, written
+from tallybook.llm.storage import BROADCAST_ROWS, small_side, written
 
 LEADING = 3
 MIN_TEXTS = 5
@@ -192,15 +192,18 @@ def run_labels(shared: DataFrame) -> DataFrame:
 def recurring_lines(seen: DataFrame) -> DataFrame:
     """The line hashes whose template recurs across documents, from a written table of occurrences."""
     templates = written(templates_of(seen))
-    texts = seen.groupBy("whole", "place").agg(*(F.first(c).alias(c) for c in ("line", "words", "total", *_PARTS)))
-    held = written(texts.join(templates, "line", "left"))
+    # Narrow rows are joined by line, since a line may be in any share of the texts; the texts' own rows meet the shared
+    # lines alone, which are sent to them if they are counted to be few.
+    held = seen.where("line IS NOT NULL").groupBy("line", "whole").agg(F.lit(1).alias("one")).join(templates, "line")
     common = (
-        held.where("template IS NOT NULL").groupBy("template", "whole").agg(F.min("asked").alias("asked"))
-        .groupBy("template").agg(F.count("*").alias("texts"), F.min("asked").alias("asked"))
-        .where("texts >= asked").select("template", F.col("asked").alias("least"))
+        held.groupBy("template", "whole").agg(F.min("asked").alias("asked"))
+        .groupBy("template").agg(F.count("*").alias("texts"), F.min("asked").alias("least"))
+        .where("texts >= least").select("template", "least")
     )
     common = written(common)
-    shared = held.drop("asked").join(common.withColumnRenamed("least", "asked"), "template", "left").withColumn("template", F.when(F.col("asked").isNotNull(), F.col("template")))
+    of_lines = small_side(written(templates.join(common, "template").select("line", "template")))
+    texts = seen.groupBy("whole", "place").agg(*(F.first(c).alias(c) for c in ("line", "words", "total", *_PARTS)))
+    shared = texts.join(of_lines, "line", "left")
     told = run_labels(shared).groupBy("template", "label").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"))
     recurring = told.join(common, "template").where("documents >= least").select("template")
     return templates.join(recurring, "template").select("line")
