@@ -156,8 +156,8 @@ def _few(lists: DataFrame) -> DataFrame:
 
 
 def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that stand in more than one document, with the smallest doc_id."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    """The keys that stand in more than one document, with the smallest doc_id. Written, so that a join with it can split the rows of a hot key."""
+    return written(rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int | None = Non
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("of_text"), F.col(text).cast("binary").alias("body")).where("doc_id IS NOT NULL AND body IS NOT NULL")
     cut = written(_per_text(texts, lambda body: stretches(body, length, width), STRETCHES))
     shared = written(cut.join(_several(cut, ["seed"]).select("seed"), "seed"))
-    smallest = shared.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("least"))
+    smallest = written(shared.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("least")))
     judged = written(shared.join(smallest, ["digest_a", "digest_b"]))
     standing = judged.where("doc_id = least").drop("least")
     open_ends = standing.join(_several(standing, ["seed"]).select("seed"), "seed")
