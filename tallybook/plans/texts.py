@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from tallybook.functions.dictionaries import BATCH_CATEGORIES, FEED_CATEGORIES, RED_CATEGORIES
 from tallybook.functions.bands import severity
 from tallybook.functions.text import content_key, csv_field, headline, slug, text_key, unescaped, without_tags
-from tallybook.operators.classify import ISSUE_AGENCIES, agency, gazetteer, keyword_category, moderation_status, one_row_per_place, place_hits
+from tallybook.operators.classify import ISSUE_AGENCIES, agency, gazetteer, keyword_category, moderation_status, one_row_per_place
 from tallybook.operators.dedup import keep_first_text, new_by_text
+from tallybook.operators.gazetteer import first_place, outermost, place_hits, places_in_order
 from tallybook.operators.joins import with_any_first_word
-from tallybook.session import table
+from tallybook.session import table, written
 from tallybook.sources.markup import links, tag_texts
 
 # Terms that occur in the test texts, so that the classifier has something to find.
 CATEGORIES = {"LEGAL": ["license", "rights reserved", "copyright"], "CONTACT": ["@", "http", "call"], "PROSE": ["the ", "les ", "der ", "las "], "NOISE": ["###", "$$$", "!!"]}
 RED = ["LEGAL", "CONTACT"]
 PLACES = [("tion", 1), ("ment", 2), ("heit", 3), ("ción", 4), ("tionth", 1), ("mentre", 2), ("the and", 5), ("license", 6), ("apache", 6)]
+SITES = [("blog.", 1), ("example.org", 2), ("www.", 3), ("/fr/", 4), ("tion", 5), ("ment", 1), ("the", 6), ("ung", 7), ("tionth", 8)]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,35 @@ def gazetteer_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_row_per_place(docs.select("doc_id"), hits, "doc_id")
 
 
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five letters and more and pairs of words of the benchmark as a gazetteer of 238 places; declared in the order of a digest."""
+    words = F.split(F.lower("text"), " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat(words[k - 1], F.lit(" "), words[k]))
+    found = table(spark, sf_dir, "benchmark").where(F.contains("text", F.lit(" "))).select(F.explode(F.concat(words, pairs)).alias("alias")).where("length(alias) >= 5").distinct()
+    number = lambda a, b: F.conv(F.substring(F.md5("alias"), a, b), 16, 10).cast("bigint")
+    return found.select("alias", (number(1, 6) % 238).cast("int").alias("place"), number(7, 8).alias("ordinal"))
+
+
+def gazetteer_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every document under a gazetteer of many hundred aliases: how many, the first, and which alias names each."""
+    hits = place_hits(_documents(spark, sf_dir), _aliases(spark, sf_dir), "doc_id", "text")
+    return hits.select("doc_id", "place", "alias")
+
+
+def gazetteer_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the longest alias naming a place, and only aliases within no longer one."""
+    hits = place_hits(_documents(spark, sf_dir), _aliases(spark, sf_dir), "doc_id", "text", rule="longest")
+    return outermost(hits, "doc_id").groupBy("doc_id").agg(F.count("*").alias("places"), F.max(F.length("alias")).alias("longest"))
+
+
+def signal_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as signals: places of the title, a hint (the url) before them; the single place and all in order."""
+    title = F.get(tag_texts(F.col("html"), "title"), F.lit(0))
+    signals = table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"))
+    hits = written(place_hits(signals, gazetteer(spark, SITES), "page_id", "url", "title"))
+    return first_place(hits, "page_id").join(places_in_order(hits, "page_id"), "page_id").select("page_id", "place", "alias", F.array_join("places", ",").alias("places"))
+
+
 def dedup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each normalised beginning."""
     return keep_first_text(_documents(spark, sf_dir).where("text IS NOT NULL"), "text", ["doc_id"]).select("doc_id", "text_key")
@@ -103,6 +134,10 @@ def _score(words: list[str]) -> str:
     return " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in words)
 
 
+ALIASES_SQL = """
+cut AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark WHERE contains(text, ' ')),
+found AS (SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS alias FROM cut),
+names AS (SELECT alias, CAST(CAST('0x' || md5(alias)[1:6] AS BIGINT) % 238 AS INT) AS place, CAST('0x' || md5(alias)[7:14] AS BIGINT) AS ordinal FROM found WHERE length(alias) >= 5)"""
 KEY_SQL = "substr(trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), 1, 60)"
 TITLE_SQL = """
 raw AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS r FROM pages),
@@ -110,7 +145,7 @@ titled AS (SELECT page_id, replace(replace(replace(replace(replace(replace(r, '&
 
 QUERIES = {
     f.__name__: f
-    for f in (keyword_classes, story_classes, gazetteer_fanout, dedup_text, unseen_articles, semi_by_word, page_titles, page_lists, stripped_chars, moderated_reports, source_slugs)
+    for f in (keyword_classes, story_classes, gazetteer_fanout, gazetteer_large, gazetteer_longest, signal_places, dedup_text, unseen_articles, semi_by_word, page_titles, page_lists, stripped_chars, moderated_reports, source_slugs)
 }
 def _class_sql(categories: dict[str, list[str]]) -> str:
     """The category with most keywords in t, the first of equals."""
@@ -133,6 +168,15 @@ SELECT doc_id, category, CASE WHEN category IN ('LEGAL', 'CONTACT') THEN 'red' W
 WITH names(ordinal, alias, place) AS (VALUES {", ".join(f"({k}, '{a}', {p})" for k, (a, p) in enumerate(PLACES))}),
 hits AS (SELECT doc_id, place, alias, row_number() OVER (PARTITION BY doc_id, place ORDER BY ordinal) AS rn FROM documents JOIN names ON contains(lower(text), alias))
 SELECT d.doc_id, place, alias FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id AND rn = 1""",
+    "gazetteer_large": f"WITH {ALIASES_SQL} SELECT doc_id, place, arg_min(alias, (ordinal, alias)) AS alias FROM documents JOIN names ON contains(lower(text), alias) GROUP BY doc_id, place",
+    "gazetteer_longest": f"""
+WITH {ALIASES_SQL}, h AS (SELECT doc_id, place, arg_min(alias, (-length(alias), ordinal, alias)) AS alias FROM documents JOIN names ON contains(lower(text), alias) GROUP BY doc_id, place)
+SELECT doc_id, count(*) AS places, max(length(alias)) AS longest FROM h WHERE NOT EXISTS (SELECT 1 FROM h l WHERE l.doc_id = h.doc_id AND length(l.alias) > length(h.alias) AND contains(l.alias, h.alias)) GROUP BY 1""",
+    "signal_places": f"""
+WITH names(ordinal, alias, place) AS (VALUES {", ".join(f"({k}, '{a}', {p})" for k, (a, p) in enumerate(SITES))}), {TITLE_SQL},
+fields AS (SELECT page_id, 0 AS field, url AS t FROM pages UNION ALL SELECT page_id, 1, title FROM titled),
+h AS (SELECT page_id, place, min((field, ordinal, alias)) AS first FROM fields JOIN names ON contains(lower(t), alias) GROUP BY 1, 2)
+SELECT page_id, arg_min(place, first) AS place, arg_min(first[3], first) AS alias, string_agg(CAST(place AS VARCHAR), ',' ORDER BY first) AS places FROM h GROUP BY page_id""",
     "dedup_text": f"SELECT min(doc_id) AS doc_id, k AS text_key FROM (SELECT doc_id, {KEY_SQL.format(c='text')} AS k FROM documents WHERE text IS NOT NULL) GROUP BY k",
     "unseen_articles": f"""
 WITH k AS (SELECT doc_id, source, {KEY_SQL.format(c='text')} AS text_key FROM documents)

@@ -13,10 +13,16 @@ def strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False, header: bool = True, schema: StructType | None = None) -> DataFrame:
-    """Every column as trimmed text; blank lines are dropped; `source_file` names the file a row is from."""
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False, header: bool = True, schema: StructType | None = None, quotes: bool = True) -> DataFrame:
+    """Every column as trimmed text; blank lines are dropped; `source_file` names the file a row is from.
+
+    Without a schema all files must have one header; another one is an error (`catalogue.read_layouts` reads files of several).
+    With `quotes` off a quotation mark is a character like any other and every comma parts fields.
+    """
     reader = spark.read.option("header", header).option("multiLine", multi_line).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').option("mode", "PERMISSIVE")
-    df = (reader.schema(schema) if schema else reader).csv(path)
+    if not quotes:
+        reader = reader.option("quote", "")
+    df = (reader.schema(schema) if schema else reader.option("enforceSchema", not header)).csv(path)
     filled = F.concat_ws("", *(F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in df.columns)) != ""
     return df.where(filled).select("*", F.col("_metadata.file_name").alias("source_file"))
 
@@ -27,19 +33,31 @@ def column(df: DataFrame, *names: str) -> Column:
     return first_filled(*there) if there else F.lit(None).cast("string")
 
 
-def work_orders(raw: DataFrame, fiscal_year: str | None = None) -> DataFrame:
-    """Typed work orders from any of the portals' headers; ward from file name, order id or ward column."""
-    order_id = column(raw, "wo num", "Work Order Reference Number", "work_order_id", "id")
-    amount = F.coalesce(leading_number(column(raw, "amount", "Amount", "sanctioned_amount")), F.lit(0.0))
-    net = F.coalesce(leading_number(column(raw, "nett", "Nett", "net_paid", "Amount Paid")), F.lit(0.0))
-    stated = leading_number(column(raw, "deduction", "Deduction", "Balance"))
-    vendor = column(raw, "contractor", "Contractor Name & Phone")
-    ward = ward_of_order(ward_in_file_name(F.col("source_file")) if "source_file" in raw.columns else F.lit(None), order_id, column(raw, "Ward", "ward", "ward_no", "ward no"))
+# What the portals call the fields of a work order, in the order in which a filled one counts.
+ORDER_FIELDS = {
+    "order": ("wo num", "Work Order Reference Number", "work_order_id", "id"),
+    "amount": ("amount", "Amount", "sanctioned_amount"),
+    "net": ("nett", "Nett", "net_paid", "Amount Paid"),
+    "deduction": ("deduction", "Deduction", "Balance"),
+    "vendor": ("contractor", "Contractor Name & Phone"),
+    "ward": ("Ward", "ward", "ward_no", "ward no"),
+    "details": ("wodetails", "Work Order Code & Description", "description"),
+}
+
+
+def work_orders(raw: DataFrame, fiscal_year: str | None = None, ward_of_source: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed work orders from any of the portals' headers, and the columns to keep; ward from its source (a column, else the file's name), order id or ward column."""
+    field = {name: column(raw, name, *headers) if name not in headers else column(raw, *headers) for name, headers in ORDER_FIELDS.items()}
+    order_id, vendor = field["order"], field["vendor"]
+    amount, net = (F.coalesce(leading_number(field[c]), F.lit(0.0)) for c in ("amount", "net"))
+    stated = leading_number(field["deduction"])
+    in_name = ward_in_file_name(F.col("source_file")) if "source_file" in raw.columns else F.lit(None)
+    ward = ward_of_order(F.col(ward_of_source) if ward_of_source else in_name, order_id, field["ward"])
     return raw.select(
-        order_id.alias("work_order_id"), ward.alias("ward_no"), F.substring(column(raw, "wodetails", "Work Order Code & Description", "description"), 1, 1000).alias("description"),
+        order_id.alias("work_order_id"), ward.alias("ward_no"), F.substring(field["details"], 1, 1000).alias("description"),
         F.substring(vendor, 1, 500).alias("contractor_raw"), F.substring(vendor_name(vendor), 1, 300).alias("contractor_name"), trailing_phone(vendor).alias("contractor_phone"),
         amount.cast("decimal(18,2)").alias("sanctioned_amount"), net.cast("decimal(18,2)").alias("net_paid"), deduction_or_rest(stated, amount, net).cast("decimal(18,2)").alias("deduction"),
-        F.coalesce(F.lit(fiscal_year), fiscal_year_of_code(order_id)).alias("fy"),
+        F.coalesce(F.lit(fiscal_year), fiscal_year_of_code(order_id)).alias("fy"), *keep,
     ).where(F.col("work_order_id").isNotNull() & F.col("ward_no").isNotNull())
 
 
