@@ -14,6 +14,8 @@ from tallybook.operators.merge import expire, insert_ignore, partial_upsert, rep
 from tallybook.operators.rollup import argmax_rows, count_where
 from tallybook.operators.spatial import centroid, counts_by_area, locate_or_nearest
 from tallybook.session import shared_folder, table
+from tallybook.streaming.counters import added_to, counts, fold, increment, increment_available
+from tallybook.streaming.rate_limit import keyed_state, rate_limited
 from tallybook.streaming.signals import append_and_close, append_available, deduplicated, file_stream, insert_new_available, per_place, sessions, windowed_counts
 
 MOMENT = "2024-01-28 00:00:00"
@@ -103,6 +105,32 @@ def sliding_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limited.select("event_id", "in_window", "allowed")
 
 
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts from a stream that holds a window of counts for each user."""
+    stream, folder = _stream(spark, sf_dir)
+    limited = lambda events: rate_limited(events.select("event_id", "user_id", "ts"), "user_id", "ts", 3600, 5)
+    with keyed_state(spark):
+        append_and_close(stream, limited, "ts", f"{folder}/out", f"{folder}/state", f"{folder}/markers")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "in_window", "allowed")
+
+
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes by type, each user's once, from two feeds with replays: a batch run again, a feed read again, a fold between."""
+    stream, folder = _stream(spark, sf_dir)
+    votes, path, kinds = stream.select("event_type", "user_id"), f"{folder}/counters", _events(spark, sf_dir).select("event_type").schema
+    increment_available(votes, path, f"{folder}/first", "site", ["event_type"], "user_id")
+    batch = _events(spark, sf_dir).select("event_type", "user_id")
+    increment(batch, 0, path, "site", ["event_type"], "user_id")
+    fold(spark, path, kinds)
+    increment(batch, 0, path, "site", ["event_type"], "user_id")
+    increment_available(votes, path, f"{folder}/second", "app", ["event_type"], "user_id")
+    increment(batch, 1, path, "plain", ["event_type"])
+    increment(batch, 1, path, "plain", ["event_type"])
+    total = counts(spark, path, kinds)
+    known = _events(spark, sf_dir).select("event_type").where("event_type <> 'error'").distinct().withColumn("votes", F.lit(10).cast("bigint"))
+    return total.join(added_to(known, total, ["event_type"], "votes"), "event_type", "left")
+
+
 def vote_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user the event type most voted for, with its trust level."""
     votes = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("votes"))
@@ -203,11 +231,16 @@ points AS (SELECT event_id, event_type, user_id % 10 + 0.5::DOUBLE AS lon, minut
 squares AS (SELECT i AS area, (i % 5) * 2.0::DOUBLE AS x, (i // 5) * 2.0::DOUBLE AS y FROM range(25) r(i)),
 inside AS (SELECT event_id, event_type, area FROM points JOIN squares ON lon >= x AND lon < x + 1.7 AND lat >= y AND lat < y + 1.7)"""
 
+RATE_SQL = """
+WITH t AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
+w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM t)
+SELECT event_id, in_window, in_window <= 5 AS allowed FROM w"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         top_events_window, table_freshness, health_verdict, event_counters, merge_upsert, merge_insert_ignore, merge_replace_partition, merge_partial_upsert, merge_update_from,
-        union_sources, expire_facts, sliding_rate_limit, vote_argmax, first_votes, recent_feed, point_in_polygon, nearest_area, area_centroids,
+        union_sources, expire_facts, sliding_rate_limit, stream_rate_limit, stream_counters, vote_argmax, first_votes, recent_feed, point_in_polygon, nearest_area, area_centroids,
         stream_append, stream_insert_ignore, stream_windows, stream_sessions,
     )
 }
@@ -233,10 +266,11 @@ FROM base b FULL JOIN new n ON b.event_id = n.event_id""",
     "merge_update_from": f"WITH {HALVES_SQL} SELECT b.event_id, b.ts, b.user_id, b.event_type, coalesce(n.value, b.value) AS value FROM base b LEFT JOIN new n ON b.event_id = n.event_id",
     "union_sources": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
     "expire_facts": f"SELECT event_type, NOT (ts + INTERVAL 10 DAY < TIMESTAMP '{MOMENT}' AND event_type <> 'purchase') AS is_active, count(*) AS n FROM events GROUP BY 1, 2",
-    "sliding_rate_limit": """
-WITH t AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
-w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM t)
-SELECT event_id, in_window, in_window <= 5 AS allowed FROM w""",
+    "sliding_rate_limit": RATE_SQL,
+    "stream_rate_limit": RATE_SQL,
+    "stream_counters": """
+WITH c AS (SELECT event_type, count(*) + count(DISTINCT user_id) AS n FROM events GROUP BY 1)
+SELECT event_type, n, CASE WHEN event_type <> 'error' THEN n + 10 END AS votes FROM c""",
     "vote_argmax": """
 WITH v AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS rn FROM v)
 SELECT user_id, event_type, votes, CASE WHEN votes >= 5 THEN 'community_verified' ELSE 'unverified' END AS trust FROM r WHERE rn = 1""",
