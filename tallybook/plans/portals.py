@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.functions.text import lakh_of_rupees, ward_in_title
+from tallybook.operators.ranking import ranked
 from tallybook.session import shared_folder, table
 from tallybook.sources import catalogue
+from tallybook.sources.paged import LandedPages, load_pages, stream_pages
+from tallybook.streaming.signals import append_available
 
 PARTS = ("plain", "formal", "short")
 
@@ -66,7 +70,52 @@ def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.unionByName(gone)
 
 
-QUERIES = {f.__name__: f for f in (catalogue_orders, catalogue_files)}
+PAGE = 100
+STREAMS = ("F", "O", "P")
+
+
+def _landed_pages(spark: SparkSession, sf_dir: str, before: str | None = None) -> str:
+    """Orders as tenders of three agencies, newest first, in pages of a hundred; every eleventh date can't be read."""
+    orders = table(spark, sf_dir, "orders")
+    if before:
+        orders = orders.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
+    numbered = ranked(orders.select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_custkey"), ["o_orderstatus"], [F.desc("o_orderdate"), F.asc("o_orderkey")])
+    tender = F.struct(
+        "rank", F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 == 0, "soon").otherwise(F.date_format("o_orderdate", "dd-MM-yyyy HH:mm")).alias("publishedDate"),
+        F.concat(F.lit("Works in Ward No. "), F.col("o_custkey") % 200).alias("title"), (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("double").alias("ecv"),
+    )
+    pages = numbered.groupBy(F.col("o_orderstatus").alias("stream"), F.floor((F.col("rank") - 1) / PAGE).cast("int").alias("page")).agg(F.sort_array(F.collect_list(tender)).alias("data"))
+    sizes = numbered.groupBy(F.col("o_orderstatus").alias("stream")).agg(F.count("*").alias("total"))
+    folder = shared_folder(spark)
+    answers = pages.join(sizes, "stream").select("stream", "page", F.to_json(F.struct("total", "data")).alias("value"))
+    answers.repartition("stream", "page").write.partitionBy("stream", "page").text(folder)
+    return folder
+
+
+def _tenders(pages: DataFrame) -> DataFrame:
+    told = pages.select("stream", "page", "issued", F.from_json("value", "id bigint, title string, ecv double").alias("t"))
+    return told.select("stream", "page", F.col("t.id").alias("tender"), ward_in_title(F.col("t.title")).alias("ward_no"), lakh_of_rupees(F.col("t.ecv")).cast("double").alias("lakh"), F.col("issued").cast("string").alias("issued"))
+
+
+def tenders_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenders newer than a known date, read page by page up to the first page with a known one, and the whole of one agency."""
+    client = LandedPages(_landed_pages(spark, sf_dir))
+    new = _tenders(load_pages(spark, client, [*STREAMS, "absent"], since="1998-01-01")).withColumn("run", F.lit("new"))
+    whole = _tenders(load_pages(spark, client, list(STREAMS), since="1998-01-01", full=True).where("stream = 'P'")).withColumn("run", F.lit("full"))
+    return new.unionByName(whole)
+
+
+def tenders_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a stream, read twice: what was published between is all that the second run adds."""
+    early, late = LandedPages(_landed_pages(spark, sf_dir, "1997-06-01 00:00:00")), LandedPages(_landed_pages(spark, sf_dir))
+    folder = shared_folder(spark)
+    for client in (early, late):
+        dated = stream_pages(spark, client, list(STREAMS)).where("issued IS NOT NULL")
+        append_available(_tenders(dated), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("stream", "tender", "issued")
+
+
+QUERIES = {f.__name__: f for f in (catalogue_orders, catalogue_files, tenders_paged, tenders_streamed)}
 ORACLES = {
     "catalogue_orders": """
 WITH o AS (SELECT *, o_orderkey % 3 AS part, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderkey % 1000 AS net FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -76,6 +125,18 @@ SELECT CASE WHEN part = 1 THEN (c_nationkey + 1) || '-24-' || k ELSE k END AS wo
   CAST(amount AS DOUBLE) AS sanctioned_amount, CAST(CASE WHEN part < 2 THEN net ELSE 0 END AS DOUBLE) AS net_paid,
   CAST(CASE part WHEN 0 THEN greatest(0, amount - net) WHEN 1 THEN 12.5 ELSE amount END AS DOUBLE) AS deduction, '2013-2022' AS fy,
   CASE WHEN part = 0 THEN 2024 END AS resource_year, CASE part WHEN 1 THEN 'North ' || c_nationkey WHEN 2 THEN 'Zone ' || c_nationkey END AS resource_constituency FROM o""",
+    "tenders_paged": f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS r, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders),
+p AS (SELECT *, CAST((r - 1) // {PAGE} AS INT) AS page FROM t),
+stops AS (SELECT o_orderstatus, min(page) AS last FROM p WHERE day <= DATE '1998-01-01' GROUP BY 1),
+found AS (
+  SELECT 'new' AS run, p.* FROM p LEFT JOIN stops USING (o_orderstatus) WHERE page <= coalesce(last, page) AND (day IS NULL OR day > DATE '1998-01-01')
+  UNION ALL SELECT 'full', p.* FROM p WHERE o_orderstatus = 'P')
+SELECT run, o_orderstatus AS stream, page, o_orderkey AS tender, CAST(o_custkey % 200 AS INT) AS ward_no, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 100 / 1000 + 0.5) / 100 AS DOUBLE) AS lakh, CAST(day AS VARCHAR) AS issued FROM found""",
+    "tenders_streamed": """
+WITH t AS (SELECT o_orderstatus AS stream, o_orderkey AS tender, CAST(o_orderdate AS DATE) AS day, o_orderdate FROM orders WHERE o_orderkey % 11 <> 0),
+seen AS (SELECT stream, max(day) AS mark FROM t WHERE o_orderdate < TIMESTAMP '1997-06-01' GROUP BY 1)
+SELECT stream, tender, CAST(day AS VARCHAR) AS issued FROM t LEFT JOIN seen USING (stream) WHERE o_orderdate < TIMESTAMP '1997-06-01' OR mark IS NULL OR day > mark""",
     "catalogue_files": """
 WITH o AS (SELECT o_orderkey % 3 AS part, c_nationkey AS w FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT CAST(CASE WHEN part = 0 THEN w END AS INT) AS resource_ward, CASE WHEN part = 0 THEN 2024 END AS resource_year, CASE part WHEN 1 THEN 'North ' || w WHEN 2 THEN 'Zone ' || w END AS resource_constituency, count(*) AS n FROM o GROUP BY ALL

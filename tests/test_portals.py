@@ -2,12 +2,16 @@
 
 import json
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from tallybook.operators import gazetteer
 from tallybook.sources import catalogue
+from tallybook.sources.paged import PUSHDOWN, load_pages, stream_pages
 from tallybook.sources.records import ORDER_FIELDS, read_csv
+from tallybook.streaming.signals import append_available
 
 
 @pytest.fixture
@@ -83,3 +87,56 @@ def test_hints_come_before_titles(spark):
     assert {(r.id, r.alias) for r in gazetteer.outermost(hits, "id").collect()} == {(1, "park"), (1, "north park"), (2, "north")}
     empty = gazetteer.place_hits(signals, names.where("false"), "id", "title")
     assert empty.count() == 0
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import a test
+
+
+class CountedPages:
+    """Pages of ten rows a stream, newest first, and a note of each page asked for."""
+
+    def __init__(self, notes, rows):
+        self.notes, self.rows = str(notes), rows
+
+    def fetch(self, stream, page):
+        with open(f"{self.notes}/{stream}-{page}", "a"):
+            pass
+        rows = self.rows.get(stream, [])
+        return rows[page * 10 : page * 10 + 10], len(rows)
+
+
+@pytest.fixture
+def paged(tmp_path):
+    day = lambda n: f"{n % 28 + 1:02d}-{n // 28 + 1:02d}-2024 10:00"
+    rows = {s: [{"id": f"{s}{n}", "publishedDate": "soon" if n % 9 == 4 else day(n)} for n in range(119, -1, -1)] for s in ("a", "b")}
+    (tmp_path / "notes").mkdir()
+    return CountedPages(tmp_path / "notes", rows), tmp_path / "notes", tmp_path
+
+
+def test_pages_stop_at_the_first_known_row(spark, paged):
+    client, notes, _ = paged
+    got = load_pages(spark, client, ["a", "none"], since="2024-04-12").collect()  # day 95 of 0 to 119
+    assert sorted(p.name for p in notes.iterdir()) == ["a-0", "a-1", "a-2", "none-0"]
+    assert sorted(int(json.loads(r.value)["id"][1:]) for r in got) == sorted({*range(96, 120), 94})
+    assert load_pages(spark, client, ["a"], since="2024-04-12", full=True).count() == 120 and len(list(notes.iterdir())) == 13
+
+
+def test_streams_that_no_one_asks_for_are_not_read(spark, paged):
+    client, notes, _ = paged
+    spark.conf.set(PUSHDOWN, "true")
+    try:
+        assert load_pages(spark, client, ["a", "b"]).where("stream = 'b' AND page < 2").count() == 20
+    finally:
+        spark.conf.set(PUSHDOWN, "false")
+    assert {p.name[0] for p in notes.iterdir()} == {"b"}
+    assert load_pages(spark, client, ["a", "b"]).where("stream = 'a'").count() == 120
+
+
+def test_a_stream_goes_on_from_its_offset(spark, paged):
+    client, notes, folder = paged
+    whole, early = client.rows["a"], CountedPages(client.notes, {"a": client.rows["a"][60:]})
+    for source in (early, early, client):
+        rows = stream_pages(spark, source, ["a"]).where("issued IS NOT NULL").selectExpr("get_json_object(value, '$.id') AS id")
+        append_available(rows, f"{folder}/out", f"{folder}/state")
+    got = [r.id for r in spark.read.parquet(f"{folder}/out").collect()]
+    assert sorted(got) == sorted(r["id"] for r in whole if r["publishedDate"] != "soon")
