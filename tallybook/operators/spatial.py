@@ -1,16 +1,25 @@
-"""Points and polygons: containment by a grid-keyed join with ray casting, nearest by cells of growing width.
+"""Points and polygons: containment by a join on cells of each polygon's own size, nearest by bounds.
 
-Polygons are (id, ring) with ring an array of struct(lon, lat); the first ring of a multipolygon counts. Points on an
-edge follow the half-open rule of ray casting, so a point belongs to one of two neighbours at most.
+Polygons have a column ring, an array of struct(lon, lat); the first ring of a multipolygon counts. Points on an edge
+follow the half-open rule of ray casting, so a point belongs to one of two neighbours at most.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.operators.nearest import nearest
 from tallybook.session import written
 
+#: Cells along the longer side of a polygon, at most twice as many.
+CELLS = 16
+
 
 def contains(ring: Column, lon: Column, lat: Column) -> Column:
     """Ray casting as a fold over the ring's edges."""
@@ -25,24 +34,80 @@ def contains(ring: Column, lon: Column, lat: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), crossing), F.lit(0), lambda s, x: s + x) % 2 == 1
 
 
-def cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
-
-
-def gridded(polygons: DataFrame, size: float) -> DataFrame:
-    """A row for every grid cell that a polygon's bounding box touches."""
-    lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-    return polygons.select("*", F.explode(cells(F.array_min(lon), F.array_max(lon), size)).alias("cell_x"), cells(F.array_min(lat), F.array_max(lat), size).alias("_ys")).select("*", F.explode("_ys").alias("cell_y")).drop("_ys")
+def cells_of(ring: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The level of a ring's cells (of side 2**level) and the x, y of those it touches or holds, with whether it holds them whole.
 
-
-def locate(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
-    """Each point with the polygon that contains it; an equi-join on grid cells, then ray casting on the few that meet."""
-    keyed = points.withColumns({"cell_x": F.floor(F.col("lon") / size), "cell_y": F.floor(F.col("lat") / size)})
-    return keyed.join(gridded(polygons, size), ["cell_x", "cell_y"]).where(contains(F.col("ring"), F.col("lon"), F.col("lat"))).drop("cell_x", "cell_y", "ring")
+    A cell that an edge comes near counts as touched, so a whole one lies inside whatever the rounding.
+    """
+    low, high = ring.min(axis=0), ring.max(axis=0)
+    extent = float(max(high - low))
+    level = math.ceil(math.log2(extent / (2 * CELLS))) if extent > 0 else -40
+    level = max(level, math.ceil(math.log2(max(abs(low).max(), abs(high).max(), 1e-9))) - 40)  # cells stay well above the coordinates' precision
+    side = 2.0**level
+    first, last = np.floor(low / side).astype(np.int64), np.floor(high / side).astype(np.int64)
+    wide, tall = (last - first + 1).tolist()
+    touched = np.zeros((tall, wide), bool)
+    scaled, slack = ring / side - first, 1e-6
+    for (ax, ay), (bx, by) in zip(scaled.tolist(), np.roll(scaled, -1, axis=0).tolist()):
+        rows = np.arange(max(0, math.floor(min(ay, by) - slack)), min(tall - 1, math.floor(max(ay, by) + slack)) + 1)
+        if ay == by:
+            starts, ends = np.full(len(rows), min(ax, bx)), np.full(len(rows), max(ax, bx))
+        else:
+            cut = lambda y: ax + (np.clip(y, min(ay, by), max(ay, by)) - ay) * (bx - ax) / (by - ay)  # noqa: B023, E731
+            enters, leaves = cut(rows - slack), cut(rows + 1 + slack)
+            starts, ends = np.minimum(enters, leaves), np.maximum(enters, leaves)
+        for row, a, b in zip(rows.tolist(), np.floor(starts - slack).astype(int).tolist(), np.floor(ends + slack).astype(int).tolist()):
+            touched[row, max(0, a) : b + 1] = True
+    y, x = np.indices((tall, wide)).reshape(2, -1)
+    a, b = scaled, np.roll(scaled, -1, axis=0)
+    inside = np.zeros(len(x), bool)
+    for (ax, ay), (bx, by) in zip(a.tolist(), b.tolist()):
+        if ay != by:
+            inside ^= ((ay > y + 0.5) != (by > y + 0.5)) & (x + 0.5 < ax + (y + 0.5 - ay) * (bx - ax) / (by - ay))
+    touched = touched.ravel()
+    kept = touched | inside
+    return level, x[kept] + first[0], y[kept] + first[1], ~touched[kept]
+
+
+def covered(polygons: DataFrame) -> DataFrame:
+    """polygon, level, cell_x, cell_y, whole: a bounded number of cells for each polygon (polygon, ring), large or small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for polygon, ring in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                corners = [(p["lon"], p["lat"]) for p in ring or () if p and p["lon"] is not None and p["lat"] is not None]
+                if len(corners) < 3:
+                    continue
+                level, x, y, whole = cells_of(np.array(corners, float))
+                n = len(x)
+                yield pa.RecordBatch.from_arrays([pa.array([polygon] * n, pa.int64()), pa.array([level] * n, pa.int32()), pa.array(x), pa.array(y), pa.array(whole)], ["polygon", "level", "cell_x", "cell_y", "whole"])
+
+    return polygons.select("polygon", "ring").mapInArrow(run, "polygon bigint, level int, cell_x bigint, cell_y bigint, whole boolean")
+
+
+def locate(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Each point with the polygons that contain it (their columns but the ring).
+
+    A polygon is covered by cells of its own size: a country has no more of them than a ward. Points look themselves up in an
+    equi-join, once for each cell size there is. Cells that lie in a polygon whole decide at once; ray casting runs for the points
+    of its edge cells only.
+    """
+    named = written(polygons.withColumn("polygon", F.monotonically_increasing_id()))
+    cover = written(covered(named))
+    levels = [r[0] for r in cover.select("level").distinct().collect()]  # a few, however many polygons
+    if not levels:
+        return points.join(polygons.drop("ring").where("false"))
+    cell = lambda c, level: F.floor(F.col(c) / F.lit(2.0**level)).alias(f"cell_{'x' if c == 'lon' else 'y'}")
+    at = F.explode(F.array(*(F.struct(F.lit(level).alias("level"), cell("lon", level), cell("lat", level)) for level in sorted(levels))))
+    looked = points.where("lon IS NOT NULL AND lat IS NOT NULL").select("*", at.alias("_at")).select(*points.columns, "_at.*")
+    met = looked.join(cover, ["level", "cell_x", "cell_y"]).drop("level", "cell_x", "cell_y")
+    whole = met.where("whole").join(named.drop("ring"), "polygon")
+    edge = met.where("NOT whole").join(named, "polygon").where(contains(F.col("ring"), F.col("lon"), F.col("lat"))).drop("ring")
+    return whole.unionByName(edge).drop("polygon", "whole")
 
 
-def counts_by_area(points: DataFrame, polygons: DataFrame, area: str, *by: str, size: float = 0.05) -> DataFrame:
-    return locate(points, polygons, size).groupBy(area, *by).agg(F.count("*").alias("points"))
+def counts_by_area(points: DataFrame, polygons: DataFrame, area: str, *by: str) -> DataFrame:
+    return locate(points, polygons).groupBy(area, *by).agg(F.count("*").alias("points"))
 
 
 def centroid(ring: Column) -> Column:
@@ -51,51 +116,33 @@ def centroid(ring: Column) -> Column:
     return F.struct((total["x"] / F.size(ring)).alias("lon"), (total["y"] / F.size(ring)).alias("lat"))
 
 
-def squared_distance(lon: Column, lat: Column, lon2: Column, lat2: Column) -> Column:
-    return (lon - lon2) * (lon - lon2) + (lat - lat2) * (lat - lat2)
-
-
-def nearest(points: DataFrame, middles: DataFrame, key: str, area: str, size: float, max_distance: float | None = None) -> DataFrame:
-    """key, area: the area with the nearest middle (struct lon, lat), found in the cells around a point.
-
-    A middle within one cell's width is in the nine cells around the point's own, so what is found that near is final.
-    The other points look again in cells of twice the width, until all are found or the cells span everything.
-    """
-    flat = middles.select(area, F.col("mid.lon").alias("_lon"), F.col("mid.lat").alias("_lat"))
-    spread = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    ends = [r for r in (spread(flat, "_lon", "_lat"), spread(points, "lon", "lat")) if r[0] is not None]
-    if len(ends) < 2:
-        return points.where("false").select(key, F.lit(None).cast(flat.schema[area].dataType).alias(area))
-    extent = max(max(r[k + 1] for r in ends) - min(r[k] for r in ends) for k in (0, 2))
-    left, found, around = points.select(key, "lon", "lat"), None, F.sequence(F.lit(-1), F.lit(1))
-    apart = squared_distance(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
-    while True:
-        celled = flat.withColumns({"cell_x": F.floor(F.col("_lon") / size), "cell_y": F.floor(F.col("_lat") / size)})
-        own_x, own_y = F.floor(F.col("lon") / size), F.floor(F.col("lat") / size)
-        looking = left.select("*", F.explode(F.transform(around, lambda d: own_x + d)).alias("cell_x"), F.transform(around, lambda d: own_y + d).alias("_ys")).select("*", F.explode("_ys").alias("cell_y")).drop("_ys")
-        reach = min(size, max_distance) if max_distance else size
-        best = looking.join(celled, ["cell_x", "cell_y"]).where(apart <= reach**2).groupBy(key).agg(F.min_by(area, F.struct(apart, F.col(area))).alias(area))
-        best = written(best)
-        found = best if found is None else found.unionAll(best)
-        left = written(left.join(best, key, "left_anti"))
-        if size >= 2 * extent or (max_distance and size >= max_distance) or left.isEmpty():
-            return found
-        size *= 2
-
-
-def locate_or_nearest(points: DataFrame, polygons: DataFrame, key: str, area: str, size: float = 0.05, max_distance: float | None = None) -> DataFrame:
+def locate_or_nearest(points: DataFrame, polygons: DataFrame, key: str, area: str, max_distance: float | None = None) -> DataFrame:
     """The containing area, else the one with the nearest centroid (within max_distance, if given).
 
     `how` tells which: contains, nearest, or none (with a null area) for points without a place or too far from all.
     """
-    inside = written(locate(points, polygons, size).groupBy(key).agg(F.min(area).alias(area)))
-    outside = written(points.join(inside, key, "left_anti"))
-    near = nearest(outside.where("lon IS NOT NULL AND lat IS NOT NULL"), polygons.select(F.col(area), centroid(F.col("ring")).alias("mid")), key, area, size, max_distance)
+    inside = written(locate(points.select(key, "lon", "lat"), polygons.select(area, "ring")).groupBy(key).agg(F.min(area).alias(area)))
+    outside = written(points.select(key, "lon", "lat").join(inside, key, "left_anti"))
+    near = written(nearest(outside, polygons.select(F.col(area), centroid(F.col("ring")).alias("mid")), key, area, max_distance))
     rest = outside.join(near, key, "left_anti").select(key, F.lit(None).cast(inside.schema[area].dataType).alias(area), F.lit("none").alias("how"))
     return inside.withColumn("how", F.lit("contains")).unionByName(near.withColumn("how", F.lit("nearest"))).unionByName(rest)
 
 
-def jurisdictions(points: DataFrame, boundaries: DataFrame, key: str, size: float = 0.05) -> DataFrame:
+def pin_lookup(points: DataFrame, key: str, **schemes: tuple[DataFrame, str]) -> DataFrame:
+    """key, found, and per scheme (its polygons and their number) that scheme's number and attributes, prefixed by its name.
+
+    `found` is true if the first scheme has an area around the point. Of overlapping areas of a scheme the lowest number counts.
+    """
+    told = points.select(key).distinct()
+    for name, (polygons, number) in schemes.items():
+        others = [c for c in polygons.columns if c not in ("ring", number)]
+        hit = locate(points.select(key, "lon", "lat"), polygons).groupBy(key).agg(F.min(F.struct(number, *others)).alias("_hit"))
+        told = told.join(hit.select(key, *(F.col(f"_hit.{c}").alias(f"{name}_{c}") for c in (number, *others))), key, "left")
+    first, (_, number) = next(iter(schemes.items()))
+    return told.withColumn("found", F.col(f"{first}_{number}").isNotNull())
+
+
+def jurisdictions(points: DataFrame, boundaries: DataFrame, key: str) -> DataFrame:
     """All boundaries around a point by type: map of type to sorted names."""
-    named = locate(points, boundaries, size).groupBy(key, "type").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    named = locate(points, boundaries).groupBy(key, "type").agg(F.sort_array(F.collect_set("name")).alias("names"))
     return named.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "names")))).alias("jurisdictions"))

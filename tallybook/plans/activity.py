@@ -12,7 +12,8 @@ from tallybook.operators.freshness import freshness, trailing, verdict, within_w
 from tallybook.operators.joins import not_yet, update_from
 from tallybook.operators.merge import expire, insert_ignore, partial_upsert, replace_partition, upsert
 from tallybook.operators.rollup import argmax_rows, count_where
-from tallybook.operators.spatial import centroid, counts_by_area, locate_or_nearest
+from tallybook.operators.nearest import nearest
+from tallybook.operators.spatial import centroid, counts_by_area, locate_or_nearest, pin_lookup
 from tallybook.session import shared_folder, table
 from tallybook.streaming.counters import added_to, counts, fold, increment, increment_available
 from tallybook.streaming.rate_limit import keyed_state, rate_limited
@@ -164,15 +165,45 @@ def _squares(spark: SparkSession) -> DataFrame:
 
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points per square and type."""
-    return counts_by_area(_points(spark, sf_dir), _squares(spark), "area", "event_type", size=1.0)
+    return counts_by_area(_points(spark, sf_dir), _squares(spark), "area", "event_type")
 
 
 def nearest_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containing square of every point, else the one with the nearest centre."""
-    placed = locate_or_nearest(_points(spark, sf_dir), _squares(spark), "event_id", "area", size=1.0)
+    placed = locate_or_nearest(_points(spark, sf_dir), _squares(spark), "event_id", "area")
     return placed.groupBy("area", "how").agg(F.count("*").alias("n"))
 
 
+def _diamonds(spark: SparkSession) -> DataFrame:
+    """Areas of very different size in one table: a country, diamonds of a ward's width, and ten of a hundredth."""
+    corners = F.array(*(F.struct((F.col("x") + dx * F.col("r")).alias("lon"), (F.col("y") + dy * F.col("r")).alias("lat")) for dx, dy in ((1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0))))
+    wards = spark.range(16).selectExpr("id AS area", "(id % 4) * 3 + 0.9D AS x", "floor(id / 4) * 3 + 0.9D AS y", "1.27D AS r")
+    small = spark.range(10).selectExpr("100 + id AS area", "id + 0.5D AS x", "5.05D AS y", "0.01D AS r")
+    country = spark.range(1).selectExpr("1000 AS area", "0.0D AS x", "0.0D AS y", "5000.0D AS r")
+    return wards.unionByName(small).unionByName(country).select("area", corners.alias("ring"))
+
+
+def areas_of_all_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points per area and type where the areas overlap and differ in size by five orders."""
+    return counts_by_area(_points(spark, sf_dir), _diamonds(spark), "area", "event_type")
+
+
+def nearest_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest customer's place for every event; one event in fifty is a thousand widths away."""
+    far = F.when(F.col("event_id") % 50 == 0, 10_000.0).otherwise(0.0)
+    points = _points(spark, sf_dir).select("event_id", (F.col("lon") + far).alias("lon"), (F.col("lat") - far).alias("lat"))
+    spread = lambda a, m: F.pmod(F.col("c_custkey") * a, F.lit(m)) / F.lit(m / 10.0)
+    middles = table(spark, sf_dir, "customer").select("c_custkey", F.struct(spread(7919, 1009).alias("lon"), spread(104729, 997).alias("lat")).alias("mid"))
+    return nearest(points, middles, "event_id", "c_custkey")
+
+
+def pin_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old and the new ward of every point, and whether it has an old one; the schemes' areas differ."""
+    old = _squares(spark).select(F.col("area").alias("ward_no"), F.concat(F.lit("Ward "), "area").alias("ward_name"), "ring")
+    new = _diamonds(spark).where("area < 100").select(F.col("area").alias("ward_no"), (F.col("area") % 5).alias("corporation"), "ring")
+    return pin_lookup(_points(spark, sf_dir), "event_id", old=(old, "ward_no"), new=(new, "ward_no"))
+
+
 def area_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the corners of the box around each user's points."""
     low = lambda c: F.min(c)
@@ -236,11 +267,16 @@ WITH t AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM
 w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM t)
 SELECT event_id, in_window, in_window <= 5 AS allowed FROM w"""
 
+DIAMONDS_SQL = """
+diamonds AS (
+  SELECT i AS area, (i % 4) * 3 + 0.9::DOUBLE AS x, (i // 4) * 3 + 0.9::DOUBLE AS y, 1.27::DOUBLE AS r FROM range(16) t(i)
+  UNION ALL SELECT 100 + i, i + 0.5::DOUBLE, 5.05::DOUBLE, 0.01::DOUBLE FROM range(10) t(i) UNION ALL SELECT 1000, 0, 0, 5000)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         top_events_window, table_freshness, health_verdict, event_counters, merge_upsert, merge_insert_ignore, merge_replace_partition, merge_partial_upsert, merge_update_from,
-        union_sources, expire_facts, sliding_rate_limit, stream_rate_limit, stream_counters, vote_argmax, first_votes, recent_feed, point_in_polygon, nearest_area, area_centroids,
+        union_sources, expire_facts, sliding_rate_limit, stream_rate_limit, stream_counters, vote_argmax, first_votes, recent_feed, point_in_polygon, nearest_area, areas_of_all_sizes, nearest_outliers, pin_lookups, area_centroids,
         stream_append, stream_insert_ignore, stream_windows, stream_sessions,
     )
 }
@@ -285,6 +321,16 @@ SELECT event_id, event_type, CASE WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 TH
 WITH {POINTS_SQL}, outside AS (SELECT * FROM points WHERE event_id NOT IN (SELECT event_id FROM inside)),
 near AS (SELECT event_id, area, row_number() OVER (PARTITION BY event_id ORDER BY (lon - (x + 0.85)) * (lon - (x + 0.85)) + (lat - (y + 0.85)) * (lat - (y + 0.85)), area) AS rn FROM outside CROSS JOIN squares)
 SELECT area, 'contains' AS how, count(*) AS n FROM inside GROUP BY 1 UNION ALL SELECT area, 'nearest', count(*) FROM near WHERE rn = 1 GROUP BY 1""",
+    "areas_of_all_sizes": f"""
+WITH {POINTS_SQL}, {DIAMONDS_SQL} SELECT area, event_type, count(*) AS points FROM points JOIN diamonds d ON abs(lon - d.x) + abs(lat - d.y) < r GROUP BY 1, 2""",
+    "nearest_outliers": f"""
+WITH {POINTS_SQL}, moved AS (SELECT event_id, lon + CASE WHEN event_id % 50 = 0 THEN 10000 ELSE 0 END AS lon, lat - CASE WHEN event_id % 50 = 0 THEN 10000 ELSE 0 END AS lat FROM points),
+centres AS (SELECT c_custkey, (c_custkey * 7919 % 1009) / 100.9::DOUBLE AS x, (c_custkey * 104729 % 997) / 99.7::DOUBLE AS y FROM customer)
+SELECT event_id, arg_min(c_custkey, ((lon - x) * (lon - x) + (lat - y) * (lat - y), c_custkey)) AS c_custkey FROM moved, centres GROUP BY event_id""",
+    "pin_lookups": f"""
+WITH {POINTS_SQL}, {DIAMONDS_SQL},
+o AS (SELECT event_id, min(area) AS a FROM inside GROUP BY 1), n AS (SELECT event_id, min(area) AS a FROM points JOIN diamonds d ON area < 100 AND abs(lon - d.x) + abs(lat - d.y) < r GROUP BY 1)
+SELECT p.event_id, o.a IS NOT NULL AS found, o.a AS old_ward_no, 'Ward ' || o.a AS old_ward_name, n.a AS new_ward_no, n.a % 5 AS new_corporation FROM points p LEFT JOIN o USING (event_id) LEFT JOIN n USING (event_id)""",
     "area_centroids": f"WITH {POINTS_SQL} SELECT event_type, round((min(lon) + max(lon)) / 2, 6) AS lon, round((min(lat) + max(lat)) / 2, 6) AS lat FROM points GROUP BY 1",
     "stream_append": """
 SELECT event_type, CAST(NULL AS INT) AS place, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1

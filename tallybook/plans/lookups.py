@@ -106,7 +106,7 @@ def point_jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     squares = lambda side, kind: spark.range(int((10 // side) ** 2)).select((F.col("id") % (10 // side) * float(side)).alias("x"), (F.floor(F.col("id") / (10 // side)) * float(side)).alias("y"), "id").select(
         F.lit(kind).alias("type"), F.concat(F.lit(kind), F.col("id")).alias("name"), F.array(corner(0.0, 0.0), corner(float(side), 0.0), corner(float(side), float(side)), corner(0.0, float(side))).alias("ring")
     )
-    found = jurisdictions(events, squares(5, "zone").unionByName(squares(2, "ward")), "event_id", size=1.0)
+    found = jurisdictions(events, squares(5, "zone").unionByName(squares(2, "ward")), "event_id")
     named = found.select(F.get(F.col("jurisdictions")["ward"], F.lit(0)).alias("ward"), F.get(F.col("jurisdictions")["zone"], F.lit(0)).alias("zone"))
     return named.groupBy("ward", "zone").agg(F.count("*").alias("n"))
 
