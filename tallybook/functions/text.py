@@ -289,6 +289,18 @@ def rupees(amount: Column) -> Column:
     return F.coalesce(F.format_number(amount, 0), F.lit("-"))
 
 
+def compact_rupees(amount: Column) -> Column:
+    """Rupees as `1.2 Cr` from a crore on, `3.4 L` from a lakh on, else whole thousands: `56K`."""
+    value = amount.cast("double")
+    return F.when(value >= 1e7, F.format_string("%.1f Cr", value / 1e7)).when(value >= 1e5, F.format_string("%.1f L", value / 1e5)).otherwise(F.concat(F.floor(value / 1000 + 0.5).cast("string"), F.lit("K")))
+
+
+def ward_money(lakh: Column) -> Column:
+    """Lakh as `Rs. 56L`, or with one decimal as crores of ten thousand from there on."""
+    value = lakh.cast("double")
+    return F.when(value >= 10_000, F.format_string("Rs. %.1f Cr", value / 10_000)).otherwise(F.format_string("Rs. %.0fL", value))
+
+
 def title_case(c: Column) -> Column:
     """Each word with a capital."""
     return F.initcap(F.trim(c))

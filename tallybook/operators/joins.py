@@ -39,10 +39,15 @@ def by_number_else_name(spine: DataFrame, fact: DataFrame, number: str, name: st
 
 
 def compare_by_name(names: DataFrame, spine: DataFrame, name: str, key: str) -> DataFrame:
-    """For each asked name the first spine row whose name contains it, and whether there is one. A handful of names."""
-    hits = names.join(spine, F.contains(F.lower(F.col(name)), F.lower("asked")), "left")
-    one = Window.partitionBy("asked").orderBy(F.asc_nulls_last(key))
-    return hits.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r").withColumn("found", F.col(key).isNotNull())
+    """For each asked name the first spine row (by key) whose name contains it, whatever the case, and whether there is one.
+
+    An asked name meets the spine's names in an equi-join on its first three letters; a blank one finds nothing.
+    """
+    asked = names.select("asked").distinct().where(F.trim("asked") != "").withColumn("_run", F.substring(F.lower("asked"), 1, 3))
+    runs = spine.select("*", F.explode(letter_runs(F.lower(F.col(name)), 1, 3)).alias("_run"))
+    met = asked.join(runs, "_run").where(F.contains(F.lower(F.col(name)), F.lower("asked")))
+    first = met.groupBy("asked").agg(F.min_by(F.struct(*spine.columns), F.col(key)).alias("_hit")).select(F.col("asked").alias("_asked"), *(F.col(f"_hit.{c}").alias(c) for c in spine.columns))
+    return names.join(first, F.col("asked") == F.col("_asked"), "left").drop("_asked").withColumn("found", F.col(key).isNotNull())
 
 
 def unnest(df: DataFrame, array: str, element: str) -> DataFrame:

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.functions import text
 from tallybook.functions.text import lakh_of_rupees, ward_in_title
 from tallybook.operators.ranking import ranked
 from tallybook.session import shared_folder, table
-from tallybook.sources import catalogue
+from tallybook.sources import catalogue, grids, markup
 from tallybook.sources.paged import LandedPages, load_pages, stream_pages
 from tallybook.streaming.signals import append_available
 
@@ -115,7 +116,53 @@ def tenders_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("stream", "tender", "issued")
 
 
-QUERIES = {f.__name__: f for f in (catalogue_orders, catalogue_files, tenders_paged, tenders_streamed)}
+def grid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payment grid for each customer, some cut off, some errors of the portal, pages or nothing: good rows beside error rows."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    row = F.struct(
+        F.when(F.col("o_orderkey") % 13 == 0, "").otherwise(F.concat(F.lit("017-25-"), key)).alias("wcname"), F.concat(F.lit(" Drain "), key).alias("nameofwork"),
+        F.when(F.col("o_orderkey") % 7 == 0, "tbd").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("amount"), F.when(F.col("o_orderkey") % 5 == 0, "7a").otherwise(key).alias("wbid"),
+        F.concat(F.lit("&lt;b&gt;Division : D"), key, F.lit("&lt;br&gt;Contractor : 1234 C "), key, F.lit("&lt;br&gt;")).alias("jobcode"), F.concat(F.lit("SBR 9&lt;br&gt;BR "), key).alias("brdetails"),
+    )
+    whole = orders.groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("good"))
+    kind = F.col("o_custkey") % 10
+    broken = F.when(kind == 3, F.expr("substring(good, 1, length(good) - 9)")).when(kind == 5, '{"rError": "No data"}').when(kind == 7, "<html>502</html>").when(kind == 9, "  ").when(kind == 1, '{"total": 3}')
+    path = shared_folder(spark)
+    whole.select("o_custkey", F.coalesce(broken, "good").alias("value")).write.parquet(path)
+    answered = grids.opened(spark.read.parquet(path))
+    good = grids.payments(answered, "o_custkey").select("o_custkey", "work_order_id", "description", "contractor_name", F.col("sanctioned_amount").cast("double").alias("amount"), "fy", "division", "bill_ref", "bill_no", "odd")
+    errors = answered.where("error IS NOT NULL").select("o_custkey", F.col("error"))
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+
+
+def feeds_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as a feed, RSS or Atom, with namespaces, nested markup and attributes, some cut off at their end: the first fifteen items."""
+    events = table(spark, sf_dir, "events")
+    number = F.col("event_id").cast("string")
+    title = F.concat(F.lit("Event <b>number</b> "), number)
+    item = F.concat(
+        F.lit('<item guid="1"><dc:creator>x</dc:creator><title>'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<![CDATA["), title, F.lit("]]>"))).otherwise(F.when(F.col("event_id") % 3 == 1, title).otherwise("short")),
+        F.lit("</title><description>A &amp;amp; B &lt;i&gt;c&lt;/i&gt;</description><link>http://x/"), number, F.lit("</link><pubDate>"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"),
+    )
+    entry = F.concat(F.lit('<entry><title type="html">'), title, F.lit('</title><link rel="self" href="http://y"/><link href="http://x/'), number, F.lit('"/><updated>'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry><entry><title>short</title></entry>"))
+    all_of = lambda each: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", each.alias("x")))), lambda e: e["x"]), "")
+    rss = F.concat(F.lit('<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/" version="2.0"><channel><title>T</title>'), all_of(item), F.when(F.col("user_id") % 3 == 0, "</channel></rss>").otherwise(""))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), all_of(entry), F.lit("</feed>"))
+    path = shared_folder(spark)
+    events.groupBy("user_id").agg(F.when(F.col("user_id") % 2 == 0, rss).otherwise(atom).alias("xml")).write.parquet(path)
+    return markup.feed_entries(spark.read.parquet(path), "xml").select("user_id", "title", "body", "link", F.unix_timestamp("published").alias("seconds"), "place", "whole")
+
+
+def signal_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as headlines of publishers with hashtags and mentions, cleaned; and sums of money as pages show them."""
+    events = table(spark, sf_dir, "events")
+    publisher = F.element_at(F.array(*(F.lit(p) for p in (" - The Hindu", " | NDTV News", " - ", " - Local Paper", ""))), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.concat(F.lit("  Road "), "event_id", F.lit("  #dug up by @city"), publisher)
+    return events.select("event_id", text.headline_without_publisher(raw).alias("headline"), text.compact_rupees(F.col("event_id") * 7777).alias("rupees"), text.ward_money(F.col("event_id") * 5).alias("money"))
+
+
+QUERIES = {f.__name__: f for f in (catalogue_orders, catalogue_files, tenders_paged, tenders_streamed, grid_answers, feeds_parsed, signal_headlines)}
 ORACLES = {
     "catalogue_orders": """
 WITH o AS (SELECT *, o_orderkey % 3 AS part, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderkey % 1000 AS net FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -133,6 +180,25 @@ found AS (
   SELECT 'new' AS run, p.* FROM p LEFT JOIN stops USING (o_orderstatus) WHERE page <= coalesce(last, page) AND (day IS NULL OR day > DATE '1998-01-01')
   UNION ALL SELECT 'full', p.* FROM p WHERE o_orderstatus = 'P')
 SELECT run, o_orderstatus AS stream, page, o_orderkey AS tender, CAST(o_custkey % 200 AS INT) AS ward_no, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 100 / 1000 + 0.5) / 100 AS DOUBLE) AS lakh, CAST(day AS VARCHAR) AS issued FROM found""",
+    "grid_answers": """
+WITH o AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS k, o_custkey % 10 AS kind FROM orders),
+a AS (SELECT o_custkey, kind, string_agg(DISTINCT 'x', '') AS x FROM o GROUP BY 1, 2),
+first AS (SELECT o_custkey, arg_min(o, (CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '017-25-' || k END, ' Drain ' || k)) AS f FROM o WHERE kind = 3 GROUP BY 1)
+SELECT o_custkey, '017-25-' || k AS work_order_id, 'Drain ' || k AS description, 'C ' || k AS contractor_name, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS amount, '2024-25' AS fy, 'D' || k AS division, k AS bill_ref,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS bill_no, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'amount' END, CASE WHEN o_orderkey % 5 = 0 THEN 'wbid' END) AS odd, CAST(NULL AS VARCHAR) AS error
+FROM o WHERE kind NOT IN (1, 3, 5, 7, 9) AND o_orderkey % 13 <> 0
+UNION ALL SELECT o_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  CASE kind WHEN 1 THEN 'no rows: {"total": 3}' WHEN 5 THEN 'portal: No data' WHEN 7 THEN 'not JSON: <html>502</html>' ELSE 'empty' END FROM a WHERE kind IN (1, 5, 7, 9)
+UNION ALL SELECT o_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  'not JSON: ' || substr('[{"wcname":"' || CASE WHEN f.o_orderkey % 13 = 0 THEN '' ELSE '017-25-' || f.k END || '","nameofwork":" Drain ' || f.k || '","amount":"' || CASE WHEN f.o_orderkey % 7 = 0 THEN 'tbd' ELSE CAST(CAST(f.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END || '","wbid":"', 1, 60) FROM first""",
+    "feeds_parsed": """
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, user_id % 2 = 0 AS rss FROM events)
+SELECT user_id, 'Event number ' || event_id AS title, CASE WHEN rss THEN 'A & B c' END AS body, 'http://x/' || event_id AS link, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, CAST(CASE WHEN rss THEN r ELSE 2 * r END AS INT) AS place, NOT rss OR user_id % 3 = 0 AS whole
+FROM e WHERE CASE WHEN rss THEN r ELSE 2 * r END < 15 AND NOT (rss AND event_id % 3 = 2)""",
+    "signal_headlines": """
+SELECT event_id, 'Road ' || event_id || ' up by' || CASE WHEN event_id % 5 = 3 THEN ' - Local Paper' ELSE '' END AS headline,
+  CASE WHEN event_id * 7777 >= 10000000 THEN printf('%.1f', event_id * 7777 / 1e7) || ' Cr' WHEN event_id * 7777 >= 100000 THEN printf('%.1f', event_id * 7777 / 1e5) || ' L' ELSE CAST(floor(event_id * 7777 / 1000.0 + 0.5) AS BIGINT) || 'K' END AS rupees,
+  CASE WHEN event_id * 5 >= 10000 THEN 'Rs. ' || printf('%.1f', event_id * 5 / 10000.0) || ' Cr' ELSE 'Rs. ' || event_id * 5 || 'L' END AS money FROM events""",
     "tenders_streamed": """
 WITH t AS (SELECT o_orderstatus AS stream, o_orderkey AS tender, CAST(o_orderdate AS DATE) AS day, o_orderdate FROM orders WHERE o_orderkey % 11 <> 0),
 seen AS (SELECT stream, max(day) AS mark FROM t WHERE o_orderdate < TIMESTAMP '1997-06-01' GROUP BY 1)

@@ -30,11 +30,12 @@ def listed_names(pages: DataFrame, html: str, cell: int, source: str, noise: tup
     return named.where(keep).distinct()
 
 
-def feed_items(feeds: DataFrame, xml: str, least_title: int = 10) -> DataFrame:
-    """Items of RSS and entries of Atom feeds: title, body, link, published; short titles are dropped."""
+def feed_items(feeds: DataFrame, xml: str, least_title: int = 10, first: int | None = None) -> DataFrame:
+    """Items of RSS and entries of Atom feeds by a scan: title, body, link, published, place; short titles are dropped, `first` items of each feed count."""
     items = F.regexp_extract_all(xml, F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), F.lit(1))
     entries = F.regexp_extract_all(xml, F.lit(r"(?s)<entry(?:\s[^>]*)?>(.*?)</entry>"), F.lit(1))
-    each = feeds.select("*", F.explode(F.when(F.size(items) > 0, items).otherwise(entries)).alias("_item"))
+    listed = F.when(F.size(items) > 0, items).otherwise(entries)
+    each = feeds.select("*", F.posexplode(F.slice(listed, 1, first) if first else listed).alias("place", "_item"))
 
     def inner(tag: str) -> Column:
         raw = found(F.col("_item"), rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")
@@ -45,6 +46,37 @@ def feed_items(feeds: DataFrame, xml: str, least_title: int = 10) -> DataFrame:
     return parsed.drop("_item").where(F.length("title") > least_title)
 
 
+#: What is read of a feed: RSS 2.0 has its items in the channel, RSS 1.0 beside it, Atom has entries.
+_ITEM = "struct<title: string, description: string, link: string, pubDate: string>"
+_LINK = "struct<_href: string, _rel: string>"
+_ENTRY = f"struct<title: string, summary: string, link: array<{_LINK}>, published: string, updated: string>"
+FEED = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ENTRY}>, _corrupt_record string"
+
+
+def feed_entries(feeds: DataFrame, xml: str, first: int | None = 15, least_title: int = 10) -> DataFrame:
+    """The first items of each RSS or Atom feed, read as XML: title, body, link, published, place (from 0), whole.
+
+    Attributes, namespaces, CDATA and entities are the parser's; inner markup is taken out of titles and bodies. Feeds that aren't well-formed
+    (`whole` is false) are scanned item by item, so that one broken item doesn't cost the others. Short titles are
+    dropped after the first items have been counted.
+    """
+    cleaned = F.regexp_replace(F.trim(F.regexp_replace(F.col(xml), r"^\uFEFF|<!DOCTYPE[^>]*>", "")), r"^<\?xml[^>]*\?>", "")
+    parsed = feeds.withColumn("_feed", F.from_xml(cleaned, FEED, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}))
+    good = F.col("_feed").isNotNull() & F.col("_feed._corrupt_record").isNull()
+    told = lambda c: blank_to_null(without_tags(unescaped(c)))
+    items = F.transform(F.coalesce("_feed.channel.item", "_feed.item"), lambda i: F.struct(i["title"].alias("title"), i["description"].alias("body"), i["link"].alias("link"), i["pubDate"].alias("rfc"), F.lit(None).cast("string").alias("iso")))
+    href = lambda e: F.coalesce(F.get(F.filter(e["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get(e["link"], F.lit(0))["_href"])
+    entries = F.transform("_feed.entry", lambda e: F.struct(e["title"].alias("title"), e["summary"].alias("body"), href(e).alias("link"), F.lit(None).cast("string").alias("rfc"), F.coalesce(e["published"], e["updated"]).alias("iso")))
+    listed = F.coalesce(F.when(F.size(items) > 0, items), entries)
+    chosen = F.slice(listed, 1, first) if first else listed
+    each = parsed.where(good).select(*feeds.columns, F.posexplode(chosen).alias("place", "_i"))
+    published = F.coalesce(rfc822_timestamp(F.trim("_i.rfc")), F.try_to_timestamp(F.trim("_i.iso")))
+    whole = each.select(*feeds.columns, told(F.col("_i.title")).alias("title"), told(F.col("_i.body")).alias("body"), blank_to_null(F.col("_i.link")).alias("link"), published.alias("published"), "place", F.lit(True).alias("whole"))
+    broken = parsed.where(~good).select(*feeds.columns)
+    scanned = feed_items(broken, F.col(xml), -1, first).withColumns({"title": told(F.col("title")), "body": told(F.col("body"))}).select(*whole.columns[:-1], F.lit(False).alias("whole"))
+    return whole.unionByName(scanned).where(F.length("title") > least_title)
+
+
 def links(html: Column) -> Column:
     """href of all anchors, in order."""
     return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))

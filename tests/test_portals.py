@@ -6,9 +6,10 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql.types import LongType, StructType
 
 from tallybook.operators import gazetteer
-from tallybook.sources import catalogue
+from tallybook.sources import catalogue, grids, markup
 from tallybook.sources.paged import PUSHDOWN, load_pages, stream_pages
 from tallybook.sources.records import ORDER_FIELDS, read_csv
 from tallybook.streaming.signals import append_available
@@ -140,3 +141,39 @@ def test_a_stream_goes_on_from_its_offset(spark, paged):
         append_available(rows, f"{folder}/out", f"{folder}/state")
     got = [r.id for r in spark.read.parquet(f"{folder}/out").collect()]
     assert sorted(got) == sorted(r["id"] for r in whole if r["publishedDate"] != "soon")
+
+
+def test_one_broken_answer_leaves_the_others(spark, tmp_path):
+    good = [{"wcname": "017-25-1", "amount": "12.5", "wbid": 7, "jobcode": "Contractor : 123 Alpha&lt;br&gt;"}, {"wcname": " ", "amount": "1"}, {"wcname": "x", "amount": ["odd"], "wbid": "9z"}, None]
+    files = {"good": json.dumps(good), "cut": json.dumps(good)[:-7], "page": "<html>", "portal": '{"rError": "none"}', "blank": "", "other": "17", "bom": "﻿[]"}
+    for name, body in files.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    answered = grids.opened(grids.answers(spark, str(tmp_path)).selectExpr("regexp_extract(source_path, '(\\\\w+).json', 1) AS ward", "value"))
+    errors = {r.ward: (r.error or "").split(":")[0] for r in answered.collect()}
+    # A file of nothing has no row at all.
+    assert errors == {"good": "", "cut": "not JSON", "page": "not JSON", "portal": "portal", "other": "no rows", "bom": ""}
+    got = [(r.ward, r.work_order_id, r.sanctioned_amount and float(r.sanctioned_amount), r.bill_no, r.contractor_code, r.odd) for r in grids.payments(answered, "ward").collect()]
+    assert got == [("good", "017-25-1", 12.5, 7, "123", ""), ("good", "x", None, None, None, "amount,wbid")]
+
+
+def test_cells_that_are_none_of_their_type(spark):
+    rows = spark.createDataFrame([("1", "x", "k"), ("y", None, "k"), ("2", " ", "k")], "a string, b string, c string")
+    got = grids.typed_or_error(rows, StructType().add("a", LongType()).add("b", LongType())).collect()
+    assert [(r.c, r.a, r.b, r.errors) for r in got] == [("k", 1, None, ["b"]), ("k", None, None, ["a"]), ("k", 2, None, [])]
+
+
+RSS = '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE rss><rss xmlns:m="http://m"><channel><title>T</title>{}</channel></rss>'
+ITEM = "<item k='v'><m:title>no</m:title><title>{}</title><description>{}</description><link>{}</link></item>"
+
+
+def test_feeds_as_xml(spark):
+    rss = RSS.format(ITEM.format("Nested <b>and <i>deep</i></b> title", "<![CDATA[<p>A &amp; B</p>]]>", " http://a?x=1&amp;y=2 ") + ITEM.format("short", "", "") + ITEM.format("A second longer title", "", "u") + ITEM.format("Beyond the first three", "", "u") * 3)
+    single = RSS.format(ITEM.format("One item alone is a list", "", "u"))
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">Entry &amp;lt;b&amp;gt; title</title><link rel="edit" href="e"/><link rel="alternate" href="h"/><published>2024-01-02T03:04:05Z</published></entry></feed>'
+    cut = RSS.format(ITEM.format("Whole item of a cut feed", "A &amp;amp; B", "u") + "<item><title>Cut item that has no end</tit")[:-20]
+    feeds = spark.createDataFrame([(1, rss), (2, single), (3, atom), (4, cut), (5, None), (6, "no feed"), (7, "<rss><channel/></rss>")], "id int, xml string")
+    got = {(r.id, r.place): (r.title, r.body, r.link, r.whole) for r in markup.feed_entries(feeds, "xml", first=3).collect()}
+    assert got == {
+        (1, 0): ("Nested and deep title", "A & B", "http://a?x=1&y=2", True), (1, 2): ("A second longer title", None, "u", True), (2, 0): ("One item alone is a list", None, "u", True),
+        (3, 0): ("Entry title", None, "h", True), (4, 0): ("Whole item of a cut feed", "A & B", "u", False),
+    }
