@@ -56,6 +56,11 @@ def flag_by_pattern(df: DataFrame, name: str, patterns: list[str], flag: str, co
     return df.withColumn(column, F.when(hit, F.array(F.lit(flag))).otherwise(F.col(column)))
 
 
+def flagged_counts(df: DataFrame, column: str = "blacklist_flags") -> DataFrame:
+    """One row: how many there are, and how many carry a flag."""
+    return df.agg(F.count("*").alias("total"), F.count_if(F.size(F.coalesce(column, F.array().cast("array<string>"))) > 0).cast("bigint").alias("flagged"))
+
+
 def write_guarded(df: DataFrame, path: str, partition: str | None = None) -> bool:
     """Overwrite a table (only the partitions at hand, if partitioned); an empty batch leaves it alone."""
     if df.isEmpty():

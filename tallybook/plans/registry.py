@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallybook.plans import activity, landings, lookups, portals, texts, vendors, wards
+from tallybook.plans import activity, landings, lookups, portals, surface, texts, vendors, wards
 
 QUERIES = {}
 ORACLES = {}
-for module in (vendors, wards, activity, texts, lookups, landings, portals):
+for module in (vendors, wards, activity, texts, lookups, landings, portals, surface):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
