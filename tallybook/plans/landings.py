@@ -187,7 +187,7 @@ def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type as RSS and Atom feeds, with the zones that feeds use, read back to moments."""
-    events = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    events = table(spark, sf_dir, "events")
     stamp = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.when(F.col("event_id") % 20 == 0, " +0530").otherwise(" GMT"))
     title = F.concat(F.lit("Event number "), "event_id")
     item = F.concat(F.lit("<item><title><![CDATA["), title, F.lit(" <b>new</b>]]></title><description>A &amp; B</description><link>http://x/"), "event_id", F.lit("</link><pubDate>"), stamp, F.lit("</pubDate></item>"))
@@ -201,7 +201,7 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, wards, dates, contacts and cells taken out of texts made of order fields."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    orders = table(spark, sf_dir, "orders")
     key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice")
     day = F.col("o_orderdate").cast("timestamp")
     cell = F.concat(F.lit("&lt;b&gt;Start : "), F.date_format(day, "d-MMM-yyyy"), F.lit("&lt;br&gt;Division : D"), key, F.lit("&lt;br&gt;Budget : &lt;br&gt;Contractor : C "), key, F.lit("&lt;br&gt;"))
@@ -350,9 +350,9 @@ SELECT s_name || ' & Co' AS name, CAST(round(s_acctbal) AS BIGINT) AS amount, 'r
 UNION ALL SELECT DISTINCT s_name || ' & Co', CAST(NULL AS BIGINT), 'name' FROM supplier""",
     "feeds": """
 SELECT user_id, 'Event number ' || event_id || CASE WHEN user_id % 2 = 0 THEN ' new' ELSE '' END AS title, CASE WHEN user_id % 2 = 0 THEN 'A & B' END AS body, 'http://x/' || event_id AS link,
-       CAST(floor(epoch(ts)) AS BIGINT) - CASE WHEN user_id % 2 = 0 AND event_id % 20 = 0 THEN 19800 ELSE 0 END AS seconds FROM events WHERE event_id % 10 = 0""",
+       CAST(floor(epoch(ts)) AS BIGINT) - CASE WHEN user_id % 2 = 0 AND event_id % 20 = 0 THEN 19800 ELSE 0 END AS seconds FROM events""",
     "parsed_values": """
-WITH o AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders WHERE o_orderkey % 3 = 0)
+WITH o AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders)
 SELECT o_orderkey, CAST(price AS DOUBLE) AS leading, CAST(price AS DOUBLE) AS thousands, CAST('.' || k AS DOUBLE) AS digits, CASE WHEN o_orderkey % 2 = 0 THEN 5.0::DOUBLE ELSE greatest(0.0::DOUBLE, 100.0::DOUBLE - o_orderkey % 200) END AS deduction,
        CASE WHEN o_orderkey % 2 = 0 THEN 17 ELSE 23 END AS ward, CAST(o_custkey % 100 AS INT) AS title_ward, CAST(o_custkey % 100 AS INT) AS file_ward, CAST(o_custkey % 90 + 10 AS INT) AS label_ward, CAST(year(o_orderdate) AS INT) AS year,
        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_day, 'D' || k AS division, CAST(NULL AS VARCHAR) AS budget, 'C ' || k AS contractor, k AS segment,
