@@ -2,24 +2,26 @@
 
 A page is cut into lines at block-level tags. Markup that never holds an article (scripts, menus, footers, forms,
 and elements whose class or id is advert, sidebar, comments and the like) leaves empty lines, so it shows as a gap.
-Each line has its text length without link text (headings count whole). The lengths are summed over a window of
-WINDOW lines; text begins where the sum surges to the threshold (SURGE characters, or the page's highest sum if that
-is lower) and ends where it dives to zero.
-
-What surges decides what is kept, on every page:
-- where lines of `article` or `main` elements have text, the distribution is taken over these lines alone, and each
-  element in which a window surges is kept whole, from its first line to its last.
-- elsewhere the span with the most text is the core. Spans of the core's container (the innermost element around it,
-  wider as long as that holds no menu, header or footer) are kept too if they surge, or if nothing but skipped markup
-  parts them from kept text.
-
-Markup is read by a tokenizer that only moves forward, so its time grows with the page's length. Elements end where
-HTML ends them: end tags of paragraphs, list items, table cells and so on may be left out. An unclosed element that
-would be skipped ends where an article begins. Classes, ids and roles are told by whole names; an element that holds all
-articles of its page is never skipped, nor is a form around most of the text.
+Each line weighs its text length, and the weights are summed over a window of WINDOW lines. Text begins where
+the sum surges to the threshold (SURGE characters, or the page's highest sum if that is lower) and ends where it dives to zero:
+these spans are what is kept, on every page. Elements only set the weights:
+- where lines of `article` or `main` elements have text, these lines weigh all their text and the others nothing.
+- elsewhere link text weighs nothing (headings weigh whole).
+
+The span with the most text is the core. The other spans that surge are kept if they are in an article or in the core's container (the
+innermost element around it, wider as long as that holds no menu, header or footer). So are spans that don't surge if
+nothing but skipped markup parts them from kept text, and, on pages without articles, whatever stands between kept lines
+or follows with text of its own in the container: paragraphs of links inside the text are part of it, lists of links aren't.
+
+Markup is read by a tokenizer that only moves forward, and places in the stack of open elements are looked up by name, so time
+grows with the page's length whatever its depth. Elements end where HTML ends them: end tags of paragraphs, list items, table
+cells and so on may be left out. An unclosed element that would be skipped ends where an article begins, and isn't skipped if it
+runs around most of the text. Classes, ids and roles are told by whole names; an element that holds all articles of its page is
+never skipped, nor is a form around most of the text; in an article, headings keep their text whatever their class, paragraphs unless
+they are adverts.
 
 Edge cases: null and empty pages, and pages without text, give an empty text. Broken markup (unclosed elements or
-quotes, elements nested too deeply, a page cut off in mid-tag) is read as far as it goes. Repeated rows give equal rows, an empty table none; rows
+quotes, elements nested deeply, a page cut off in mid-tag) is read as far as it goes. Repeated rows give equal rows, an empty table none; rows
 are read one by one, whole pages. Only key, url and page are read, so clashing names do no harm.
 """
 
@@ -36,9 +38,7 @@ from tallybook.llm.batches import map_rows
 WINDOW = 3
 #: Characters in a window from which text is taken to begin.
 SURGE = 86
-#: Elements nested deeper are read as if they held nothing of their own, as browsers do.
-DEPTH = 500
-#: A form around at least this share of a page's text is its frame, not a form to fill in.
+#: A form or an unclosed menu around at least this share of a page's text is its frame, not a part of it.
 MOST = 0.5
 
 # Elements by their part in a page.
@@ -69,6 +69,8 @@ _WORD = (
     r"nav(?:bar|igation)?|menus?|bread-?crumbs?|footers?|masthead|site-?header|page-?header|social|share|sharing|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?|toolbar|skip-?link|complementary|contentinfo)"
 )
 MARKED = re.compile(rf"(?:{BESIDE}[-_]+)*{_WORD}(?:[-_]+(?:{_WORD}|{BESIDE}))*[0-9]*")
+_ADVERT = re.compile(rf"(?:{BESIDE}[-_]+)*(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|cookies?|consent|gdpr|newsletter|subscribe)(?:[-_]+(?:{_WORD}|{BESIDE}))*[0-9]*")
+PARAGRAPHS = {"p", "blockquote", "pre"}
 _REMARKS = re.compile(r"comment|reply|related|promo|(?<![a-z])ads?(?![a-z])")
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -100,6 +102,8 @@ class _Reader:
         page, begin = self.page, at
         name = _NAME.match(page, at)
         at, attributes, alone = name.end(), {}, False
+        if page[at : at + 1] == ">":
+            return name[0].lower(), attributes, False, at + 1
         while True:
             to = _BETWEEN.match(page, at).end()
             alone, at = page[at:to].rstrip().endswith("/"), to
@@ -163,41 +167,42 @@ class _Reader:
 
 
 class _Element:
-    """An element of a page: its place in the tree, and how many characters of text it holds."""
+    """An element of a page: its place in the tree (`enter` and `leave` number the tags), and how many characters of text it holds."""
 
-    __slots__ = ("article", "attributes", "before", "explicit", "framed", "held", "name", "names", "parent", "within")
+    __slots__ = ("article", "attributes", "before", "enter", "explicit", "framed", "held", "leave", "name", "names", "parent", "within")
 
-    def __init__(self, name: str, attributes: dict[str, str], parent: _Element | None, before: int):
-        self.name, self.attributes, self.parent, self.before = name, attributes, parent, before
-        self.names = [x for key in ("class", "id", "role", "aria-label") for x in entities.unescape(attributes.get(key, "")).lower().split()]
+    def __init__(self, name: str, attributes: dict[str, str], parent: _Element | None, before: int, enter: int):
+        self.name, self.attributes, self.parent, self.before, self.enter, self.leave = name, attributes, parent, before, enter, enter
+        self.names = [x for key in ("class", "id", "role", "aria-label") if key in attributes for x in entities.unescape(attributes[key]).lower().split()]
         self.article = name in MAIN and not any(_REMARKS.search(x) for x in self.names)
-        self.explicit, self.framed, self.held, self.within = False, False, 0, 0
+        self.explicit, self.framed, self.held, self.within = False, False, 0, int(self.article)
 
-    def ancestors(self) -> Iterator[_Element]:
-        at = self
-        while at is not None:
-            yield at
-            at = at.parent
+    def around(self, other: _Element | None) -> bool:
+        return other is not None and self.enter <= other.enter <= self.leave
 
 
 def parsed(page: str) -> list[tuple]:
     """The page as ("text", text), ("open", element) and ("close", element); elements left open are closed where HTML says."""
-    out, stack, chars = [], [_Element("", {}, None, 0)], 0
+    out, stack, chars = [], [_Element("", {}, None, 0, 0)], 0
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
 
     def close(to: int, explicit: bool = False) -> None:
         while len(stack) > to:
             element = stack.pop()
-            element.held = chars - element.before
+            if stack:
+                places[element.name].pop()
+                stack[-1].within += element.within
+            element.held, element.leave = chars - element.before, len(out)
             element.explicit = explicit and len(stack) == to
             out.append(("close", element))
 
+    def last(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def place(names: set[str], barriers: set[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                return k
-            if stack[k].name in barriers:
-                break
-        return 0
+        """Where the innermost open element of these names is; 0 if there is none, or a barrier is further in."""
+        at = last(names)
+        return at if at and at >= last(barriers) else 0
 
     for event in _Reader(page).events():
         if event[0] == "text":
@@ -213,15 +218,14 @@ def parsed(page: str) -> list[tuple]:
                 close(at)
             if name == "a" and (at := place({"a"}, BLOCKS)):
                 close(at)
-            element = _Element(name, attributes, stack[-1], chars)
+            element = _Element(name, attributes, stack[-1], chars, len(out))
             out.append(("open", element))
-            if name in VOID or alone and (name not in BLOCKS or name in RAW) or len(stack) > DEPTH:
+            if name in VOID or alone and (name not in BLOCKS or name in RAW):
+                element.leave = len(out)
                 out.append(("close", element))
                 continue
+            places.setdefault(name, []).append(len(stack))
             stack.append(element)
-            if element.article:
-                for holder in element.ancestors():
-                    holder.within += 1
         else:
             name = event[1]
             at = place({name}, set() if name in BLOCKS else {"td", "th", "table", "article", "main", "body"})
@@ -234,27 +238,36 @@ def parsed(page: str) -> list[tuple]:
 def _skipped(element: _Element, articles: int, chars: int, inside: bool) -> bool:
     """Whether an element holds no article text."""
     name, attributes = element.name, element.attributes
-    if name in RAW or "hidden" in attributes or _UNSEEN.search(attributes.get("style", "").lower()):
+    if name in RAW or attributes and ("hidden" in attributes or _UNSEEN.search(attributes.get("style", "").lower())):
         return True
     wraps = articles > 0 and element.within == articles
     if name in MAIN:
         return not element.article
     if name in ("html", "body", ""):
         return False
-    if any(MARKED.fullmatch(x) for x in element.names) and not wraps:
+    most = element.held >= MOST * chars
+    if not element.explicit and not articles and most and name != "head":
+        return False  # a menu that is never closed runs around the text that follows it
+    if inside and name in HEADINGS:
+        return False
+    if any((_ADVERT if inside and name in PARAGRAPHS else MARKED).fullmatch(x) for x in element.names) and not wraps:
         return True
     if name == "form":
-        return not wraps and (articles > 0 or element.held < MOST * chars)
+        return not wraps and (articles > 0 or not most)
     return name in APART and not (name == "header" and inside)
 
 
 class _Line:
-    """A line: text, characters that count, the article it is in (None: none), its container, whether only skipped markup is before it."""
+    """A line: text, its length without link text, the article it is in (None: none), its container, whether only skipped markup is before it, and whether it is an entry of a list of links."""
+
+    __slots__ = ("article", "container", "joined", "listed", "plain", "text")
 
-    __slots__ = ("article", "container", "joined", "length", "text")
+    def __init__(self, text: str, plain: int, article: _Element | None, container: _Element | None, joined: bool, listed: bool = False):
+        self.text, self.plain, self.article, self.container, self.joined, self.listed = text, plain, article, container, joined, listed
 
-    def __init__(self, text: str, length: int, article: _Element | None, container: _Element | None, joined: bool):
-        self.text, self.length, self.article, self.container, self.joined = text, length, article, container, joined
+
+#: Elements that don't count as containers: they are lines, or lists of lines.
+_LINES = HEADINGS | {"p", "li", "ul", "ol"}
 
 
 def page_lines(page: str) -> list[_Line]:
@@ -265,13 +278,14 @@ def page_lines(page: str) -> list[_Line]:
     lines: list[_Line] = []
     parts: list[str] = []
     state = {"plain": 0, "joined": False}
-    path, article, skipping, links, heading = [], None, None, 0, 0
+    path, holders, article, skipping, links, heading, entries = [], [], None, None, 0, 0, 0
 
     def finish() -> None:
+        if not parts:
+            return
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            block = next((x for x in reversed(path) if x.name in BLOCKS and x.name not in HEADINGS | {"p", "li", "ul", "ol"}), None)
-            lines.append(_Line(text, state["plain"], article, block, state["joined"]))
+            lines.append(_Line(text, state["plain"], article, holders[-1] if holders else None, state["joined"], entries > 0 and not state["plain"]))
             state["joined"] = False
         parts.clear()
         state["plain"] = 0
@@ -295,10 +309,12 @@ def page_lines(page: str) -> list[_Line]:
                 if block or what.name in APART and not article:
                     finish()
                     state["joined"] = what.name not in FRAME and (state["joined"] or bool(lines) and lines[-1].text != "")
-                    lines.extend(_Line("", 0, article, None, False) for _ in range(WINDOW))
+                    if not lines or any(x.text for x in lines[-WINDOW:]):
+                        lines.extend(_Line("", 0, article, None, False) for _ in range(WINDOW))
                     if what.name in FRAME:
-                        for holder in what.ancestors():
-                            holder.framed = True
+                        holder = what
+                        while holder is not None and not holder.framed:
+                            holder.framed, holder = True, holder.parent
                 if what.name not in VOID:
                     skipping = what
                 continue
@@ -314,9 +330,11 @@ def page_lines(page: str) -> list[_Line]:
                 links += 1
             if what.name not in VOID:
                 path.append(what)
+                entries += what.name == "li"
+                if what.name in BLOCKS and what.name not in _LINES:
+                    holders.append(what)
         else:
-            if what in path[-1:]:
-                path.pop()
+            listed = what in path[-1:] and path.pop().name == "li"
             if what.name in BLOCKS:
                 finish()
                 if what is article:
@@ -324,6 +342,9 @@ def page_lines(page: str) -> list[_Line]:
                 heading = max(0, heading - (what.name in HEADINGS))
             elif what.name == "a":
                 links = max(0, links - 1)
+            entries -= listed
+            if what in holders[-1:]:
+                holders.pop()
     finish()
     return lines
 
@@ -348,51 +369,54 @@ def spans_of(lengths: list[int], surge: int) -> list[tuple[int, int, bool]]:
     return spans
 
 
+def weights(lines: list[_Line]) -> tuple[list[int], bool]:
+    """What each line counts in the distribution, and whether articles decide it."""
+    of_articles = [len(x.text) if x.article is not None else 0 for x in lines]
+    return (of_articles, True) if any(of_articles) else ([x.plain for x in lines], False)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its lines between surge and dive, joined by newlines."""
     lines = page_lines(page or "")
-    of_article: dict[_Element, list[int]] = {}
-    for line in lines:
-        if line.article is not None:
-            of_article.setdefault(line.article, []).append(line.length)
-    highest = {article: max(window_sums(lengths)) for article, lengths in of_article.items()}
-    if any(highest.values()):
-        surge = min(SURGE, max(highest.values()))
-        return "\n".join(x.text for x in lines if x.text and x.article is not None and highest[x.article] >= surge)
-    lengths = [x.length for x in lines]
+    lengths, in_articles = weights(lines)
     surge = max(1, min(SURGE, max(window_sums(lengths), default=0)))
     spans = spans_of(lengths, surge)
     surging = [s for s in spans if s[2]]
     if not surging:
         return ""
     begin, end, _ = core = max(surging, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))
-    around = _container(lines[begin:end])
-    within = [around in (x.container.ancestors() if x.container else ()) or around is None for x in lines]
-    kept = {k for s in surging if s == core or all(within[k] for k in range(s[0], s[1]) if lengths[k]) for k in range(s[0], s[1])}
-    changed = True
-    while changed:  # short spans that only skipped markup parts from kept ones
-        changed = False
-        for (a, b, _), (c, d, _) in zip(spans, spans[1:]):
-            if any(lines[k].text for k in range(b, c)) or not (lines[c].joined and within[a] and within[c]) or (a in kept) == (c in kept):
-                continue
-            kept.update(range(a, b), range(c, d))
-            changed = True
-    return "\n".join(lines[k].text for k in sorted(kept) if lines[k].text)
+    around = None if in_articles else _container(lines[begin:end])
+    within = [bool(x.text) and (x.article is not None if in_articles else around is None or around.around(x.container)) for x in lines]
+    held = [s for s in surging if s == core or all(within[k] for k in range(s[0], s[1]) if lengths[k])]
+    kept = {k for s in held for k in range(s[0], s[1])}
+    # Short spans that only skipped markup parts from kept ones, onward and backward.
+    for pairs in (list(zip(spans, spans[1:])), list(zip(spans, spans[1:]))[::-1]):
+        for (a, b, _), (c, d, _) in pairs:
+            if (a in kept) != (c in kept) and lines[c].joined and within[a] and within[c] and not any(lines[k].text for k in range(b, c)):
+                kept.update(range(a, b), range(c, d))
+    if not in_articles:
+        # What the text's own container holds between kept lines, and what follows with text of its own.
+        home = lines[begin].container if around is None else around
+        own = [bool(x.text) and (x.container is home if around is None else within[k]) for k, x in enumerate(lines)]
+        final = max([k for k in kept if lines[k].text] + [k for s in spans for k in range(s[0], s[1]) if own[k] and lengths[k] and k > begin])
+        kept.update(k for k in range(min(kept), final) if own[k] and not lines[k].listed)
+        kept.add(final)
+    return "\n".join(lines[k].text for k in sorted(kept) if lines[k].text and not (in_articles and lines[k].article is None))
 
 
 def _container(lines: list[_Line]) -> _Element | None:
     """The innermost element around all lines, wider as long as that holds no part of the page's frame."""
-    common = None
+    at = None
     for line in lines:
-        if line.text and line.container:
-            above = list(line.container.ancestors())
-            common = above if common is None else [x for x in common if x in above]
-    if not common:
-        return None
-    at = common[0]
-    while at.parent is not None and at.parent.name not in ("body", "html", "") and not at.parent.framed:
+        if line.text:
+            at = at or line.container
+            while at is not None and not at.around(line.container):
+                at = at.parent
+            if at is None:
+                return None
+    while at is not None and at.parent is not None and at.parent.name not in ("body", "html", "") and not at.parent.framed:
         at = at.parent
-    return at
+    return None if at is None or at.name in ("body", "html", "") else at
 
 
 def _row(page_id: int, url: str | None, page: str | None) -> Iterator[tuple]:

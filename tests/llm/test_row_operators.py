@@ -1,6 +1,7 @@
 """Operators that judge rows one by one, against brute force, round trips and hand-written cases."""
 
 import hashlib
+import html
 import random
 import re
 import time
@@ -169,7 +170,7 @@ A, B, C = (f"{x} " + "is a paragraph of the story, long enough to be told from a
         ('<article><p>One.</p><section id="related-work"><p>Work.</p></section><table class="share-price"><tr><td>5</table><p data-id="search-1">Two.</p></article>', "One.\nWork.\n5\nTwo."),
         ("<article><p>One.</p><ul><li class=share>Share<li>Item</ul><p>Two.</p></article>", "One.\nItem\nTwo."),
         ("<body><nav><ul><li>Menu<article><p>Text.</p></article></body>", "Text."),
-        (f"<body><article><p>{A}</p></article><p>x</p><article><p>{B}</p></article><article><p>No</p></article></body>", f"{A}\n{B}"),
+        (f"<body><article><p>{A}</p></article><p>x</p><article><p>{B}</p></article><article><p>No</p></article></body>", f"{A}\n{B}\nNo"),
         (f"<div id=content><p>{A}</p><ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul><p>{B}</p></div>", f"{A}\n{B}"),
         ('<p>One <a href="x>y</a> two.', "One y two."),
         ("<p>1 < 2 and 3 > 2 &amp; a<b", "1 < 2 and 3 > 2 & a"),
@@ -199,6 +200,58 @@ def test_pages_of_any_kind(spark):
     assert line_blocks.extract_main_text(pages.where("false")).count() == 0
 
 
+LONG = "A long paragraph of the story which is long enough to count as text of an article, really, and says so twice."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><nav><a>Menu</a><div><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),  # a menu that is never closed
+        (f"<body><div><p>{LONG}</p><ul><li><a>1</a></li><li><a>2</a></li><li><a>3</a></li><li><a>4</a></li></ul><p>End.</p></div></body>", f"{LONG}\nEnd."),
+        (f"<body><p>{LONG}</p>" + "<p><a>link</a></p>" * 5 + f"<p>{LONG}</p></body>", f"{LONG}\n" + "link\n" * 5 + LONG),
+        (f"<article><h2 class=menu>Menu of the day</h2><p>{LONG}</p><p class=login>Login is hard.</p><p class=ad>Buy</p></article>", f"Menu of the day\n{LONG}\nLogin is hard."),
+        ("<article><p><a href=x>Only a link</a></p></article>", "Only a link"),
+        (f"<article><p>{LONG}</p></article><article><p>Short.</p></article>", f"{LONG}\nShort."),
+        ("<body><nav>Home Menu words here</nav>" + "<div>" * 2000 + f"<p>{LONG}</p>" + "</div>" * 2000, LONG),
+        (f"<body><div><ul><li><a>Home</a></li><li><a>News</a></li></ul><div><p>{LONG}</p></div></div></body>", LONG),  # an unmarked menu before the text
+    ],
+)
+def test_main_text_by_distribution(page, text):
+    assert line_blocks.main_text(page) == text
+
+
+def test_distribution_decides_on_every_page(spark, sf_dir, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    asked, spans_of = [], line_blocks.spans_of
+    monkeypatch.setattr(line_blocks, "spans_of", lambda *a: asked.append(1) or spans_of(*a))
+    texts = [line_blocks.main_text(p) for p in pages]
+    assert len(asked) == len(pages)
+    bare = [re.sub(r"</?article>", "", p).replace('<div class="ad">', "<div>") for p in pages]  # no element tells the text any more
+
+    def largest_span(page):
+        """The text between surge and dive, from the definition, over the page's lines outside menus and footers."""
+        lines = [(re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", x)).strip()) for x in re.split(r"</?(?:h1|p|div|body)[^>]*>", re.sub(r"(?s)<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->|.*</head>", "<p><p><p><p>", page))]
+        return [html.unescape(x) for x in lines if x]
+
+    got = [line_blocks.main_text(p) for p in bare]
+    assert sum(set(largest_span(p)) >= set(g.split("\n")) for p, g in zip(bare, got)) > 0.9 * len(pages)
+    assert sum(t in g for t, g in zip(texts, got)) > 0.9 * len(pages)
+    monkeypatch.setattr(line_blocks, "SURGE", 10**9)
+    assert [line_blocks.main_text(p) for p in pages] == texts  # the page's own highest sum bounds the threshold
+
+
+def test_window_and_threshold_change_what_is_kept(monkeypatch):
+    page = f"<body><div><p>{LONG}</p></div><div><p>one</p><p><a>x</a></p><p><a>y</a></p><p><a>z</a></p></div><div><p>{LONG[:60]}</p><p>{LONG[60:]}</p></div></body>"
+    usual = line_blocks.main_text(page)
+    assert usual.count("\n") >= 2
+    kept = {}
+    for name, value in (("SURGE", 1), ("WINDOW", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(line_blocks, name, value)
+            kept[name] = line_blocks.main_text(page)
+    assert "one" in kept["SURGE"] and kept["WINDOW"] != kept["SURGE"]
+
+
 def test_main_text_of_pages(spark, sf_dir):
     import html
 
