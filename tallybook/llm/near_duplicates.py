@@ -144,7 +144,10 @@ def frequency_classes(table: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean: float) -> DataFrame:
-    """token, salt, salts, doc, n, pos: the prefix of every different set under the first order; a task sends equal sets once."""
+    """token, cell, doc, at: the prefix of every different set under the first order; a task sends equal sets once.
+
+    cell: of how many salted chains a hot token has (upper half), which one it is (lower); at: the set's size and the place in it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     salts_of = np.maximum(1, (class_count(mean) - mean) / CHAIN).astype(np.int64)
 
@@ -168,10 +171,10 @@ def postings(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, mean:
                 token, owner = np.concatenate(tokens), np.concatenate(owners)
                 salts = salts_of[(token >> np.uint64(56)).astype(np.int64)]
                 salt = (mix(owner.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
-                columns = [token.view(np.int64), salt, salts.astype(np.int32), owner, np.concatenate(sizes).astype(np.int32), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "salts", "doc", "n", "pos"])
+                columns = [token.view(np.int64), salts << 32 | salt, owner, np.concatenate(sizes).astype(np.int64) << 32 | np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "cell", "doc", "at"])
 
-    return small_batches(docs.select(doc_id, text)).mapInArrow(run, "token bigint, salt int, salts int, doc bigint, n int, pos int")
+    return small_batches(docs.select(doc_id, text)).mapInArrow(run, "token bigint, cell bigint, doc bigint, at bigint")
 
 
 def _compatible(n: Column, m: Column) -> Column:
@@ -202,9 +205,11 @@ def _pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
 
 def size_chains(rows: DataFrame) -> DataFrame:
     """Postings of shared tokens, each with its predecessor by set size in its (salted) bucket."""
-    w = Window.partitionBy("token", "salt").orderBy("n", "doc")
+    upper, lower = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))  # the rows move before they are unpacked
+    rows = rows.repartition("token", "cell").select("token", "cell", upper(F.col("cell")).alias("salts"), "doc", upper(F.col("at")).alias("n"), lower(F.col("at")).alias("pos"))
+    w = Window.partitionBy("token", "cell").orderBy("n", "doc")
     chained = rows.withColumns({"before": F.lag("doc").over(w), "before_n": F.lag("n").over(w), "before_pos": F.lag("pos").over(w), "after": F.lead("doc").over(w)})
-    return chained.where("before IS NOT NULL OR after IS NOT NULL OR salts > 1").drop("after")
+    return chained.where("before IS NOT NULL OR after IS NOT NULL OR salts > 1").drop("after", "cell")
 
 
 def chain_pairs(chained: DataFrame) -> DataFrame:
