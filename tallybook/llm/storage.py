@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
-#: Tables written by the pipeline stage that runs or ran last.
-_of_stage: list[str] = []
-_in_stage = False
+#: Of the pipeline that runs in this thread: tables written by its current or last stage; None outside of stages.
+_of_stage: ContextVar[list[str]] = ContextVar("tables of the last stage")
+_in_stage: ContextVar[bool] = ContextVar("whether a stage runs", default=False)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,14 +33,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back; and where it is."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    if _in_stage:
-        _of_stage.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
+    table, path = write_table(df)
+    if _in_stage.get():
+        _of_stage.get().append(path)
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like `name` that is none of the columns, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -53,14 +74,13 @@ def stage(spark: SparkSession) -> Iterator[None]:
 
     The stage's own tables stay until the next one begins, since its result may be computed later.
     """
-    global _in_stage
-    while _of_stage:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_of_stage.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in _of_stage.get([]):
+        delete(spark, path)
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is no longer referenced
-    _in_stage = True
+    _of_stage.set([])
+    running = _in_stage.set(True)
     try:
         yield
     finally:
-        _in_stage = False
+        _in_stage.reset(running)
