@@ -19,7 +19,7 @@ from tallybook.llm.decontamination import contained_items
 from tallybook.llm.language_mixture import keep_identified, train
 from tallybook.llm.line_templates import drop_recurring_lines
 from tallybook.llm.near_duplicates import near_duplicates
-from tallybook.llm.storage import small_side, stage, written
+from tallybook.llm.storage import delete, small_side, stage, unused, write_table, written
 
 #: A document whose foremost language holds less than this share of its words is rejected.
 LEAST_SHARE = 0.4
@@ -35,8 +35,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out recurring lines; n_chars follows the text."""
     with stage(spark):
-        cleaned = drop_recurring_lines(docs, lines="_lines", dropped="_dropped").where("size(_dropped) = 0 OR trim(text) <> ''")
-        n_chars = F.when(F.size("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
+        held, gone = (unused(name, docs.columns) for name in ("lines", "dropped"))
+        cleaned = drop_recurring_lines(docs, lines=held, dropped=gone).where((F.size(gone) == 0) | (F.trim("text") != ""))
+        n_chars = F.when(F.size(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
         return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
 
 
@@ -69,7 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages in turn to `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, function in STAGES:
-        docs = written(function(spark, docs, sf_dir))
+        docs, path = write_table(function(spark, docs, sf_dir))
+        if before:
+            delete(spark, before)  # the next stage's result is written
+        before = path
     return docs

@@ -180,6 +180,16 @@ def test_line_templates_footer_chorus_and_fields(spark):
     assert [got[k] for k in range(28)] == [[2, 3, 4]] * 20 + [[]] + [[1, 3]] * 7
 
 
+@pytest.mark.parametrize("words, gone", [(14, True), (16, True), (4, False)])
+def test_line_templates_of_mostly_boilerplate(spark, words, gone):
+    """Unrelated documents of five shared lines and few words of their own; below a ninth of its words a text is a near-duplicate."""
+    own = _own(40)
+    shared = [own(12) for _ in range(5)]
+    texts = ["\n".join([own(words), *shared]) for _ in range(40)]
+    got = line_templates.drop_recurring_lines(docs_of(spark, texts)).collect()
+    assert all(len(r["dropped"]) == (5 if gone else 0) for r in got)
+
+
 def test_line_templates_copies_of_two_lines(spark):
     """Copies edited in one of two lines keep the other; a long passage of two unrelated documents goes, of two copies it stays."""
     own = _own(17)
@@ -232,7 +242,7 @@ def brute_recurring(texts):
                     end += 1
                 outside = [line for k, (_, line) in enumerate(cut[t]) if not begin <= k < end]
                 words = sum(len(line.split()) for line in outside)
-                if words >= max(1, 0.2 * sum(len(line.split()) for _, line in cut[t])):
+                if words >= max(1, sum(len(line.split()) for _, line in cut[t]) / 9):
                     hashes = np.unique(np.concatenate(list(shingle_sets(pa.array(outside), 3)))).tolist()
                     least = {k: min(h for h in hashes if h % 16 == k) for k in {h % 16 for h in hashes}}
                     sketch = {(least[k], least[(k + 1) % 16]) for k in least if (k + 1) % 16 in least}
@@ -381,6 +391,23 @@ def test_contained_items_partitions(spark):
     assert decontamination.contained_items(docs.where("false"), spark.createDataFrame(items, "item_id long, text string, q string")).count() == 0
 
 
+def test_documents_look_up_what_they_can_hold(spark):
+    """Sketches of the partitions within reach cut the looked-up hashes; what the documents hold is found all the same."""
+    own = _own(31)
+    items = [(k, own(q + 4)) for k, q in enumerate((30, 60, 120, 400))]
+    rows = [(k, f"{own(300)} {items[k % 3][1]} {own(300)}") for k in range(30)] + [(100 + k, own(40)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = decontamination.item_shingles(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 5, 0.8)
+    low = decontamination.written(decontamination.signatures(table, 0.8))
+    texts = docs.select(F.col("doc_id").alias("doc"), F.lit(0).alias("of_text"), F.col("text").alias("body"))
+    looked = decontamination.probes(texts, low, 0.8, 5)
+    total = sum(len(word_shingles(t)) for _, t in rows)
+    assert 0 < looked.count() < 0.6 * total
+    assert not looked.where("n < 25 AND reached > 2").count()  # 24 of 30 shingles are asked of the smallest item there is
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k % 3) for k in range(30)}
+
+
 def test_sharding(spark, texts):
     rows = sharding.shard_documents(docs_of(spark, texts * 3).withColumn("doc_id", F.monotonically_increasing_id()), shards=5).collect()
     assert len(rows) == 3 * len(texts)
@@ -470,3 +497,26 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in after["best-fit packing"].collect()} == kept
     assert after["benchmark decontamination"].columns == docs.columns
     assert len(kept) > 0.8 * docs.count()
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, texts):
+    """Nulls, repeated rows, clashing names and an empty table; columns of the input come through every stage but the last."""
+    import corpus_pipeline
+
+    word = _own(50)
+    rows = [(k, t, None if k % 5 == 0 else "en", None if k % 3 == 0 else f"s{k % 4}", len(t or ""), 7, "mine") for k, t in enumerate([*(word(60) for _ in range(40)), None, "", "one"])]
+    table = spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string, lang string, source string, n_chars bigint, _lines int, dropped string")
+    bench = spark.createDataFrame([(1, " ".join(rows[3][1].split()[5:40])), (2, None)], "item_id bigint, text string")
+    for name, docs in (("odd", table), ("empty", table.where("false"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    current = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        from tallybook.llm.storage import written
+
+        current = written(stage(spark, current, f"{tmp_path}/odd"))
+        assert current.columns == table.columns
+    final = current.collect()
+    assert all((r["_lines"], r["dropped"]) == (7, "mine") for r in final)
+    assert {r["doc_id"] for r in final} == {*range(40), 42} - {3} and len(final) == 44
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
