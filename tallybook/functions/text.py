@@ -6,8 +6,6 @@ null, and every function gives null for a null input unless told otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -315,12 +313,3 @@ def relative_time(then: Column, as_of: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Rounded half up; 0 for an empty whole."""
     return F.when(whole > 0, F.floor(part * 100.0 / whole + 0.5)).otherwise(0).cast("bigint")
-
-
-def like_any(c: Column, words: Iterable[str]) -> Column:
-    """Contains one of the words, whatever the case."""
-    lowered = F.lower(c)
-    condition = F.lit(False)
-    for word in words:
-        condition = condition | F.contains(lowered, F.lit(word.lower()))
-    return condition

@@ -17,11 +17,6 @@ def csv_header(df: DataFrame) -> str:
     return ",".join(df.columns)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Part files with the header in each, as Spark's readers expect them."""
-    csv_lines(df).select(F.col("line").alias(csv_header(df))).write.mode("overwrite").option("header", True).option("quote", "\u0000").csv(path)
-
-
 def csv_document(df: DataFrame, footer: list[str]) -> DataFrame:
     """Parts of a CSV document (part 0: the header, 1: a line per row, 2: the attribution, line by line); without rows one line that says so."""
     spark = df.sparkSession

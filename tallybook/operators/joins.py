@@ -50,11 +50,6 @@ def compare_by_name(names: DataFrame, spine: DataFrame, name: str, key: str) ->
     return names.join(first, F.col("asked") == F.col("_asked"), "left").drop("_asked").withColumn("found", F.col(key).isNotNull())
 
 
-def unnest(df: DataFrame, array: str, element: str) -> DataFrame:
-    """One row per array element: a profile's wards, for instance."""
-    return df.select("*", F.explode(array).alias(element)).drop(array)
-
-
 def canonical(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """Replace a name by its canonical form, if the alias table (alias, canonical) has it."""
     known = aliases.select(same_text(F.col("alias")).alias("_alias"), F.col("canonical").alias("_canonical"))

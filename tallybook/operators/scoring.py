@@ -27,6 +27,20 @@ def accountability_score(attendance: Column, fund_use: Column, cases: Column, fl
     return F.when(sum(present, F.lit(0)) >= 2, F.floor(total / weight + 0.5).cast("int"))
 
 
+# What a headline says, `{}` being its figure.
+HEADLINES = {
+    "flagged_one": "{} flagged contractor active in this ward",
+    "flagged": "{} flagged contractors active in this ward",
+    "case": "MLA has {} criminal case",
+    "cases": "MLA has {} criminal cases",
+    "fund_unused": "MLA has spent 0% of development funds",
+    "attendance": "MLA attended only {}% of assembly sessions",
+    "no_meetings": "Ward committee has never met",
+    "no_signals": "This ward has zero traffic signals",
+    "fund_low": "Only {}% of MLA development funds used",
+}
+
+
 def pick_headline(candidates: list[tuple[int, Column, str, Column]]) -> Column:
     """struct(priority, severity, text) of the candidate (priority, condition, severity, text) with the highest priority that holds."""
     options = F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(p).alias("priority"), F.lit(s).alias("severity"), text.alias("text"))) for p, holds, s, text in candidates))
@@ -35,15 +49,15 @@ def pick_headline(candidates: list[tuple[int, Column, str, Column]]) -> Column:
 
 def ward_headline(flagged: Column, cases: Column, fund_use: Column, attendance: Column, meetings: Column, signals: Column) -> Column:
     """The most alarming thing to say about a ward, or null."""
-    number = lambda c: F.format_string("%s", c)
+    say = lambda name, figure=None: F.lit(HEADLINES[name]) if figure is None else F.replace(F.lit(HEADLINES[name]), F.lit("{}"), F.format_string("%s", figure))
     return pick_headline([
-        (100, flagged > 0, "red", F.concat(number(flagged), F.when(flagged == 1, " flagged contractor").otherwise(" flagged contractors"), F.lit(" active in this ward"))),
-        (90, cases > 0, "red", F.concat(F.lit("MLA has "), number(cases), F.when(cases == 1, " criminal case").otherwise(" criminal cases"))),
-        (85, fund_use == 0, "red", F.lit("MLA has spent 0% of development funds")),
-        (80, attendance < 40, "red", F.concat(F.lit("MLA attended only "), number(attendance), F.lit("% of assembly sessions"))),
-        (75, meetings == 0, "red", F.lit("Ward committee has never met")),
-        (60, signals == 0, "yellow", F.lit("This ward has zero traffic signals")),
-        (55, (fund_use > 0) & (fund_use < 30), "yellow", F.concat(F.lit("Only "), number(fund_use), F.lit("% of MLA development funds used"))),
+        (100, flagged > 0, "red", F.when(flagged == 1, say("flagged_one", flagged)).otherwise(say("flagged", flagged))),
+        (90, cases > 0, "red", F.when(cases == 1, say("case", cases)).otherwise(say("cases", cases))),
+        (85, fund_use == 0, "red", say("fund_unused")),
+        (80, attendance < 40, "red", say("attendance", attendance)),
+        (75, meetings == 0, "red", say("no_meetings")),
+        (60, signals == 0, "yellow", say("no_signals")),
+        (55, (fund_use > 0) & (fund_use < 30), "yellow", say("fund_low", fund_use)),
     ])
 
 

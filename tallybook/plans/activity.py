@@ -91,7 +91,7 @@ def merge_update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows first, old ones where no new one has their id."""
     base, new = _halves(spark, sf_dir)
-    return union_first(new, base, ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    return union_first(new, base, ["event_id"]).select("event_id", "event_type", "value")
 
 
 def expire_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +300,7 @@ SELECT event_type, count(*) AS total, count(*) FILTER (WHERE ts > TIMESTAMP '{MO
 WITH {HALVES_SQL} SELECT coalesce(b.event_id, n.event_id) AS event_id, coalesce(b.ts, n.ts) AS ts, coalesce(b.user_id, n.user_id) AS user_id, coalesce(b.event_type, 'changed') AS event_type, coalesce(n.value, b.value) AS value
 FROM base b FULL JOIN new n ON b.event_id = n.event_id""",
     "merge_update_from": f"WITH {HALVES_SQL} SELECT b.event_id, b.ts, b.user_id, b.event_type, coalesce(n.value, b.value) AS value FROM base b LEFT JOIN new n ON b.event_id = n.event_id",
-    "union_sources": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
+    "union_sources": f"WITH {HALVES_SQL} SELECT event_id, event_type, value FROM new UNION ALL SELECT event_id, event_type, value FROM base WHERE event_id NOT IN (SELECT event_id FROM new)",
     "expire_facts": f"SELECT event_type, NOT (ts + INTERVAL 10 DAY < TIMESTAMP '{MOMENT}' AND event_type <> 'purchase') AS is_active, count(*) AS n FROM events GROUP BY 1, 2",
     "sliding_rate_limit": RATE_SQL,
     "stream_rate_limit": RATE_SQL,

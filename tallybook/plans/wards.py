@@ -79,9 +79,15 @@ def ward_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("ward_no", F.col("h.priority").cast("int").alias("priority"), F.col("h.severity").alias("severity"), F.col("h.text").alias("headline"), stat.alias("share_stat"), text.alias("share_text"))
 
 
+METRICS = ["attendance", "fund_use", "cases", "vendors", "signals", "meetings", "orders", "flagged", "people", "buildings", "workshops", "in_debt"]
+
+
 def metric_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top and bottom five wards of each metric: top-k reports."""
-    return ranks_of_metrics(written(_cards(spark, sf_dir)), ["ward_no", "ward_name"], ["attendance", "fund_use", "cases", "vendors", "signals", "meetings"])
+    """Top and bottom five wards of each of twelve metrics: top-k reports."""
+    people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("ward_no")).agg(
+        F.count("*").alias("people"), count_where(F.col("c_mktsegment") == "BUILDING").alias("buildings"), count_where(F.col("c_mktsegment") == "MACHINERY").alias("workshops"), count_where(F.col("c_acctbal") < 0).alias("in_debt"),
+    )
+    return ranks_of_metrics(written(star(_cards(spark, sf_dir), [(people, "ward_no")])), ["ward_no", "ward_name"], METRICS)
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +169,7 @@ def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def api_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON envelope of a page of wards: one row, at most the API's page size."""
-    return json_envelope(_cards(spark, sf_dir).select("ward_no", "ward_name").orderBy("ward_no"), "tallybook", "CC BY 4.0", clamped(None)).select(F.get_json_object("body", "$.count").cast("bigint").alias("n"), F.get_json_object("body", "$.license").alias("license"))
+    return json_envelope(_cards(spark, sf_dir).select("ward_no", "ward_name").orderBy("ward_no"), "tallybook", "CC BY 4.0", clamped(None)).select(F.get_json_object("body", "$.count").cast("bigint").alias("n"), F.get_json_object("body", "$.license").alias("license"), F.get_json_object("body", "$.data").alias("data"))
 
 
 def ward_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,10 +224,9 @@ SELECT ward_no, priority, CASE WHEN priority >= 75 THEN 'red' WHEN priority IS N
     WHEN attendance < 60 THEN 'My MLA in ' || ward_name || ' attended ' || attendance || '% of sessions'
     ELSE 'See who is accountable in ' || ward_name END AS share_text FROM p""",
     "metric_ranks": f"""
-WITH {CARDS_SQL}, long AS (
-  SELECT ward_no, ward_name, 'attendance' AS metric, CAST(attendance AS DOUBLE) AS value FROM cards UNION ALL SELECT ward_no, ward_name, 'fund_use', fund_use FROM cards
-  UNION ALL SELECT ward_no, ward_name, 'cases', cases FROM cards UNION ALL SELECT ward_no, ward_name, 'vendors', vendors FROM cards
-  UNION ALL SELECT ward_no, ward_name, 'signals', signals FROM cards UNION ALL SELECT ward_no, ward_name, 'meetings', meetings FROM cards),
+WITH {CARDS_SQL}, p AS (SELECT c_nationkey AS ward_no, count(*) AS people, count(*) FILTER (c_mktsegment = 'BUILDING') AS buildings, count(*) FILTER (c_mktsegment = 'MACHINERY') AS workshops, count(*) FILTER (c_acctbal < 0) AS in_debt FROM customer GROUP BY 1),
+wide AS (SELECT * FROM cards LEFT JOIN p USING (ward_no)),
+long AS ({" UNION ALL ".join(f"SELECT ward_no, ward_name, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM wide" for m in METRICS)}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, ward_no) AS t, row_number() OVER (PARTITION BY metric ORDER BY value, ward_no) AS b FROM long WHERE value IS NOT NULL)
 SELECT ward_no, ward_name, value, metric, 'top' AS side FROM ranked WHERE t <= 5 UNION ALL SELECT ward_no, ward_name, value, metric, 'bottom' FROM ranked WHERE b <= 5""",
     "status_counts": """
@@ -255,7 +260,7 @@ SELECT c_nationkey, o_orderpriority, CAST(amount AS DOUBLE) AS amount, CAST(floo
 WITH y AS (SELECT n_regionkey, year(o_orderdate) AS fy, count(*) AS applications, count(DISTINCT c_nationkey) AS wards FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT n_regionkey, '[' || string_agg('{"fy":' || fy || ',"applications":' || applications || ',"wards":' || wards || '}', ',' ORDER BY fy) || ']' AS years FROM y GROUP BY 1""",
     "open_questions": "SELECT n_nationkey AS ward_no, question FROM nation CROSS JOIN (VALUES " + ", ".join(f"('{s}')" for s in SEGMENTS) + ") q(question) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = question AND c_acctbal > 9000)",
-    "api_page": "SELECT count(*) AS n, 'CC BY 4.0' AS license FROM nation",
+    "api_page": """SELECT count(*) AS n, 'CC BY 4.0' AS license, '[' || string_agg('{"ward_no":' || n_nationkey || ',"ward_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']' AS data FROM nation""",
     "ward_pages": r"""
 WITH t AS (SELECT c_nationkey, n_name, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT c_nationkey AS ward_no, '# ' || min(n_name) || chr(10) || chr(10) || '| o_orderkey | o_orderpriority |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' |', chr(10) ORDER BY rank) || chr(10) AS page FROM t WHERE rank <= 5 GROUP BY 1""",

@@ -31,12 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Register driver tables as temporary views for SQL text."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below `spark.checkpoint.dir`; where that is unset, a temporary one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

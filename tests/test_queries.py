@@ -29,9 +29,7 @@ def test_matches_oracle(spark, sf_dir, oracle, name):
     df = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    if name not in registry.ORACLES:
-        assert got
-        return
+    assert name in registry.ORACLES, "every query of the engine has an oracle"
     result = oracle.sql(registry.ORACLES[name])
     assert sorted(result.columns) == columns
     places = [result.columns.index(c) for c in columns]
