@@ -58,6 +58,10 @@ def _joined(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ids >> (BUCKETS // buckets).bit_length() - 1
 
 
+#: Trigrams looked up in the model at once.
+AT_ONCE = 1 << 15
+
+
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -118,8 +122,19 @@ def language_set(loglik: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_likelihoods(table: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Log likelihood of each word under each language."""
-    return np.add.reduceat(table[_joined(ids, len(table))], starts, axis=0).astype(np.float64)
+    """Log likelihood of each word under each language; AT_ONCE trigrams at a time, so memory follows the words, not the bytes."""
+    ids, ends = _joined(ids, len(table)), np.append(starts[1:], len(ids))
+    out, at = np.zeros((len(starts), table.shape[1])), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + AT_ONCE)) - 1)
+        begin, end = int(starts[at]), int(ends[to - 1])
+        if to == at + 1:
+            for k in range(begin, end, AT_ONCE):  # a word of any length
+                out[at] += np.add.reduceat(table[ids[k : min(end, k + AT_ONCE)]], [0], axis=0)[0]
+        else:
+            out[at:to] = np.add.reduceat(table[ids[begin:end]], starts[at:to] - begin, axis=0)
+        at = to
+    return out
 
 
 def certainty(loglik: np.ndarray, language: int) -> float:

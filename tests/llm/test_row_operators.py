@@ -369,3 +369,15 @@ def test_balanced_tree():
         ask = rng.randint(0, 300)
         assert tree.successor(ask) == min((x for x in keys if x >= ask), default=None)
         assert tree.largest() == max(keys, default=None)
+
+
+def test_word_likelihoods_in_pieces(monkeypatch):
+    """The same sums whatever is looked up at once; a text under many labels takes memory by its words."""
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(1024, 5)).astype(np.float32)
+    text = " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 12))) for _ in range(500)) + " " + "x" * 900
+    ids, starts = language_mixture.trigram_buckets(text)
+    whole = language_mixture.word_likelihoods(table, ids, starts)
+    for at_once in (1, 7, 100, 10**6):
+        monkeypatch.setattr(language_mixture, "AT_ONCE", at_once)
+        assert np.allclose(language_mixture.word_likelihoods(table, ids, starts), whole, atol=1e-3)
