@@ -7,8 +7,8 @@ holds, and the successor search from the piece's size on goes on until it meets
 piece's bits clear. If there is none, a bin is opened.
 
 Rows are dealt to blocks by a hash of their id, length, source and cluster, so a hot source, cluster or id is spread
-like any other, unless a row is repeated as a whole; the number of blocks is chosen from the row count, for BLOCK_ROWS
-rows each on average, and bins do not span blocks. Against packing
+like any other; of a row repeated as a whole the copies are counted and dealt one after the other. The number of blocks is
+chosen from the row count, for BLOCK_ROWS rows each on average, and bins do not span blocks. Against packing
 everything at once this costs at most the open bins of each block.
 
 Edge cases: null and empty texts are pieces of length 0 and take a place like any other; null sources are one
@@ -114,7 +114,9 @@ def pack(rows: DataFrame, capacity: int, blocks: int) -> DataFrame:
         return pd.DataFrame({"doc_id": taken["doc_id"], "piece": out["piece"], "start": out["start"], "length": out["length"], "source": taken["source"], "bin": f"{key[0]}/" + out["number"].astype(str), "offset": out["offset"]})
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, source string, bin string, offset bigint"
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster"), F.lit(blocks)).cast("int"))
+    whole = ("doc_id", "length", "source", "cluster")
+    copies = rows.groupBy(*whole).agg(F.count("*").alias("n")).select(*whole, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy"))
+    dealt = copies.select(*whole, F.pmod(F.pmod(F.xxhash64(*whole), F.lit(blocks)) + F.col("copy"), F.lit(blocks)).cast("int").alias("block"))
     return dealt.groupBy("block").applyInPandas(run, schema)
 
 

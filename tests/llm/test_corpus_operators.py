@@ -326,6 +326,36 @@ def test_packing(spark, texts):
     assert best_fit_packing.pack_documents(docs.where("false"), 1000).count() == 0
 
 
+def test_packing_of_a_repeated_row(spark):
+    """A row repeated as a whole is spread over the blocks; op4 packs each of its rows, and no bin holds two pieces of a source."""
+    rows = spark.range(6_000).selectExpr("7L AS doc_id", "100L AS length", "'hot' AS source", "'c' AS cluster").unionAll(spark.range(300).selectExpr("id + 10 AS doc_id", "id AS length", "concat('s', id % 50) AS source", "CAST(null AS STRING) AS cluster"))
+    packed = best_fit_packing.pack(rows, 1_000, 10).withColumn("block", F.split("bin", "/")[0])
+    assert packed.groupBy("doc_id").count().where("doc_id = 7").first()["count"] == 6_000 and packed.count() == 6_300
+    assert {r["count"] for r in packed.where("doc_id = 7").groupBy("block").count().collect()} == {600}
+    assert packed.groupBy("bin", "source").count().where("count > 1").count() == 0
+
+
+def test_op4_blocks_against_naive(spark, sf_dir):
+    """The registered query: every document once, bins within the capacity, no source or duplicate cluster twice in a bin."""
+    from tallybook.llm import op4
+
+    packed = op4.op4_best_fit_packing(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = docs.select("doc_id", best_fit_packing.cluster_key(F.col("text")).alias("cluster"))
+    rows = [r.asDict() for r in packed.join(key, "doc_id").collect()]
+    length = {r["doc_id"]: len((r["text"] or "").encode()) for r in docs.collect()}
+    total, bins = Counter(), defaultdict(list)
+    for r in rows:
+        total[r["doc_id"]] += r["length"]
+        bins[r["bin"]].append(r)
+    assert total == Counter(length)
+    for held in bins.values():
+        held.sort(key=lambda r: (r["offset"], r["length"]))
+        assert sum(r["length"] for r in held) <= 16_384 and all(a["offset"] + a["length"] <= b["offset"] for a, b in zip(held, held[1:]))
+        sources, clusters = [r["source"] for r in held], [r["cluster"] for r in held if r["cluster"]]
+        assert len(set(sources)) == len(sources) and len(set(clusters)) == len(clusters)
+
+
 def test_best_fit_against_naive():
     import pandas as pd
 
