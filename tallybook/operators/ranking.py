@@ -64,19 +64,27 @@ def metric_ranks(df: DataFrame, shown: list[str], metrics: list[str], n: int = 5
     return top_per_group(local, ["metric", "side"], order, n, "_r").drop("_r")
 
 
+#: Boards of vendor profiles: who is on it, and the measure that ranks.
 LEADERBOARDS = {
-    "by_value": (lambda p: p, "total_value_lakh"),
-    "by_contracts": (lambda p: p, "total_contracts"),
-    "high_deduction": (lambda p: p.where("avg_deduction_pct > 15 AND total_contracts >= 3"), "avg_deduction_pct"),
-    "multi_ward": (lambda p: p.where("ward_count > 10"), "ward_count"),
-    "flagged": (lambda p: p.where(F.size("blacklist_flags") > 0), "total_value_lakh"),
+    "by_value": ("true", "total_value_lakh"),
+    "by_contracts": ("true", "total_contracts"),
+    "high_deduction": ("avg_deduction_pct > 15 AND total_contracts >= 3", "avg_deduction_pct"),
+    "multi_ward": ("ward_count > 10", "ward_count"),
+    "flagged": ("size(blacklist_flags) > 0", "total_value_lakh"),
 }
 
 
-def leaderboard(profiles: DataFrame, board: str, n: int = 10) -> DataFrame:
-    """The first n profiles of a leaderboard: a top-k report."""
-    chosen, measure = LEADERBOARDS[board]
-    return chosen(profiles).orderBy(F.desc_nulls_last(measure), "entity_id").limit(n).withColumn("board", F.lit(board))
+def leaderboards(profiles: DataFrame, boards: list[str] | None = None, n: int = 10) -> DataFrame:
+    """`board` and the first n profiles of every board asked for, in one pass: a top-k report.
+
+    A profile is sent once for each board that it is on; within tasks Spark keeps the first n of a board only.
+    """
+    entries = [
+        F.when(F.expr(LEADERBOARDS[b][0]), F.struct(F.lit(b).alias("board"), F.col(LEADERBOARDS[b][1]).cast("double").alias("measure")))
+        for b in boards or LEADERBOARDS
+    ]
+    rows = profiles.select("*", F.explode(F.array_compact(F.array(*entries))).alias("_b")).select(*profiles.columns, "_b.board", "_b.measure")
+    return top_per_group(rows, ["board"], [F.desc_nulls_last("measure"), F.asc("entity_id")], n, "_r").drop("_r", "measure")
 
 
 def latest(df: DataFrame, keys: list[str], year: str, n: int = 1) -> DataFrame:

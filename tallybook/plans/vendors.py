@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.text import coded_name, fiscal_year_of_code, trailing_phone, vendor_name
 from tallybook.operators.dedup import keep_first, keep_last, keep_max
 from tallybook.operators.entity import alias_matches, flags, fuzzy_matches, refreshed_profiles, vendor_profiles, work_facts
-from tallybook.operators.ranking import LEADERBOARDS, leaderboard, optional_predicates, ranked, top_per_group
+from tallybook.operators.ranking import leaderboards, optional_predicates, ranked, top_per_group
 from tallybook.operators.rollup import city_summary, stage_distribution, totals_with_all, yearly_with_top
 from tallybook.session import table, written
 
@@ -81,9 +81,7 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vendor_leaderboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten of every leaderboard: top-k reports."""
-    profiles = _flagged_profiles(spark, sf_dir)
-    boards = [leaderboard(profiles, board).select("board", "entity_id", "total_value_lakh", "total_contracts", "avg_deduction_pct", "ward_count") for board in LEADERBOARDS]
-    return reduce(DataFrame.unionByName, boards)
+    return leaderboards(_flagged_profiles(spark, sf_dir)).select("board", "entity_id", "total_value_lakh", "total_contracts", "avg_deduction_pct", "ward_count")
 
 
 def vendors_of_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
