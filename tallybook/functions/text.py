@@ -271,9 +271,14 @@ def representative_label(name: Column, party: Column, cases: Column) -> Column:
 # Formats
 
 
+def fixed_decimals(c: Column, places: int) -> Column:
+    """A double with so many decimals, by its binary value as C's printf does: 1.45 lies below the half, true halves go to the even digit."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * places))
+
+
 def money_label(lakh: Column) -> Column:
     """Lakh as `Rs n L`, or `Rs n Cr` from a hundred lakh on."""
-    return F.when(lakh >= 100, F.format_string("Rs %.2f Cr", lakh / 100)).otherwise(F.format_string("Rs %.2f L", lakh))
+    return F.when(lakh >= 100, F.concat(F.lit("Rs "), fixed_decimals(lakh / 100, 2), F.lit(" Cr"))).otherwise(F.concat(F.lit("Rs "), fixed_decimals(lakh, 2), F.lit(" L")))
 
 
 def short_money(lakh: Column) -> Column:
@@ -290,13 +295,13 @@ def rupees(amount: Column) -> Column:
 def compact_rupees(amount: Column) -> Column:
     """Rupees as `1.2 Cr` from a crore on, `3.4 L` from a lakh on, else whole thousands: `56K`."""
     value = amount.cast("double")
-    return F.when(value >= 1e7, F.format_string("%.1f Cr", value / 1e7)).when(value >= 1e5, F.format_string("%.1f L", value / 1e5)).otherwise(F.concat(F.floor(value / 1000 + 0.5).cast("string"), F.lit("K")))
+    return F.when(value >= 1e7, F.concat(fixed_decimals(value / 1e7, 1), F.lit(" Cr"))).when(value >= 1e5, F.concat(fixed_decimals(value / 1e5, 1), F.lit(" L"))).otherwise(F.concat(F.floor(value / 1000 + 0.5).cast("string"), F.lit("K")))
 
 
 def ward_money(lakh: Column) -> Column:
     """Lakh as `Rs. 56L`, or with one decimal as crores of ten thousand from there on."""
     value = lakh.cast("double")
-    return F.when(value >= 10_000, F.format_string("Rs. %.1f Cr", value / 10_000)).otherwise(F.format_string("Rs. %.0fL", value))
+    return F.when(value >= 10_000, F.concat(F.lit("Rs. "), fixed_decimals(value / 10_000, 1), F.lit(" Cr"))).otherwise(F.format_string("Rs. %.0fL", value))
 
 
 def title_case(c: Column) -> Column:

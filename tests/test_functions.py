@@ -73,6 +73,15 @@ def test_text_keys(spark):
     assert one(spark, text.emails(x), x="Mail A.B@x.org") == ["a.b@x.org"]
 
 
+def test_decimals_by_binary_value(spark):
+    x = F.col("x")
+    # 14500 is a true 1.45 on paper, but lies below it as a double; 12500 is a true half.
+    assert [one(spark, text.ward_money(x), x=v) for v in (12500, 14500, 37500, 10500, 9999)] == ["Rs. 1.2 Cr", "Rs. 1.4 Cr", "Rs. 3.8 Cr", "Rs. 1.1 Cr", "Rs. 9999L"]
+    assert [one(spark, text.compact_rupees(x), x=v) for v in (12_500_000, 145_000, 99_500)] == ["1.2 Cr", "1.4 L", "100K"]
+    assert [one(spark, text.money_label(x), x=v) for v in (1.005, 100.5, 0.0)] == ["Rs 1.00 L", "Rs 1.00 Cr", "Rs 0.00 L"]
+    assert [one(spark, text.fixed_decimals(x, 1), x=v) for v in (-0.01, 0.25, 0.35, 1234567.85)] == ["-0.0", "0.2", "0.3", "1234567.9"]
+
+
 def test_scores_and_bands(spark):
     score = lambda *v: one(spark, accountability_score(*(F.lit(x).cast("double") for x in v)))
     assert score(80, 60, 0, 0, 0) == 78
