@@ -33,6 +33,12 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double at so many decimals, as DuckDB's and C's rounding scales it: 1.005 times 100 lies below the half."""
+    scale = F.lit(10.0**places)
+    return F.round(c * scale) / scale
+
+
 # Vendors and work orders
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import entity_key, letter_runs, name_tokens
+from tallybook.functions.text import entity_key, letter_runs, name_tokens, rounded
 from tallybook.operators.merge import partial_upsert
 from tallybook.session import written
 
@@ -45,7 +45,7 @@ def any_like(name: Column, patterns: Iterable[str]) -> Column:
 
 def lakh(amount: Column) -> Column:
     """Rupees to lakh with two decimals."""
-    return F.round(amount.cast("double") / F.lit(1e5), 2)
+    return rounded(amount.cast("double") / F.lit(1e5), 2)
 
 
 def vendor_profiles(facts: DataFrame, government_patterns: Iterable[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def vendor_profiles(facts: DataFrame, government_patterns: Iterable[str]) -> Dat
             lakh(sanctioned).alias("total_value_lakh"),
             lakh(F.sum("net_paid")).alias("total_paid_lakh"),
             lakh(deduction).alias("total_deduction_lakh"),
-            F.when(sanctioned > 0, F.round(F.lit(100) * deduction.cast("double") / sanctioned.cast("double"), 2)).otherwise(0.0).alias("avg_deduction_pct"),
+            F.when(sanctioned > 0, rounded(F.lit(100) * deduction.cast("double") / sanctioned.cast("double"), 2)).otherwise(0.0).alias("avg_deduction_pct"),
             F.sort_array(F.collect_set("ward_no")).alias("wards"),
             F.min("fy").alias("first_seen"),
             F.max("fy").alias("last_seen"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import bands
-from tallybook.functions.text import cache_key, money_label, representative_label
+from tallybook.functions.text import cache_key, money_label, representative_label, rounded
 from tallybook.operators.joins import by_number_else_name, canonical, update_by_prefix_else_word
 from tallybook.operators.merge import flag_by_pattern
 from tallybook.operators.ranking import latest, top_per_group
@@ -41,7 +41,7 @@ def budget_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each department's amount in crore and its share of the year's total."""
     lines, parts = _tables(spark, sf_dir, "lineitem", "part")
     sums = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.year("l_shipdate").alias("fy"), F.col("p_type").alias("department")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"))
-    return share_of_total(sums, "amount", "fy").select("fy", "department", F.round(F.col("amount").cast("double") / 1e7, 4).alias("amount_cr"), "share_pct")
+    return share_of_total(sums, "amount", "fy").select("fy", "department", rounded(F.col("amount").cast("double") / 1e7, 4).alias("amount_cr"), "share_pct")
 
 
 def ward_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,11 @@ def test_decimals_by_binary_value(spark):
     assert [one(spark, text.fixed_decimals(x, 1), x=v) for v in (-0.01, 0.25, 0.35, 1234567.85)] == ["-0.0", "0.2", "0.3", "1234567.9"]
 
 
+def test_rounding_scales_first(spark):
+    x = F.col("x")
+    assert [one(spark, text.rounded(x, 2), x=v) for v in (1.005, 4648.775, 2.345, 0.125, -0.125, 7.0)] == [1.0, 4648.77, 2.35, 0.13, -0.13, 7.0]
+
+
 def test_scores_and_bands(spark):
     score = lambda *v: one(spark, accountability_score(*(F.lit(x).cast("double") for x in v)))
     assert score(80, 60, 0, 0, 0) == 78
