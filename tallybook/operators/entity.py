@@ -87,11 +87,37 @@ def refreshed_profiles(existing: DataFrame, facts: DataFrame, government_pattern
     return partial_upsert(existing, vendor_profiles(facts, government_patterns), ["entity_id"], list(REFRESHED))
 
 
-def _rarest(keyed: DataFrame, key: str, item: str, counts: DataFrame, share: float | None = None) -> DataFrame:
-    """(key, item): the rarest item of each key, or its prefix under rarity for sets that must overlap by `share`."""
-    ordered = keyed.join(counts, item).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("held", item))).alias("items"))
-    taken = F.lit(1) if share is None else F.size("items") - F.ceil(F.lit(share) * F.size("items") - 1e-9).cast("int") + 1
-    return ordered.select(key, F.explode(F.slice("items", F.lit(1), taken)).alias("x")).select(key, F.col(f"x.{item}").alias(item))
+def _rarest(keyed: DataFrame, key: str, item: str, counts: DataFrame) -> DataFrame:
+    """(key, item): the rarest item of each key."""
+    return keyed.join(counts, item).groupBy(key).agg(F.min(F.struct("held", item)).alias("x")).select(key, F.col(f"x.{item}").alias(item))
+
+
+def _prefixes(keyed: DataFrame, key: str, counts: DataFrame, share: float) -> DataFrame:
+    """(key, items, prefix, token): each key's tokens by rarity, and those of which sets that overlap by `share` have one in common, a row for each."""
+    ordered = keyed.join(counts, "token").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("held", "token"))), lambda x: x["token"]).alias("items"))
+    taken = F.size("items") - F.ceil(F.lit(share) * F.size("items") - 1e-9).cast("int") + 1
+    return ordered.withColumn("prefix", F.slice("items", F.lit(1), taken)).select("*", F.explode("prefix").alias("token"))
+
+
+#: Pieces of a token's keys that are held against its listed keys in different tasks.
+PIECES = 16
+
+
+def _token_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+    """key, listed_key, rule, distance: pairs of token sets (of `_prefixes`) that overlap by `share`, each once.
+
+    Few tokens may be in most keys, so keys of one token are dealt over pieces, and what meets is settled where it meets: a
+    pair counts at the first token that its prefixes share, so no table of candidates is made.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("piece", F.pmod(F.hash("key"), F.lit(PIECES))).repartition(n, "token", "piece")
+    copied = right.select("listed_key", F.col("items").alias("listed_items"), F.col("prefix").alias("listed_prefix"), "token", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("piece"))
+    smaller, larger = F.least(F.size("items"), F.size("listed_items")), F.greatest(F.size("items"), F.size("listed_items"))
+    first = F.get(F.array_intersect("prefix", "listed_prefix"), F.lit(0)) == F.col("token")
+    met = dealt.join(copied.repartition(n, "token", "piece"), ["token", "piece"]).where((smaller >= share * larger - 1e-9) & first)
+    both = F.size(F.array_intersect("items", "listed_items"))
+    near = both / (F.size("items") + F.size("listed_items") - both)
+    return met.where(near >= share - 1e-9).select("key", "listed_key", F.lit(1).alias("rule"), (1.0 - near).alias("distance"))
 
 
 def _held_short(short: DataFrame, short_key: str, long: DataFrame, long_key: str) -> DataFrame:
@@ -106,11 +132,12 @@ def fuzzy_matches(names: DataFrame, listed: DataFrame, threshold: float = 0.4, m
     Distance 0 for equal keys, 0.1 if one key contains the other, else 1 less the Jaccard similarity of the tokens.
     Candidates are blocked without losing any, all by equi-joins: a contained key's rarest three-letter run is in the
     other key, a shorter key is one of the other's runs, and token sets within the threshold share a token of their
-    prefixes under rarity.
+    prefixes under rarity. All this is done once for each spelling; the names themselves meet the result last, so rows that are
+    many for one spelling are neither keyed nor sorted more than once.
     """
-    left = names.select("entity_id", "name", entity_key(F.col("name")).alias("key")).where((F.length("key") >= min_length) & (F.col("key") != ""))
+    spelled = written(names.select("name").distinct().withColumn("key", entity_key(F.col("name"))).where((F.length("key") >= min_length) & (F.col("key") != "")))
     right = listed.select("listed_name", "source", entity_key(F.col("listed_name")).alias("listed_key")).where((F.length("listed_key") >= min_length) & (F.col("listed_key") != ""))
-    keys, listed_keys = written(left.select("key").distinct()), written(right.select("listed_key").distinct())
+    keys, listed_keys = written(spelled.select("key").distinct()), written(right.select("listed_key").distinct())
 
     def exploded(df: DataFrame, c: str, item: str, items: Column) -> DataFrame:
         return df.select(c, F.explode(items).alias(item))
@@ -127,13 +154,11 @@ def fuzzy_matches(names: DataFrame, listed: DataFrame, threshold: float = 0.4, m
     near = contained.select("key", "listed_key", F.lit(0).alias("rule"), F.when(F.col("key") == F.col("listed_key"), 0.0).otherwise(0.1).alias("distance"))
 
     share = 1 - threshold
-    met = _rarest(s, "key", "token", used, share).join(_rarest(t, "listed_key", "token", used, share), "token").select("key", "listed_key").distinct()
-    pairs = met.withColumns({"_s": name_tokens(F.col("key")), "_t": name_tokens(F.col("listed_key"))}).where(F.least(F.size("_s"), F.size("_t")) >= share * F.greatest(F.size("_s"), F.size("_t")) - 1e-9)
-    both = F.size(F.array_intersect("_s", "_t"))
-    alike = pairs.select("key", "listed_key", F.lit(1).alias("rule"), (1.0 - both / (F.size("_s") + F.size("_t") - both)).alias("distance"))
+    alike = _token_pairs(_prefixes(s, "key", used, share), _prefixes(t, "listed_key", used, share), share)
 
     scored = near.unionAll(alike).groupBy("key", "listed_key").agg(F.min_by("distance", "rule").alias("distance")).where(F.col("distance") <= threshold)
-    return left.join(scored, "key").join(right, "listed_key").select("entity_id", "name", "listed_name", "source", "distance")
+    told = spelled.join(scored, "key").join(right, "listed_key").select("name", "listed_name", "source", "distance")
+    return names.select("entity_id", "name").join(told, "name").select("entity_id", "name", "listed_name", "source", "distance")
 
 
 def alias_matches(profiles: DataFrame, listed: DataFrame, threshold: float = 0.4) -> DataFrame:
