@@ -88,8 +88,9 @@ def _landed_pages(spark: SparkSession, sf_dir: str, before: str | None = None) -
     pages = numbered.groupBy(F.col("o_orderstatus").alias("stream"), F.floor((F.col("rank") - 1) / PAGE).cast("int").alias("page")).agg(F.sort_array(F.collect_list(tender)).alias("data"))
     sizes = numbered.groupBy(F.col("o_orderstatus").alias("stream")).agg(F.count("*").alias("total"))
     folder = shared_folder(spark)
-    answers = pages.join(sizes, "stream").select("stream", "page", F.to_json(F.struct("total", "data")).alias("value"))
-    answers.repartition("stream", "page").write.partitionBy("stream", "page").text(folder)
+    block = F.floor(F.col("page") / LandedPages.PAGES).cast("int").alias("block")
+    answers = pages.join(sizes, "stream").select("stream", block, F.concat_ws("\t", "page", F.to_json(F.struct("total", "data"))).alias("value"))
+    answers.repartition("stream", "block").write.partitionBy("stream", "block").text(folder)
     return folder
 
 

@@ -1,7 +1,8 @@
 """Answers that come page by page, newest first: a data source that stops where rows are known.
 
 Every stream (an agency and category, say) is a partition that asks for one page after the other. A page that holds a row no
-newer than `since` is the last one asked for; its newer rows and those whose date can't be read are kept. `full` reads all pages.
+newer than `since` is the last one asked for; its newer rows and those whose date can't be read are kept. `full` reads all pages:
+with nothing known there is nothing to stop at, so a stream of many pages is read in ranges of pages, each by a task of its own.
 As a streaming source the offset of each stream is the newest date given out, so a restart goes on where it stopped.
 
     pages = load_pages(spark, client, streams=["roads", "water"], since="2024-01-31")
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = "stream string, page int, place int, issued date, value string"
+#: Pages of a range, rows of a batch, and texts of dates whose days are kept.
+RANGE, ROWS, MOST_DAYS = 500, 2000, 100_000
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -32,28 +35,48 @@ class Client(Protocol):
 
 
 class LandedPages:
-    """Pages in a folder that all tasks reach: `stream=.../page=.../*`, each one JSON object {total, data}."""
+    """Pages in a folder that all tasks reach: `stream=.../block=.../*`, with a line for each of a block's PAGES pages, its number, a tab and a JSON object {total, data}."""
+
+    PAGES = 100
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
+        self.held: tuple[tuple[str, int] | None, dict[int, str]] = (None, {})
 
-    def fetch(self, stream: str, page: int) -> tuple[list[dict], int]:
+    def _block(self, stream: str, block: int) -> dict[int, str]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.folder if "://" in self.folder else self.folder.replace("file:", "", 1))
-        listed = store.get_file_info(fs.FileSelector(f"{root}/stream={stream}/page={page}", allow_not_found=True))
-        for file in listed:
-            if file.is_file and not file.base_name.startswith((".", "_")):
-                answer = json.loads(store.open_input_stream(file.path).read())
-                return answer["data"], answer["total"]
-        return [], 0
+        listed = store.get_file_info(fs.FileSelector(f"{root}/stream={stream}/block={block}", allow_not_found=True))
+        files = [f.path for f in listed if f.is_file and not f.base_name.startswith((".", "_"))]
+        lines = (line.split("\t", 1) for path in files for line in store.open_input_stream(path).read().decode().split("\n") if line)
+        return {int(page): answer for page, answer in lines}
+
+    def fetch(self, stream: str, page: int) -> tuple[list[dict], int]:
+        place = stream, page // self.PAGES
+        if self.held[0] != place:
+            self.held = place, self._block(*place)
+        if page not in self.held[1]:
+            return [], 0
+        answer = json.loads(self.held[1][page])
+        return answer["data"], answer["total"]
 
 
 class Stretch(InputPartition):
-    """One stream's rows newer than `since` and, if given, not newer than `upto`."""
+    """One stream's rows newer than `since` and, if given, not newer than `upto`.
+
+    A range has those that stood on the pages from `first` to before `last` (None: to the end) when there were `total` rows, `size` on a
+    page; rows that come or go later move all others, but none into another range.
+    """
 
-    def __init__(self, stream: str, since: str | None, upto: str | None = None) -> None:
+    def __init__(self, stream: str, since: str | None, upto: str | None = None, first: int = 0, last: int | None = None, size: int = 0, total: int = 0) -> None:
         self.stream, self.since, self.upto = stream, since, upto
+        self.first, self.last, self.size, self.total = first, last, size, total
+
+    def holds(self, place: int, total: int) -> bool:
+        """Whether the row at a place of the stream, which has `total` rows now, belongs here."""
+        planned = place - (total - self.total)
+        return not self.size or ((not self.first or planned >= self.first * self.size) and (self.last is None or planned < self.last * self.size))
 
 
 class Pages:
@@ -65,35 +88,59 @@ class Pages:
         self.field, self.form = options.get("datefield", "publishedDate"), options.get("dateformat", "%d-%m-%Y")
         self.since = None if options.get("full", "false") == "true" else options.get("since")
 
+        self.width, self.read_days = len(datetime(2000, 1, 1).strftime(self.form)), {}
+
     def issued(self, row: dict) -> str | None:
-        try:
-            return datetime.strptime(str(row.get(self.field))[: len(datetime(2000, 1, 1).strftime(self.form))], self.form).date().isoformat()
-        except ValueError:
-            return None
+        told = str(row.get(self.field))[: self.width]
+        if told not in self.read_days:
+            if len(self.read_days) >= MOST_DAYS:
+                self.read_days.clear()
+            try:
+                self.read_days[told] = datetime.strptime(told, self.form).date().isoformat()
+            except ValueError:
+                self.read_days[told] = None
+        return self.read_days[told]
+
+    def stretches(self, stream: str, since: str | None, upto: str | None = None) -> list[InputPartition]:
+        """One where a known row has to be looked for page by page, else one for every RANGE pages."""
+        if not since:
+            rows, total = self.client.fetch(stream, 0)
+            pages = -(-total // len(rows)) if rows else 0
+            if pages > RANGE:
+                return [Stretch(stream, since, upto, a, a + RANGE if a + RANGE < pages else None, len(rows), total) for a in range(0, pages, RANGE)]
+        return [Stretch(stream, since, upto)]
 
     def rows(self, part: Stretch) -> Iterator[pa.RecordBatch]:
-        page, had = 0, 0
+        page, had, held = part.first, 0, []
+        if part.first:
+            page = max(0, (part.first * part.size + self.client.fetch(part.stream, part.first)[1] - part.total) // part.size)
         while True:
             rows, total = self.client.fetch(part.stream, page)
-            if not rows:
-                return
-            dated = [(k, self.issued(row), row) for k, row in enumerate(rows)]
-            new = [(k, day, row) for k, day, row in dated if not part.since or not day or day > part.since]
-            given = [(k, day, row) for k, day, row in new if not part.upto or not day or day <= part.upto]
-            days = [datetime.fromisoformat(d).date() if d else None for _, d, _ in given]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part.stream] * len(given), pa.string()), pa.array([page] * len(given), pa.int32()), pa.array([k for k, _, _ in given], pa.int32()), pa.array(days, pa.date32()), pa.array([json.dumps(r) for _, _, r in given], pa.string())],
-                ["stream", "page", "place", "issued", "value"],
-            )
+            dated = [(page, k, self.issued(row), row) for k, row in enumerate(rows) if part.holds(page * part.size + k, total)]
+            new = [r for r in dated if not part.since or not r[2] or r[2] > part.since]
+            held += [r for r in new if not part.upto or not r[2] or r[2] <= part.upto]
             had += len(rows)
-            if len(new) < len(rows) or had >= total:
-                return
             page += 1
+            ended = had >= total if not part.size else part.last is not None and not part.holds(page * part.size, total)
+            over = not rows or len(new) < len(dated) or ended
+            if held and (over or len(held) >= ROWS):
+                yield self._batch(part.stream, held)
+                held = []
+            if over:
+                return
+
+    def _batch(self, stream: str, rows: list[tuple[int, int, str | None, dict]]) -> pa.RecordBatch:
+        pages, places, days, told = zip(*rows)
+        columns = [
+            pa.array([stream] * len(rows), pa.string()), pa.array(pages, pa.int32()), pa.array(places, pa.int32()),
+            pa.array(days, pa.string()).cast(pa.date32()), pa.array([json.dumps(r) for r in told], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["stream", "page", "place", "issued", "value"])
 
 
 class PagesReader(Pages, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
-        return [Stretch(s, self.since) for s in self.streams]
+        return [p for s in self.streams for p in self.stretches(s, self.since)]
 
     def read(self, partition: Any) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
@@ -125,7 +172,7 @@ class PagesStreamReader(Pages, DataSourceStreamReader):
         return newest
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Stretch(s, start.get(s) or None, end[s]) for s in self.streams if end[s] and end[s] > start.get(s, "")]
+        return [p for s in self.streams if end[s] and end[s] > start.get(s, "") for p in self.stretches(s, start.get(s) or None, end[s])]
 
     def read(self, partition: Any) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)

@@ -1,9 +1,13 @@
 """Steps whose memory or time once grew faster than their input."""
 
 import itertools
+import json
 import random
 
+import pytest
+
 from tallybook.operators import entity
+from tallybook.sources import paged
 
 
 def test_pairs_of_frequent_tokens_meet_once(spark):
@@ -18,3 +22,28 @@ def test_pairs_of_frequent_tokens_meet_once(spark):
     want = {(a, b) for a, b in itertools.product(names, names) if len({*a.split()} & {*b.split()}) >= 0.6 * len({*a.split()} | {*b.split()})}
     got = [(r.key, r.listed_key) for r in pairs.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+class MovingPages:
+    """Seven rows a page, newest first; every answer but the first comes when two more rows have come or one has gone."""
+
+    def __init__(self, rows, step):
+        self.rows, self.step, self.asked = rows, step, 0
+
+    def fetch(self, stream, page):
+        more = [{"id": f"new{k}", "publishedDate": "soon"} for k in range(max(0, self.step))] if self.asked else []
+        rows = more + (self.rows[-self.step :] if self.asked and self.step < 0 else self.rows)
+        self.asked += 1
+        return rows[page * 7 : page * 7 + 7], len(rows)
+
+
+@pytest.mark.parametrize("step", [0, 2, 30, -1])
+def test_ranges_of_pages_have_every_row_once(monkeypatch, step):
+    monkeypatch.setattr(paged, "RANGE", 3)
+    rows = [{"id": str(n), "publishedDate": "01-02-2024"} for n in range(200)]
+    source = paged.Pages({"client": paged.cloudpickle.dumps(None).hex(), "streams": "[]"})
+    source.client = MovingPages(rows, step)
+    parts = source.stretches("a", None)
+    assert len(parts) == 10
+    got = [json.loads(v)["id"] for part in reversed(parts) for batch in source.rows(part) for v in batch.column(4).to_pylist()]
+    assert sorted(x for x in got if "new" not in x) == sorted(r["id"] for r in rows[max(0, -step) :]) and len(set(got)) == len(got)
