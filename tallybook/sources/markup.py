@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import blank_to_null, found, rfc822_timestamp, unescaped, without_tags
+from tallybook.session import written
 
 
 def tag_texts(html: Column, tag: str) -> Column:
@@ -54,7 +55,7 @@ FEED = f"channel struct<item: array<{_ITEM}>>, item array<{_ITEM}>, entry array<
 
 
 def feed_entries(feeds: DataFrame, xml: str, first: int | None = 15, least_title: int = 10) -> DataFrame:
-    """The first items of each RSS or Atom feed, read as XML: title, body, link, published, place (from 0), whole.
+    """The first items of each RSS or Atom feed, read as XML: the feed's other columns, title, body, link, published, place (from 0), whole.
 
     Attributes, namespaces, CDATA and entities are the parser's; inner markup is taken out of titles and bodies. Feeds that aren't well-formed
     (`whole` is false) are scanned item by item, so that one broken item doesn't cost the others. Short titles are
@@ -62,6 +63,7 @@ def feed_entries(feeds: DataFrame, xml: str, first: int | None = 15, least_title
     """
     cleaned = F.regexp_replace(F.trim(F.regexp_replace(F.col(xml), r"^\uFEFF|<!DOCTYPE[^>]*>", "")), r"^<\?xml[^>]*\?>", "")
     parsed = feeds.withColumn("_feed", F.from_xml(cleaned, FEED, {"mode": "PERMISSIVE", "ignoreNamespace": "true"}))
+    kept = [c for c in feeds.columns if c != xml]
     good = F.col("_feed").isNotNull() & F.col("_feed._corrupt_record").isNull()
     told = lambda c: blank_to_null(without_tags(unescaped(c)))
     items = F.transform(F.coalesce("_feed.channel.item", "_feed.item"), lambda i: F.struct(i["title"].alias("title"), i["description"].alias("body"), i["link"].alias("link"), i["pubDate"].alias("rfc"), F.lit(None).cast("string").alias("iso")))
@@ -69,10 +71,12 @@ def feed_entries(feeds: DataFrame, xml: str, first: int | None = 15, least_title
     entries = F.transform("_feed.entry", lambda e: F.struct(e["title"].alias("title"), e["summary"].alias("body"), href(e).alias("link"), F.lit(None).cast("string").alias("rfc"), F.coalesce(e["published"], e["updated"]).alias("iso")))
     listed = F.coalesce(F.when(F.size(items) > 0, items), entries)
     chosen = F.slice(listed, 1, first) if first else listed
-    each = parsed.where(good).select(*feeds.columns, F.posexplode(chosen).alias("place", "_i"))
+    # Written, since a filter on what is parsed would parse each feed again for every mention of it.
+    once = written(parsed.select(*kept, F.when(~good, F.col(xml)).alias(xml), F.when(good, chosen).alias("_chosen")))
+    each = once.select(*kept, F.posexplode("_chosen").alias("place", "_i"))
     published = F.coalesce(rfc822_timestamp(F.trim("_i.rfc")), F.try_to_timestamp(F.trim("_i.iso")))
-    whole = each.select(*feeds.columns, told(F.col("_i.title")).alias("title"), told(F.col("_i.body")).alias("body"), blank_to_null(F.col("_i.link")).alias("link"), published.alias("published"), "place", F.lit(True).alias("whole"))
-    broken = parsed.where(~good).select(*feeds.columns)
+    whole = each.select(*kept, told(F.col("_i.title")).alias("title"), told(F.col("_i.body")).alias("body"), blank_to_null(F.col("_i.link")).alias("link"), published.alias("published"), "place", F.lit(True).alias("whole"))
+    broken = once.where(F.col(xml).isNotNull()).select(*feeds.columns)
     scanned = feed_items(broken, F.col(xml), -1, first).withColumns({"title": told(F.col("title")), "body": told(F.col("body"))}).select(*whole.columns[:-1], F.lit(False).alias("whole"))
     return whole.unionByName(scanned).where(F.length("title") > least_title)
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tallybook.operators import entity
-from tallybook.sources import paged
+from tallybook.sources import markup, paged
 
 
 def test_pairs_of_frequent_tokens_meet_once(spark):
@@ -47,3 +47,10 @@ def test_ranges_of_pages_have_every_row_once(monkeypatch, step):
     assert len(parts) == 10
     got = [json.loads(v)["id"] for part in reversed(parts) for batch in source.rows(part) for v in batch.column(4).to_pylist()]
     assert sorted(x for x in got if "new" not in x) == sorted(r["id"] for r in rows[max(0, -step) :]) and len(set(got)) == len(got)
+
+
+def test_feeds_are_parsed_once(spark):
+    feeds = spark.createDataFrame([(1, "<rss><channel><item><title>A title of a feed</title></item></channel></rss>"), (2, "<rss><item><title>A title of a cut one</title></item>")], "id int, xml string")
+    entries = markup.feed_entries(feeds, "xml")
+    assert "from_xml" not in entries._jdf.queryExecution().optimizedPlan().toString().lower().replace("xmltostructs", "from_xml")
+    assert sorted((r.id, r.title, r.whole) for r in entries.collect()) == [(1, "A title of a feed", True), (2, "A title of a cut one", False)]
