@@ -19,6 +19,8 @@ from tallybook.session import written
 
 #: Aliases of so many bytes together are sent as an automaton (some hundred bytes a letter when built).
 AUTOMATON_BYTES = 1 << 20
+#: Texts of a batch that are looked through at once, so that memory doesn't follow the rows of a task.
+SLICE = 128
 #: Length of the letter runs that a larger gazetteer is joined on.
 RUN = 3
 
@@ -41,12 +43,15 @@ def _by_automaton(lowered: DataFrame, aliases: list[str], key: str) -> DataFrame
             found.add_word(alias, alias)
         found.make_automaton()
         for batch in batches:
-            places, hits = [], []
-            for n, text in enumerate(batch.column(1).to_pylist() if aliases else ()):
-                held = {alias for _, alias in found.iter(text)}
-                places += [n] * len(held)
-                hits += held
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(hits, pa.string())], [key, "alias"])
+            for start in range(0, batch.num_rows, SLICE):
+                keys, texts = batch.slice(start, SLICE).columns
+                places, hits = [], []
+                for n, text in enumerate(texts.to_pylist() if aliases else ()):
+                    held = {alias for _, alias in found.iter(text)}
+                    places += [n] * len(held)
+                    hits += held
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(places, pa.int64())), pa.array(hits, pa.string())], [key, "alias"])
+        pa.default_memory_pool().release_unused()
 
     return lowered.mapInArrow(run, StructType([lowered.schema[key], StructField("alias", StringType())]))
 

@@ -4,9 +4,11 @@ import itertools
 import json
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StructField
 
-from tallybook.operators import entity
+from tallybook.operators import entity, gazetteer
 from tallybook.sources import markup, paged
 
 
@@ -54,3 +56,16 @@ def test_feeds_are_parsed_once(spark):
     entries = markup.feed_entries(feeds, "xml")
     assert "from_xml" not in entries._jdf.queryExecution().optimizedPlan().toString().lower().replace("xmltostructs", "from_xml")
     assert sorted((r.id, r.title, r.whole) for r in entries.collect()) == [(1, "A title of a feed", True), (2, "A title of a cut one", False)]
+
+
+def test_a_batch_of_texts_is_looked_through_in_slices():
+    class Texts:
+        schema = {"id": StructField("id", LongType())}
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([f"x{n} ab" for n in range(1000)])], ["id", "_text"])
+    found = list(gazetteer._by_automaton(Texts(), ["ab", "x77 "], "id")(iter([batch])))
+    assert max(b.num_rows for b in found) <= gazetteer.SLICE + 1
+    assert sorted(zip(*(c for c in pa.Table.from_batches(found).to_pydict().values()))) == sorted([(n, "ab") for n in range(1000)] + [(77, "x77 ")])
