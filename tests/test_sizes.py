@@ -6,10 +6,11 @@ import random
 
 import pyarrow as pa
 import pytest
-from pyspark.sql.types import LongType, StructField
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallybook.operators import entity, gazetteer
 from tallybook.sources import markup, paged
+from tallybook.streaming import rate_limit
 
 
 def test_pairs_of_frequent_tokens_meet_once(spark):
@@ -69,3 +70,35 @@ def test_a_batch_of_texts_is_looked_through_in_slices():
     found = list(gazetteer._by_automaton(Texts(), ["ab", "x77 "], "id")(iter([batch])))
     assert max(b.num_rows for b in found) <= gazetteer.SLICE + 1
     assert sorted(zip(*(c for c in pa.Table.from_batches(found).to_pydict().values()))) == sorted([(n, "ab") for n in range(1000)] + [(77, "x77 ")])
+
+
+class Held:
+    """State and timers of one key, as a processor sees them."""
+
+    def __init__(self, rows):
+        self.rows, self.counts = rows, {}
+
+    def __getattr__(self, name):
+        return lambda *given: {"exists": True, "get": self.rows, "iterator": iter(()), "listTimers": [], "getCurrentWatermarkInMs": 10**15}.get(name)
+
+
+def test_a_key_of_many_seconds_is_judged_in_one_pass():
+    class Count(int):
+        """A count that tells how often it was added."""
+
+        added = 0
+
+        def __radd__(self, other):
+            Count.added += 1
+            return int(self) + other
+
+    limit = rate_limit.SlidingLimit(60, 5, StructType().add("id", LongType()).add("_second", LongType()))
+    rows = [(n, n // 2 * 3) for n in range(3000)]
+    limit.handle = Held(rows)
+    limit.waiting, limit.counts = Held(rows), Held(rows)
+    limit.counts.iterator = lambda: iter([((s,), (Count(1),)) for s in range(-1000, 0)])
+    limit.counts.exists = lambda: True
+    told = list(limit.handleExpiredTimer(1, Held(rows), Held(rows)))
+    past = [*range(-1000, 0), *(s for _, s in rows)]
+    assert [r[1] for r in told] == [sum(s - 60 < p <= s for p in past) for _, s in rows]
+    assert Count.added <= 1000
