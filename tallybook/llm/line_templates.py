@@ -15,8 +15,10 @@ by the least hash of WIDTH-word shingles in each of SKETCH classes. Texts that a
 for copies of each other, joined over ROUNDS rounds, and count as one document. A text with less than OWN of its words outside a run
 tells nothing about the run: it would be a near-duplicate (four fifths of the words of both) of any other such text. A large group of copies can neither make its lines recur nor outvote other documents.
 
-Rows that can't be of a template of several lines are left out early by tables of COUNTERS counters (a fixed size); a
-collision there only lets more through to the exact counts. All counts are grouped sums with partial aggregation, so
+Lines that can't be of a template of several lines are left out early: leaves and long lines are counted by their
+hashes, and the tasks get filters of the frequent ones (BITS_EACH bits for each, so filters follow what recurs, not the
+number of lines); what a filter lets through by chance meets the exact counts. Sketches are taken of texts alone that have
+a line of a template found in enough texts. All counts are grouped sums with partial aggregation, so
 a hot line costs a few rows per task. Texts aren't shuffled: the recurring lines are sent to the documents if they are
 counted to be few (`BROADCAST_ROWS`), else positions are joined to the documents by the hash of their text.
 
@@ -51,7 +53,8 @@ LONG_WORDS, LONG_DOCUMENTS = 50, 2
 OWN = 1 / 9
 SKETCH, WIDTH = 16, 3
 ROUNDS = 2
-COUNTERS = 1 << 22
+#: Bits of a filter for each hash in it, and the most it has in all.
+BITS_EACH, FILTER_BITS = 256, 1 << 27
 #: Lines whose fields a task remembers having sent; others are sent again, and once is enough.
 REMEMBERED = 100_000
 
@@ -77,85 +80,76 @@ def field_keys(leaf: int, tokens: list[str]) -> list[int]:
     return [0 if _DIGIT.search(t) else _signed(_hash(f"{k}\x00{t}", leaf & 0xFFFFFFFFFFFF)) for k, t in enumerate(tokens)]
 
 
-def _counters(text: str | None) -> Iterator[tuple]:
+def _counted(text: str | None) -> Iterator[tuple]:
     for line in (text or "").split("\n"):
         if tokens := line.split():
-            yield 0, leaf_of(tokens) % COUNTERS
+            yield 0, _signed(leaf_of(tokens))
             if len(tokens) >= LONG_WORDS:
-                yield 1, _hash(line) % COUNTERS
+                yield 1, _signed(_hash(line))
 
 
-def frequent(docs: DataFrame, text: str) -> list[np.ndarray]:
-    """A bit for every counter on which MIN_TEXTS lines fall by their leaf, and one for those of two long lines."""
-    counted = map_rows(docs.select(text), _counters, "kind int, counter int").groupBy("kind", "counter").count()
-    found = counted.where((F.col("count") >= MIN_TEXTS) | (F.col("kind") == 1) & (F.col("count") > 1)).select("kind", "counter").toArrow()  # as many rows as counters, at most
-    bits = np.zeros((2, COUNTERS), bool)
-    bits[found["kind"].to_numpy(), found["counter"].to_numpy()] = True
-    return [np.packbits(b) for b in bits]
+def frequent(docs: DataFrame, text: str) -> DataFrame:
+    """A written table (kind, hash) of the leaves of MIN_TEXTS lines (kind 0) and of the long lines that stand twice (1)."""
+    counted = map_rows(docs.select(text), _counted, "kind int, hash bigint").groupBy("kind", "hash").count()
+    return written(counted.where((F.col("count") >= MIN_TEXTS) | (F.col("kind") == 1) & (F.col("count") > 1)).select("kind", "hash"))
 
 
-def occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """One row for every line that may be of a shared template, and one (line null) for all other lines of its text.
+def hash_filter(hashes: DataFrame, column: str) -> bytes:
+    """A bit for every hash of a written table; the driver gets 64 of them in a row, and a row at most for each hash."""
+    size = min(FILTER_BITS, 1 << max(6, (BITS_EACH * hashes.count()).bit_length()))
+    word = F.shiftright(F.col(column).bitwiseAND(F.lit(size - 1)), 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))
+    found = hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(size >> 6, "<i8")
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bits.tobytes()
 
-    whole: hash of the text; place: the line's number without blank ones (-1 for the others); line_no: with them;
-    line: its hash; words, total: of the line, of the text; s0...: the sketch; keys: fields, the first time a task
-    meets a line of a frequent leaf.
-    """
-    bits = docs.sparkSession.sparkContext.broadcast(frequent(docs, text))
-    names = ["whole", "place", "line_no", "line", "words", "total", *_PARTS, "keys"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * SKETCH, pa.list_(pa.int64())]
 
-    def marked(kind: int, value: int) -> bool:
-        at = value % COUNTERS
-        return bool(bits.value[kind][at >> 3] >> (7 - (at & 7)) & 1)
+def passes(held: bytes, value: int) -> bool:
+    """Whether a filter lets a hash through: all that are in it, and few others."""
+    return bool(held[(value >> 3) & (len(held) - 1)] >> (value & 7) & 1)
+
+
+def candidates(docs: DataFrame, text: str) -> DataFrame:
+    """One row for every line of a text that may be of a template of several lines.
+
+    whole: hash of the text; line: the line's; words: how many; keys: fields, the first time a task meets a line of a
+    frequent leaf.
+    """
+    found = frequent(docs, text)
+    leaves, long_lines = (docs.sparkSession.sparkContext.broadcast(hash_filter(found.where(F.col("kind") == k), "hash")) for k in (0, 1))
+    names, kinds = ["whole", "line", "words", "keys"], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = set()
+        frequent_leaves, repeated, sent = leaves.value, long_lines.value, set()
         for batch in batches:
-            rows, lines = [], []
+            rows = []
             for of_text, whole in zip(*(c.to_pylist() for c in batch.columns)):
-                if not whole:
-                    continue
-                cut, held = [(k, line, line.split()) for k, line in enumerate(whole.split("\n"))], []
-                cut = [c for c in cut if c[2]]
-                for place, (k, line, tokens) in enumerate(cut):
-                    leaf = leaf_of(tokens)
-                    often = marked(0, leaf)
-                    if often or len(tokens) >= LONG_WORDS and marked(1, _hash(line)):
-                        held.append((place, k, line, leaf if often else None, tokens))
-                if not held:
-                    continue
-                total, passed = sum(len(tokens) for _, _, tokens in cut), {h[0] for h in held}
-                for place, k, line, leaf, tokens in held:
-                    own, keys = _signed(_hash(line)), None
-                    if leaf is not None and own not in sent:
-                        if len(sent) < REMEMBERED:
-                            sent.add(own)
-                        keys = field_keys(leaf, tokens)
-                    rows.append((of_text, place, k, own, len(tokens), total, keys))
-                    lines.append(line)
-                rest = [line for place, (_, line, _) in enumerate(cut) if place not in passed]
-                rows.append((of_text, -1, None, None, 0, total, len(rest)))
-                lines.extend(rest)
-            if not rows:
-                continue
-            made, sketches, keys, k = shingle_minima(pa.array(lines, pa.large_string()), SKETCH, WIDTH), [], [], 0
-            for row in rows:
-                count = row[6] if row[3] is None else 1
-                sketches.append(made[k : k + count].min(axis=0, initial=NO_HASH))
-                keys.append(None if row[3] is None else row[6])
-                k += count
-            columns = [*list(zip(*rows))[:6], *np.array(sketches).T, keys]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
-
-    schema = f"whole bigint, place int, line_no int, line bigint, words int, total int, {', '.join(f'{s} bigint' for s in _PARTS)}, keys array<bigint>"
-    return small_batches(docs.select(F.xxhash64(text).alias("whole"), text)).mapInArrow(run, schema)
+                for line in dict.fromkeys((whole or "").split("\n")):
+                    if not (tokens := line.split()):
+                        continue
+                    leaf, own, keys = leaf_of(tokens), None, None
+                    if passes(frequent_leaves, leaf):
+                        own = _signed(_hash(line))
+                        if own not in sent:
+                            if len(sent) < REMEMBERED:
+                                sent.add(own)
+                            keys = field_keys(leaf, tokens)
+                    elif len(tokens) >= LONG_WORDS and passes(repeated, value := _hash(line)):
+                        own = _signed(value)
+                    if own is not None:
+                        rows.append((of_text, own, len(tokens), keys))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+
+    return small_batches(docs.select(F.xxhash64(text).alias("whole"), text)).mapInArrow(run, "whole bigint, line bigint, words int, keys array<bigint>")
 
 
 def templates_of(seen: DataFrame) -> DataFrame:
     """line, template, asked: the template of every line, and in how many documents it has to be found."""
-    lines = seen.where("line IS NOT NULL").groupBy("line", "whole").agg(F.first("words").alias("words"), F.first("keys", ignorenulls=True).alias("keys"))
-    lines = written(lines.groupBy("line").agg(F.count("*").alias("texts"), F.first("words").alias("words"), F.first("keys", ignorenulls=True).alias("keys")))
+    lines = seen.groupBy("line", "whole").agg(F.first("words").alias("words")).groupBy("line").agg(F.count("*").alias("texts"), F.first("words").alias("words"))
+    fields = seen.where("keys IS NOT NULL").groupBy("line").agg(F.first("keys").alias("keys"))
+    lines = written(lines.join(fields, "line", "left"))
     keys = lines.select("line", "texts", F.explode("keys").alias("key")).where("key <> 0")
     constant = keys.groupBy("key").agg(F.sum("texts").alias("held")).where(F.col("held") >= MIN_TEXTS).select("key")
     parsed = keys.join(constant, "key").groupBy("line").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("key")).alias("fields"))
@@ -165,6 +159,57 @@ def templates_of(seen: DataFrame) -> DataFrame:
     return lines.join(parsed, "line", "left").select("line", F.when(holds, F.xxhash64("words", "fields")).otherwise(F.col("line")).alias("template"), asked.alias("asked"))
 
 
+def common_templates(seen: DataFrame, templates: DataFrame) -> DataFrame:
+    """template, least: the templates found in as many texts as documents are asked for."""
+    held = seen.groupBy("line", "whole").agg(F.lit(1).alias("one")).join(templates, "line")
+    return (
+        held.groupBy("template", "whole").agg(F.min("asked").alias("asked"))
+        .groupBy("template").agg(F.count("*").alias("texts"), F.min("asked").alias("least"))
+        .where("texts >= least").select("template", "least")
+    )
+
+
+def occurrences(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
+    """One row for every line that is in a written table of lines, and one (line null) for all other lines of its text.
+
+    whole: hash of the text; place: the line's number without blank ones (-1 for the others); line_no: with them;
+    line: its hash; words, total: of the line, of the text; s0...: the sketch. A few other lines have rows of their own too.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hash_filter(lines, "line"))
+    names = ["whole", "place", "line_no", "line", "words", "total", *_PARTS]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * SKETCH]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            rows, lines = [], []
+            for of_text, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                cut = [(k, line) for k, line in enumerate((whole or "").split("\n")) if line.strip()]
+                hashes = [_hash(line) for _, line in cut]
+                passed = [place for place, value in enumerate(hashes) if passes(held, value)]
+                if not passed:
+                    continue
+                words = [len(line.split()) for _, line in cut]
+                total, apart = sum(words), set(passed)
+                for place in passed:
+                    rows.append((of_text, place, cut[place][0], _signed(hashes[place]), words[place], total, 1))
+                    lines.append(cut[place][1])
+                rest = [line for place, (_, line) in enumerate(cut) if place not in apart]
+                rows.append((of_text, -1, None, None, 0, total, len(rest)))
+                lines.extend(rest)
+            if not rows:
+                continue
+            made, sketches, k = shingle_minima(pa.array(lines, pa.large_string()), SKETCH, WIDTH), [], 0
+            for row in rows:
+                sketches.append(made[k : k + row[6]].min(axis=0, initial=NO_HASH))
+                k += row[6]
+            columns = [*list(zip(*rows))[:6], *np.array(sketches).T]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+    schema = f"whole bigint, place int, line_no int, line bigint, words int, total int, {', '.join(f'{s} bigint' for s in _PARTS)}"
+    return small_batches(docs.select(F.xxhash64(text).alias("whole"), text)).mapInArrow(run, schema)
+
+
 def run_labels(shared: DataFrame) -> DataFrame:
     """template, label for the runs of shared lines in texts that tell of them; copies have one label.
 
@@ -190,24 +235,13 @@ def run_labels(shared: DataFrame) -> DataFrame:
     return runs.join(labels, "item", "left").select(F.explode("templates").alias("template"), F.coalesce("label", "item").alias("label"))
 
 
-def recurring_lines(seen: DataFrame) -> DataFrame:
-    """The line hashes whose template recurs across documents, from a written table of occurrences."""
-    templates = written(templates_of(seen))
-    # Narrow rows are joined by line, since a line may be in any share of the texts; the texts' own rows meet the shared
-    # lines alone, which are sent to them if they are counted to be few.
-    held = seen.where("line IS NOT NULL").groupBy("line", "whole").agg(F.lit(1).alias("one")).join(templates, "line")
-    common = (
-        held.groupBy("template", "whole").agg(F.min("asked").alias("asked"))
-        .groupBy("template").agg(F.count("*").alias("texts"), F.min("asked").alias("least"))
-        .where("texts >= least").select("template", "least")
-    )
-    common = written(common)
-    of_lines = small_side(written(templates.join(common, "template").select("line", "template")))
-    texts = seen.groupBy("whole", "place").agg(*(F.first(c).alias(c) for c in ("line", "words", "total", *_PARTS)))
-    shared = texts.join(of_lines, "line", "left")
+def recurring_lines(held: DataFrame, of_lines: DataFrame, common: DataFrame) -> DataFrame:
+    """The line hashes whose template recurs across documents, from written tables of occurrences, of the lines of common templates and of these."""
+    texts = held.groupBy("whole", "place").agg(*(F.first(c).alias(c) for c in ("line", "words", "total", *_PARTS)))
+    shared = texts.join(small_side(of_lines), "line", "left")
     told = run_labels(shared).groupBy("template", "label").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"))
     recurring = told.join(common, "template").where("documents >= least").select("template")
-    return templates.join(recurring, "template").select("line")
+    return of_lines.join(recurring, "template").select("line")
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", lines: str = "lines", dropped: str = "dropped") -> DataFrame:
@@ -215,13 +249,17 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", lines: str = "line
 
     Added columns: `lines` (how many there were) and `dropped` (positions from 0 of those taken out).
     """
-    seen = written(occurrences(docs, text))
-    recurring = written(recurring_lines(seen))
+    seen = written(candidates(docs, text))
+    templates = written(templates_of(seen))
+    common = written(common_templates(seen, templates))
+    of_lines = written(templates.join(common, "template").select("line", "template"))
+    held = written(occurrences(docs, text, of_lines))
+    recurring = written(recurring_lines(held, of_lines, common))
     plain = docs.drop(lines, dropped)
     if recurring.count() <= BROADCAST_ROWS:
         return _cut_by_lines(plain, text, lines, dropped, recurring)
     of_text = F.xxhash64(text)
-    found = seen.join(recurring, "line").groupBy("whole").agg(F.sort_array(F.collect_set("line_no")).alias(dropped))
+    found = held.join(recurring, "line").groupBy("whole").agg(F.sort_array(F.collect_set("line_no")).alias(dropped))
     own = unused("whole", plain.columns)
     joined = plain.join(found.withColumnRenamed("whole", own), of_text == F.col(own), "left").drop(own)
     cut = F.split(F.col(text), "\n", -1)

@@ -302,6 +302,30 @@ def test_line_templates_names_and_ids(spark):
         line_templates.BROADCAST_ROWS = limit
 
 
+def test_line_templates_tables_follow_what_recurs(spark, monkeypatch):
+    """60,000 long lines that stand once leave no row in any table; a filter that lets everything through changes no result."""
+    word = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: F.translate(F.substring(F.md5(F.concat_ws("-", F.col("line"), k)), 1, 8), "0123456789", "ghijklmnop"))
+    lines = spark.range(60_000).select((F.col("id") % 3000).alias("doc_id"), F.col("id").alias("line")).withColumn("text", F.array_join(word, " "))
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    rows = []
+
+    def counted(df, write=line_templates.written):
+        rows.append((table := write(df)).count())
+        return table
+
+    monkeypatch.setattr(line_templates, "written", counted)
+    got = line_templates.drop_recurring_lines(docs)
+    assert len(rows) > 5 and not any(rows)
+    assert got.where("lines = 20 AND size(dropped) = 0").count() == 3000
+
+    own = _own(41)
+    footer, long_one = own(7), own(55)
+    texts = ["\n".join([own(), *[footer] * (k % 2), own(60), *[long_one] * (k % 5 == 0), own()]) for k in range(40)]
+    exact = dropped_of(spark, texts)
+    monkeypatch.setattr(line_templates, "FILTER_BITS", 64)
+    assert dropped_of(spark, texts) == exact == {k: [n for n, here in ((1, k % 2), (2 + k % 2, k % 5 == 0)) if here] for k in range(40)}
+
+
 def test_packing(spark, texts):
     docs = docs_of(spark, [*texts, "long " * 500, "long " * 500])
     rows = best_fit_packing.pack_documents(docs, 1000).collect()
