@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: A side of a join is broadcast only while it has at most so many rows (of a few long columns each).
 BROADCAST_ROWS = 1_000_000
 
+#: Spark's setting by which a query's shuffle files go as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 #: Of the pipeline that runs in this thread: tables written by its current or last stage; None outside of stages.
 _of_stage: ContextVar[list[str]] = ContextVar("tables of the last stage")
@@ -72,15 +75,18 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def stage(spark: SparkSession) -> Iterator[None]:
     """One stage of a pipeline whose predecessor's result has been written: the predecessor's intermediate tables are deleted.
 
-    The stage's own tables stay until the next one begins, since its result may be computed later.
+    The stage's own tables stay until the next one begins, since its result may be computed later. Its queries' shuffle
+    files go with each query; they would else stay until the driver collects its garbage.
     """
     for path in _of_stage.get([]):
         delete(spark, path)
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is no longer referenced
     _of_stage.set([])
-    running = _in_stage.set(True)
+    running, kept = _in_stage.set(True), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
+        spark.conf.set(CLEANUP, kept)
         _in_stage.reset(running)

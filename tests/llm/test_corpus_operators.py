@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import best_fit_packing, components, decontamination, line_templates, near_duplicates, sharding, url_rules
 from tallybook.llm.shingles import shingle_sets
+from tallybook.llm.storage import stage, written
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string"
 
@@ -530,6 +532,22 @@ def test_url_rules(spark):
     }
 
 
+def test_stages_keep_no_shuffle_files(spark):
+    """A query of a stage leaves no shuffle files, though its table is still held; the session's setting is put back."""
+    of_shuffles = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before, key = of_shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key)
+    with stage(spark):
+        grouped = spark.range(10_000).groupBy((F.col("id") % 100).alias("key")).count()
+        table = written(grouped)
+        until = time.time() + 10
+        while of_shuffles() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not of_shuffles() - before
+        assert table.count() == 100 == grouped.count()
+    assert spark.conf.get(key) == kept
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
